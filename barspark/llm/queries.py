@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barspark.llm import bpe, langid, licenses, repetition, secrets, tokencounts
+from barspark.llm import bpe, hpylm, langid, licenses, minhash, mixing, repetition, secrets, tokencounts, vectors
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,19 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.link(table(spark, sf_dir, "documents"))
+
+
+#: No source is seen more than four times; every document is seen at least once.
+MIX = mixing.Settings(most_epochs=4.0)
+
+
+def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mixing.mix(documents, MIX).select("doc_id", "source", "epoch", "block", "place")
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan_licenses(table(spark, sf_dir, "documents"))
     labels = lambda *places: F.concat_ws(",", F.array_sort(F.array_distinct(F.concat(*[F.col(f"{p}.label") for p in places]))))
@@ -75,12 +88,94 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "longest_repeat", "covered_fraction")
 
 
+def op8_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.link(table(spark, sf_dir, "embeddings"))
+
+
+def op9_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    model = hpylm.fit(documents.filter(fold("doc_id", 10) != 0).select(F.col("doc_id").alias("id"), "text"))
+    scored = hpylm.score(documents, model, trained="crc32(cast(cast(doc_id AS string) AS binary)) % 10 <> 0")
+    held = F.coalesce(fold("doc_id", 10) == 0, F.lit(False))
+    return scored.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencounts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_byte_bpe, op4_license_scan, op5_language_id, op6_secret_scan, op7_quality_rules, op10_token_counts)
+    f.__name__: f
+    for f in (
+        op1_byte_bpe,
+        op2_minhash_dedup,
+        op3_source_mixing,
+        op4_license_scan,
+        op5_language_id,
+        op6_secret_scan,
+        op7_quality_rules,
+        op8_vector_dedup,
+        op9_pitman_yor,
+        op10_token_counts,
+    )
 }
 
-ORACLES: dict[str, str] = {}
+_REACH = """
+reach(x, y) AS (SELECT {id}, {id} FROM {rows} UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x),
+comp AS (SELECT x, min(y) AS component_id FROM reach GROUP BY x)
+"""
+
+_OP2 = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+    ELSE list_distinct([array_to_string(ws[i:i + 4], ' ') FOR i IN range(1, len(ws) - 3)]) END AS sh FROM w
+), u AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS t FROM s),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS c FROM u a JOIN u b ON a.t = b.t AND a.doc_id < b.doc_id GROUP BY 1, 2),
+h AS (SELECT x, y FROM p WHERE 100 * c >= 75 * (na + nb - c)),
+links AS (SELECT x, y FROM h UNION ALL SELECT y, x FROM h),
+""" + _REACH.format(id="doc_id", rows="documents") + """
+SELECT s.doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, component_id, s.doc_id = component_id AS kept FROM s JOIN comp ON s.doc_id = comp.x
+"""
+
+_OP8 = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE embedding IS NOT NULL
+    AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0 AND len([x FOR x IN embedding IF x <> 0]) > 0
+), links AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.9),
+""" + _REACH.format(id="vec_id", rows="embeddings") + """
+SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN comp ON vec_id = comp.x LEFT JOIN (SELECT x, count(*) AS n FROM links GROUP BY x) l ON vec_id = l.x
+"""
+
+_NUMBER = "CAST('0x' || substr(md5({0}), 1, 8) AS BIGINT)"
+_OP3 = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, coalesce('=' || source, '') AS s, {block} % 256 AS block,
+    len(regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+')) AS tokens FROM documents
+), b AS (SELECT s, block, sum(tokens) AS tokens FROM d GROUP BY 1, 2),
+src AS (SELECT s, sum(tokens) AS tokens FROM b GROUP BY 1),
+tot AS (SELECT sum(tokens) AS t, max(tokens) AS most, count(*) AS n FROM src WHERE tokens > 0),
+half(step, low) AS (
+  SELECT 1 << 27, 0
+  UNION ALL
+  SELECT h.step // 2, h.low + CASE WHEN r.repeated > 4.0 THEN h.step ELSE 0 END
+  FROM half h, LATERAL (
+    SELECT max(exp(ln(tokens / t) * (h.low + h.step) / (1 << 28)) / tokens) * any_value(most) / exp(ln(any_value(most) / any_value(t)) * (h.low + h.step) / (1 << 28)) AS repeated
+    FROM src, tot WHERE tokens > 0
+  ) r WHERE h.step > 0
+), ex AS (SELECT CASE WHEN (SELECT n FROM tot) = 1 THEN 1.0 ELSE (max(low) + 1) / (1 << 28) END AS a FROM half),
+z AS (SELECT sum(exp(ln(tokens / t) * a)) AS z, any_value(most) * sum(exp(ln(tokens / t) * a)) / exp(ln(any_value(most) / any_value(t)) * any_value(a)) AS budget FROM src, tot, ex WHERE tokens > 0),
+w AS (SELECT s, tokens AS all_tokens, CASE WHEN tokens > 0 THEN round(exp(ln(tokens / t) * a) / z * budget / tokens, 9) ELSE 1.0 END AS epochs FROM src, tot, ex, z),
+e AS (SELECT b.s, b.block, b.tokens, all_tokens, epochs, unnest(range(0, greatest(CAST(ceil(epochs) AS BIGINT), 1))) AS epoch FROM b JOIN w ON b.s = w.s),
+o AS (SELECT *, coalesce(sum(tokens) OVER (g ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, row_number() OVER g - 1 AS place
+  FROM e WINDOW g AS (PARTITION BY s, epoch ORDER BY {order}, block))
+SELECT doc_id, source, CAST(epoch AS INTEGER) AS epoch, CAST(d.block AS INTEGER) AS block, CAST(place AS INTEGER) AS place
+FROM d JOIN o ON d.s = o.s AND d.block = o.block
+WHERE epochs >= epoch + 1 OR before * 2 + o.tokens <= (epochs - epoch) * all_tokens * 2
+""".replace("{block}", _NUMBER.format("'mix|' || coalesce(CAST(doc_id AS VARCHAR), '')")).replace("{order}", _NUMBER.format("'mix|' || s || '|' || epoch || '|' || block"))
+
+#: SQL for the queries whose whole result it can express; the others are tested against plain versions.
+ORACLES: dict[str, str] = {"op2_minhash_dedup": _OP2, "op3_source_mixing": _OP3, "op8_vector_dedup": _OP8}

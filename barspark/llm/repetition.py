@@ -119,6 +119,50 @@ MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_r
 _NAMES = [x.split()[0] for x in MEASURES.split(", ")]
 
 
+_REPEATS = "array<struct<start: bigint, length: bigint>>"
+
+
+def _measured(batches: Iterator[pa.RecordBatch], text: int, limits: Limits) -> Iterator[tuple[pa.RecordBatch, list[pa.Array], pa.Array]]:
+    """Blocks of rows with their measures and maximal repeats."""
+    for rows, data, offsets in ta.text_blocks(batches, text):
+        start, end, at = ta.words(data, offsets)
+        doc = ta.owners(at)
+        spans = ta.Spans(ta.BYTE_CODE[data])
+        longest = longest_repeats(spans.hash(start, end), doc)
+        n = len(start)
+        chars = np.append(0, np.cumsum(ta.NOT_CONTINUATION[data]))
+        windows = np.flatnonzero(longest >= limits.window)
+        in_window = covered(windows, np.full(len(windows), limits.window), n)
+        long = np.flatnonzero(longest >= limits.shortest_repeat)
+        in_repeat = covered(long, longest[long], n)
+        # lines with a word: they end at a line feed or with the document
+        cut = np.unique(np.concatenate([offsets, np.flatnonzero(LINE_END[data]) + 1]))
+        first, last = cut[:-1], cut[1:]
+        full = np.searchsorted(start, last) > np.searchsorted(start, first)
+        first, last = first[full], last[full]
+        text_end = last - LINE_END[data[last - 1]]
+        line_doc = np.searchsorted(offsets, first, "right") - 1
+        line = ta.mix(spans.hash(first, text_end) + line_doc.astype(np.uint64))
+        _, one = np.unique(line, return_index=True)
+        again = np.ones(len(line), bool)
+        again[one] = False
+        most = np.zeros(rows.num_rows, np.int64)
+        np.maximum.at(most, doc[long], longest[long])
+        out = [
+            np.diff(at),
+            ta.per_document(chars[end] - chars[start], at),
+            ta.per_document(SYMBOLS[data], offsets),
+            np.bincount(line_doc[again], minlength=rows.num_rows),
+            ta.per_document(in_window, at),
+            np.bincount(line_doc, minlength=rows.num_rows),
+            ta.per_document(in_repeat, at),
+            most,
+        ]
+        own = np.flatnonzero(maximal(longest, doc) & (longest >= limits.shortest_repeat))
+        items = pa.StructArray.from_arrays([pa.array(own - at[doc[own]]), pa.array(longest[own])], ["start", "length"])
+        yield rows, [pa.array(x.astype(np.int64)) for x in out], pa.ListArray.from_arrays(pa.array(np.searchsorted(own, at), pa.int32()), items)
+
+
 def measure(df: DataFrame, limits: Limits = Limits(), id_col: str = "doc_id", text_col: str = "text", with_spans: bool = False) -> DataFrame:
     """Counts of every whole text and what it repeats of itself.
 
@@ -127,54 +171,27 @@ def measure(df: DataFrame, limits: Limits = Limits(), id_col: str = "doc_id", te
     Repeated rows are measured once each; other columns are left out.  A narrow pass, no shuffle; sorts stay inside a block
     of whole documents.
     """
-    least = limits.shortest_repeat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, offsets in ta.text_blocks(batches):
-            start, end, at = ta.words(data, offsets)
-            doc = ta.owners(at)
-            spans = ta.Spans(ta.BYTE_CODE[data])
-            longest = longest_repeats(spans.hash(start, end), doc)
-            n = len(start)
-            chars = np.append(0, np.cumsum(ta.NOT_CONTINUATION[data]))
-            windows = np.flatnonzero(longest >= limits.window)
-            in_window = covered(windows, np.full(len(windows), limits.window), n)
-            long = np.flatnonzero(longest >= least)
-            in_repeat = covered(long, longest[long], n)
-            # lines with a word: they end at a line feed or with the document
-            cut = np.unique(np.concatenate([offsets, np.flatnonzero(LINE_END[data]) + 1]))
-            first, last = cut[:-1], cut[1:]
-            full = np.searchsorted(start, last) > np.searchsorted(start, first)
-            first, last = first[full], last[full]
-            text_end = last - LINE_END[data[last - 1]]
-            line_doc = np.searchsorted(offsets, first, "right") - 1
-            line = ta.mix(spans.hash(first, text_end) + line_doc.astype(np.uint64))
-            _, one = np.unique(line, return_index=True)
-            again = np.ones(len(line), bool)
-            again[one] = False
-            n_lines = np.bincount(line_doc, minlength=rows.num_rows)
-            most = np.zeros(rows.num_rows, np.int64)
-            np.maximum.at(most, doc[long], longest[long])
-            out = [
-                np.diff(at),
-                ta.per_document(chars[end] - chars[start], at),
-                ta.per_document(SYMBOLS[data], offsets),
-                np.bincount(line_doc[again], minlength=rows.num_rows),
-                ta.per_document(in_window, at),
-                n_lines,
-                ta.per_document(in_repeat, at),
-                most,
-            ]
-            arrays = [rows.column(0), *(pa.array(x.astype(np.int64)) for x in out)]
-            if with_spans:
-                own = np.flatnonzero(maximal(longest, doc) & (longest >= least))
-                items = pa.StructArray.from_arrays([pa.array(own - at[doc[own]]), pa.array(longest[own])], ["start", "length"])
-                arrays.append(pa.ListArray.from_arrays(pa.array(np.searchsorted(own, at), pa.int32()), items))
+        for rows, measures, repeats in _measured(batches, 1, limits):
+            arrays = [rows.column(0), *measures, repeats][: len(_NAMES) + 1 + with_spans]
             yield pa.RecordBatch.from_arrays(arrays, ["id", *_NAMES, "repeats"][: len(arrays)])
 
     kind = df.schema[id_col].dataType.simpleString()
-    schema = f"id {kind}, {MEASURES}" + ", repeats array<struct<start: bigint, length: bigint>>" * with_spans
-    return ta.scan(df, run, schema, id_col, text_col).withColumnRenamed("id", id_col)
+    return ta.scan(df, run, f"id {kind}, {MEASURES}" + f", repeats {_REPEATS}" * with_spans, id_col, text_col).withColumnRenamed("id", id_col)
+
+
+def passing(df: DataFrame, limits: Limits = Limits(), text_col: str = "text") -> DataFrame:
+    """The rows of ``df``, all columns as they are, whose text is kept by :func:`judge`: one narrow pass, without a join."""
+    place, columns = df.columns.index(text_col), [f"own_{i}" for i in range(len(df.columns))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, measures, _ in _measured(batches, place, limits):
+            yield pa.RecordBatch.from_arrays([*rows.columns, *measures], [*columns, *_NAMES])
+
+    kinds = ", ".join(f"{c} {f.dataType.simpleString()}" for c, f in zip(columns, df.schema.fields, strict=True))
+    judged = judge(df.mapInArrow(run, f"{kinds}, {MEASURES}"), limits).filter("kept")
+    return judged.select([F.col(c).alias(name) for c, name in zip(columns, df.columns, strict=True)])
 
 
 def judge(measures: DataFrame, limits: Limits = Limits()) -> DataFrame:
