@@ -4,7 +4,8 @@ Two small collections of m short hashes each, made of few minhashes, are combine
 table just if they agree in some hash of either collection, at the cost of about 2 * m instead of m * m hash computations.
 Documents with equal shingle sets are one node.  In each table, blocks of nodes are compared by their minhashes and a forest of
 likely links is confirmed on full sets; then all likely pairs between the components so far are confirmed, too, so that no link
-that could join two components is passed over.
+that could join two components is passed over.  A pair that several tables hold is passed on by the first of them only, and only
+if a longer sketch of both sets does not rule it out.
 """
 
 from __future__ import annotations
@@ -30,7 +31,9 @@ class Settings:
     percent: int = 75
     collection: int = 10  # hashes in each of the two collections
     width: int = 2  # minhashes in each hash
-    least_agreeing: float = 0.4  # of the minhashes, for a pair to be confirmed; five standard deviations below 0.75
+    least_agreeing: float = 0.4  # of the minhashes, for a pair to be likely; five standard deviations below 0.75
+    sketch: int = 256  # more minhashes, of nodes with a likely partner
+    least_sketch: float = 0.65  # of these, for a pair between components to be confirmed; 3.7 standard deviations below 0.75
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, n: int) -> list[np.ndarray]:
@@ -99,6 +102,10 @@ def _documents(df: DataFrame, s: Settings, id_col: str, text_col: str) -> DataFr
     return ta.scan(df, run, f"id {kind}, n_shingles long, node long, least binary", id_col, text_col)
 
 
+#: The low bits of a key are the number of its table.
+TABLE = np.uint64(1023)
+
+
 def _tables(nodes: DataFrame, s: Settings) -> DataFrame:
     """(key, node) for every table: each hash of one collection with each of the other."""
     m = s.collection
@@ -114,7 +121,8 @@ def _tables(nodes: DataFrame, s: Settings) -> DataFrame:
                 hashed = ta.mix(hashed * np.uint64(0x9E3779B97F4A7C15) + least[..., i])
             place = np.arange(m, dtype=np.uint64)
             for i in range(m):
-                key = ta.mix(hashed[:, 0, i, None] * np.uint64(0xD6E8FEB86659FD93) + hashed[:, 1] + (place + np.uint64(i * m)))
+                table = place + np.uint64(i * m)
+                key = ta.mix(hashed[:, 0, i, None] * np.uint64(0xD6E8FEB86659FD93) + hashed[:, 1] + table) & ~TABLE | table
                 yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(np.repeat(node, m))], ["key", "node"])
 
     return nodes.select("node", "least").mapInArrow(run, "key long, node long")
@@ -127,16 +135,23 @@ def _agreeing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def _first_table(a: np.ndarray, b: np.ndarray, s: Settings) -> np.ndarray:
+    """The number of the first table that holds each of the pairs (a[i], b[i])."""
+    same = (a == b).reshape(len(a), 2, s.collection, s.width).all(3)
+    return same[:, 0].argmax(1) * s.collection + same[:, 1].argmax(1)
+
+
 def _likely(s: Settings, between: bool):
-    """Likely pairs of each block; between components, or (not ``between``) a forest of them: one earlier partner for each node."""
+    """Likely pairs of each block: those between components, or (not ``between``) a forest with one earlier partner for each node."""
     n = 2 * s.collection * s.width
-    least_agreeing, close = int(np.ceil(s.least_agreeing * n)), int(0.75 * n)
+    least, least_sketch = int(np.ceil(s.least_agreeing * n)), int(np.ceil(s.least_sketch * s.sketch))
 
     def run(whole: Iterator[tuple[list[pa.Array], np.ndarray]]) -> Iterator[pa.RecordBatch]:
         for columns, bounds in whole:
-            side, node = columns[3].to_numpy(), columns[4].to_numpy()
+            key, side, node = (columns[i].to_numpy() for i in (0, 3, 4))
             signs = buckets.fixed(columns[5].cast(pa.binary()), "<u2")[0].reshape(len(node), n)
             root = columns[6].to_numpy() if between else None
+            sketch = buckets.fixed(columns[7].cast(pa.binary()), "<u2")[0].reshape(len(node), s.sketch) if between else None
             found: list[np.ndarray] = []
             for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
                 if b - a < 2 or (between and (root[a:b] == root[a]).all()):
@@ -149,13 +164,19 @@ def _likely(s: Settings, between: bool):
                 agree = _agreeing(signs[cols], signs[rows])
                 if not two:
                     agree = np.tril(agree, -1)
-                if between:
-                    hit = np.nonzero((agree >= least_agreeing) & (root[cols][:, None] != root[rows][None, :]))
-                    found.append(np.stack([node[cols][hit[0]], node[rows][hit[1]]], 1))
-                else:
-                    best = np.where((agree >= close).any(1), (agree >= close).argmax(1), agree.argmax(1))
-                    good = np.flatnonzero(agree.max(1) >= least_agreeing)
+                if not between:
+                    best = (agree // 4).argmax(1)  # of about equally good partners the first, so that tables agree on it
+                    good = np.flatnonzero(agree[np.arange(len(best)), best] >= least)
                     found.append(np.stack([node[cols][good], node[rows][best[good]]], 1))
+                    continue
+                i, j = np.nonzero((agree >= least) & (root[cols][:, None] != root[rows][None, :]))
+                table = int(key.view(np.uint64)[a] & TABLE)
+                for k in range(0, len(i), 20_000):
+                    x, y = i[k : k + 20_000] + cols.start, j[k : k + 20_000] + rows.start
+                    own = _first_table(signs[x], signs[y], s) == table
+                    x, y = x[own], y[own]
+                    near = (sketch[x] == sketch[y]).sum(1) >= least_sketch
+                    found.append(np.stack([node[x[near]], node[y[near]]], 1))
             pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
             pairs = np.unique(np.sort(pairs, 1), axis=0)
             pairs = pairs[pairs[:, 0] != pairs[:, 1]]
@@ -164,6 +185,23 @@ def _likely(s: Settings, between: bool):
     return run
 
 
+def _sketches(sets: DataFrame, s: Settings) -> DataFrame:
+    """node and two bytes each of further minhashes of its set."""
+    mask, factor = (x[-s.sketch :] for x in _multipliers(2 * s.collection * s.width + s.sketch))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 500):
+                part = batch.slice(i, 500)
+                flat, at = buckets.fixed(part.column(1).cast(pa.binary()), "<u8")
+                least = np.empty((part.num_rows, s.sketch), "<u2")
+                for j in range(s.sketch):
+                    least[:, j] = (np.minimum.reduceat((flat ^ mask[j]) * factor[j], at[:-1]) & np.uint64(0xFFFF)).astype("<u2")
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([r.tobytes() for r in least], pa.binary())], ["node", "sketch"])
+
+    return sets.select("node", "shingles").mapInArrow(run, "node long, sketch binary")
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
     side = lambda name: sets.select(F.col("node").alias(name), F.col("shingles").alias(f"set_{name}"))
@@ -218,11 +256,13 @@ def link(df: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id",
     links = stored(_confirmed(forest, sets, s), "links")
     so_far = components(links)
     # in each table once more: likely pairs that may join two components
-    rooted = half.join(likely_nodes, "node").join(so_far, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
-    open_keys = shared.join(rooted.select("node", "root"), "node").groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y")
-    again = buckets.blocks(shared.join(likely_nodes, "node", "left_semi").join(open_keys, "key", "left_semi").select("key", "node"))
+    rooted = half.join(_sketches(sets, s), "node").join(so_far, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"), "sketch")
+    rooted = stored(rooted, "rooted")
+    own = stored(shared.join(rooted.select("node", "root"), "node"), "rooted-tables")
+    open_keys = own.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("key")
+    again = buckets.blocks(own.join(open_keys, "key", "left_semi").select("key", "node"))
     more = buckets.in_blocks(again, rooted, _likely(s, True), "a long, b long")
-    links = links.unionByName(_confirmed(more.join(forest, ["a", "b"], "left_anti"), sets, s))
+    links = links.unionByName(stored(_confirmed(more.join(forest, ["a", "b"], "left_anti"), sets, s), "links"))
     grouped = nodes.select("node", "id").join(components(links), "node", "left").select("node", "id", F.coalesce("root", "node").alias("root"))
     named = grouped.groupBy("root").agg(F.min("id").alias("component_id"))
     by_node = stored(grouped.join(named, "root").select("node", "component_id"), "groups")
