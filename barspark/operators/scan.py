@@ -124,7 +124,7 @@ def varying_scan(df: DataFrame, name: str, a: str, b: str, keys: tuple[str, ...]
     fold = lambda items: F.aggregate(
         items,
         F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("b")),
-        lambda s, x: F.struct((s["a"] * x["__a"]).alias("a"), (F.coalesce(x["__a"] * s["b"], F.lit(0.0)) + x["__b"]).alias("b")),
+        lambda s, x: F.struct((s["a"] * x["__a"]).alias("a"), (F.when(x["__a"] == 0, F.lit(0.0)).otherwise(x["__a"] * s["b"]) + x["__b"]).alias("b")),
     )
     pairs = slim.groupBy(*keys, "__chunk").agg(F.array_sort(F.collect_list(F.struct("__row", "__a", "__b"))).alias("items"))  # a chunk's rows at most
     pairs = pairs.select(*keys, "__chunk", fold(F.col("items")).alias("p"))

@@ -10,6 +10,7 @@ from barspark.functions.stable import WINDOWS, add_stable_features
 from barspark.operators.align import merge_timeframes, safe_resample
 from barspark.operators.clean import add_calendar, finite_ffill, numeric_columns, signed_log1p, trim_from
 from barspark.sources.bars import duration
+from barspark.storage import stored
 
 PRICES = ("open", "high", "low", "close", "volume")
 
@@ -23,12 +24,13 @@ def timeframe_features(bars: DataFrame, tf: str, start=None, resample: bool = Tr
         bars = trim_from(bars, start, order)
     built = build_indicators(bars.select(*keys, order, *PRICES), tf, keys, order)
     built = built.select(*keys, order, *[F.col(k).alias(k[len(tf) + 1 :]) for k in built.columns if k not in (*keys, order)])
+    built = stored(built, "indicators")  # a wide plan is cut where it is cheapest: a row per bar
     built = finite_ffill(built, [k for k in numeric_columns(built) if k not in PRICES], False, keys, order)
     if resample:
         built = safe_resample(built, duration(tf), tuple(k for k in built.columns if k not in (*keys, order, *PRICES)), keys, order)
     built = signed_log1p(built)
     built = add_stable_features(built, tf, WINDOWS[tf], keys, order)
-    return add_calendar(built, 1, keys, order)
+    return stored(add_calendar(built, 1, keys, order), "features")
 
 
 def feature_frame(bars: dict[str, DataFrame], main: str = "30T", start=None, resample: bool = True, keys: tuple[str, ...] = ("symbol",), order: str = "time") -> DataFrame:

