@@ -32,8 +32,8 @@ class Settings:
     collection: int = 10  # hashes in each of the two collections
     width: int = 2  # minhashes in each hash
     least_agreeing: float = 0.4  # of the minhashes, for a pair to be likely; five standard deviations below 0.75
-    sketch: int = 256  # more minhashes, of nodes with a likely partner
-    least_sketch: float = 0.65  # of these, for a pair between components to be confirmed; 3.7 standard deviations below 0.75
+    sketch: int = 384  # more minhashes, of nodes with a likely partner
+    least_sketch: float = 0.67  # of these, for a pair between components to be confirmed; 3.6 standard deviations below 0.75
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, n: int) -> list[np.ndarray]:
