@@ -1,0 +1,118 @@
+"""License, language, secret and quality operators against plain versions."""
+
+from __future__ import annotations
+
+import random
+import re
+
+from barspark.llm import langid, licenses, repetition, secrets
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def frame(spark, texts):
+    return spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+
+
+def ascii_lower(x):
+    return x.translate({i: i + 32 for i in range(65, 91)})
+
+
+def test_base_secrets_and_redaction(spark):
+    assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
+    parts = ["password", "PassWD", "secret", "token", "api_key", "APIKEY", " ", ":", "=", '"', "é", "'", "abcdef", "12ab", "AKIA", "ABCDEFGHIJKLMNOP", "0123456789abcdef", "\n", "zz", "ſecret", "."]
+    rng = random.Random(3)
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 25))) for _ in range(500)] + [None, "", "same", "same"]
+    df = frame(spark, texts)
+    kinds = ["assign", "access", "hex"]
+    for r in secrets.find_secrets(df).collect():
+        x = texts[r.doc_id] or ""
+        want = [("assign", *m.span()) for m in assign.finditer(x) if len(m[2]) >= 6]
+        want += [("access", *m.span()) for m in re.finditer("AKIA[A-Z0-9]+", x) if len(m[0]) >= 20] + [("hex", *m.span()) for m in re.finditer("[0-9a-f]+", x) if len(m[0]) >= 24]
+        assert [tuple(s) for s in r.spans if s.kind != "entropy"] == sorted(want, key=lambda q: (q[1], kinds.index(q[0])))
+    clean = secrets.redact(df)
+    assert clean.columns == df.columns
+    left = secrets.find_secrets(clean.filter("text NOT LIKE '%[SECRET]%'"))
+    assert left.filter("size(spans) > 0").count() == 0
+    assert clean.filter("text IS NULL").count() == 1
+
+
+def test_entropy_and_allow_list(spark):
+    texts = ["key kJ8s7Hq2LmZ0xWv4Rt9Yb3Nc end", "id 123e4567-e89b-12d3-a456-426614174000 end", "zzzzzzzzzzzzzzzzzzzzzzzzzzzzzzz1A", "example kJ8s7Hq2LmZ0xWv4exampleRt9Yb3Nc", "honorificabilitudinitatibus"]
+    got = {r.doc_id: [s.kind for s in r.spans] for r in secrets.find_secrets(frame(spark, texts)).collect()}
+    assert got == {0: ["entropy"], 1: [], 2: [], 3: [], 4: []}
+
+
+def test_license_base_and_fuzzy(spark):
+    rng = random.Random(5)
+    parts = ["cc", "by", "General", "public", "LICENSE", "all", "rights", "reserved", "é", "-", " ", "\n", "x", "."]
+    texts = [rng.choice([" ", "-", ""]).join(rng.choice(parts) for _ in range(rng.randint(0, 25))) for _ in range(400)] + [None, "", "CC BY", "all rights reserved all rights reserved"]
+    word = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
+    for r in licenses.scan_licenses(frame(spark, texts)).collect():
+        own = word.findall(ascii_lower(texts[r.doc_id] or ""))
+        want = [(label, i, i + len(p.split()) - 1) for p, label in licenses.PHRASES.items() for i in range(len(own)) if own[i : i + len(p.split())] == p.split()]
+        assert r.n_words == len(own)
+        assert sorted((b.label, b.first_word, b.last_word) for b in r.base) == sorted(want)
+    near = ["So: licenced under teh Apache Lisense, Version 2.0", "ALL  RIGHT RESERVED", "nothing to see"]
+    got = {r.doc_id: [(f.label, f.first_word) for f in r.fuzzy] for r in licenses.scan_licenses(frame(spark, near)).collect()}
+    assert ("apache-2.0", 1) in got[0] and got[1] == [("reserved", 0)] and got[2] == []
+
+
+def plain_measures(x, least):
+    words = WORD.findall(x)
+    n = len(words)
+    covered, windowed, most = [0] * n, [0] * n, 0
+    for i in range(n):
+        best = 0
+        for j in range(n):
+            k = 0
+            while i != j and i + k < n and j + k < n and words[i + k] == words[j + k]:
+                k += 1
+            best = max(best, k)
+        if best >= least:
+            most = max(most, best)
+            covered[i : i + best] = [1] * best
+        if best >= 5:
+            windowed[i : i + 5] = [1] * 5
+    seen, dup, lines = set(), 0, 0
+    for line in x.split("\n"):
+        if WORD.search(line):
+            lines, dup = lines + 1, dup + (line in seen)
+            seen.add(line)
+    return [n, sum(map(len, words)), sum(c in "#*$%&|<>" for c in x), dup, sum(windowed), lines, sum(covered), most]
+
+
+def test_quality_measures(spark):
+    rng = random.Random(7)
+    texts = [" ".join(rng.choice("abcdé") for _ in range(rng.randint(0, 50))) for _ in range(80)]
+    texts += ["\n".join(rng.choice(["a b", "c", "  ", "a b "]) for _ in range(rng.randint(0, 9))) + rng.choice(["", "\n"]) for _ in range(60)] + ["", None, "a", "x " * 50, "\n\n"]
+    df = frame(spark, texts)
+    for r in repetition.quality(df).collect():
+        want = plain_measures(texts[r.doc_id] or "", 3)
+        assert list(r)[1:9] == want
+        assert r.base_failed == (want[0] < 10 or 100 * want[4] > 20 * want[0])
+        assert not (r.kept and r.base_failed)
+    kept = {r.doc_id for r in repetition.quality(df).filter("kept").collect()}
+    passed = repetition.passing(df)
+    assert passed.columns == df.columns and {r.doc_id for r in passed.collect()} == kept
+
+
+def test_maximal_repeats(spark):
+    df = frame(spark, ["one two three four x one two three four y two three"])
+    spans = repetition.measure(df, with_spans=True).first().repeats
+    assert [(s.start, s.length) for s in spans] == [(0, 4), (5, 4)]
+
+
+def test_language_is_learned_from_labels_only(spark):
+    rng = random.Random(11)
+    sound = {"aa": ["ka", "lo", "mi", "tu"], "bb": ["sch", "ung", "eit", "ver"], "cc": ["eau", "oux", "ment", "ien"]}
+    rows = [(i, " ".join("".join(rng.choice(sound[k]) for _ in range(rng.randint(1, 4))) for _ in range(30)), k) for i, k in enumerate(list(sound) * 60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(df.filter("doc_id % 5 <> 0"), per_language=40, n_landmarks=30)
+    test = df.filter("doc_id % 5 = 0")
+    got = langid.predict(test.select("doc_id", "text"), model).join(test, "doc_id")
+    assert got.filter("lang_pred = lang").count() >= 0.95 * test.count()
+    odd = frame(spark, [None, "", "12 34 !!", "ka"])
+    assert [r.lang_pred for r in langid.predict(odd, model).orderBy("doc_id").collect()][:3] == ["und"] * 3
+    assert {r.lang_pred for r in langid.predict(odd, None).collect()} == {"und"}
+    assert langid.fit(df.limit(0)) is None
