@@ -82,14 +82,21 @@ def _families(s):
 add("k15_compare_ensembles", on_scored()(_families), f"WITH {SCORED}, f AS (SELECT 'wide' AS family, y, decision AS d FROM scored UNION ALL SELECT 'narrow', y, CASE WHEN p >= 0.7 THEN 1 WHEN p <= 0.3 THEN 0 ELSE -1 END FROM scored), k AS (SELECT family, {LABELS} FROM f GROUP BY 1) SELECT {METRICS.format(keys='family')} FROM k")
 
 # --- J: votes in SQL, models by their own tests ---
-THREE = {"p": c("p"), "p2": 1 - c("p") / 2, "p3": c("p") * c("p")}
+THREE = ("p", "p2", "p3")
+
+
+def three():
+    """Three probabilities made of one."""
+    return {"p": c("p"), "p2": 1 - c("p") / 2, "p3": c("p") * c("p")}
+
+
 _THREE = f"{SCORED}, tri AS (SELECT *, 1 - p / 2 AS p2, p * p AS p3 FROM scored)"
-add("j05_ensemble_proba", on_scored("symbol", "time", "m", "v")(lambda s: s.withColumns(THREE).withColumns({"m": decide.ensemble_proba(list(THREE)), "v": decide.ensemble_vote(list(THREE))})), f"WITH {_THREE} SELECT symbol, {T}, {r('m=(p + p2 + p3) / 3')}, CAST((CAST(p >= 0.5 AS INT) + CAST(p2 >= 0.5 AS INT) + CAST(p3 >= 0.5 AS INT)) * 2 > 3 AS BIGINT) AS v FROM tri")
+add("j05_ensemble_proba", on_scored("symbol", "time", "m", "v")(lambda s: s.withColumns(three()).withColumns({"m": decide.ensemble_proba(list(THREE)), "v": decide.ensemble_vote(list(THREE))})), f"WITH {_THREE} SELECT symbol, {T}, {r('m=(p + p2 + p3) / 3')}, CAST((CAST(p >= 0.5 AS INT) + CAST(p2 >= 0.5 AS INT) + CAST(p3 >= 0.5 AS INT)) * 2 > 3 AS BIGINT) AS v FROM tri")
 _VB = " + ".join(f"CASE WHEN {k} >= 0.6 THEN 1 ELSE 0 END" for k in THREE)
 _CF = " + ".join(f"CASE WHEN {k} >= 0.6 OR {k} <= 0.4 THEN 1 ELSE 0 END" for k in THREE)
-add("j07_ensemble_actions", on_scored("symbol", "time", "votes_buy", "confident_models", "action")(lambda s: s.withColumns(THREE).withColumns(decide.ensemble_actions({k: (0.4, 0.6) for k in THREE}, 2))),
+add("j07_ensemble_actions", on_scored("symbol", "time", "votes_buy", "confident_models", "action")(lambda s: s.withColumns(three()).withColumns(decide.ensemble_actions({k: (0.4, 0.6) for k in THREE}, 2))),
     f"WITH {_THREE}, k AS (SELECT *, {_VB} AS b, {_CF} AS n FROM tri) SELECT symbol, {T}, CAST(b AS BIGINT) AS votes_buy, CAST(n AS BIGINT) AS confident_models, CASE WHEN n < 2 THEN 'NONE' WHEN b / nullif(n, 0) >= 0.7 THEN 'BUY' WHEN b / nullif(n, 0) <= 0.3 THEN 'SELL' ELSE 'NONE' END AS action FROM k")
-add("j08_vote_table", on_scored()(lambda s: decide.vote_table(stats.unpivot(s.withColumns(THREE), ["symbol", "time"], list(THREE), "model", "p"))), f"WITH {_THREE}, u AS (SELECT symbol, time, unnest([p, p2, p3]) AS v FROM tri) SELECT symbol, {T}, count(*) FILTER (WHERE v >= 0.5) AS votes_buy, count(*) FILTER (WHERE v <= 0.4 OR v >= 0.6) AS confident_models, {r('mean_confidence=avg(abs(v - 0.5) * 2)')} FROM u GROUP BY symbol, time")
+add("j08_vote_table", on_scored()(lambda s: decide.vote_table(stats.unpivot(s.withColumns(three()), ["symbol", "time"], list(THREE), "model", "p"))), f"WITH {_THREE}, u AS (SELECT symbol, time, unnest([p, p2, p3]) AS v FROM tri) SELECT symbol, {T}, count(*) FILTER (WHERE v >= 0.5) AS votes_buy, count(*) FILTER (WHERE v <= 0.4 OR v >= 0.6) AS confident_models, {r('mean_confidence=avg(abs(v - 0.5) * 2)')} FROM u GROUP BY symbol, time")
 add("j10_class_weights", on_scored()(lambda s: models.class_weights(s.filter("y IS NOT NULL"))), f"WITH {SCORED}, k AS (SELECT y, count(*) AS n FROM scored WHERE y IS NOT NULL GROUP BY 1) SELECT CAST(y AS BIGINT) AS y, n, {r('weight=(SELECT sum(n) FROM k) / ((SELECT count(*) FROM k) * n)')} FROM k")
 add("j11_bias_penalty", on_scored()(lambda s: decide.bias_penalty(s.withColumn("u", (c("p") > 0.02).cast("int")), "u", share=0.5, keys=("symbol",))), f"WITH {SCORED}, k AS (SELECT symbol, avg(CAST(p > 0.02 AS INT)) AS share_up FROM scored GROUP BY 1) SELECT symbol, {r('share_up', 'penalty=CASE WHEN share_up > 0.5 OR share_up < 0.5 THEN 0.1 ELSE 0 END')} FROM k")
 _HALVES = "time {o} TIMESTAMP '2024-01-15'"

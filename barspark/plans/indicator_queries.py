@@ -170,25 +170,24 @@ def _primitive(make):
     return query
 
 
-CL, V = c("close"), c("volume")
 LIST = f"list_sort(list(close) OVER {fr(9)})"
 #: query -> (columns of a window, layers of SQL)
 PRIMITIVES = {
-    "e01_shift_diff": (lambda w: {"lag3": x.shift(CL, w, 3), "diff2": x.diff(CL, w, 2), "pct3": x.pct_change(CL, w, 3), "logret": x.log_return(CL, w)}, [{"lag3": lag("close", 3), "diff2": f"close - {lag('close', 2)}", "pct3": f"close / nullif({lag('close', 3)}, 0) - 1", "logret": f"ln(close) - ln({lag('close')})"}]),
-    "e05_rolling": (lambda w: {"sum7": x.rolling_sum(CL, 7, w), "mean7": x.rolling_mean(CL, 7, w, 1), "min7": x.rolling_min(CL, 7, w), "max7": x.rolling_max(CL, 7, w, 3)}, [{"sum7": total("close", 7), "mean7": mean("close", 7, 1), "min7": low("close", 7), "max7": top("close", 7, 3)}]),
-    "e06_rolling_std": (lambda w: {"s1": x.rolling_std(CL, 20, w), "s0": x.rolling_std(CL, 20, w, None, 0)}, [{"s1": std("close", 20), "s0": std("close", 20, None, "stddev_pop")}]),
+    "e01_shift_diff": (lambda w: {"lag3": x.shift(c("close"), w, 3), "diff2": x.diff(c("close"), w, 2), "pct3": x.pct_change(c("close"), w, 3), "logret": x.log_return(c("close"), w)}, [{"lag3": lag("close", 3), "diff2": f"close - {lag('close', 2)}", "pct3": f"close / nullif({lag('close', 3)}, 0) - 1", "logret": f"ln(close) - ln({lag('close')})"}]),
+    "e05_rolling": (lambda w: {"sum7": x.rolling_sum(c("close"), 7, w), "mean7": x.rolling_mean(c("close"), 7, w, 1), "min7": x.rolling_min(c("close"), 7, w), "max7": x.rolling_max(c("close"), 7, w, 3)}, [{"sum7": total("close", 7), "mean7": mean("close", 7, 1), "min7": low("close", 7), "max7": top("close", 7, 3)}]),
+    "e06_rolling_std": (lambda w: {"s1": x.rolling_std(c("close"), 20, w), "s0": x.rolling_std(c("close"), 20, w, None, 0)}, [{"s1": std("close", 20), "s0": std("close", 20, None, "stddev_pop")}]),
     "e07_moments": (
-        lambda w: {"skew": x.rolling_skew(CL, 20, w), "kurt": x.rolling_kurt(CL, 20, w)},
+        lambda w: {"skew": x.rolling_skew(c("close"), 20, w), "kurt": x.rolling_kurt(c("close"), 20, w)},
         [{"m": mean("close", 20), "v": std("close", 20, None, "var_pop"), "q": f"list(close) OVER {fr(20)}"}, {"skew": "list_avg([pow(z - m, 3) FOR z IN q]) / pow(v, 1.5)", "kurt": "list_avg([pow(z - m, 4) FOR z IN q]) / pow(v, 2) - 3"}],
     ),
-    "e09_rolling_median": (lambda w: {"median9": x.rolling_median(CL, 9, w), "q20": x.rolling_quantile(CL, 0.2, 9, w)}, [{"median9": f"CASE WHEN count(close) OVER {fr(9)} >= 9 THEN quantile_cont(close, 0.5) OVER {fr(9)} END", "q20": f"CASE WHEN count(close) OVER {fr(9)} >= 9 THEN quantile_cont(close, 0.2) OVER {fr(9)} END"}]),
+    "e09_rolling_median": (lambda w: {"median9": x.rolling_median(c("close"), 9, w), "q20": x.rolling_quantile(c("close"), 0.2, 9, w)}, [{"median9": f"CASE WHEN count(close) OVER {fr(9)} >= 9 THEN quantile_cont(close, 0.5) OVER {fr(9)} END", "q20": f"CASE WHEN count(close) OVER {fr(9)} >= 9 THEN quantile_cont(close, 0.2) OVER {fr(9)} END"}]),
     "e10_up_count": (lambda w: {"ups": x.rolling_up_count(c("rise"), 10, w).cast("double")}, [{"r": f"CASE WHEN close > {lag('close')} THEN 1 WHEN {lag('close')} IS NOT NULL THEN 0 END"}, {"ups": f"CASE WHEN count(*) OVER {fr(10)} >= 10 THEN CAST(sum(r) OVER {fr(9)} AS BIGINT) END"}]),
-    "e11_bars_since": (lambda w: {"since_max": x.bars_since_max(CL, c("row"), 10, w).cast("double"), "since_min": x.bars_since_min(CL, c("row"), 10, w).cast("double")}, [{"q": f"list(close) OVER {fr(10)}"}, {"since_max": "CASE WHEN len(q) >= 10 THEN 10 - list_position(q, list_max(q)) END", "since_min": "CASE WHEN len(q) >= 10 THEN 10 - list_position(q, list_min(q)) END"}]),
-    "e12_slope": (lambda w: {"slope": x.rolling_slope(CL, c("row"), 8, w)}, [{"rn": f"CAST(row_number() OVER {W} AS DOUBLE)"}, {"slope": f"CASE WHEN count(close) OVER {fr(8)} >= 2 THEN {div(f'covar_pop(close, rn) OVER {fr(8)}', f'var_pop(rn) OVER {fr(8)}')} END"}]),
-    "e13_corr": (lambda w: {"corr": x.rolling_corr(CL, V, 12, w)}, [{"corr": f"CASE WHEN count(close) OVER {fr(12)} >= 2 AND min(close) OVER {fr(12)} <> max(close) OVER {fr(12)} AND min(volume) OVER {fr(12)} <> max(volume) OVER {fr(12)} THEN corr(close, volume) OVER {fr(12)} END"}]),
-    "e14_zscore": (lambda w: {"z": x.zscore(CL, 10, w), "pos": x.pos_in_channel(CL, 10, w)}, [{"m": mean("close", 10), "s": std("close", 10, None, "stddev_pop"), "a": low("close", 10), "b": top("close", 10)}, {"z": "(close - m) / (s + 1e-12)", "pos": "(close - a) / (nullif(b - a, 0) + 1e-12)"}]),
-    "e16_wma_fir": (lambda w: {"wma": x.wma(CL, c("row"), 6, w), "fir": x.fir_mean(CL, 5, w)}, [{"rn": f"row_number() OVER {W}"}, {"wma": f"CASE WHEN count(close) OVER {fr(6)} >= 6 THEN (sum(close * rn) OVER {fr(6)} - (min(rn) OVER {fr(6)} - 1) * sum(close) OVER {fr(6)}) / 21 END", "fir": f"sum(close) OVER {fr(5)} / 5"}]),
-    "e18_running": (lambda w: {"csum": x.cumsum(CL, w), "cmax": x.cummax(CL, w), "cprod": x.cumprod(1 + CL / 1e5, w)}, [{"csum": run("sum", "close"), "cmax": run("max", "close"), "g": "ln(1 + close / 1e5)"}, {"cprod": f"exp({run('sum', 'g')})"}]),
+    "e11_bars_since": (lambda w: {"since_max": x.bars_since_max(c("close"), c("row"), 10, w).cast("double"), "since_min": x.bars_since_min(c("close"), c("row"), 10, w).cast("double")}, [{"q": f"list(close) OVER {fr(10)}"}, {"since_max": "CASE WHEN len(q) >= 10 THEN 10 - list_position(q, list_max(q)) END", "since_min": "CASE WHEN len(q) >= 10 THEN 10 - list_position(q, list_min(q)) END"}]),
+    "e12_slope": (lambda w: {"slope": x.rolling_slope(c("close"), c("row"), 8, w)}, [{"rn": f"CAST(row_number() OVER {W} AS DOUBLE)"}, {"slope": f"CASE WHEN count(close) OVER {fr(8)} >= 2 THEN {div(f'covar_pop(close, rn) OVER {fr(8)}', f'var_pop(rn) OVER {fr(8)}')} END"}]),
+    "e13_corr": (lambda w: {"corr": x.rolling_corr(c("close"), c("volume"), 12, w)}, [{"corr": f"CASE WHEN count(close) OVER {fr(12)} >= 2 AND min(close) OVER {fr(12)} <> max(close) OVER {fr(12)} AND min(volume) OVER {fr(12)} <> max(volume) OVER {fr(12)} THEN corr(close, volume) OVER {fr(12)} END"}]),
+    "e14_zscore": (lambda w: {"z": x.zscore(c("close"), 10, w), "pos": x.pos_in_channel(c("close"), 10, w)}, [{"m": mean("close", 10), "s": std("close", 10, None, "stddev_pop"), "a": low("close", 10), "b": top("close", 10)}, {"z": "(close - m) / (s + 1e-12)", "pos": "(close - a) / (nullif(b - a, 0) + 1e-12)"}]),
+    "e16_wma_fir": (lambda w: {"wma": x.wma(c("close"), c("row"), 6, w), "fir": x.fir_mean(c("close"), 5, w)}, [{"rn": f"row_number() OVER {W}"}, {"wma": f"CASE WHEN count(close) OVER {fr(6)} >= 6 THEN (sum(close * rn) OVER {fr(6)} - (min(rn) OVER {fr(6)} - 1) * sum(close) OVER {fr(6)}) / 21 END", "fir": f"sum(close) OVER {fr(5)} / 5"}]),
+    "e18_running": (lambda w: {"csum": x.cumsum(c("close"), w), "cmax": x.cummax(c("close"), w), "cprod": x.cumprod(1 + c("close") / 1e5, w)}, [{"g": "ln(1 + close / 1e5)"}, {"csum": run("sum", "close"), "cmax": run("max", "close"), "cprod": f"exp({run('sum', 'g')})"}]),
 }
 
 
@@ -209,7 +208,7 @@ def _adjusted(spark, d):
 def _halo(spark, d):
     rows = scan.with_halo(fx.bars(spark, d), 19, 256)
     w = x.series("symbol", "chunk")
-    return fx.rounded(rows.withColumns({"mean20": x.rolling_mean(CL, 20, w), "max20": x.rolling_max(c("high"), 20, w)}).filter("NOT halo"), "symbol", "time", "mean20", "max20")
+    return fx.rounded(rows.withColumns({"mean20": x.rolling_mean(c("close"), 20, w), "max20": x.rolling_max(c("high"), 20, w)}).filter("NOT halo"), "symbol", "time", "mean20", "max20")
 
 
 def _kama(spark, d):
@@ -281,8 +280,7 @@ QUERIES, ORACLES = {}, {}
 for name, (wanted, layers) in INDICATORS.items():
     QUERIES[name], ORACLES[name] = _indicator(wanted.split(), digits_for(layers)), layered(layers, wanted.split())
 for name, (make, layers) in PRIMITIVES.items():
-    names = list(make(x.series()))
-    QUERIES[name], ORACLES[name] = _primitive(make), layered(layers, names)
+    QUERIES[name], ORACLES[name] = _primitive(make), layered(layers, list(layers[-1]))
 for name, sql in STABLE.items():
     QUERIES[name], ORACLES[name] = _stable(list(sql)), layered([*STABLE_IN, sql], list(sql))
 QUERIES |= {"e19_ewm_adjusted": _adjusted, "e20_affine_scan": _ema, "e20_halo_chunks": _halo, "e21_ma_bank": _bank, "f33_kama": _kama, "f37_parabolic_sar": _psar, "f57_build_indicators": _set}
