@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+
 
 from pyspark.sql import functions as F
 
