@@ -57,9 +57,12 @@ def _sum(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda s, v: s + v)
 
 
-def spectral(values: Column, n: int) -> dict[str, Column]:
-    """Share of the energy above a quarter of the sampling rate, dominant frequency and entropy of the spectrum; null below 4 values."""
-    power, size = _spectrum(values, n), F.size(values)
+def spectral(values: Column, n: int, power: Column | None = None) -> dict[str, Column]:
+    """Share of the energy above a quarter of the sampling rate, dominant frequency and entropy of the spectrum; null below 4 values.
+
+    power: the spectrum as a column of its own, so that it is computed once.
+    """
+    power, size = _spectrum(values, n) if power is None else power, F.size(values)
     total = _sum(power)
     high = _sum(F.transform(power, lambda p, i: F.when((i + 1) / size > 0.25, p).otherwise(0.0)))
     share = F.transform(power, lambda p: p / (total + 1e-12))
@@ -84,8 +87,8 @@ def wavelet_energy(values: Column) -> Column:
     return F.when(size >= 8, _sum(F.transform(places, detail)))
 
 
-def features(n: int, w: WindowSpec) -> dict[str, Column]:
-    """The features of one frame length over the inputs; one sort serves all of them."""
+def features(n: int, w: WindowSpec) -> tuple[dict[str, Column], ...]:
+    """The features of one frame length over the inputs, level by level; one sort serves all of them."""
     up = x.over_frame(F.avg, c("up"), n, w)
     clipped = F.greatest(F.least(c(f"up_ratio_{n}"), F.lit(1 - 1e-6)), F.lit(1e-6))
     first = {
@@ -107,8 +110,9 @@ def features(n: int, w: WindowSpec) -> dict[str, Column]:
         f"__frame_{n}": F.collect_list(F.col("ret")).over(x.frame(w, n)),
     }
     second = {f"dir_entropy_{n}": -(clipped * F.log2(clipped) + (1 - clipped) * F.log2(1 - clipped))}
-    second |= {f"{k}_{n}": v for k, v in spectral(c(f"__frame_{n}"), n).items()} | {f"wavelet_energy_{n}": wavelet_energy(c(f"__frame_{n}"))}
-    return first, second
+    second |= {f"__power_{n}": _spectrum(c(f"__frame_{n}"), n), f"wavelet_energy_{n}": wavelet_energy(c(f"__frame_{n}"))}
+    third = {f"{k}_{n}": v for k, v in spectral(c(f"__frame_{n}"), n, c(f"__power_{n}")).items()}
+    return first, second, third
 
 
 NAMES = (
@@ -124,11 +128,8 @@ def add_stable_features(df: DataFrame, tf: str | None = None, lengths: tuple[int
     have = df.columns
     lengths = lengths or WINDOWS[tf]
     df = add_inputs(df, w, log_price)
-    firsts, seconds = {}, {}
-    for n in lengths:
-        a, b = features(n, w)
-        firsts, seconds = firsts | a, seconds | b
-    df = df.withColumns(firsts).withColumns(seconds)
+    for level in zip(*[features(n, w) for n in lengths], strict=True):
+        df = df.withColumns({k: v for part in level for k, v in part.items()})
     imbalances = ["tick_imbalance", "volume_imbalance", "microprice"] if "vpin" in names else []
     return df.select(*have, *imbalances, *[f"{k}_{n}" for n in lengths for k in names])
 
