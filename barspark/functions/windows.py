@@ -179,12 +179,17 @@ def bfill(x: Column, w: WindowSpec) -> Column:
 def moving_average_bank(df: DataFrame, columns: dict[str, str], sizes: range, w: WindowSpec) -> DataFrame:
     """A mean of every size for each column, from differences of one running sum instead of a frame each.
 
+    The sums before are one array a row, as long as the largest size, so the plan does not grow with the number of sizes.
     columns: column -> prefix of its means.  Columns must not be null.
     """
     df = df.withColumns({f"__s_{c}": F.sum(c).over(running(w)) for c in columns} | {"__n": F.row_number().over(w)})
-    means = {}
-    for c, prefix in columns.items():
-        for n in sizes:
-            before = F.coalesce(F.lag(f"__s_{c}", n).over(w), F.lit(0.0))
-            means[f"{prefix}{n}"] = F.when(F.col("__n") >= n, (F.col(f"__s_{c}") - before) / n)
-    return df.withColumns(means).drop("__n", *[f"__s_{c}" for c in columns])
+    df = df.withColumns({f"__b_{c}": F.collect_list(f"__s_{c}").over(frame(w, max(sizes) + 1)) for c in columns})
+
+    def bank(c: str) -> Column:
+        before, last = F.col(f"__b_{c}"), F.size(f"__b_{c}") - 1
+        mean = lambda n: (F.col(f"__s_{c}") - F.coalesce(F.get(before, last - n), F.lit(0.0))) / n
+        return F.transform(F.array(*map(F.lit, sizes)), lambda n: F.when(F.col("__n") >= n, mean(n)))
+
+    df = df.withColumns({f"__m_{c}": bank(c) for c in columns})
+    means = {f"{prefix}{n}": F.get(f"__m_{c}", F.lit(i)) for c, prefix in columns.items() for i, n in enumerate(sizes)}
+    return df.withColumns(means).drop("__n", *[f"__{k}_{c}" for c in columns for k in "sbm"])
