@@ -24,7 +24,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: the one with the smallest id.  Of rows that repeat an id, all stay or all go."""
+    """One document of each group stays: the one with the smallest id.  Of rows that repeat an id, all stay or all go; rows without one stay."""
     gone = minhash.link(docs).filter("NOT kept").select("doc_id").distinct()
     return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(docs.columns)
 
