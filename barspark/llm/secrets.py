@@ -2,7 +2,7 @@
 
 Base kinds are exact patterns.  The method adds ``entropy`` spans: over long runs of token characters, a window slides
 with incrementally kept counts; where the Shannon entropy of its characters reaches the limit of its character class, and
-no allow-list entry explains the string, the flagged windows' union is reported.
+the window touches nothing that the allow-list explains, it is flagged; the flagged windows' union is reported.
 """
 
 from __future__ import annotations
@@ -26,14 +26,18 @@ KEYWORDS = (b"passw", b"secret", b"token", b"apikey", b"api_key")
 KINDS = ("assign", "access", "hex", "entropy")
 LEAST_ASSIGN, LEAST_ACCESS, LEAST_HEX = 6, 20, 24
 
-#: Strings that look random but are not secrets: fixed values.
+#: Parts of a run that look random but are not secrets: fixed values.
 ALLOWED = (
     re.compile(rb"(?i)[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}"),  # UUID
     re.compile(rb"(?i)example|sample|placeholder|changeme|dummy|your[_-]|xxxx|lorem|abcdef|012345|123456"),
-    re.compile(rb"[0-9]{4}-?[0-9]{2}-?[0-9]{2}"),  # dates
+    re.compile(rb"(?<![0-9A-Za-z])(?:19|20)[0-9]{2}(-?)(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12][0-9]|3[01])(?![0-9A-Za-z])"),  # dates, never inside a key
+)
+#: What stands just before a run, and the part at the run's start that it explains: host names, digests, data URLs.
+ALLOWED_BEFORE = (
+    (re.compile(rb"(?i)www\.$"), re.compile(rb"[A-Za-z0-9-]+")),
+    (re.compile(rb"(?i)(?:sha\d*|md5)[: ]$"), re.compile(rb"[0-9A-Fa-f]{32,128}(?![0-9A-Za-z])|[A-Za-z0-9+/]{22,86}={0,2}(?![A-Za-z0-9+/])")),
+    (re.compile(rb"(?i)base64,$"), re.compile(rb"[A-Za-z0-9+/=]+")),
 )
-#: What stands just before an allowed string: links, digests, data URLs.
-ALLOWED_BEFORE = re.compile(rb"(?i)(://|www\.|sha\d*[-:= ]|md5[-:= ]|base64,|integrity=|/)$")
 
 
 @dataclass(frozen=True)
@@ -77,8 +81,15 @@ class _Window:
 _NLOG = [0.0] + [n * math.log2(n) for n in range(1, 257)]
 
 
-def entropy_spans(text: bytes, classes: tuple[CharacterClass, ...] = CLASSES) -> list[tuple[int, int]]:
-    """Unions of the flagged windows of a candidate string, all classes together."""
+def allowed_spans(text: bytes, start: int, end: int) -> list[tuple[int, int]]:
+    """The parts of a run that the allow-list explains, by places in the run."""
+    own, before = text[start:end], text[max(0, start - 12) : start]
+    found = [m.span() for a in ALLOWED for m in a.finditer(own)]
+    return found + [m.span() for b, a in ALLOWED_BEFORE if b.search(before) and (m := a.match(own))]
+
+
+def entropy_spans(text: bytes, classes: tuple[CharacterClass, ...] = CLASSES, allowed: list[tuple[int, int]] = []) -> list[tuple[int, int]]:  # noqa: B006
+    """Unions of the flagged windows of a candidate string, all classes together; a window that touches an allowed span is not flagged."""
     flagged: list[tuple[int, int]] = []
     for c in classes:
         for run in c.members.finditer(text):
@@ -94,6 +105,13 @@ def entropy_spans(text: bytes, classes: tuple[CharacterClass, ...] = CLASSES) ->
                     missing = [n - (old in need) + (new in need) for n, need in zip(missing, c.needs, strict=True)]
                 if window.bits() >= c.least_bits and all(missing):
                     flagged.append((run.start() + i, run.start() + i + c.window))
+    if flagged and allowed:
+        step = np.zeros(len(text) + 1, np.int64)
+        for s, e in allowed:
+            step[s] += 1
+            step[e] -= 1
+        inside = np.append(0, np.cumsum(np.cumsum(step) > 0))
+        flagged = [(s, e) for s, e in flagged if inside[s] == inside[e]]
     out: list[tuple[int, int]] = []
     for s, e in sorted(flagged):
         if out and s <= out[-1][1]:
@@ -115,10 +133,7 @@ def spans_of(text: bytes, runs: list[tuple[int, int]]) -> list[tuple[str, int, i
         found += [("hex", start + m.start(), start + m.end()) for m in HEX.finditer(text[start:end]) if m.end() - m.start() >= LEAST_HEX]
     base = list(found)
     for start, end in runs:
-        own = text[start:end]
-        if any(a.search(own) for a in ALLOWED) or ALLOWED_BEFORE.search(text[max(0, start - 12) : start]):
-            continue
-        for s, e in entropy_spans(own):
+        for s, e in entropy_spans(text[start:end], allowed=allowed_spans(text, start, end)):
             s, e = s + start, e + start
             if not any(s < y and x < e for _, x, y in base):
                 found.append(("entropy", s, e))

@@ -43,6 +43,28 @@ def test_entropy_and_allow_list(spark):
     assert got == {0: ["entropy"], 1: [], 2: [], 3: [], 4: []}
 
 
+def entropy_parts(text):
+    raw = text.encode()
+    runs = [m.span() for m in re.finditer(rb"[A-Za-z0-9+/_=-]{20,}", raw)]
+    return [text[s:e] for kind, s, e in secrets.spans_of(raw, runs) if kind == "entropy"]
+
+
+def test_allow_list_covers_spans_not_runs():
+    rng = random.Random(13)
+    for n in (32, 40, 64, 1000):
+        for _ in range(100 if n < 1000 else 5):
+            key = "".join(rng.choice("0123456789ABCDEF") for _ in range(n))
+            assert entropy_parts(f"k {key} end"), key
+    key = "kJ8s7Hq2LmZ0xWv4Rt9Yb3NcQp5Ud6Fg1Th7Xe2V"
+    for before in ("example_key=", "dummy-", "123456/", "2024-01-15-", "123e4567-e89b-12d3-a456-426614174000/"):
+        (part,) = entropy_parts(before + key)
+        assert part.endswith(key) and "2024" not in part
+    assert entropy_parts("Report-of-2024-01-15-Final") == []  # a real date
+    assert entropy_parts("sha256:" + "0123456789ABCDEF" * 4) == []
+    (part,) = entropy_parts("sha256:" + "0123456789ABCDEF" * 4 + "/" + key)
+    assert part.endswith(key)
+
+
 def test_license_base_and_fuzzy(spark):
     rng = random.Random(5)
     parts = ["cc", "by", "General", "public", "LICENSE", "all", "rights", "reserved", "é", "-", " ", "\n", "x", "."]
