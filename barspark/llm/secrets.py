@@ -54,6 +54,8 @@ class CharacterClass:
 _DIGITS, _UPPER, _LOWER, _HEX_LETTERS = (frozenset(x) for x in (b"0123456789", bytes(range(65, 91)), bytes(range(97, 123)), b"abcdefABCDEF"))
 CLASSES = (
     CharacterClass("hex", re.compile(rb"[0-9A-Fa-f]{20,}"), 20, 3.0, (_DIGITS, _HEX_LETTERS)),
+    CharacterClass("base36", re.compile(rb"[0-9a-z]{20,}"), 20, 3.4, (_DIGITS, _LOWER)),
+    CharacterClass("base32", re.compile(rb"[0-9A-Z]{20,}"), 20, 3.4, (_DIGITS, _UPPER)),
     CharacterClass("base64", re.compile(rb"[A-Za-z0-9+/_=-]{20,}"), 20, 3.7, (_DIGITS, _UPPER, _LOWER)),
 )
 _TOKEN = np.zeros(256, bool)
@@ -121,6 +123,18 @@ def entropy_spans(text: bytes, classes: tuple[CharacterClass, ...] = CLASSES, al
     return out
 
 
+def outside(start: int, end: int, spans: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """The parts of a span that lie in none of the others, which are sorted."""
+    for s, e in spans:
+        if s >= end:
+            break
+        if s > start:
+            yield start, s
+        start = max(start, e)
+    if start < end:
+        yield start, end
+
+
 def spans_of(text: bytes, runs: list[tuple[int, int]]) -> list[tuple[str, int, int]]:
     """All spans of one UTF-8 text, by start and then kind, in bytes.  runs: its maximal runs of token characters of 20 or more."""
     found = []
@@ -131,12 +145,10 @@ def spans_of(text: bytes, runs: list[tuple[int, int]]) -> list[tuple[str, int, i
         found += [("access", m.start(), m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= LEAST_ACCESS]
     for start, end in runs:
         found += [("hex", start + m.start(), start + m.end()) for m in HEX.finditer(text[start:end]) if m.end() - m.start() >= LEAST_HEX]
-    base = list(found)
+    base = sorted((x, y) for _, x, y in found)
     for start, end in runs:
         for s, e in entropy_spans(text[start:end], allowed=allowed_spans(text, start, end)):
-            s, e = s + start, e + start
-            if not any(s < y and x < e for _, x, y in base):
-                found.append(("entropy", s, e))
+            found += [("entropy", x, y) for x, y in outside(s + start, e + start, base) if text[x:y].strip(b"+/_=-")]
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
 
