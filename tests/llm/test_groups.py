@@ -231,3 +231,21 @@ def test_language_model_without_training_data(spark):
     model = hpylm.fit(df.limit(0).selectExpr("doc_id AS id", "text"))
     got = {r.doc_id: r for r in hpylm.score(df, model, trained="false").collect()}
     assert got[1].n_known == 0 and got[1].n_tokens == 3 and got[2].n_tokens == 1
+
+
+def test_every_context_word_has_its_own_restaurant(spark):
+    rng = random.Random(8)
+    texts = [f"go r{i} s{i * 7 % 400} end" for i in range(400) for _ in range(rng.randint(2, 6))]
+    df = spark.createDataFrame(list(enumerate([*texts, "go r5 s35 end", "go r5 s42 end"])), "doc_id long, text string")
+    n = len(texts)
+    settings = hpylm.Settings(most_contexts=20, least_buckets=8)  # r and s words are rare
+    model = hpylm.fit(df.filter(f"doc_id < {n}").selectExpr("doc_id AS id", "text"), settings)
+    assert len(model.plan.heavy) < 10 and len(model.plan.customers) == len(model.plan.heavy) + 1
+    rows = [r.asDict() for r in model.contexts.collect()]
+    keys, sums = hpylm._contexts_of(rows, model.plan)
+    want = collections.Counter(w for x in texts for w in x.split()[1:3])
+    assert len(keys) == len(want) == 800  # one each, none shared
+    assert sorted(sums[0]) == sorted(want.values())
+    assert ((sums[1:] >= 1) & (sums[1:] <= sums[0])).all()
+    got = {r.doc_id: r.score for r in hpylm.score(df, model, trained=f"doc_id < {n}").collect()}
+    assert got[n] > got[n + 1] + 0.5  # what follows r5 is known
