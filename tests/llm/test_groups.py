@@ -249,3 +249,19 @@ def test_every_context_word_has_its_own_restaurant(spark):
     assert ((sums[1:] >= 1) & (sums[1:] <= sums[0])).all()
     got = {r.doc_id: r.score for r in hpylm.score(df, model, trained=f"doc_id < {n}").collect()}
     assert got[n] > got[n + 1] + 0.5  # what follows r5 is known
+
+
+def test_occurrences_of_hot_pairs_are_not_dealt(spark):
+    rng = random.Random(9)
+    texts = [" ".join(["na"] * 40 + [f"w{rng.randrange(60)}" for _ in range(40)]) for _ in range(120)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    learn = df.filter("doc_id < 100").selectExpr("doc_id AS id", "text")
+    scores = []
+    for most_pairs in (1, 50):  # all pairs in buckets; and "na na", half of all, where it is read
+        model = hpylm.fit(learn, hpylm.Settings(most_contexts=200, most_pairs=most_pairs, least_buckets=8))
+        assert model.pairs.shape[1] == (most_pairs > 1) * 1
+        scores.append(sorted((r.doc_id, r.n_tokens, r.n_known, r.base_score, r.score) for r in hpylm.score(df, model, trained="doc_id < 100").collect()))
+    for a, b in zip(*scores, strict=True):
+        assert a == pytest.approx(b)
+    _, at = np.unique(np.concatenate([model.plan.restaurants(model.pairs[0].view(np.uint64)), model.pairs[1]]), return_counts=True)
+    assert at.tolist() == [2] and model.pairs[2][0] == 100 * 39
