@@ -30,10 +30,11 @@ class Limits:
     least_words: int = 10
     window: int = 5
     window_percent: int = 20
-    shortest_repeat: int = 3  # words of a maximal repeat that counts as covered
+    shortest_repeat: int = 3  # words of a repeat that is reported; what counts as covered grows with the text, see least_covered
     most_covered: float = 0.35  # fraction of the words
     longest_repeat: int = 60  # words
-    longest_share: float = 0.10  # and the longest repeat's share of the words, for it to count
+    longest_share: float = 0.01  # and the longest repeat's share of the words, for it to count
+    longest_anyway: int = 600  # words of a repeat that counts whatever its share
     symbol_share: float = 0.20  # symbols per character of the words
     short_word: float = 2.0  # mean characters of a word
     long_word: float = 25.0
@@ -115,6 +116,14 @@ def covered(start: np.ndarray, length: np.ndarray, n: int) -> np.ndarray:
     return np.cumsum(step)[:n] > 0
 
 
+def least_covered(n_words: np.ndarray, limits: Limits) -> np.ndarray:
+    """Words of a repeat that counts as covered in texts of so many words: shorter ones come by chance, the longer the text.
+
+    The whole logarithm to base 4: 3 up to 255 words, 6 at 5,000, 7 at 50,000.
+    """
+    return np.maximum(limits.shortest_repeat, (np.frexp(np.maximum(np.asarray(n_words, np.float64), 1))[1] - 1) // 2)
+
+
 MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_covered_words long, longest_repeat long"
 _NAMES = [x.split()[0] for x in MEASURES.split(", ")]
 
@@ -134,7 +143,8 @@ def _measured(batches: Iterator[pa.RecordBatch], text: int, limits: Limits) -> I
         windows = np.flatnonzero(longest >= limits.window)
         in_window = covered(windows, np.full(len(windows), limits.window), n)
         long = np.flatnonzero(longest >= limits.shortest_repeat)
-        in_repeat = covered(long, longest[long], n)
+        beyond = np.flatnonzero(longest >= least_covered(np.diff(at), limits)[doc])
+        in_repeat = covered(beyond, longest[beyond], n)
         # lines with a word: they end at a line feed or with the document
         cut = np.unique(np.concatenate([offsets, np.flatnonzero(LINE_END[data]) + 1]))
         first, last = cut[:-1], cut[1:]
@@ -203,6 +213,7 @@ def judge(measures: DataFrame, limits: Limits = Limits()) -> DataFrame:
     rejected = (
         (F.col("covered_fraction") > limits.most_covered)
         | ((F.col("longest_repeat") > limits.longest_repeat) & (share(F.col("longest_repeat"), n) > limits.longest_share))
+        | (F.col("longest_repeat") > limits.longest_anyway)
         | (share(F.col("n_symbols"), F.col("word_chars")) > limits.symbol_share)
         | (share(F.col("n_dup_lines"), F.col("n_lines")) > limits.dup_line_share)
         | (length < limits.short_word)

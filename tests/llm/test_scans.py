@@ -134,6 +134,23 @@ def test_quality_measures(spark):
     assert passed.columns == df.columns and {r.doc_id for r in passed.collect()} == kept
 
 
+def test_long_pastes_go_and_chance_repeats_stay(spark):
+    rng = random.Random(19)
+    fresh = iter(f"u{i}" for i in range(10**6))
+    plain = [next(fresh) for _ in range(20_000)]
+    section = [next(fresh) for _ in range(1_900)]
+    pasted = [*plain[:8_000], *section, *plain[8_000:16_000], *section, *plain[16_000:16_200]]
+    # short phrases come again and again, as they do in long prose; each time between other words
+    phrases = [[f"p{i}a", f"p{i}b", f"p{i}c"] for i in range(400)]
+    prose = [w for i in range(1_500) for w in [*rng.choice(phrases), *[next(fresh) for _ in range(3)]]]
+    assert len(pasted) == 20_000 and len(prose) == 9_000
+    got = {r.doc_id: r for r in repetition.quality(frame(spark, [" ".join(x) for x in (plain, pasted, prose)])).collect()}
+    assert got[0].kept
+    assert not got[1].kept and not got[1].base_failed and got[1].longest_repeat == 1_900
+    assert got[2].kept and got[2].covered_fraction < 0.1
+    assert repetition.least_covered([255, 256, 5_000, 50_000], repetition.Limits()).tolist() == [3, 4, 6, 7]
+
+
 def test_maximal_repeats(spark):
     df = frame(spark, ["one two three four x one two three four y two three"])
     spans = repetition.measure(df, with_spans=True).first().repeats
