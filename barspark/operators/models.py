@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
-from pyspark.ml.feature import BucketedRandomProjectionLSH, PolynomialExpansion, StandardScaler, VectorAssembler
+from pyspark.ml.feature import PolynomialExpansion, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, IsotonicRegression, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from barspark.operators.decide import classification_metrics
 
@@ -101,30 +104,105 @@ def grid_evaluate(df: DataFrame, features: list[str], grid: list[dict], label: s
 def oversample_knn(df: DataFrame, features: list[str], label: str = "y", ratio: float = 0.8, k: int = 5, id_col: str = "row_id", seed: int = 7) -> DataFrame:
     """The rows and synthetic rows of the smaller class on segments to near neighbours of its own, up to ``ratio`` of the larger class.
 
-    Neighbours are found by random-projection hashing, an approximation; a row without one is repeated as it is.
+    Neighbours are approximate, see :func:`near_neighbours`; a row without one is repeated as it is.
     """
     counts = {r[label]: r["count"] for r in df.groupBy(label).count().collect()}
     small, large = min(counts, key=counts.get), max(counts.values())
     missing = int(ratio * large) - counts[small]
     if missing <= 0 or len(counts) < 2:
         return df
-    rows = df.filter(F.col(label) == small)
-    vectors = VectorAssembler(inputCols=features, outputCol="__v").transform(rows).select(id_col, "__v")
-    spread = vectors.select(F.avg(F.sqrt(F.aggregate(vector_to_array("__v"), F.lit(0.0), lambda s, v: s + v * v))).alias("m")).first()["m"] or 1.0
-    lsh = BucketedRandomProjectionLSH(inputCol="__v", outputCol="__h", bucketLength=max(spread / 2, 1e-6), numHashTables=4, seed=seed).fit(vectors)
-    near = lsh.approxSimilarityJoin(vectors, vectors, float(spread), "d").filter(F.col(f"datasetA.{id_col}") != F.col(f"datasetB.{id_col}"))
-    a, b = F.col(f"datasetA.{id_col}"), F.col(f"datasetB.{id_col}")
-    rank = F.row_number().over(Window.partitionBy("a").orderBy("d", "b"))
-    pairs = near.select(a.alias("a"), b.alias("b"), vector_to_array("datasetA.__v").alias("x"), vector_to_array("datasetB.__v").alias("y"), "d").withColumn("r", rank).filter(F.col("r") <= k)
-    each = -(-missing // counts[small])
-    turns = rows.select(F.col(id_col).alias("a"), F.explode(F.sequence(F.lit(1), F.lit(each))).alias("turn")).orderBy("turn", F.xxhash64("a", F.lit(seed))).limit(missing)
-    chosen = turns.join(pairs.groupBy("a").agg(F.array_sort(F.collect_list(F.struct("r", "x", "y"))).alias("n")), "a")
+    rows = VectorAssembler(inputCols=features, outputCol="__v").transform(df.filter(F.col(label) == small)).select(F.col(id_col).alias("a"), vector_to_array("__v").alias("x"))
+    each, more = divmod(missing, counts[small])
+    draw = F.pmod(F.xxhash64("a", F.lit(seed)), F.lit(1 << _DRAW_BITS))
+    turns = rows.withColumn("turns", F.lit(each) + (draw < _smallest(rows.select(draw.alias("h")), more)).cast("int")).filter("turns > 0")
+    turns = turns.withColumn("turn", F.explode(F.sequence(F.lit(1), F.col("turns"))))
+    chosen = turns.join(near_neighbours(rows, len(features), k, seed), "a", "left")
     unit = lambda *salt: F.pmod(F.xxhash64("a", "turn", *[F.lit(s) for s in salt]), F.lit(1 << 30)) / float(1 << 30)
-    pick = F.get("n", F.floor(unit(seed) * F.size("n")).cast("int"))
-    made = chosen.withColumns({"p": pick, "u": unit(seed, 1)}).withColumn("z", F.zip_with(F.col("p.x"), F.col("p.y"), lambda x, y: x + F.col("u") * (y - x)))
+    pick = F.coalesce(F.get("n", F.floor(unit(seed) * F.size("n")).cast("int"))["y"], F.col("x"))
+    made = chosen.withColumns({"p": pick, "u": unit(seed, 1)}).withColumn("z", F.zip_with("x", "p", lambda x, y: x + F.col("u") * (y - x)))
     synthetic = made.select(*[F.get("z", F.lit(i)).alias(f) for i, f in enumerate(features)], F.lit(small).cast(df.schema[label].dataType).alias(label))
     return df.withColumn("synthetic", F.lit(False)).unionByName(synthetic.withColumn("synthetic", F.lit(True)), allowMissingColumns=True)
 
 
+_DRAW_BITS = 60
+
+
+def _smallest(draws: DataFrame, n: int, at_once: int = 10_000) -> int:
+    """The limit below which n of the numbers ``h`` lie: counts of 4,096 ranges at a time, then the few numbers of the last range."""
+    low, bits, inside = 0, _DRAW_BITS, at_once + 1
+    while n and bits and inside > at_once:
+        bits -= 12
+        own = draws.filter(F.col("h").between(low, low + (1 << (bits + 12)) - 1))
+        found = {r["g"]: r["count"] for r in own.groupBy(F.shiftright(F.col("h") - F.lit(low), bits).alias("g")).count().collect()}
+        for g in sorted(found):
+            inside = found[g]
+            if inside > n:
+                break
+            n -= inside
+        else:
+            return low + (1 << (bits + 12))
+        low += g << bits
+    if not n or not bits:
+        return low
+    return sorted(r["h"] for r in draws.filter(F.col("h").between(low, low + (1 << bits) - 1)).collect())[n]
+
+
+def near_neighbours(rows: DataFrame, n_features: int, k: int = 5, seed: int = 7, tables: int = 4, block: int = 256) -> DataFrame:
+    """``a, n``: for each row (a, x array<double>) up to k near others, ``n array<struct<d, b, y>>``, the nearest first.
+
+    In each table three random projections are interleaved bit by bit to one number; rows are sorted by it and cut into blocks, and inside
+    a block all distances are taken. So equal or crowded rows make no large group. Rows that a block leaves alone are not in the result.
+    """
+    kind = dict(rows.dtypes)["a"]
+    rows = rows.filter("a IS NOT NULL")
+    middle = rows.select(*[F.struct(F.avg(F.get("x", F.lit(i))).alias("m"), F.stddev_pop(F.get("x", F.lit(i))).alias("s")).alias(f"f{i}") for i in range(n_features)]).first()
+    mean = np.array([r["m"] or 0.0 for r in middle])
+    scale = np.array([r["s"] or 1.0 for r in middle])
+    rng = np.random.default_rng(seed)
+    # distances are those of the features as they are; only the projections' range follows from their spread
+    lines = rng.normal(size=(tables, n_features, 3))
+    wide = np.maximum(np.sqrt(((lines * scale[None, :, None]) ** 2).sum(axis=1)), 1e-300)
+    shift = rng.random((tables, 3))
+
+    def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in batches:
+            if not len(part):
+                continue
+            x = np.array(part["x"].tolist(), np.float64)
+            for t in range(tables):
+                cell = np.clip((((x - mean) @ lines[t]) / wide[t] + shift[t] + 8) * (1 << 16), 0, (1 << 20) - 1).astype(np.int64)
+                z = np.zeros(len(x), np.int64)
+                for bit in range(20):
+                    for j in range(3):
+                        z |= ((cell[:, j] >> bit) & 1) << (3 * bit + j)
+                yield pd.DataFrame({"t": np.full(len(x), t, np.int32), "z": z, "a": part["a"], "x": part["x"]})
+
+    def near(part: pd.DataFrame) -> pd.DataFrame:
+        ids, x = part["a"].to_numpy(), np.array(part["x"].tolist(), np.float64)
+        d = np.sqrt(((x[:, None, :] - x[None, :, :]) ** 2).sum(axis=2))
+        d[ids[:, None] == ids[None, :]] = np.inf
+        first = np.argsort(d, axis=1, kind="stable")[:, :k]
+        found = [[{"d": float(d[i, j]), "b": ids[j], "y": x[j].tolist()} for j in own if d[i, j] < np.inf] for i, own in enumerate(first)]
+        return pd.DataFrame({"a": part["a"].to_numpy(), "n": found})
+
+    def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for part in batches:
+            held = part if held is None else pd.concat([held, part], ignore_index=True)
+            at = 0
+            while len(held) - at >= 2 * block:  # what is left over goes to the last block
+                yield near(held.iloc[at : at + block])
+                at += block
+            held = held.iloc[at:]
+        if held is not None and len(held):
+            yield near(held)
+
+    item = f"struct<d: double, b: {kind}, y: array<double>>"
+    dealt = rows.mapInPandas(keyed, f"t int, z long, a {kind}, x array<double>").withColumn("h", F.xxhash64("a"))
+    dealt = dealt.repartitionByRange("t", "z", "h").sortWithinPartitions("t", "z", "h").select("t", "z", "a", "x")
+    found = dealt.mapInPandas(blocks, f"a {kind}, n array<{item}>").groupBy("a").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("n")))).alias("n"))  # k of each table at most
+    return found.select("a", F.slice("n", 1, k).alias("n")).filter(F.size("n") > 0)
+
+
 def to_vector(columns: list[str]):
     return array_to_vector(F.array(*[F.col(k).cast("double") for k in columns]))

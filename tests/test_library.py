@@ -201,6 +201,23 @@ def test_models(spark, bars, tmp_path):
     assert more.filter((F.col("synthetic")) & ((F.col("z") < low - 1e-9) | (F.col("z") > high + 1e-9))).count() == 0
 
 
+def test_oversampling_reaches_the_ratio(spark):
+    base = [(i, 0, float(i % 7), 0.0) for i in range(1000)]
+    alone = [(5000, 1, 3.0, 4.0)]
+    apart = [(6000 + i, 1, 1000.0 * 3**i, -1000.0 * 2**i) for i in range(9)]
+    near = [(7000 + i, 1, (i % 300) / 10, float(i // 300)) for i in range(600)]
+    for own in (alone, apart, near):
+        df = spark.createDataFrame(base + own, "row_id long, y int, p double, q double")
+        made = models.oversample_knn(df, ["p", "q"]).filter("synthetic").select("p", "q", "y").collect()
+        assert len(made) == 800 - len(own) and {r.y for r in made} == {1}
+        if own is alone:
+            assert {(r.p, r.q) for r in made} == {(3.0, 4.0)}  # repeated as it is
+    rows = spark.createDataFrame([(r[0], [r[2], r[3]]) for r in near], "a long, x array<double>")
+    found = {r.a: [n.d for n in r.n] for r in models.near_neighbours(rows, 2).collect()}
+    assert len(found) == 600 and all(len(d) == 5 and d == sorted(d) for d in found.values())
+    assert sum(d[0] < 0.11 for d in found.values()) > 570  # the true nearest is 0.1 away
+
+
 def test_streams(spark, bars, tmp_path):
     both = bars.filter("symbol = 'view'").withColumn("tf", F.lit("30T")).unionByName(fx.bars(spark, FOLDER, "60 minutes").filter("symbol = 'view'").withColumn("tf", F.lit("1H")))
     both.select("symbol", "tf", F.col("time").cast("timestamp").alias("time"), "close").write.parquet(f"{tmp_path}/in")
