@@ -1,11 +1,14 @@
 """Operator 4: license scans by fuzzy short-notice search.
 
 A notice of m characters with up to k edits still holds one of its k + 1 pieces unchanged.  One automaton finds all pieces
-in the normalised text; around each hit the regex library's bounded-error matching decides, and gives the span and the edits.
+in the normalised text; from each word that may begin the notice around a hit, the regex library's bounded-error matching decides, and
+gives the span and the edits.  Spans begin and end with whole words of the text.  Of overlapping spans of one notice the one with the
+fewest edits stays, of equal ones the first.
 """
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 
@@ -66,26 +69,35 @@ class Search:
         for piece, places in by_piece.items():
             self.automaton.add_word(piece, (len(piece), places))
         self.automaton.make_automaton()
-        # the words' borders stand outside the fuzzy group, so edits do not reach into other words
-        self.patterns = [regex.compile(rf"(?b)(?<![^ ])(?:{regex.escape(n, literal_spaces=True)}){{e<={edits_allowed(n)}}}(?![^ ])") for n, _ in self.notices]
+        # the words' end stands outside the fuzzy group, so edits do not reach into another word
+        self.patterns = [regex.compile(rf"(?b)(?:{regex.escape(n, literal_spaces=True)}){{e<={edits_allowed(n)}}}(?![^ ])") for n, _ in self.notices]
 
     def find(self, text: str) -> list[tuple[int, int, int, int]]:
         """(notice, start, end, edits) in one normalised text."""
-        found: dict[tuple[int, int], tuple[int, int]] = {}
+        found: list[tuple[int, int, int, int]] = []
         tried: set[tuple[int, int]] = set()
         for last, (length, places) in self.automaton.iter(text):
             for i, at in places:
-                begin = last + 1 - length - at
-                if (i, begin) in tried:
-                    continue
-                tried.add((i, begin))
-                notice, room = self.notices[i][0], edits_allowed(self.notices[i][0])
-                m = self.patterns[i].search(text, max(0, begin - room), min(len(text), begin + len(notice) + room))
-                if m:
-                    edits = sum(m.fuzzy_counts)
-                    if edits < found.get((i, m.start()), (0, 1 << 30))[1]:
-                        found[i, m.start()] = m.end(), edits
-        return sorted((i, s, e, n) for (i, s), (e, n) in found.items())
+                size, room = len(self.notices[i][0]), edits_allowed(self.notices[i][0])
+                place = last + 1 - length - at
+                # the notice begins with a word, at most ``room`` characters from where it would without edits
+                begin = 0 if place <= room else text.find(" ", place - room - 1) + 1
+                while (begin or place <= room) and begin <= place + room:
+                    if (i, begin) not in tried:
+                        tried.add((i, begin))
+                        # one character more than a match can take: so the border is seen in the text, not at the window's end
+                        m = self.patterns[i].match(text, begin, min(len(text), begin + size + room + 1))
+                        if m:
+                            found.append((sum(m.fuzzy_counts), begin, m.end(), i))
+                    begin = text.find(" ", begin) + 1
+                    if not begin:
+                        break
+        kept: list[list[tuple[int, int, int]]] = [[] for _ in self.notices]
+        for edits, start, end, i in sorted(found):
+            at = bisect.bisect(kept[i], (start,))
+            if (not at or kept[i][at - 1][1] <= start) and (at == len(kept[i]) or end <= kept[i][at][0]):
+                kept[i].insert(at, (start, end, edits))
+        return [(i, *x) for i, own in enumerate(kept) for x in own]
 
 
 _searches: dict[tuple, Search] = {}

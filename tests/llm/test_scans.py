@@ -170,3 +170,126 @@ def test_language_is_learned_from_labels_only(spark):
     assert [r.lang_pred for r in langid.predict(odd, model).orderBy("doc_id").collect()][:3] == ["und"] * 3
     assert {r.lang_pred for r in langid.predict(odd, None).collect()} == {"und"}
     assert langid.fit(df.limit(0)) is None
+
+
+def edits_between(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a):
+        new = [i + 1]
+        for j, y in enumerate(b):
+            new.append(min(row[j] + (x != y), row[j + 1] + 1, new[j] + 1))
+        row = new
+    return row[-1]
+
+
+def plain_notices(text, notices):
+    """All word-to-word spans within the edits; of overlapping ones of a notice, those with fewest edits, then the first."""
+    starts = [m.start() for m in re.finditer(r"[^ ]+", text)]
+    ends = [m.end() for m in re.finditer(r"[^ ]+", text)]
+    out = []
+    for i, n in enumerate(notices):
+        k = licenses.edits_allowed(n)
+        near = sorted((d, s, e) for s in starts for e in ends if abs(e - s - len(n)) <= k and (d := edits_between(text[s:e], n)) <= k)
+        kept = []
+        for d, s, e in near:
+            if all(e <= x or s >= y for _, x, y in kept):
+                kept.append((d, s, e))
+        out += [(i, s, d) for d, s, _ in kept]
+    return sorted(out)
+
+
+def test_fuzzy_notices_are_those_of_plain_edit_distance():
+    rng = random.Random(23)
+    notices = {"all rights reserved": "reserved", "released under the mit license": "mit", "licensed under cc by": "cc-by"}
+    search = licenses.Search(notices)
+    hits = 0
+    for _ in range(150):
+        parts = []
+        for _ in range(rng.randint(1, 4)):
+            x = list(rng.choice(list(notices)))
+            for _ in range(rng.randint(0, 5)):
+                i, what = rng.randrange(len(x)), rng.random()
+                if what < 0.4:
+                    x[i] = rng.choice("abcde ")
+                elif what < 0.7 and len(x) > 1:
+                    del x[i]
+                else:
+                    x.insert(i, rng.choice("abcde "))
+            parts += ["".join(x), rng.choice(["", "x", "all", "reservedabcdefgh", "cc by"])]
+        text = " ".join(" ".join(parts).split())
+        got = search.find(text)
+        assert [(i, s, e) for i, s, _, e in got] == plain_notices(text, notices), text
+        assert all((s == 0 or text[s - 1] == " ") and (e == len(text) or text[e] == " ") for _, s, e, _ in got)
+        hits += len(got)
+    assert hits > 100
+    assert search.find("all rights reservedabcdefgh") == []
+
+
+def test_two_words_that_cancel_out_stay_apart(spark):
+    """Words that every polynomial hash modulo a power of two takes for equal."""
+    x, y = thue_morse(2048)
+    got = {r.doc_id: r for r in repetition.quality(frame(spark, [f"{x} p {y}", f"{x} q {x}", f"u v w {x} {y} {x}"])).collect()}
+    assert [got[i].n_repeat_words for i in range(3)] == [0, 0, 0]
+    text = " ".join(["a b c d " + x, "a b c d " + y])
+    assert repetition.quality(frame(spark, [text])).first().longest_repeat == 4
+
+
+def thue_morse(n):
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def odd_columns(spark, texts):
+    """Extra columns named like results, and an id that repeats."""
+    rows = [(i if i else 1, x, "en", "s", [1], True, 0.5, 7) for i, x in enumerate(texts)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, spans array<int>, kept boolean, score double, n_words int")
+
+
+def test_odd_tables(spark):
+    """Empty tables, clashing columns, repeated rows and very long texts for the narrow operators."""
+    long = "word " * 200_000
+    texts = ["x y", "x y", None, "", long, "q" * 300_000]
+    df = odd_columns(spark, texts)
+    model = langid.fit(df.filter("text IS NOT NULL"))
+    found = {
+        "license": lambda d: licenses.scan_licenses(d),
+        "language": lambda d: langid.predict(d, model),
+        "secrets": lambda d: secrets.find_secrets(d),
+        "quality": lambda d: repetition.quality(d),
+    }
+    for name, operator in found.items():
+        out = operator(df)
+        assert out.count() == len(texts), name
+        assert len(set(out.columns)) == len(out.columns), name
+        assert operator(df.limit(0)).count() == 0, name
+    words = {(r.doc_id, r.n_words) for r in repetition.quality(df).collect()}
+    assert words == {(1, 2), (2, 0), (3, 0), (4, 200_000), (5, 1)}
+    assert repetition.passing(df).columns == df.columns and secrets.redact(df).columns == df.columns
+    assert secrets.redact(df.limit(0)).count() == repetition.passing(df.limit(0)).count() == 0
+
+
+def test_language_kernel_is_the_plain_one():
+    """Presence kernel, landmarks and ridge against their definitions on whole Gram matrices."""
+    import numpy as np
+
+    rng = random.Random(31)
+    sound = {"aa": ["ka", "lo", "mi"], "bb": ["sch", "ung", "eit"]}
+    labels = [k for k in sound for _ in range(30)]
+    texts = ["".join(rng.choice(sound[k]) + rng.choice(["", " "]) for _ in range(12)) for k in labels]
+    own = langid.Presence()
+    codes = [own.of(langid._SIGN[np.frombuffer(x.encode(), np.uint8)]).astype(np.int64) for x in texts]
+    grams = [{x[i : i + n] for n in (1, 2, 3) for i in range(len(x) - n + 1)} for x in texts]
+    assert [len(set(c.tolist())) for c in codes] == [len(c) for c in codes] == [len(g) for g in grams]
+    model = langid.solve(codes, labels, len(texts), 1e-3)  # every text is a landmark, so the kernel ridge regression is exact
+    order = [i for k in sorted(sound) for i, y in enumerate(labels) if y == k]
+    # with landmarks as columns only their n-grams count, which are all of the sample
+    gram = np.array([[len(grams[i] & grams[j]) / (len(grams[i]) * len(grams[j])) ** 0.5 for j in order] for i in range(len(texts))])
+    assert np.allclose(model.kernel(codes), gram)
+    target = np.where(np.array(labels)[:, None] == np.array(sorted(sound)), 1.0, -1.0)
+    n = len(texts)
+    center = np.eye(n) - 1 / n
+    square = gram[:, np.argsort(order)]
+    k = center @ square @ center
+    dual = np.linalg.solve(k + 1e-3 * n * np.eye(n), center @ target)
+    plain = k @ dual + target.mean(axis=0)
+    assert np.allclose(model.decide(codes), plain, atol=1e-4)
