@@ -40,7 +40,7 @@ def shingles(data: np.ndarray, offsets: np.ndarray, n: int) -> list[np.ndarray]:
     """The sorted set of 64-bit hashes of each document's n-word shingles; of fewer words, one hash of them all."""
     data = ta.LOWER[data]
     start, end, at = ta.words(data, offsets)
-    word = ta.Spans(ta.BYTE_CODE[data]).hash(start, end)
+    word = ta.span_hashes(ta.BYTE_CODE, data, start, end)
     step = np.uint64(0x9E3779B97F4A7C15)
     rolled = np.full(max(0, len(word) - n + 1), n, np.uint64)
     for i in range(n):

@@ -81,42 +81,67 @@ def decode_block(data: np.ndarray, offsets: np.ndarray) -> tuple[str, np.ndarray
 
 
 class Known:
-    """Distinct pre-tokens seen by this worker, by hash.  At ``most`` of them it starts anew, so memory is bounded."""
+    """Distinct pre-tokens seen by this worker, found by hash and compared in full.
 
-    def __init__(self, learn: Callable[[list[str]], None], forget: Callable[[], None], most: int):
-        self.learn, self.forget, self.most = learn, forget, most
+    At ``most`` of them, or at ``most_points`` characters in all, it starts anew, so memory is bounded.
+    """
+
+    def __init__(self, learn: Callable[[list[str]], None], forget: Callable[[], None], most: int, most_points: int = 1 << 24):
+        self.learn, self.forget, self.most, self.most_points = learn, forget, most, most_points
         self.clear()
 
     def clear(self) -> None:
-        self.hashes, self.places, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0
+        self.hashes, self.places, self.points = np.zeros(0, np.uint64), np.zeros(0, np.int64), Ragged()
         self.forget()
 
+    def _add(self, text: str, points: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Learns pre-tokens in sorted order; their places."""
+        fresh = [text[a:b] for a, b in zip(start.tolist(), end.tolist(), strict=True)]
+        order = np.array(sorted(range(len(fresh)), key=fresh.__getitem__), np.int64)
+        self.learn([fresh[i] for i in order])
+        places = np.empty(len(fresh), np.int64)
+        places[order] = self.points.n + np.arange(len(fresh))
+        self.points.extend(points[ta.ragged(start[order], (end - start)[order])], (end - start)[order])
+        return places
+
     def index(self, text: str, points: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """The place of each pre-token among those learned."""
         if not len(start):
             return np.zeros(0, np.int64)
-        hashes = ta.Spans(tables()[1][points]).hash(start, end)
-        distinct, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        if self.size > self.most:
+        distinct, first, inverse = np.unique(self.hash(points, start, end), return_index=True, return_inverse=True)
+        if self.points.n > self.most or self.points.used > self.most_points:
             self.clear()
         at = np.searchsorted(self.hashes, distinct)
-        if self.size:
-            found = self.hashes[np.minimum(at, self.size - 1)] == distinct
-        else:
-            found = np.zeros(len(distinct), bool)
+        found = self.hashes[np.minimum(at, len(self.hashes) - 1)] == distinct if len(self.hashes) else np.zeros(len(distinct), bool)
         places = np.empty(len(distinct), np.int64)
         places[found] = self.places[at[found]]
         new = np.flatnonzero(~found)
         if len(new):
-            s, e = start[first[new]].tolist(), end[first[new]].tolist()
-            fresh = [text[a:b] for a, b in zip(s, e, strict=True)]
-            order = sorted(range(len(fresh)), key=fresh.__getitem__)
-            self.learn([fresh[i] for i in order])
-            places[new[order]] = self.size + np.arange(len(new))
+            places[new] = self._add(text, points, start[first[new]], end[first[new]])
             self.hashes = np.insert(self.hashes, at[new], distinct[new])
             self.places = np.insert(self.places, at[new], places[new])
-            self.size += len(new)
-        return places[inverse]
+        places = places[inverse]
+        other = self.differ(places, points, start, end)
+        if len(other):  # equal hashes, unequal characters: these are learned for this block only
+            own = {text[a:b]: i for i, a, b in zip(other.tolist(), start[other].tolist(), end[other].tolist(), strict=True)}
+            chosen = np.array(list(own.values()), np.int64)
+            place_of = dict(zip(own, self._add(text, points, start[chosen], end[chosen]).tolist(), strict=True))
+            places[other] = [place_of[text[a:b]] for a, b in zip(start[other].tolist(), end[other].tolist(), strict=True)]
+        return places
+
+    def hash(self, points: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return ta.span_hashes(tables()[1], points, start, end)
+
+    def differ(self, places: np.ndarray, points: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Which pre-tokens are not, character by character, those at their places."""
+        length = end - start
+        wrong = self.points.length[places] != length
+        for a, b in ta.slices(length):
+            own = np.where(wrong[a:b], 0, length[a:b])
+            unlike = points[ta.ragged(start[a:b], own)] != self.points.flat[ta.ragged(self.points.start[places[a:b]], own)]
+            if unlike.any():
+                wrong[a + np.repeat(np.arange(b - a), own)[unlike]] = True
+        return np.flatnonzero(wrong)
 
 
 class Ragged:

@@ -136,8 +136,7 @@ def _measured(batches: Iterator[pa.RecordBatch], text: int, limits: Limits) -> I
     for rows, data, offsets in ta.text_blocks(batches, text):
         start, end, at = ta.words(data, offsets)
         doc = ta.owners(at)
-        spans = ta.Spans(ta.BYTE_CODE[data])
-        longest = longest_repeats(spans.hash(start, end), doc)
+        longest = longest_repeats(ta.span_hashes(ta.BYTE_CODE, data, start, end), doc)
         n = len(start)
         chars = np.append(0, np.cumsum(ta.NOT_CONTINUATION[data]))
         windows = np.flatnonzero(longest >= limits.window)
@@ -152,7 +151,7 @@ def _measured(batches: Iterator[pa.RecordBatch], text: int, limits: Limits) -> I
         first, last = first[full], last[full]
         text_end = last - LINE_END[data[last - 1]]
         line_doc = np.searchsorted(offsets, first, "right") - 1
-        line = ta.mix(spans.hash(first, text_end) + line_doc.astype(np.uint64))
+        line = ta.mix(ta.span_hashes(ta.BYTE_CODE, data, first, text_end) + line_doc.astype(np.uint64))
         _, one = np.unique(line, return_index=True)
         again = np.ones(len(line), bool)
         again[one] = False

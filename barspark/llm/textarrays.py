@@ -14,10 +14,9 @@ import pyarrow.compute as pc
 
 BLOCK_BYTES = 2 << 20
 
-_RNG = np.random.default_rng(20240229)
-BYTE_CODE = _RNG.integers(1, 2**63, 256, dtype=np.uint64)
-BASE = int(_RNG.integers(1, 2**62)) * 2 + 1
-UNBASE = pow(BASE, -1, 2**64)
+#: A random code for each byte.
+BYTE_CODE = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64)
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -25,26 +24,6 @@ SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(9, 14)]] = True
 NOT_CONTINUATION = (np.arange(256) & 0xC0) != 0x80
 
-_powers: list[np.ndarray] = []
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i modulo 2**64 for i < n."""
-    if not _powers or len(_powers[0]) < n:
-        size = max(n, BLOCK_BYTES + 1)
-        for base in (BASE, UNBASE):
-            out = np.empty(size, np.uint64)
-            out[0] = 1
-            filled = 1
-            while filled < size:  # doubling: out[filled + i] = out[i] * base**filled
-                step = min(filled, size - filled)
-                out[filled : filled + step] = out[:step] * np.uint64(pow(base, filled, 2**64))
-                filled += step
-            _powers.append(out)
-        _powers[:] = _powers[-2:]
-    return _powers[0], _powers[1]
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser."""
     x = x ^ (x >> np.uint64(31))
@@ -54,16 +33,30 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-class Spans:
-    """Hashes of any spans of one coded array, by differences of one running polynomial sum."""
+def slices(lengths: np.ndarray, most: int = BLOCK_BYTES) -> Iterator[tuple[int, int]]:
+    """Ranges of consecutive spans of about ``most`` items, or one longer span."""
+    upto, first = np.cumsum(lengths), 0
+    while first < len(lengths):
+        last = max(first + 1, int(np.searchsorted(upto, upto[first] - lengths[first] + most, "right")))
+        yield first, last
+        first = last
+
 
-    def __init__(self, codes: np.ndarray):
-        up, self.down = powers(len(codes) + 1)
-        self.sums = np.zeros(len(codes) + 1, np.uint64)
-        np.cumsum(codes * up[: len(codes)], out=self.sums[1:])
+def span_hashes(code: np.ndarray, items: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of spans: the sum of a mixed number for each item and its place in the span, mixed with the length.
 
-    def hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.sums[end] - self.sums[start]) * self.down[start] + (end - start).astype(np.uint64))
+    code: a random number for each possible item.  Every (item, place) has a number of its own, as in tabulation hashing, so no run of
+    items can cancel out as it can in a polynomial modulo a power of two.
+    """
+    out, length = np.empty(len(start), np.uint64), end - start
+    for a, b in slices(length):
+        n = length[a:b]
+        at = ragged(start[a:b], n)
+        before = np.cumsum(n) - n
+        sums = np.zeros(len(at) + 1, np.uint64)
+        np.cumsum(mix(code[items[at]] + (np.arange(len(at)) - np.repeat(before, n)).astype(np.uint64) * _STEP), out=sums[1:])
+        out[a:b] = mix(sums[before + n] - sums[before] + n.astype(np.uint64))
+    return out
 
 
 def text_blocks(batches: Iterator[pa.RecordBatch], text: int = 1) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:

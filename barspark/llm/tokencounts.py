@@ -2,7 +2,8 @@
 
 Distinct pre-tokens of a block lie one after another in one symbol array.  A round looks up the rank of every adjacent
 pair, takes the lowest in each sequence, and joins all its places at once; sequences without a known pair leave.
-What is left in a sequence at the end is its count.
+What is left in a sequence at the end is its count.  In a long sequence, a round joins every pair that is the lowest within the reach of a
+token on either side: nothing farther away can change what stands beside it before it is joined.
 """
 
 from __future__ import annotations
@@ -46,19 +47,26 @@ class WordBPE:
         self.keys, self.rank, self.made = keys, rank, made[rank]
         special = [x["content"] for x in stored["added_tokens"]]
         self.special = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True)))) if special else None
-        self.mark = special[0][:2] if special else "\0"
+        self.specials = special
+        #: The longest token in bytes, rounded up to a power of two: as far as one merge can reach.
+        self.reach = 1 << (max(len(x.removesuffix(suffix)) for x in vocabulary) - 1).bit_length()
         self.known = pretokens.Known(self.learn, self.forget, 1_000_000)
 
     def forget(self) -> None:
         self.counts = pretokens.Ragged()
 
     def learn(self, pieces: list[str]) -> None:
-        for i in range(0, len(pieces), 50_000):
-            some = [x.encode() for x in pieces[i : i + 50_000]]
-            self.counts.extend(np.zeros(0, np.int32), self.count(some))
-
-    def count(self, pieces: list[bytes]) -> np.ndarray:
-        """Symbols that survive in each piece (none is empty)."""
+        raw = [x.encode() for x in pieces]
+        lengths = np.array([len(x) for x in raw], np.int64)
+        counts, long = np.zeros(len(raw), np.int32), lengths > 4 * self.reach
+        for chosen in (np.flatnonzero(~long), np.flatnonzero(long)):
+            for a, b in ta.slices(lengths[chosen]):
+                own = chosen[a:b]
+                counts[own] = self.count([raw[i] for i in own], self.reach if long[own[0]] else None)
+        self.counts.extend(np.zeros(0, np.int32), counts)
+
+    def count(self, pieces: list[bytes], reach: int | None = None) -> np.ndarray:
+        """Symbols that survive in each piece (none is empty); with ``reach``, all the lowest pairs within it are joined in a round."""
         lengths = np.array([len(x) for x in pieces], np.int64)
         ends = np.cumsum(lengths)
         data = np.frombuffer(b"".join(pieces), np.uint8)
@@ -74,7 +82,8 @@ class WordBPE:
             head = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
             sizes = np.diff(np.append(head, len(owner)))
             lowest = np.minimum.reduceat(rank, head)
-            chosen = (rank == np.repeat(lowest, sizes)) & (rank != _NONE)
+            level = np.repeat(lowest, sizes) if reach is None else _least_around(rank, reach)
+            chosen = (rank == level) & (rank != _NONE)
             place = np.flatnonzero(chosen)
             if not len(place):
                 break
@@ -89,6 +98,16 @@ class WordBPE:
         return out.astype(np.int32)
 
 
+def _least_around(values: np.ndarray, reach: int) -> np.ndarray:
+    """The least value at most ``reach`` (a power of two) places away, by doubling."""
+    behind, ahead, step = values.copy(), values.copy(), 1
+    while step <= reach:
+        behind[step:] = np.minimum(behind[step:], behind[:-step].copy())
+        ahead[:-step] = np.minimum(ahead[:-step], ahead[step:].copy())
+        step *= 2
+    return np.minimum(behind, ahead)
+
+
 def normalize(text: str) -> str:
     """NFC, then each letter's own lower case (no rule for a sigma at a word's end)."""
     return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
@@ -112,7 +131,7 @@ def count_tokens(df: DataFrame, vocabulary: str, limit: int = 2048, id_col: str
             cuts = offsets.tolist()
             for d in range(rows.num_rows):
                 text = raw[cuts[d] : cuts[d + 1]].decode("utf-8", "surrogatepass")
-                if own.mark in text and own.special:
+                if any(x in text for x in own.specials):
                     pieces = own.special.split(text)
                     special[d] = len(pieces) - 1
                 else:

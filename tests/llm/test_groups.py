@@ -77,6 +77,17 @@ def test_minhash_odd_tables(spark):
     assert got == sorted([(None, 2, 4, False), (4, 2, 4, True), (4, 2, 4, True), (7, 0, 7, True)], key=str)
 
 
+def test_words_that_cancel_out_are_not_linked(spark):
+    """Two words that a polynomial hash modulo a power of two takes for equal."""
+    for n in (1024, 2048):
+        bits = [bin(i).count("1") % 2 for i in range(n)]
+        x, y = "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+        df = spark.createDataFrame([(1, x), (2, y), (3, x.upper())], "doc_id long, text string").coalesce(1)
+        assert {r.doc_id: r.component_id for r in minhash.link(df).collect()} == {1: 1, 2: 2, 3: 1}
+        model = hpylm.fit(df.selectExpr("doc_id AS id", "text"))
+        assert model.plan.words == 3  # x, y and the end
+
+
 def test_large_buckets_are_cut(spark):
     """Chunks of few rows give the same groups as one block."""
     from barspark.llm import buckets

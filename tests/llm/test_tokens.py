@@ -66,3 +66,60 @@ def test_empty_table(texts):
     none = texts.limit(0)
     assert bpe.encode(none, P.path("byte_bpe_50k.tiktoken")).count() == 0
     assert tokencounts.count_tokens(none, P.path("word_bpe_49k.json")).count() == 0
+
+
+def thue_morse(n):
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def libraries():
+    import tiktoken
+    from tokenizers import Tokenizer
+
+    path = P.path("byte_bpe_50k.tiktoken")
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    return tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={}), Tokenizer.from_file(P.path("word_bpe_49k.json"))
+
+
+def test_words_that_cancel_out_and_very_long_words(spark):
+    """Words that a polynomial hash modulo a power of two takes for equal; and words far longer than a token."""
+    rng = random.Random(5)
+    texts = [" ".join(x) for n in (1024, 2048) for x in (thue_morse(n), thue_morse(n)[::-1])]
+    texts += ["".join(rng.choice(a) for _ in range(n)) for n, a in ((3_000, "abcdefghijklmnopqrstuvwxyz"), (20_000, "etaoin"), (5_000, "日本語é"))]
+    texts += ["the" * 4_000, " ".join("word%d" % i for i in range(60_000))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    bytewise, wordwise = libraries()
+    got = {r.doc_id: r for r in bpe.encode(df, P.path("byte_bpe_50k.tiktoken")).collect()}
+    counted = {r.doc_id: r.n_tokens for r in tokencounts.count_tokens(df, P.path("word_bpe_49k.json")).collect()}
+    for i, x in enumerate(texts):
+        assert got[i].ids == bytewise.encode_ordinary(x) and bytes(got[i].decoded).decode() == x
+        assert counted[i] == len(wordwise.encode(x, add_special_tokens=False).ids)
+
+
+def test_equal_hashes_of_unequal_pretokens_are_told_apart(monkeypatch):
+    import numpy as np
+
+    from barspark.llm import pretokens
+
+    monkeypatch.setattr(pretokens.Known, "hash", lambda self, points, start, end: (end - start).astype(np.uint64) % np.uint64(3))
+    coder = bpe._Worker(P.path("byte_bpe_50k.tiktoken"))
+    bytewise, _ = libraries()
+    for text in ("one two six ten won't tow", "two one unbelievable one", "six ten owt"):
+        points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        begin, _ = pretokens.starts(points, np.array([0, len(points)]), absorb=True)
+        start = np.flatnonzero(begin)
+        place = coder.known.index(text, points, start, np.append(start[1:], len(points)))
+        ids = [i for p in place for i in coder.ids.flat[coder.ids.start[p] : coder.ids.start[p] + coder.ids.length[p]].tolist()]
+        assert ids == bytewise.encode_ordinary(text)
+
+
+def test_another_vocabularys_specials_are_found(tmp_path):
+    import json
+
+    with open(P.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        stored = json.load(f)
+    stored["added_tokens"].append({**stored["added_tokens"][0], "content": "§mark§"})
+    path = tmp_path / "own.json"
+    path.write_text(json.dumps(stored), encoding="utf-8")
+    assert tokencounts.WordBPE(str(path)).specials[-1] == "§mark§"
