@@ -49,7 +49,7 @@ def span_hashes(code: np.ndarray, items: np.ndarray, start: np.ndarray, end: np.
     items can cancel out as it can in a polynomial modulo a power of two.
     """
     out, length = np.empty(len(start), np.uint64), end - start
-    for a, b in slices(length):
+    for a, b in slices(length, 1 << 15):  # few enough that the arrays stay in the processor's cache
         n = length[a:b]
         at = ragged(start[a:b], n)
         before = np.cumsum(n) - n

@@ -84,8 +84,7 @@ def test_words_that_cancel_out_are_not_linked(spark):
         x, y = "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
         df = spark.createDataFrame([(1, x), (2, y), (3, x.upper())], "doc_id long, text string").coalesce(1)
         assert {r.doc_id: r.component_id for r in minhash.link(df).collect()} == {1: 1, 2: 2, 3: 1}
-        model = hpylm.fit(df.selectExpr("doc_id AS id", "text"))
-        assert model.plan.words == 3  # x, y and the end
+        assert hpylm.make_plan(df.selectExpr("doc_id AS id", "text"), hpylm.Settings()).words == 3  # x, y and the end
 
 
 def test_large_buckets_are_cut(spark):
@@ -199,80 +198,209 @@ def corpus(spark):
     return spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").cache(), texts
 
 
-def test_language_model(spark, corpus):
+def as_tokens(texts):
+    return [WORD.findall((x or "").lower()) + ["\n"] for x in texts]
+
+
+def test_base_scores(spark, corpus):
     df, texts = corpus
-    learn = df.filter(TRAINED).selectExpr("doc_id AS id", "text")
-    model = hpylm.fit(learn)
-    tokens = [WORD.findall((x or "").lower()) + ["\n"] for x in texts]
+    tokens = as_tokens(texts)
     count = collections.Counter(t for i, x in enumerate(tokens) if fold(i) for t in x)
     n, v = sum(count.values()), len(count)
-    assert (model.plan.tokens, model.plan.words) == (n, v)
-    got = {r.doc_id: r for r in hpylm.score(df, model, trained=TRAINED).collect()}
-    for i, x in enumerate(tokens):
-        assert (got[i].n_tokens, got[i].n_known, got[i].train_tokens) == (len(x), sum(count[t] > 0 for t in x), n)
-        assert got[i].base_score == pytest.approx(sum(math.log10((count[t] + 0.1) / (n + 0.1 * (v + 1))) for t in x))
-    held = [i for i in got if not fold(i) and i < 300]
-    assert sum(got[i].score for i in held) > 0.8 * sum(got[i].base_score for i in held)  # both are below zero: bigrams help
-    assert all(r.score < 0 for r in got.values())
-
-
-def test_predictive_probabilities_sum_to_one(spark, corpus):
-    df, _ = corpus
-    learn = df.filter(TRAINED).selectExpr("doc_id AS id", "text")
-    model = hpylm.fit(learn)
-    plan = model.plan
-    packed = [r.asDict() for r in hpylm._pairs(learn, plan).collect()]
-    by = collections.defaultdict(list)
-    for r in packed:
-        by[r["bucket"]].append(hpylm._unpack(r))
-    words = np.append(np.unique(np.concatenate([p[0] for parts in by.values() for p in parts])), np.uint64(12345))
-    for context in (0, len(plan.customers) - 1, len(plan.heavy) + 5):
-        contexts = np.full(len(words), context)
-        bucket = plan.bucket(words, contexts)
-        total = 0.0
-        for b in np.unique(bucket):
-            parts = by.get(b) or [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
-            block = hpylm.Pairs(plan, int(b), *(np.concatenate(x) for x in zip(*parts, strict=True)))
-            total += model.probabilities(int(b), block, words[bucket == b], contexts[bucket == b]).sum()
-        assert total == pytest.approx(1)
-
-
-def test_language_model_without_training_data(spark):
-    df = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
-    model = hpylm.fit(df.limit(0).selectExpr("doc_id AS id", "text"))
-    got = {r.doc_id: r for r in hpylm.score(df, model, trained="false").collect()}
-    assert got[1].n_known == 0 and got[1].n_tokens == 3 and got[2].n_tokens == 1
-
-
-def test_every_context_word_has_its_own_restaurant(spark):
-    rng = random.Random(8)
-    texts = [f"go r{i} s{i * 7 % 400} end" for i in range(400) for _ in range(rng.randint(2, 6))]
-    df = spark.createDataFrame(list(enumerate([*texts, "go r5 s35 end", "go r5 s42 end"])), "doc_id long, text string")
-    n = len(texts)
-    settings = hpylm.Settings(most_contexts=20, least_buckets=8)  # r and s words are rare
-    model = hpylm.fit(df.filter(f"doc_id < {n}").selectExpr("doc_id AS id", "text"), settings)
-    assert len(model.plan.heavy) < 10 and len(model.plan.customers) == len(model.plan.heavy) + 1
-    rows = [r.asDict() for r in model.contexts.collect()]
-    keys, sums = hpylm._contexts_of(rows, model.plan)
-    want = collections.Counter(w for x in texts for w in x.split()[1:3])
-    assert len(keys) == len(want) == 800  # one each, none shared
-    assert sorted(sums[0]) == sorted(want.values())
-    assert ((sums[1:] >= 1) & (sums[1:] <= sums[0])).all()
-    got = {r.doc_id: r.score for r in hpylm.score(df, model, trained=f"doc_id < {n}").collect()}
-    assert got[n] > got[n + 1] + 0.5  # what follows r5 is known
-
-
-def test_occurrences_of_hot_pairs_are_not_dealt(spark):
+    for settings in (hpylm.Settings(), hpylm.Settings(most_words=20, least_buckets=8, many=2, tokens_per_block=500)):
+        model = hpylm.learn(df, TRAINED, settings)
+        assert (model.plan.tokens, model.plan.words) == (n, v)
+        got = {r.doc_id: r for r in hpylm.score_all(model).collect()}
+        assert len(got) == len(texts)
+        for i, x in enumerate(tokens):
+            assert (got[i].n_tokens, got[i].n_known, got[i].train_tokens) == (len(x), sum(count[t] > 0 for t in x), n)
+            assert got[i].base_score == pytest.approx(sum(math.log10((count[t] + 0.1) / (n + 0.1 * (v + 1))) for t in x))
+        held = [i for i in got if not fold(i) and i < 300]
+        assert sum(got[i].score for i in held) > 0.8 * sum(got[i].base_score for i in held)  # both are below zero: bigrams help
+        assert all(r.score < 0 for r in got.values())
+
+
+class Restaurants:
+    """A learned model's seatings, gathered from its buckets, and the predictive probabilities by their definition."""
+
+    def __init__(self, model):
+        self.model, self.plan = model, model.plan
+        s = self.plan.s
+        self.count, self.tables, self.sent, self.root = collections.Counter(), collections.Counter(), collections.Counter(), collections.Counter()
+        for r in model.dealt.filter("bucket >= 0").collect():
+            block = hpylm.Block(self.plan, r.bucket, bytes(r.pairs))
+            for k, (t, root) in enumerate(list(block.states(model.past[:-1]))[-s.kept :]):
+                for i in np.flatnonzero(block.here):
+                    w, u = int(block.words[block.word[i]]), int(block.contexts[block.context[i]])
+                    self.tables[k, u, w] += int(t[i])
+                    self.count[k, u, w] += int(block.count[i])
+                for i in np.flatnonzero(block.own_word):
+                    self.root[k, int(block.words[i])] = int(root[i])
+        for (k, u, w), t in self.tables.items():
+            self.sent[k, w] += t
+        for k, totals in enumerate(model.past[-s.kept :]):
+            for w in range(self.plan.begin):
+                assert self.sent[k, w] == totals.sent[w]
+                self.root[k, w] = int(totals.root[w])
+            assert totals.all_sent == sum(n for (j, _), n in self.sent.items() if j == k)
+        self.of_context = collections.defaultdict(lambda: [0, 0])
+        for (k, u, w), t in self.tables.items():
+            self.of_context[k, u][0] += t
+            self.of_context[k, u][1] += self.count[k, u, w]
+
+    def code(self, word):
+        data = np.frombuffer(word.encode(), np.uint8)
+        h = hpylm.tokens_of(data, np.array([0, len(data)]))[0][:1] if word != "\n" else np.array([hpylm.END], np.uint64)
+        return int(self.plan.codes(h)[0])
+
+    def probability(self, w, u):
+        s, v, p = self.plan.s, self.plan.words, 0.0
+        for k in range(s.kept):
+            sent, root = (sum(n for (j, _), n in x.items() if j == k) for x in (self.sent, self.root))
+            parent = (self.sent[k, w] - s.root_discount * self.root[k, w] + (s.root_strength + s.root_discount * root) / (v + 1)) / (s.root_strength + sent)
+            t, c = self.of_context[k, u]
+            p += (self.count[k, u, w] - s.discount * self.tables[k, u, w] + (s.strength + s.discount * t) * parent) / (s.strength + c)
+        return p / s.kept
+
+
+@pytest.mark.parametrize("settings", [hpylm.Settings(least_buckets=8), hpylm.Settings(most_words=20, least_buckets=8, many=4, tokens_per_block=1000)])
+def test_scores_are_those_of_the_seatings(spark, corpus, settings):
+    df, texts = corpus
+    model = hpylm.learn(df, TRAINED, settings)
+    plain = Restaurants(model)
+    assert all(1 <= plain.tables[x] <= n for x, n in plain.count.items() if n)
+    want = collections.Counter((b, w) for i, x in enumerate(as_tokens(texts)) if fold(i) for b, w in zip([None, *x], x, strict=False))
+    assert sum(want.values()) == model.plan.tokens
+    for (b, w), n in want.items():
+        u = model.plan.begin if b is None else plain.code(b)
+        assert plain.count[0, u, plain.code(w)] == n
+    got = {r.doc_id: r.score for r in hpylm.score_all(model).collect()}
+    for i in [*range(0, 300, 15), *range(300, len(texts))]:
+        x = [plain.code(w) for w in as_tokens(texts)[i]]
+        assert got[i] == pytest.approx(sum(math.log10(plain.probability(w, u)) for u, w in zip([model.plan.begin, *x], x, strict=False)), abs=1e-3)
+    words = {w for (_, _, w), n in plain.count.items() if n} | {1 << 61}  # and one place for unknown words
+    for u in (model.plan.begin, plain.code("a"), plain.code("r7"), plain.code("nowhere")):
+        assert sum(plain.probability(w, u) for w in words) == pytest.approx(1)
+
+
+def plain_gibbs(train, held, s, sweeps, seed):
+    """The same model with one customer at a time taken out and seated again; the mean logarithm per held-out token."""
+    rng = random.Random(seed)
+    vocabulary = {w for x in train for w in x}
+    v = len(vocabulary)
+    seats = collections.defaultdict(list)  # (context, word): customers of each table
+    roots = collections.defaultdict(list)
+    n_tables, n_customers = collections.Counter(), collections.Counter()
+    total = [0, 0]  # the parent's customers and tables
+
+    def parent(w):
+        return (sum(roots[w]) - s.root_discount * len(roots[w]) + (s.root_strength + s.root_discount * total[1]) / (v + 1)) / (s.root_strength + total[0])
+
+    def sit(tables, discount, new):
+        weights = [n - discount for n in tables] + [new]
+        i = rng.choices(range(len(weights)), weights)[0]
+        if i == len(tables):
+            tables.append(0)
+        tables[i] += 1
+        return tables[i] == 1
+
+    def add(u, w):
+        if sit(seats[u, w], s.discount, (s.strength + s.discount * n_tables[u]) * parent(w)):
+            n_tables[u] += 1
+            total[0] += 1
+            if sit(roots[w], s.root_discount, (s.root_strength + s.root_discount * total[1]) / (v + 1)):
+                total[1] += 1
+        n_customers[u] += 1
+
+    def leave(tables):
+        i = rng.choices(range(len(tables)), tables)[0]
+        tables[i] -= 1
+        if not tables[i]:
+            del tables[i]
+            return True
+        return False
+
+    pairs = [(u, w) for x in train for u, w in zip([None, *x], x, strict=False)]
+    for u, w in pairs:
+        add(u, w)
+    scores = []
+    for sweep in range(sweeps):
+        for u, w in pairs:
+            n_customers[u] -= 1
+            if leave(seats[u, w]):
+                n_tables[u] -= 1
+                total[0] -= 1
+                if leave(roots[w]):
+                    total[1] -= 1
+            add(u, w)
+        if sweep >= sweeps // 2:
+            scores.append([(sum(seats[u, w]) - s.discount * len(seats[u, w]) + (s.strength + s.discount * n_tables[u]) * parent(w)) / (s.strength + n_customers[u]) for x in held for u, w in zip([None, *x], x, strict=False)])
+    return float(np.log10(np.mean(scores, axis=0)).mean())
+
+
+def test_scores_agree_with_a_plain_sampler(spark, corpus):
+    df, texts = corpus
+    tokens = as_tokens(texts)
+    train, held = [x for i, x in enumerate(tokens) if fold(i)], [x for i, x in enumerate(tokens) if not fold(i)]
+    plain = [plain_gibbs(train, held, hpylm.Settings(), 12, seed) for seed in (1, 2)]
+    got = []
+    for settings in (hpylm.Settings(), hpylm.Settings(least_buckets=3, seed=9), hpylm.Settings(most_words=20)):
+        scored = [r for r in hpylm.score(df, TRAINED, settings).collect() if not fold(r.doc_id)]
+        got.append(sum(r.score for r in scored) / sum(r.n_tokens for r in scored))
+    assert max(got) - min(got) < 0.01  # buckets and what counts as rare change little
+    assert abs(sum(plain) / 2 - got[0]) < 0.01, (plain, got)
+
+
+def test_frequent_pairs_are_one_entry_a_block(spark):
     rng = random.Random(9)
     texts = [" ".join(["na"] * 40 + [f"w{rng.randrange(60)}" for _ in range(40)]) for _ in range(120)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    learn = df.filter("doc_id < 100").selectExpr("doc_id AS id", "text")
-    scores = []
-    for most_pairs in (1, 50):  # all pairs in buckets; and "na na", half of all, where it is read
-        model = hpylm.fit(learn, hpylm.Settings(most_contexts=200, most_pairs=most_pairs, least_buckets=8))
-        assert model.pairs.shape[1] == (most_pairs > 1) * 1
-        scores.append(sorted((r.doc_id, r.n_tokens, r.n_known, r.base_score, r.score) for r in hpylm.score(df, model, trained="doc_id < 100").collect()))
+    scores, entries = [], []
+    for many in (2, 10**9):
+        model = hpylm.learn(df, "doc_id < 100", hpylm.Settings(least_buckets=8, many=many))
+        scores.append(sorted((r.doc_id, r.n_tokens, r.n_known, r.base_score, r.score) for r in hpylm.score_all(model).collect()))
+        entries.append(sum(int(hpylm.unpack(bytes(r.occurrences))[1].sum()) for r in model.dealt.filter("bucket >= 0").collect()))
     for a, b in zip(*scores, strict=True):
-        assert a == pytest.approx(b)
-    _, at = np.unique(np.concatenate([model.plan.restaurants(model.pairs[0].view(np.uint64)), model.pairs[1]]), return_counts=True)
-    assert at.tolist() == [2] and model.pairs[2][0] == 100 * 39
+        assert a == pytest.approx(b, abs=1e-2)
+    assert entries[1] == 120 * 81 and entries[0] < entries[1] / 2
+
+
+def test_language_model_takes_odd_tables(spark):
+    rows = [("x", "a b", 1.0), (None, None, 2.0), ("x", "a b", 3.0), ("y", "", 4.0), ("z", "a " * 50_000, 5.0)]
+    df = spark.createDataFrame(rows, "doc_id string, text string, score double")
+    got = sorted(((r.doc_id, r.n_tokens, r.n_known) for r in hpylm.score(df, "false").collect()), key=str)
+    assert got == sorted([("x", 3, 0), (None, 1, 0), ("x", 3, 0), ("y", 1, 0), ("z", 50_001, 0)], key=str)
+    assert hpylm.score(df.limit(0)).count() == 0
+    again = hpylm.score(df)
+    assert again.columns == ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    assert all(r.n_known == r.n_tokens and r.train_tokens == 50_009 for r in again.collect())
+    assert hpylm.perplexity(again).first().perplexity > 1
+
+
+def test_numbers_are_packed():
+    rng = np.random.default_rng(3)
+    arrays = [np.zeros(0, np.int64), rng.integers(0, 200, 50), rng.integers(0, 2**62, 7), np.array([2**16]), rng.normal(size=4).view(np.uint64)]
+    for a, b in zip(arrays, hpylm.unpack(hpylm.pack(*arrays)), strict=True):
+        assert (a.astype(np.uint64) == b.astype(np.uint64)).all()
+
+
+def test_numbers_of_tables_are_drawn_from_their_probabilities():
+    """Against the generalised Stirling numbers themselves, for few and for many customers."""
+    rng = np.random.default_rng(4)
+    for n, weight, p in ((6, 9.0, 0.2), (200, 40.0, 0.05), (2_000, 300.0, 0.02), (2_000, 3_000.0, 0.2), (30_000, 50.0, 0.1)):
+        log = np.array([0.0])  # logarithms of the numbers of n = 1, for m = 1, 2, ...
+        for k in range(1, n if n <= 2_000 else 1):
+            m = np.arange(1, k + 2)
+            stay = np.append(log, -np.inf) + np.log(np.maximum(k - 0.8 * m, 1e-300))
+            log = np.logaddexp(np.append(-np.inf, log), stay)
+        m = np.arange(1, n + 1)
+        if n > 2_000:  # the limit for many more customers than tables
+            m = m[:200]
+            log = -np.array([math.lgamma(x) for x in m]) - (m - 1) * math.log(0.8)
+        log = log + np.append(0, np.cumsum(np.log((weight + 0.8 * m[:-1]) * p)))
+        chance = np.exp(log - log.max())
+        chance /= chance.sum()
+        mean, deviation = (chance * m).sum(), math.sqrt((chance * m**2).sum() - (chance * m).sum() ** 2)
+        drawn = hpylm.seat(np.full(4_000, n), np.full(4_000, weight), 0.8, lambda i, t: np.full(len(i), p), rng)
+        assert abs(drawn.mean() - mean) < 0.1 * deviation + 0.002 * mean, (n, drawn.mean(), mean, deviation)
+        assert abs(drawn.std() - deviation) < 0.1 * deviation, (n, drawn.std(), deviation)
