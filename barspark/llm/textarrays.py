@@ -27,10 +27,11 @@ NOT_CONTINUATION = (np.arange(256) & 0xC0) != 0x80
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser."""
     x = x ^ (x >> np.uint64(31))
-    x = x * np.uint64(0x7FB5D329728EA185)
+    x *= np.uint64(0x7FB5D329728EA185)
     x ^= x >> np.uint64(27)
-    x = x * np.uint64(0x81DADEF4BC2DD44D)
-    return x ^ (x >> np.uint64(33))
+    x *= np.uint64(0x81DADEF4BC2DD44D)
+    x ^= x >> np.uint64(33)
+    return x
 
 
 def slices(lengths: np.ndarray, most: int = BLOCK_BYTES) -> Iterator[tuple[int, int]]:
@@ -51,11 +52,16 @@ def span_hashes(code: np.ndarray, items: np.ndarray, start: np.ndarray, end: np.
     out, length = np.empty(len(start), np.uint64), end - start
     for a, b in slices(length, 1 << 15):  # few enough that the arrays stay in the processor's cache
         n = length[a:b]
-        at = ragged(start[a:b], n)
-        before = np.cumsum(n) - n
+        upto = np.cumsum(n)
+        place = np.arange(int(upto[-1]))
+        at = place + np.repeat(start[a:b] - upto + n, n)
+        place -= np.repeat(upto - n, n)
+        numbers = place.view(np.uint64)
+        numbers *= _STEP
+        numbers += code[items[at]]
         sums = np.zeros(len(at) + 1, np.uint64)
-        np.cumsum(mix(code[items[at]] + (np.arange(len(at)) - np.repeat(before, n)).astype(np.uint64) * _STEP), out=sums[1:])
-        out[a:b] = mix(sums[before + n] - sums[before] + n.astype(np.uint64))
+        np.cumsum(mix(numbers), out=sums[1:])
+        out[a:b] = mix(sums[upto] - sums[upto - n] + n.astype(np.uint64))
     return out
 
 

@@ -401,6 +401,6 @@ def test_numbers_of_tables_are_drawn_from_their_probabilities():
         chance = np.exp(log - log.max())
         chance /= chance.sum()
         mean, deviation = (chance * m).sum(), math.sqrt((chance * m**2).sum() - (chance * m).sum() ** 2)
-        drawn = hpylm.seat(np.full(4_000, n), np.full(4_000, weight), 0.8, lambda i, t: np.full(len(i), p), rng)
+        drawn = hpylm.seat(np.full(4_000, n), np.full(4_000, weight), 0.8, np.full(4_000, p), np.ones(4_000), 0, rng)
         assert abs(drawn.mean() - mean) < 0.1 * deviation + 0.002 * mean, (n, drawn.mean(), mean, deviation)
         assert abs(drawn.std() - deviation) < 0.1 * deviation, (n, drawn.std(), deviation)
