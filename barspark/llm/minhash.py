@@ -3,8 +3,10 @@
 Two small collections of m short hashes each, made of few minhashes, are combined pairwise into m * m table keys: documents share a
 table just if they agree in some hash of either collection, at the cost of about 2 * m instead of m * m hash computations.
 Documents with equal shingle sets are one node.  In each table, blocks of nodes are compared by their minhashes and a forest of
-likely links is confirmed on full sets; then all likely pairs between the components so far are confirmed, too, so that no link
-that could join two components is passed over.  A pair that several tables hold is passed on by the first of them only, and only
+likely links is confirmed on full sets; large buckets are cut into chunks for that.  Then one node of each component in a large bucket is
+compared with those of other components, again in chunks and chunks of chunks, so that a large group of near copies becomes one component
+at a cost that grows with its size and not with its square.  Last, all likely pairs between the components so far are confirmed, so that no
+link that could join two components is passed over.  A pair that several tables hold is passed on by the first of them only, and only
 if a longer sketch of both sets does not rule it out.
 """
 
@@ -75,7 +77,7 @@ def _multipliers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _documents(df: DataFrame, s: Settings, id_col: str, text_col: str) -> DataFrame:
-    """id, n_shingles, node (a hash of the set, null for an empty one) and the minhashes."""
+    """id, n_shingles, node (a hash of the set, null for an empty one), the minhashes and, for a row without an id, a hash of its text."""
     n = 2 * s.collection * s.width
     mask, factor = _multipliers(n)
 
@@ -94,12 +96,13 @@ def _documents(df: DataFrame, s: Settings, id_col: str, text_col: str) -> DataFr
             signs = least.astype("<u4").tobytes()
             width = 4 * n
             yield pa.RecordBatch.from_arrays(
-                [rows.column(0), pa.array(size), pa.array(set_hashes(sets), mask=~full), pa.array([signs[i : i + width] if f else None for i, f in zip(range(0, len(signs), width), full.tolist(), strict=True)], pa.binary())],
-                ["id", "n_shingles", "node", "least"],
+                [rows.column(0), pa.array(size), pa.array(set_hashes(sets), mask=~full), pa.array([signs[i : i + width] if f else None for i, f in zip(range(0, len(signs), width), full.tolist(), strict=True)], pa.binary()), rows.column(2)],
+                ["id", "n_shingles", "node", "least", "of_text"],
             )
 
     kind = df.schema[id_col].dataType.simpleString()
-    return ta.scan(df, run, f"id {kind}, n_shingles long, node long, least binary", id_col, text_col)
+    without_id = F.when(F.col(id_col).isNull(), F.xxhash64(F.col(text_col).cast("string")))
+    return ta.scan(df, run, f"id {kind}, n_shingles long, node long, least binary, of_text long", id_col, text_col, without_id)
 
 
 #: The low bits of a key are the number of its table.
@@ -141,8 +144,8 @@ def _first_table(a: np.ndarray, b: np.ndarray, s: Settings) -> np.ndarray:
     return same[:, 0].argmax(1) * s.collection + same[:, 1].argmax(1)
 
 
-def _likely(s: Settings, between: bool):
-    """Likely pairs of each block: those between components, or (not ``between``) a forest with one earlier partner for each node."""
+def _likely(s: Settings, between: bool, once: bool = True):
+    """Likely pairs of each block: those between components (``once``: only in the pair's first table), or a forest with one earlier partner for each node."""
     n = 2 * s.collection * s.width
     least, least_sketch = int(np.ceil(s.least_agreeing * n)), int(np.ceil(s.least_sketch * s.sketch))
 
@@ -173,8 +176,9 @@ def _likely(s: Settings, between: bool):
                 table = int(key.view(np.uint64)[a] & TABLE)
                 for k in range(0, len(i), 20_000):
                     x, y = i[k : k + 20_000] + cols.start, j[k : k + 20_000] + rows.start
-                    own = _first_table(signs[x], signs[y], s) == table
-                    x, y = x[own], y[own]
+                    if once:
+                        own = _first_table(signs[x], signs[y], s) == table
+                        x, y = x[own], y[own]
                     near = (sketch[x] == sketch[y]).sum(1) >= least_sketch
                     found.append(np.stack([node[x[near]], node[y[near]]], 1))
             pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
@@ -221,18 +225,31 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
     return pairs.distinct().join(side("a"), "a").join(side("b"), "b").select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
 
 
-def _sets(df: DataFrame, wanted: DataFrame, s: Settings, id_col: str, text_col: str) -> DataFrame:
-    """node, shingles (sorted 64-bit hashes) of one document of each wanted node; wanted: node, id."""
+def _sets(df: DataFrame, wanted: DataFrame, ids_repeat: bool, s: Settings, id_col: str, text_col: str) -> DataFrame:
+    """node, shingles (sorted 64-bit hashes): one row for each wanted node; wanted: node, id and, where that is null, of_text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in ta.text_blocks(batches):
             sets = shingles(data, offsets, s.words)
+            node = rows.column(0).to_numpy()
+            _, first = np.unique(node, return_index=True)
+            keep = np.isin(np.arange(len(node)), first) & (set_hashes(sets) == node)  # an id may have another text, too
             made = pa.RecordBatch.from_arrays([rows.column(0), pa.array([x.astype("<u8").tobytes() for x in sets], pa.binary())], ["node", "shingles"])
-            yield made.filter(pa.array(set_hashes(sets) == rows.column(0).to_numpy()))  # an id may have another text, too
+            yield made.filter(pa.array(keep))
 
     texts = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    chosen = wanted.hint("shuffle_hash").join(texts, "id").select("node", "text")
-    return chosen.mapInArrow(run, "node long, shingles binary")
+    by_id = wanted.filter("id IS NOT NULL").hint("shuffle_hash").join(texts, "id").select("node", "text").mapInArrow(run, "node long, shingles binary")
+    if ids_repeat:
+        by_id = by_id.dropDuplicates(["node"])
+    nameless = wanted.filter("id IS NULL").select("node", "of_text")
+    if nameless.isEmpty():
+        return by_id
+    same = texts.filter("id IS NULL").withColumn("of_text", F.xxhash64("text")).dropDuplicates(["of_text"])
+    return by_id.unionByName(nameless.join(same, "of_text").select("node", "text").mapInArrow(run, "node long, shingles binary").dropDuplicates(["node"]))
+
+
+#: Rounds in which components in large buckets are compared by one node each; each leaves about one in a chunk's size.
+ROUNDS = 4
 
 
 def link(df: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -240,33 +257,57 @@ def link(df: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id",
 
     ``component_id`` is the smallest id reached by links, the row's own included; ``kept`` says whether it is the row's own.
     A null or empty text has no shingles, stays alone and is kept.  Equal texts and repeated rows share a component; of rows that
-    repeat an id, all count as that id.  A null id shares the component of equal texts, but never names a component.
+    repeat an id, all count as that id.  A null id shares the component of what it links with, but never names a component that has an id.
     Other columns are left out.  Texts are read twice; what is shuffled are table keys, minhashes of colliding nodes and the
     sets of likely pairs.
     """
     s = settings
     documents = stored(_documents(df, s, id_col, text_col), "shingled")
-    nodes = stored(documents.filter("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("id"), F.first("least").alias("least")), "nodes")
-    shared = stored(buckets.shared_keys(_tables(nodes, s)), "tables")
-    half = nodes.select("node", "id", _low_halves(F.col("least")).alias("least"))
-    placed = buckets.blocks(shared)
-    forest = stored(buckets.in_blocks(placed, half.select("node", "least"), _likely(s, False), "a long, b long").distinct(), "forest")
-    likely_nodes = forest.select(F.col("a").alias("node")).union(forest.select("b")).distinct()
-    sets = stored(_sets(df, half.join(likely_nodes, "node").select("node", "id").filter("id IS NOT NULL"), s, id_col, text_col), "sets")
+    nodes = documents.filter("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("id"), F.first("least").alias("least"), F.max("of_text").alias("of_text"), F.count(F.lit(1)).alias("copies"))
+    nodes = stored(nodes, "nodes")
+    shared = stored(buckets.shared_keys(nodes, lambda x: _tables(x, s)), "tables")
+    large = stored(buckets.large_keys(shared), "large")
+    crowded = not large.isEmpty()
+    large_few = buckets.few(large)
+    half = nodes.select("node", "id", "of_text", _low_halves(F.col("least")).alias("least"))
+    pairs = "a long, b long"
+    forest = stored(buckets.in_blocks(buckets.blocks(shared, large_few, False), half.select("node", "least"), _likely(s, False), pairs).distinct(), "forest")
+    likely_nodes = forest.select(F.col("a").alias("node")).union(forest.select("b"))
+    if crowded:  # they may have partners in other chunks
+        in_large = stored(shared.join(large_few.select("key"), "key", "left_semi"), "in-large")
+        likely_nodes = likely_nodes.union(in_large.select("node"))
+    ids_repeat = not documents.filter("id IS NOT NULL").groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty()
+    sets = stored(_sets(df, half.join(likely_nodes.distinct(), "node").select("node", "id", "of_text"), ids_repeat, s, id_col, text_col), "sets")
     links = stored(_confirmed(forest, sets, s), "links")
-    so_far = components(links)
+    roots = components(links)
+    sketched = stored(half.join(_sketches(sets, s), "node").select("node", "least", "sketch"), "sketched") if crowded else half.join(_sketches(sets, s), "node").select("node", "least", "sketch")
+    rooted = lambda: sketched.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"), "sketch")
+    for turn in range(ROUNDS if crowded else 0):
+        members = in_large.join(roots, "node", "left").groupBy("key", F.coalesce("root", "node").alias("root")).agg(F.min("node").alias("node"))
+        members = stored(members, "members")
+        several = members.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("key", F.ceil(F.col("m") / buckets.CHUNK).cast("int").alias("n"))
+        several = stored(several, "several")
+        if several.isEmpty():
+            break
+        placed = buckets.blocks(members.select("key", "node").join(several.select("key"), "key", "left_semi"), several, False, turn)
+        found = stored(_confirmed(buckets.in_blocks(placed, rooted(), _likely(s, True, False), pairs), sets, s), "links")
+        if found.isEmpty():
+            break
+        links = links.unionByName(found)
+        roots = components(links)
     # in each table once more: likely pairs that may join two components
-    rooted = half.join(_sketches(sets, s), "node").join(so_far, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"), "sketch")
-    rooted = stored(rooted, "rooted")
-    own = stored(shared.join(rooted.select("node", "root"), "node"), "rooted-tables")
+    rooted_now = stored(rooted(), "rooted")
+    own = stored(shared.join(rooted_now.select("node", "root"), "node"), "rooted-tables")
     open_keys = own.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("key")
-    again = buckets.blocks(own.join(open_keys, "key", "left_semi").select("key", "node"))
-    more = buckets.in_blocks(again, rooted, _likely(s, True), "a long, b long")
+    again = buckets.blocks(own.join(open_keys, "key", "left_semi").select("key", "node"), large_few)
+    more = buckets.in_blocks(again, rooted_now, _likely(s, True), pairs)
     links = links.unionByName(stored(_confirmed(more.join(forest, ["a", "b"], "left_anti"), sets, s), "links"))
-    grouped = nodes.select("node", "id").join(components(links), "node", "left").select("node", "id", F.coalesce("root", "node").alias("root"))
-    named = grouped.groupBy("root").agg(F.min("id").alias("component_id"))
-    by_node = stored(grouped.join(named, "root").select("node", "component_id"), "groups")
-    out = documents.join(by_node, "node", "left").withColumn("component_id", F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id")))
+    grouped = nodes.select("node", "id", "copies").join(components(links), "node", "left").select("node", "id", "copies", F.coalesce("root", "node").alias("root"))
+    named = stored(grouped.groupBy("root").agg(F.min("id").alias("component_id"), F.count(F.lit(1)).alias("members")), "named")
+    total = documents.count()
+    by_node = stored(buckets.left_join(grouped, named, "root", "members", total).select("node", "component_id", "copies"), "groups")
+    out = buckets.left_join(documents.select("id", "n_shingles", "node"), by_node, "node", "copies", total)
+    out = out.withColumn("component_id", F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id")))
     return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 

@@ -155,17 +155,19 @@ def link(df: DataFrame, settings: Settings = Settings(), id_col: str = "vec_id",
     distinct = stored(real.groupBy("node").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("vector").alias("vector")), "vectors")
     width, tables = plan(distinct.count(), s)
     hashed = stored(_nodes(distinct, s, width, tables, "vector"), "hashed")
-    shared = stored(buckets.shared_keys(_tables(hashed, tables)), "tables")
+    shared = stored(buckets.shared_keys(hashed, lambda x: _tables(x, tables)), "tables")
+    large = buckets.few(stored(buckets.large_keys(shared), "large"))
     low = F.unhex(F.regexp_replace(F.hex("keys"), "(.{8}).{8}", "$1"))  # half of each key tells whether an earlier table held a pair
     payload = hashed.join(distinct.select("node", "copies"), "node").select("node", "vector", low.alias("keys"), "copies")
-    found = stored(buckets.in_blocks(buckets.blocks(shared), payload, _linked(s, tables), "node long, n long, root long"), "found")
+    found = stored(buckets.in_blocks(buckets.blocks(shared, large), payload, _linked(s, tables), "node long, n long, root long"), "found")
     counts = found.groupBy("node").agg(F.sum("n").alias("n"))
     roots = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     grouped = distinct.select("node", "id", "copies").join(roots, "node", "left").join(counts, "node", "left")
-    grouped = grouped.select("node", "id", F.coalesce("root", "node").alias("root"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    named = grouped.groupBy("root").agg(F.min("id").alias("component_id"))
-    by_node = stored(grouped.join(named, "root").select("node", "n_links", "component_id"), "groups")
-    out = rows.select("id", "node").join(by_node, "node", "left")
+    grouped = grouped.select("node", "id", "copies", F.coalesce("root", "node").alias("root"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    named = stored(grouped.groupBy("root").agg(F.min("id").alias("component_id"), F.count(F.lit(1)).alias("members")), "named")
+    total = rows.count()
+    by_node = stored(buckets.left_join(grouped, named, "root", "members", total).select("node", "n_links", "component_id", "copies"), "groups")
+    out = buckets.left_join(rows.select("id", "node"), by_node, "node", "copies", total)
     return out.select(
         F.col("id").alias(id_col),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),

@@ -72,6 +72,10 @@ def test_minhash_groups(spark):
 def test_minhash_odd_tables(spark):
     schema = "doc_id long, text string"
     assert minhash.link(spark.createDataFrame([], schema)).count() == 0
+    rows = [(None, "a b c d e f g"), (None, "a b c d e f g h"), (None, "a b c d e f g h"), (9, "k")]
+    assert {r.component_id for r in minhash.link(spark.createDataFrame(rows, schema)).collect()} == {None, 9}
+    rows = [(None, "a b c d e f g"), (None, "a b c d e f g h"), (3, "a b c d e f g h i")]  # the first reaches the last by the second
+    assert {r.component_id for r in minhash.link(spark.createDataFrame(rows, schema)).collect()} == {3}
     rows = [(None, "a b c d e f"), (4, "a b c d e f"), (4, "a b c d e f"), (7, None)]
     got = sorted(map(tuple, minhash.link(spark.createDataFrame(rows, schema)).collect()), key=str)
     assert got == sorted([(None, 2, 4, False), (4, 2, 4, True), (4, 2, 4, True), (7, 0, 7, True)], key=str)
@@ -92,11 +96,12 @@ def test_large_buckets_are_cut(spark):
     from barspark.llm import buckets
 
     rows = spark.createDataFrame([(1, i) for i in range(40)] + [(2, 99)], "key long, node long")
-    shared = buckets.shared_keys(rows)
+    shared = buckets.shared_keys(rows.select("node"), lambda nodes: rows.join(nodes, "node"))
     assert shared.count() == 40
+    large = buckets.large_keys(shared, 8)
     pairs = collections.Counter()
     blocks = collections.defaultdict(list)
-    for r in buckets.blocks(shared, chunk=8).collect():
+    for r in buckets.blocks(shared, large).collect():
         blocks[r.lo, r.hi].append((r.side, r.node))
     assert max(map(len, blocks.values())) < 40
     for members in blocks.values():
@@ -106,6 +111,52 @@ def test_large_buckets_are_cut(spark):
                 if (two and s < t) or (not two and a < b):
                     pairs[min(a, b), max(a, b)] += 1
     assert set(pairs) == {(a, b) for a in range(40) for b in range(a + 1, 40)}
+    alone = buckets.blocks(shared, large, False).collect()
+    assert sorted(r.node for r in alone) == list(range(40)) and all(r.lo == r.hi for r in alone)
+
+
+def test_keys_of_very_many_nodes_do_not_meet_in_one_task(spark, monkeypatch):
+    from barspark.llm import buckets
+
+    monkeypatch.setattr(buckets, "ONE_IN", 2)
+    monkeypatch.setattr(buckets, "OFTEN", 8)
+    rows = spark.createDataFrame([(1, i) for i in range(100)] + [(2, 5), (2, 6), (3, 7)], "key long, node long")
+    shared = buckets.shared_keys(rows.select("node").distinct(), lambda nodes: rows.join(nodes, "node"))
+    assert sorted(map(tuple, shared.select("key", "node").collect())) == [(1, i) for i in range(100)] + [(2, 5), (2, 6)]
+    found = spark.createDataFrame([(1, "a", 40_000), (2, "b", 2)], "key long, name string, n long")
+    rows = spark.createDataFrame([(1, 1), (1, 2), (2, 3), (9, 4), (None, 5)], "key long, node long")
+    got = {r.node: r["name"] for r in buckets.left_join(rows, found, "key", "n", 100).collect()}
+    assert got == {1: "a", 2: "a", 3: "b", 4: None, 5: None}
+
+
+def test_a_large_group_of_near_copies_in_small_chunks(spark, monkeypatch):
+    """A chain of near copies over many chunks is one group, and rows that repeat an id or have none cost no pairs."""
+    from barspark.llm import buckets
+
+    monkeypatch.setattr(buckets, "CHUNK", 8)
+    monkeypatch.setattr(buckets.large_keys, "__defaults__", (8,))
+    rng = random.Random(12)
+    base = [f"v{i}" for i in range(60)]
+    rows = []
+    for i in range(150):
+        words = list(base)
+        words[rng.randrange(60)] = f"x{i}"
+        rows.append((i if i % 5 else None, " ".join(words)))
+    rows += [(1_000, " ".join(f"y{i}" for i in range(40)))] * 30 + [(1_000, " ".join(f"y{i}" for i in range(41)))] * 30
+    rows += [(2_000, " ".join(f"z{i}" for i in range(30)))]
+    got = minhash.link(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows)
+    assert collections.Counter(r.component_id for r in got) == {1: 150, 1_000: 60, 2_000: 1}
+
+
+def test_pairs_right_at_the_limit(spark):
+    """Three common shingles of four are 75 percent; vectors of cosine 0.9 in doubles are linked."""
+    texts = ["a b c d e f g", "a b c d e f g h", "p q r s t u v w", "p q r s t u v x"]  # 3 of 4; 3 of 5
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in minhash.link(df).collect()} == {0: 0, 1: 0, 2: 2, 3: 3}
+    rows = [(1, [1.0, 0.0]), (2, [0.9, math.sqrt(1 - 0.81) - 1e-12]), (3, [-1.0, 0.0]), (4, [-0.8999, math.sqrt(1 - 0.8999**2)])]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vectors.link(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (0, 3), 4: (0, 4)}
 
 
 def test_components_of_a_long_chain(spark):
