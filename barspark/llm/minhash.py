@@ -144,8 +144,11 @@ def _first_table(a: np.ndarray, b: np.ndarray, s: Settings) -> np.ndarray:
     return same[:, 0].argmax(1) * s.collection + same[:, 1].argmax(1)
 
 
-def _likely(s: Settings, between: bool, once: bool = True):
-    """Likely pairs of each block: those between components (``once``: only in the pair's first table), or a forest with one earlier partner for each node."""
+def _likely(s: Settings, every: bool):
+    """Likely pairs of each block.  ``every``: all of them between components, each in its first table only; else for each node one earlier partner.
+
+    Where the payload has roots, only nodes of different components are partners.
+    """
     n = 2 * s.collection * s.width
     least, least_sketch = int(np.ceil(s.least_agreeing * n)), int(np.ceil(s.least_sketch * s.sketch))
 
@@ -153,11 +156,11 @@ def _likely(s: Settings, between: bool, once: bool = True):
         for columns, bounds in whole:
             key, side, node = (columns[i].to_numpy() for i in (0, 3, 4))
             signs = buckets.fixed(columns[5].cast(pa.binary()), "<u2")[0].reshape(len(node), n)
-            root = columns[6].to_numpy() if between else None
-            sketch = buckets.fixed(columns[7].cast(pa.binary()), "<u2")[0].reshape(len(node), s.sketch) if between else None
+            root = columns[6].to_numpy() if len(columns) > 6 else None
+            sketch = buckets.fixed(columns[7].cast(pa.binary()), "<u2")[0].reshape(len(node), s.sketch) if every else None
             found: list[np.ndarray] = []
             for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-                if b - a < 2 or (between and (root[a:b] == root[a]).all()):
+                if b - a < 2 or (root is not None and (root[a:b] == root[a]).all()):
                     continue
                 cut = a + int(np.searchsorted(side[a:b], 1))
                 two = cut < b
@@ -167,18 +170,19 @@ def _likely(s: Settings, between: bool, once: bool = True):
                 agree = _agreeing(signs[cols], signs[rows])
                 if not two:
                     agree = np.tril(agree, -1)
-                if not between:
+                if root is not None:
+                    agree[root[cols][:, None] == root[rows][None, :]] = 0
+                if not every:
                     best = (agree // 4).argmax(1)  # of about equally good partners the first, so that tables agree on it
                     good = np.flatnonzero(agree[np.arange(len(best)), best] >= least)
                     found.append(np.stack([node[cols][good], node[rows][best[good]]], 1))
                     continue
-                i, j = np.nonzero((agree >= least) & (root[cols][:, None] != root[rows][None, :]))
+                i, j = np.nonzero(agree >= least)
                 table = int(key.view(np.uint64)[a] & TABLE)
                 for k in range(0, len(i), 20_000):
                     x, y = i[k : k + 20_000] + cols.start, j[k : k + 20_000] + rows.start
-                    if once:
-                        own = _first_table(signs[x], signs[y], s) == table
-                        x, y = x[own], y[own]
+                    own = _first_table(signs[x], signs[y], s) == table
+                    x, y = x[own], y[own]
                     near = (sketch[x] == sketch[y]).sum(1) >= least_sketch
                     found.append(np.stack([node[x[near]], node[y[near]]], 1))
             pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
@@ -232,10 +236,9 @@ def _sets(df: DataFrame, wanted: DataFrame, ids_repeat: bool, s: Settings, id_co
         for rows, data, offsets in ta.text_blocks(batches):
             sets = shingles(data, offsets, s.words)
             node = rows.column(0).to_numpy()
-            _, first = np.unique(node, return_index=True)
-            keep = np.isin(np.arange(len(node)), first) & (set_hashes(sets) == node)  # an id may have another text, too
-            made = pa.RecordBatch.from_arrays([rows.column(0), pa.array([x.astype("<u8").tobytes() for x in sets], pa.binary())], ["node", "shingles"])
-            yield made.filter(pa.array(keep))
+            right = np.flatnonzero(set_hashes(sets) == node)  # an id may have another text, too
+            right = right[np.unique(node[right], return_index=True)[1]]
+            yield pa.RecordBatch.from_arrays([pa.array(node[right]), pa.array([sets[i].astype("<u8").tobytes() for i in right], pa.binary())], ["node", "shingles"])
 
     texts = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     by_id = wanted.filter("id IS NOT NULL").hint("shuffle_hash").join(texts, "id").select("node", "text").mapInArrow(run, "node long, shingles binary")
@@ -271,10 +274,19 @@ def link(df: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id",
     large_few = buckets.few(large)
     half = nodes.select("node", "id", "of_text", _low_halves(F.col("least")).alias("least"))
     pairs = "a long, b long"
-    forest = stored(buckets.in_blocks(buckets.blocks(shared, large_few, False), half.select("node", "least"), _likely(s, False), pairs).distinct(), "forest")
+    one_partner = lambda found: found.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    payload = half.select("node", "least")
+    if not crowded:
+        forest = buckets.in_blocks(buckets.blocks(shared, large_few, False), payload, _likely(s, False), pairs).distinct()
+    else:  # in large buckets a node may meet other partners in every table; one is enough for a start
+        in_large = stored(shared.join(large_few, "key"), "in-large")
+        small = shared.join(large_few.select("key"), "key", "left_anti")
+        forest = buckets.in_blocks(buckets.blocks(small, large_few, False), payload, _likely(s, False), pairs).distinct()
+        crowd = buckets.in_blocks(buckets.blocks(in_large.select("key", "node"), large_few, False), payload, _likely(s, False), pairs)
+        forest = forest.unionByName(one_partner(crowd)).distinct()
+    forest = stored(forest, "forest")
     likely_nodes = forest.select(F.col("a").alias("node")).union(forest.select("b"))
     if crowded:  # they may have partners in other chunks
-        in_large = stored(shared.join(large_few.select("key"), "key", "left_semi"), "in-large")
         likely_nodes = likely_nodes.union(in_large.select("node"))
     ids_repeat = not documents.filter("id IS NOT NULL").groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty()
     sets = stored(_sets(df, half.join(likely_nodes.distinct(), "node").select("node", "id", "of_text"), ids_repeat, s, id_col, text_col), "sets")
@@ -290,7 +302,7 @@ def link(df: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id",
         if several.isEmpty():
             break
         placed = buckets.blocks(members.select("key", "node").join(several.select("key"), "key", "left_semi"), several, False, turn)
-        found = stored(_confirmed(buckets.in_blocks(placed, rooted(), _likely(s, True, False), pairs), sets, s), "links")
+        found = stored(_confirmed(one_partner(buckets.in_blocks(placed, rooted().drop("sketch"), _likely(s, False), pairs)), sets, s), "links")
         if found.isEmpty():
             break
         links = links.unionByName(found)
