@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from barspark.functions import windows as x
+from barspark.operators.stats import exact_quantiles, unpivot
 from barspark.operators.scan import varying_scan
 
 OHLCV = ("open", "high", "low", "close", "volume")
@@ -148,7 +149,11 @@ def impute(df: DataFrame, columns: list[str], strategy: str = "median") -> DataF
         return df.dropna(subset=columns)
     if strategy == "zero":
         return df.fillna(0.0, columns)
-    fill = df.agg(*[(F.percentile(k, F.lit(0.5)) if strategy == "median" else F.avg(k)).alias(f"__{k}") for k in columns])
+    if strategy == "median":
+        middle = exact_quantiles(unpivot(df, [], columns), [0.5])
+        fill = middle.agg(*[F.max(F.when(F.col("feature") == k, F.col("q0"))).alias(f"__{k}") for k in columns])
+    else:
+        fill = df.agg(*[F.avg(k).alias(f"__{k}") for k in columns])
     return df.join(F.broadcast(fill)).withColumns({k: F.coalesce(F.col(k).cast("double"), F.col(f"__{k}")) for k in columns}).drop(*fill.columns)
 
 

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.feature import PolynomialExpansion, StandardScaler, VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, IsotonicRegression, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -202,7 +202,3 @@ def near_neighbours(rows: DataFrame, n_features: int, k: int = 5, seed: int = 7,
     dealt = dealt.repartitionByRange("t", "z", "h").sortWithinPartitions("t", "z", "h").select("t", "z", "a", "x")
     found = dealt.mapInPandas(blocks, f"a {kind}, n array<{item}>").groupBy("a").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("n")))).alias("n"))  # k of each table at most
     return found.select("a", F.slice("n", 1, k).alias("n")).filter(F.size("n") > 0)
-
-
-def to_vector(columns: list[str]):
-    return array_to_vector(F.array(*[F.col(k).cast("double") for k in columns]))

@@ -1,12 +1,12 @@
 """Recurrences inside long series (E19, E20), and the chunks that let one series use many tasks.
 
-y = a * y_before + b with a constant a is a running sum inside a chunk of rows, plus what the chunk before carries in.  Chunks are small, their
-ends are few, and the same scan folds those ends; so a series of any length is spread over tasks, all with built-in functions.
+y = a * y_before + b with a constant a is a running sum inside a chunk of rows, plus what the chunk before carries in.  Each chunk is one pair (a, b)
+that says what becomes of y in it; pairs of a bounded number of chunks are folded to one, level by level, and what is carried in is handed
+down again.  So a series of any length is spread over tasks, all with built-in functions.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -43,14 +43,16 @@ def with_halo(df: DataFrame, lookback: int, chunk: int = 4096, keys: tuple[str,
 def affine_scan(df: DataFrame, scans: dict[str, tuple[str, float, float]], keys: tuple[str, ...] = ("symbol",), order: str = "time", chunk: int = CHUNK) -> DataFrame:
     """Adds y = a * y_before + b * x for each ``name: (x, a, b)``, started with y = x at the first x that is not null.
 
-    Later nulls count as no change of y by x: y = a * y_before.  Weights that a chunk's length would drive out of a double's range are not: a
-    must be at least ``1e-280 ** (1 / chunk)``.  Row numbers in a column ``__row`` are used and kept, so that a chain of scans numbers rows once.
+    Later nulls count as no change of y by x: y = a * y_before.  a lies in [0, 1].  Row numbers in a column ``__row`` are used and kept, so that a
+    chain of scans numbers rows once.
     """
     have = [c for c in df.columns if c not in scans]
     if "__row" not in df.columns:
         df = number_rows(df, keys, order, "__row")
     # three branches read these rows; stored, a chain of scans grows by steps and not by powers of three
-    rows = stored(df, "scan").withColumn("__chunk", F.floor((F.col("__row") - 1) / chunk)).withColumn("__k", (F.col("__row") - 1) % chunk)
+    rows = stored(df, "scan")
+    last = ((rows.agg(F.max("__row").alias("n")).first()["n"] or 1) - 1) // chunk
+    rows = rows.withColumn("__chunk", F.floor((F.col("__row") - 1) / chunk)).withColumn("__k", (F.col("__row") - 1) % chunk)
     inside = Window.partitionBy(*keys, "__chunk").orderBy("__k")
     # the first value of each series: the one that starts y
     starts = rows.groupBy(*keys).agg(*[F.min(F.when(F.col(x).isNotNull(), F.col("__row"))).alias(f"__at_{n}") for n, (x, _, _) in scans.items()])
@@ -58,10 +60,19 @@ def affine_scan(df: DataFrame, scans: dict[str, tuple[str, float, float]], keys:
     add = {}
     for n, (x, a, b) in scans.items():
         value = F.coalesce(F.when(F.col("__row") == F.col(f"__at_{n}"), F.col(x)).when(F.col("__row") > F.col(f"__at_{n}"), F.col(x) * b), F.lit(0.0))
-        add[f"__u_{n}"] = F.sum(value * F.pow(F.lit(1.0 / a), F.col("__k"))).over(inside.rowsBetween(Window.unboundedPreceding, 0)) * F.pow(F.lit(a), F.col("__k"))
+        add[f"__v_{n}"] = value
+    rows, add = rows.withColumns(add), {}
+    for n, (_, a, _) in scans.items():
+        value = F.col(f"__v_{n}")
+        if a ** chunk > 1e-280:
+            add[f"__u_{n}"] = F.sum(value * F.pow(F.lit(1.0 / a), F.col("__k"))).over(inside.rowsBetween(Window.unboundedPreceding, 0)) * F.pow(F.lit(a), F.col("__k"))
+        else:  # the weights fall so fast that few of them show in a double
+            near = [F.coalesce(F.lag(value, j).over(inside), F.lit(0.0)) * F.lit(a**j) for j in range(1, chunk) if a**j > 1e-40]
+            add[f"__u_{n}"] = sum(near, value)
     rows = rows.withColumns(add)
-    ends = rows.groupBy(*keys, "__chunk").agg(F.max("__k").alias("__last"), *[F.max_by(f"__u_{n}", "__k").alias(f"__e_{n}") for n in scans])
-    carried = _carry(ends, scans, keys, chunk)
+    ends = rows.groupBy(*keys, "__chunk").agg(F.count(F.lit(1)).alias("__n"), *[F.max_by(f"__u_{n}", "__k").alias(f"__b_{n}") for n in scans])
+    pairs = ends.select(*keys, "__chunk", *[F.pow(F.lit(a), F.col("__n")).alias(f"__a_{n}") for n, (_, a, _) in scans.items()], *[f"__b_{n}" for n in scans])
+    carried = _carried(pairs, list(scans), keys, last)
     rows = rows.join(carried, [*keys, "__chunk"], "left")
     out = {}
     for n, (_, a, _) in scans.items():
@@ -70,24 +81,40 @@ def affine_scan(df: DataFrame, scans: dict[str, tuple[str, float, float]], keys:
     return rows.withColumns(out).select(*have, *out)
 
 
-def _carry(ends: DataFrame, scans: dict[str, tuple[str, float, float]], keys: tuple[str, ...], chunk: int) -> DataFrame:
-    """y at the end of the chunk before each chunk, by a scan over chunk ends: each full chunk shrinks what came before by a ** chunk.
+#: Pairs that are folded to one at a time; a series with no more than so many chunks needs one level.
+FOLD = 256
 
-    Chunks of a series are full but for the last, whose end nobody needs.  Powers below a double's range are zero, as is their share of y.
-    """
-    wide = Window.partitionBy(*keys).orderBy("__chunk")
-    out = {}
-    for n, (_, a, _) in scans.items():
-        share = a**chunk
-        terms, total = 0, None
-        while share**terms > 1e-40 and terms < 4096:  # beyond that, earlier chunks no longer show in a double
-            term = F.coalesce(F.lag(f"__e_{n}", terms + 1).over(wide), F.lit(0.0)) * F.lit(share**terms)
-            total = term if total is None else total + term
-            terms += 1
-            if terms > 64:
-                raise ValueError("a is too close to 1 for this chunk length; give a larger chunk")
-        out[f"__c_{n}"] = total
-    return ends.withColumns(out).select(*keys, "__chunk", *out)
+
+def _then(y: Column, a: Column, b: Column) -> Column:
+    """a * y + b; where a is 0 y does not matter, whatever it is."""
+    return F.when(a == 0, F.lit(0.0)).otherwise(a * y) + b
+
+
+def _carried(pairs: DataFrame, names: list[str], keys: tuple[str, ...], last: int) -> DataFrame:
+    """keys, __chunk and ``__c_name``: y at the end of the chunk before, 0 for the first; pairs: keys, __chunk, ``__a_name``, ``__b_name``; last: the largest chunk."""
+    item = F.struct("__chunk", *[c for n in names for c in (f"__a_{n}", f"__b_{n}")])
+    groups = pairs.groupBy(*keys, F.floor(F.col("__chunk") / FOLD).alias("__group")).agg(F.array_sort(F.collect_list(item)).alias("__items"))  # FOLD at most
+    start = {f"__c_{n}": F.lit(0.0) for n in names}
+    if last >= FOLD:
+        groups = stored(groups, "scan")
+        one = F.struct(*[F.lit(x).alias(f"{k}_{n}") for n in names for k, x in (("a", 1.0), ("b", 0.0))])
+
+        def fold(p: Column, x: Column) -> Column:
+            return F.struct(*[c for n in names for c in ((p[f"a_{n}"] * x[f"__a_{n}"]).alias(f"a_{n}"), _then(p[f"b_{n}"], x[f"__a_{n}"], x[f"__b_{n}"]).alias(f"b_{n}"))])
+
+        folded = groups.select(*keys, F.col("__group").alias("__chunk"), F.aggregate("__items", one, fold).alias("p"))
+        folded = folded.select(*keys, "__chunk", *[F.col(f"p.{k}_{n}").alias(f"__{k}_{n}") for n in names for k in "ab"])
+        above = _carried(folded, names, keys, last // FOLD).withColumnRenamed("__chunk", "__group")
+        groups = groups.join(above, [*keys, "__group"])
+        start = {c: F.col(c) for c in start}
+    begin = F.struct(*[x.cast("double").alias(c) for c, x in start.items()])
+    state = F.struct(begin.alias("y"), F.array().cast("array<struct<__chunk: bigint, " + ", ".join(f"`{c}`: double" for c in start) + ">>").alias("out"))
+
+    def step(s: Column, x: Column) -> Column:
+        now = F.struct(x["__chunk"].cast("long").alias("__chunk"), *[s["y"][c].alias(c) for c in start])
+        return F.struct(F.struct(*[_then(s["y"][f"__c_{n}"], x[f"__a_{n}"], x[f"__b_{n}"]).alias(f"__c_{n}") for n in names]).alias("y"), F.array_append(s["out"], now).alias("out"))
+
+    return groups.select(*keys, F.inline(F.aggregate("__items", state, step, lambda s: s["out"])))
 
 
 def ema(df: DataFrame, columns: dict[str, tuple[str, float]], keys: tuple[str, ...] = ("symbol",), order: str = "time") -> DataFrame:
@@ -117,35 +144,20 @@ def ewm_adjusted(df: DataFrame, columns: dict[str, tuple[str, int]], keys: tuple
 def varying_scan(df: DataFrame, name: str, a: str, b: str, keys: tuple[str, ...] = ("symbol",), order: str = "time", chunk: int = CHUNK) -> DataFrame:
     """y = a * y_before + b with a column for a (zero allowed): rows where a is null start anew with y = b.
 
-    Chunks are folded to one pair each with built-in functions, the pairs of a series are folded in order, and each chunk is replayed in its own task.
+    Chunks are folded to one pair each, what they carry in comes from :func:`_carried`, and each chunk is gone through again from there.
     """
     rows = stored(number_rows(df, keys, order, "__row"), "scan").withColumn("__chunk", F.floor((F.col("__row") - 1) / chunk))
-    slim = rows.select(*keys, "__chunk", "__row", F.coalesce(F.col(a), F.lit(0.0)).alias("__a"), F.col(b).alias("__b"))
-    fold = lambda items: F.aggregate(
-        items,
-        F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("b")),
-        lambda s, x: F.struct((s["a"] * x["__a"]).alias("a"), (F.when(x["__a"] == 0, F.lit(0.0)).otherwise(x["__a"] * s["b"]) + x["__b"]).alias("b")),
-    )
-    pairs = slim.groupBy(*keys, "__chunk").agg(F.array_sort(F.collect_list(F.struct("__row", "__a", "__b"))).alias("items"))  # a chunk's rows at most
-    pairs = pairs.select(*keys, "__chunk", fold(F.col("items")).alias("p"))
-    before = Window.partitionBy(*keys).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
-    pairs = pairs.withColumn("past", F.collect_list(F.struct(F.col("p.a").alias("__a"), F.col("p.b").alias("__b"))).over(before))
-    carry = pairs.select(*keys, "__chunk", fold(F.col("past"))["b"].alias("__carry"))
-    kinds = dict(slim.dtypes)
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in (*keys, "__row")) + ", __y double"
-
-    def replay(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("__row")
-        y, out = float(part["__carry"].iloc[0]), []
-        for own_a, own_b in zip(part["__a"], part["__b"], strict=True):
-            y = (own_a * y if own_a else 0.0) + own_b
-            out.append(y)
-        part["__y"] = out
-        return part[[*keys, "__row", "__y"]]
-
-    replayed = slim.join(carry, [*keys, "__chunk"]).groupBy(*keys, "__chunk").applyInPandas(replay, schema)
+    item = F.struct("__row", F.coalesce(F.col(a), F.lit(0.0)).cast("double").alias("a"), F.col(b).cast("double").alias("b"))
+    chunks = stored(rows.groupBy(*keys, "__chunk").agg(F.array_sort(F.collect_list(item)).alias("__rows")), "scan")  # a chunk's rows at most
+    one = F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("b"))
+    whole = F.aggregate("__rows", one, lambda p, x: F.struct((p["a"] * x["a"]).alias("a"), _then(p["b"], x["a"], x["b"]).alias("b")))
+    pairs = chunks.select(*keys, "__chunk", whole.alias("p")).select(*keys, "__chunk", F.col("p.a").alias("__a_y"), F.col("p.b").alias("__b_y"))
+    carried = _carried(pairs, ["y"], keys, chunks.agg(F.max("__chunk").alias("c")).first()["c"] or 0)
+    state = F.struct(F.col("__c_y").alias("y"), F.array().cast("array<struct<__row: bigint, __y: double>>").alias("out"))
+
+    def step(s: Column, x: Column) -> Column:
+        y = _then(s["y"], x["a"], x["b"])
+        return F.struct(y.alias("y"), F.array_append(s["out"], F.struct(x["__row"].cast("long").alias("__row"), y.alias("__y"))).alias("out"))
+
+    replayed = chunks.join(carried, [*keys, "__chunk"]).select(*keys, F.inline(F.aggregate("__rows", state, step, lambda s: s["out"])))
     return rows.join(replayed, [*keys, "__row"], "left").withColumn(name, F.when(F.col(b).isNotNull(), F.nanvl("__y", F.lit(None)))).drop("__row", "__chunk", "__y")
-
-
-def per_chunk(x: Column, size: int) -> Column:
-    return F.floor((x - 1) / size)

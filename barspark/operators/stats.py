@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from barspark.storage import stored
+
 div = F.try_divide
 
 
@@ -31,11 +33,43 @@ def distinct_counts(df: DataFrame, columns: list[str], exact: bool = True) -> Da
     return unpivot(df, [], columns).groupBy("feature").agg(count("value").alias("n_distinct"))
 
 
+def cumulative(rows: DataFrame, part: list[str], order: str, columns: list[str]) -> DataFrame:
+    """Adds ``upto_c``, the running sum of each column in its part, and ``all_c``, the whole sum; (part, order) occurs once each.
+
+    Rows are dealt by ranges of (part, order); sums inside a range and a window over the few sums of ranges make up the rest, so no task
+    holds a whole part.
+    """
+    ranged = stored(rows.repartitionByRange(*part, order).withColumn("__p", F.spark_partition_id()), "ranged")
+    sums = ranged.groupBy("__p", *part).agg(*[F.sum(k).alias(f"__s_{k}") for k in columns])
+    whole = Window.partitionBy(*part)
+    earlier = whole.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    before = sums.select("__p", *part, *[e for k in columns for e in (F.coalesce(F.sum(f"__s_{k}").over(earlier), F.lit(0)).alias(f"__b_{k}"), F.sum(f"__s_{k}").over(whole).alias(f"all_{k}"))])
+    own = Window.partitionBy("__p", *part).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    out = ranged.withColumns({f"__u_{k}": F.sum(k).over(own) for k in columns}).join(before, ["__p", *part])
+    return out.withColumns({f"upto_{k}": F.col(f"__u_{k}") + F.col(f"__b_{k}") for k in columns}).drop("__p", *[f"__{x}_{k}" for x in "ub" for k in columns])
+
+
+def exact_quantiles(long: DataFrame, ps: list[float]) -> DataFrame:
+    """feature and ``q0, q1, ...``: exact quantiles of (feature, value), by counts of distinct values; what lies between two values is on the line."""
+    counts = long.filter("value IS NOT NULL").groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
+    steps = cumulative(counts, ["feature"], "value", ["n"])
+    found = []
+    for i, p in enumerate(ps):
+        rank = (F.col("all_n") - 1) * F.lit(p)
+        at = lambda r: F.max(F.when((F.col("upto_n") - F.col("n") <= r) & (F.col("upto_n") > r), F.col("value")))
+        found += [at(F.floor(rank)).alias(f"__l{i}"), at(F.ceil(rank)).alias(f"__h{i}"), F.max(rank - F.floor(rank)).alias(f"__w{i}")]
+    line = lambda i: F.col(f"__l{i}") + (F.col(f"__h{i}") - F.col(f"__l{i}")) * F.col(f"__w{i}")
+    return steps.groupBy("feature").agg(*found).select("feature", *[line(i).alias(f"q{i}") for i in range(len(ps))])
+
+
 def quantiles(df: DataFrame, columns: list[str], ps: list[float], exact: bool = True) -> DataFrame:
-    """One row per column and quantile.  ``exact=False`` bounds the memory of each aggregate."""
+    """One row per column and quantile; ``exact=False`` takes one pass."""
     long = unpivot(df, [], columns)
     wanted = F.array(*[F.lit(p) for p in ps])
-    found = long.groupBy("feature").agg((F.percentile("value", wanted) if exact else F.percentile_approx("value", wanted)).alias("q"))
+    if exact:
+        found = exact_quantiles(long, ps).select("feature", F.array(*[f"q{i}" for i in range(len(ps))]).alias("q"))
+    else:
+        found = long.groupBy("feature").agg(F.percentile_approx("value", wanted).alias("q"))
     return found.select("feature", F.explode(F.arrays_zip(wanted.alias("p"), F.col("q"))).alias("z")).select("feature", F.col("z.p").alias("p"), F.col("z.q").alias("value"))
 
 
@@ -53,17 +87,21 @@ def quantile_edges(df: DataFrame, columns: list[str], bins: int, exact: bool = T
     return edges.select("feature", F.posexplode(F.expr("transform(sequence(0, greatest(size(e) - 2, 0)), i -> struct(e[i] AS lo, e[least(i + 1, size(e) - 1)] AS hi))")).alias("bin", "p")).select("feature", "bin", "p.lo", "p.hi")
 
 
-def histogram(df: DataFrame, edges: DataFrame, columns: list[str]) -> DataFrame:
-    """Frequencies in the given bins: values outside are left out, the last bin holds its upper end, empty bins have frequency 0.
+def binned(long: DataFrame, edges: DataFrame) -> DataFrame:
+    """Adds the bin of each (feature, value): values outside are left out, the last bin holds its upper end.
 
-    The edges are a small table of a few bins for each column and are broadcast.
+    Each feature's edges are one array of a few numbers, and these arrays are broadcast; no row is multiplied.
     """
-    last = edges.groupBy("feature").agg(F.max("bin").alias("__last"))
-    bins = edges.join(last, "feature")
-    long = unpivot(df, [], columns)
-    inside = (F.col("value") >= F.col("lo")) & ((F.col("value") < F.col("hi")) | ((F.col("bin") == F.col("__last")) & (F.col("value") <= F.col("hi"))))
-    counts = long.join(F.broadcast(bins), "feature").filter(inside).groupBy("feature", "bin").agg(F.count(F.lit(1)).alias("n"))
-    filled = bins.join(counts, ["feature", "bin"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    arrays = edges.groupBy("feature").agg(F.array_sort(F.collect_list(F.struct("bin", "lo"))).alias("__e"), F.max("hi").alias("__hi"))
+    rows = long.join(F.broadcast(arrays.select("feature", F.col("__e.lo").alias("__lo"), "__hi")), "feature").filter(F.col("value") <= F.col("__hi"))
+    at = F.size(F.filter("__lo", lambda e: e <= F.col("value"))) - 1
+    return rows.withColumn("bin", at).filter("bin >= 0").drop("__lo", "__hi")
+
+
+def histogram(df: DataFrame, edges: DataFrame, columns: list[str]) -> DataFrame:
+    """Frequencies in the given bins: values outside are left out, the last bin holds its upper end, empty bins have frequency 0."""
+    counts = binned(unpivot(df, [], columns), edges).groupBy("feature", "bin").agg(F.count(F.lit(1)).alias("n"))
+    filled = edges.join(counts, ["feature", "bin"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     total = F.sum("n").over(Window.partitionBy("feature"))
     return filled.withColumn("freq", F.coalesce(div(F.col("n"), total), F.lit(0.0))).select("feature", "bin", "lo", "hi", "n", "freq")
 
@@ -86,27 +124,39 @@ def psi_compare(train: DataFrame, live: DataFrame, columns: list[str], bins: int
 def ks_statistic(a: DataFrame, b: DataFrame, columns: list[str]) -> DataFrame:
     """Two-sample Kolmogorov-Smirnov distance per column.
 
-    Values are counted per distinct value first, so equal ones are one step; the running windows are over those counts.
+    Values are counted per distinct value first, so equal ones are one step; running sums are those of :func:`cumulative`.
     """
     both = unpivot(a, [], columns).withColumn("s", F.lit(0)).unionByName(unpivot(b, [], columns).withColumn("s", F.lit(1))).filter("value IS NOT NULL")
-    steps = both.groupBy("feature", "value").agg(F.sum(1 - F.col("s")).alias("x"), F.sum("s").alias("y"))
-    w = Window.partitionBy("feature").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    all_ = Window.partitionBy("feature")
-    gap = F.abs(div(F.sum("x").over(w), F.sum("x").over(all_)) - div(F.sum("y").over(w), F.sum("y").over(all_)))
+    steps = cumulative(both.groupBy("feature", "value").agg(F.sum(1 - F.col("s")).alias("x"), F.sum("s").alias("y")), ["feature"], "value", ["x", "y"])
+    gap = F.abs(div(F.col("upto_x"), F.col("all_x")) - div(F.col("upto_y"), F.col("all_y")))
     return steps.withColumn("gap", gap).groupBy("feature").agg(F.max("gap").alias("ks"))
 
 
 def suggest_start_date(df: DataFrame, columns: list[str], order: str = "time", step_days: int = 30, least_days: int = 90, limit: float = 0.35, least_rows: int = 1000) -> DataFrame:
-    """Per candidate start: rows on either side, mean KS of the older against the newer ones, and whether it will do; and the newest that will."""
+    """Per candidate start: rows on either side, mean KS of the older against the newer ones, and whether it will do; and the newest that will.
+
+    A row counts once, in the span between two starts that it lies in; a start's sums are those of the spans before it.
+    """
     last = df.agg(F.max(order).alias("last"), F.min(order).alias("first"))
     starts = last.select(F.explode(F.expr(f"sequence(last - INTERVAL {least_days} DAYS, least(first, last - INTERVAL {least_days} DAYS), INTERVAL -{step_days} DAYS)")).alias("start"), "first").filter("start >= first").select("start")
-    rows = df.select(order, *columns).join(F.broadcast(starts)).withColumn("s", (F.col(order) >= F.col("start")).cast("int"))
-    long = unpivot(rows, ["start", "s"], columns).filter("value IS NOT NULL")
-    steps = long.groupBy("start", "feature", "value").agg(F.sum(1 - F.col("s")).alias("x"), F.sum("s").alias("y"))
-    w, all_ = Window.partitionBy("start", "feature").orderBy("value").rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy("start", "feature")
-    gap = F.abs(div(F.sum("x").over(w), F.sum("x").over(all_)) - div(F.sum("y").over(w), F.sum("y").over(all_)))
-    ks = steps.withColumn("gap", gap).groupBy("start", "feature").agg(F.max("gap").alias("ks"), F.sum("x").alias("older"), F.sum("y").alias("newer"))
-    mean = ks.groupBy("start").agg(F.avg("ks").alias("ks"), F.min("older").alias("older"), F.min("newer").alias("newer"))
+    starts = starts.orderBy("start")
+    known = [r["start"] for r in starts.collect()]  # as many as steps in the time that the table covers
+    if not known:
+        return starts.select("start", *[F.lit(None).cast("double").alias("ks"), *[F.lit(None).cast("long").alias(k) for k in ("older", "newer")], F.lit(None).cast("boolean").alias("ok"), F.lit(False).alias("suggested")])
+    kind = df.schema[order].dataType
+    span = sum((F.when(F.col(order) >= F.lit(k).cast(kind), 1).otherwise(0) for k in known[1:]), F.when(F.col(order) >= F.lit(known[0]).cast(kind), 1).otherwise(0))
+    long = unpivot(df.withColumn("__span", span), ["__span"], columns).filter("value IS NOT NULL")
+    names = [f"n{i}" for i in range(len(known) + 1)]
+    steps = cumulative(long.groupBy("feature", "value").agg(*[F.count_if(F.col("__span") == i).alias(k) for i, k in enumerate(names)]), ["feature"], "value", names)
+    one = []
+    for i in range(len(known)):
+        old, new = names[: i + 1], names[i + 1 :]
+        total = lambda kind, of: sum((F.col(f"{kind}_{k}") for k in of[1:]), F.col(f"{kind}_{of[0]}"))
+        gap = F.abs(div(total("upto", old), total("all", old)) - div(total("upto", new), total("all", new)))
+        one.append(F.struct(F.lit(i).alias("i"), gap.alias("gap"), total("all", old).alias("older"), total("all", new).alias("newer")))
+    ks = steps.select("feature", F.inline(F.array(*one))).groupBy("i", "feature").agg(F.max("gap").alias("ks"), F.max("older").alias("older"), F.max("newer").alias("newer"))
+    at = F.element_at(F.array(*[F.lit(k).cast(kind) for k in known]), F.col("i") + 1)
+    mean = ks.groupBy("i").agg(F.avg("ks").alias("ks"), F.min("older").alias("older"), F.min("newer").alias("newer")).select(at.alias("start"), "ks", "older", "newer")
     ok = mean.withColumn("ok", (F.col("ks") < limit) & (F.col("older") >= least_rows) & (F.col("newer") >= least_rows))
     return ok.withColumn("suggested", F.col("start").eqNullSafe(F.max(F.when(F.col("ok"), F.col("start"))).over(Window.partitionBy())))
 
@@ -163,10 +213,8 @@ def corr_filter(df: DataFrame, columns: list[str], most: float = 0.9) -> DataFra
 def mutual_information(df: DataFrame, columns: list[str], label: str, bins: int = 10) -> DataFrame:
     """Plug-in mutual information (nats) of each column in quantile bins with the label: a binned stand-in for nearest-neighbour estimates."""
     edges = quantile_edges(df, columns, bins)
-    last = edges.groupBy("feature").agg(F.max("bin").alias("__last"))
     long = unpivot(df, [label], columns).filter(F.col("value").isNotNull() & F.col(label).isNotNull())
-    inside = (F.col("value") >= F.col("lo")) & ((F.col("value") < F.col("hi")) | ((F.col("bin") == F.col("__last")) & (F.col("value") <= F.col("hi"))))
-    cells = long.join(F.broadcast(edges.join(last, "feature")), "feature").filter(inside).groupBy("feature", "bin", label).agg(F.count(F.lit(1)).alias("n"))
+    cells = binned(long, edges).groupBy("feature", "bin", label).agg(F.count(F.lit(1)).alias("n"))
     by = lambda *k: F.sum("n").over(Window.partitionBy("feature", *k))
     n = F.col("n")
     return cells.withColumns({"__x": by("bin"), "__y": by(label), "__t": by()}).groupBy("feature").agg(F.sum(n / F.col("__t") * F.ln(n * F.col("__t") / (F.col("__x") * F.col("__y")))).alias("mi"))
@@ -193,7 +241,7 @@ def rank_by_target_corr(df: DataFrame, columns: list[str], label: str, k: int) -
     return top_k(unpivot(row, [], columns, value="r").filter("r IS NOT NULL"), "r", k, "feature")
 
 
-def select_strong(df: DataFrame, columns: list[str], label: str, most: int = 300, trees: int = 32, seed: int = 7) -> DataFrame:
+def select_strong(df: DataFrame, columns: list[str], label: str, most: int = 300, trees: int = 256, seed: int = 7) -> DataFrame:
     """feature, importance of a random forest over the three times ``most`` columns best correlated with the label; those with any importance."""
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
@@ -219,7 +267,7 @@ def unstable_columns(df: DataFrame, columns: list[str], segments: int = 8, strid
 
 def heavy_columns(df: DataFrame, columns: list[str], least: float = 10.0, k: int = 30) -> DataFrame:
     """feature, ratio: 99th percentile over the absolute median, where beyond the limit."""
-    q = unpivot(df, [], columns).groupBy("feature").agg(F.percentile("value", F.lit(0.99)).alias("p99"), F.percentile("value", F.lit(0.5)).alias("p50"))
+    q = exact_quantiles(unpivot(df, [], columns), [0.99, 0.5]).withColumnsRenamed({"q0": "p99", "q1": "p50"})
     return top_k(q.withColumn("ratio", div(F.col("p99"), F.abs("p50"))).filter(F.col("ratio") > least).select("feature", "ratio"), "ratio", k, "feature")
 
 
@@ -235,9 +283,8 @@ def pearson_spearman_gap(df: DataFrame, columns: list[str], label: str) -> DataF
     long = unpivot(df, [label], columns).filter(F.col("value").isNotNull() & F.col(label).isNotNull())
 
     def ranks(column: str, name: str) -> DataFrame:
-        counts = long.groupBy("feature", column).agg(F.count(F.lit(1)).alias("n"))
-        upto = F.sum("n").over(Window.partitionBy("feature").orderBy(column).rowsBetween(Window.unboundedPreceding, 0))
-        return counts.select("feature", column, (upto - (F.col("n") - 1) / 2).alias(name))
+        counts = cumulative(long.groupBy("feature", column).agg(F.count(F.lit(1)).alias("n")), ["feature"], column, ["n"])
+        return counts.select("feature", column, (F.col("upto_n") - (F.col("n") - 1) / 2).alias(name))
 
     both = long.join(ranks("value", "rx"), ["feature", "value"]).join(ranks(label, "ry"), ["feature", label])
     per = both.groupBy("feature").agg(F.abs(safe_corr(F.col("value"), F.col(label))).alias("p"), F.abs(safe_corr(F.col("rx"), F.col("ry"))).alias("s"))

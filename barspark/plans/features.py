@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from barspark.functions.indicators import build_indicators
 from barspark.functions.stable import WINDOWS, add_stable_features
 from barspark.operators.align import merge_timeframes, safe_resample
-from barspark.operators.clean import add_calendar, finite_ffill, numeric_columns, signed_log1p, trim_from
+from barspark.operators.clean import add_calendar, finite_ffill, numeric_columns, repair_outliers, signed_log1p, trim_from
+from barspark.operators.stats import unstable_columns
 from barspark.sources.bars import duration
 from barspark.storage import stored
 
@@ -16,16 +17,21 @@ PRICES = ("open", "high", "low", "close", "volume")
 
 
 def timeframe_features(bars: DataFrame, tf: str, start=None, resample: bool = True, keys: tuple[str, ...] = ("symbol",), order: str = "time") -> DataFrame:
-    """Bars of one timeframe with indicators, log volumes, stable features and the calendar; names without the timeframe's prefix.
+    """Bars of one timeframe, their closes repaired, with indicators, log volumes, stable features and the calendar; names without the timeframe's prefix.
 
-    ``start`` is applied before any window.  ``resample`` keeps closed rows only, all columns alike.
+    ``start`` is applied before any window.  Indicators that often end in zero or null are left out.  ``resample`` keeps closed rows only,
+    all columns alike.
     """
     if start is not None:
         bars = trim_from(bars, start, order)
+    bars = repair_outliers(bars, "close", keys=keys, order=order).withColumn("close", F.col("close_fixed"))
     built = build_indicators(bars.select(*keys, order, *PRICES), tf, keys, order)
     built = built.select(*keys, order, *[F.col(k).alias(k[len(tf) + 1 :]) for k in built.columns if k not in (*keys, order)])
     built = stored(built, "indicators")  # a wide plan is cut where it is cheapest: a row per bar
     built = finite_ffill(built, [k for k in numeric_columns(built) if k not in PRICES], False, keys, order)
+    made = [k for k in numeric_columns(built) if k not in (*keys, *PRICES)]
+    gone = {r["feature"] for r in unstable_columns(built, made, keys=keys, order=order).filter("unstable").collect()}  # column names
+    built = built.drop(*gone)
     if resample:
         built = safe_resample(built, duration(tf), tuple(k for k in built.columns if k not in (*keys, order, *PRICES)), keys, order)
     built = signed_log1p(built)

@@ -196,6 +196,10 @@ def _bank(spark, d):
     return fx.rounded(df, "symbol", "time", *[f"{p}{n}" for p in ("ma", "ma_volume") for n in range(3, 150)])
 
 
+def _long_ema(spark, d):
+    return fx.rounded(scan.ema(fx.bars(spark, d), {f"ema{n}": ("close", scan.span_alpha(n)) for n in (2, 200, 2000)}), "symbol", "time", "ema2", "ema200", "ema2000", digits=4)
+
+
 def _ema(spark, d):
     df = scan.ema(fx.bars(spark, d), {"ema9": ("close", scan.span_alpha(9)), "ema50": ("close", scan.span_alpha(50)), "rma14": ("close", scan.rma_alpha(14))})
     return fx.rounded(df, "symbol", "time", "ema9", "ema50", "rma14", digits=4)
@@ -283,11 +287,12 @@ for name, (make, layers) in PRIMITIVES.items():
     QUERIES[name], ORACLES[name] = _primitive(make), layered(layers, list(layers[-1]))
 for name, sql in STABLE.items():
     QUERIES[name], ORACLES[name] = _stable(list(sql)), layered([*STABLE_IN, sql], list(sql))
-QUERIES |= {"e19_ewm_adjusted": _adjusted, "e20_affine_scan": _ema, "e20_halo_chunks": _halo, "e21_ma_bank": _bank, "f33_kama": _kama, "f37_parabolic_sar": _psar, "f57_build_indicators": _set}
+QUERIES |= {"e19_ewm_adjusted": _adjusted, "e20_affine_scan": _ema, "e20_ema_200": _long_ema, "e20_halo_chunks": _halo, "e21_ma_bank": _bank, "f33_kama": _kama, "f37_parabolic_sar": _psar, "f57_build_indicators": _set}
 QUERIES |= {"g09_imbalances": _imbalances, "g18_stable_features": _all_stable, "g19_prototype": _prototype}
 QUERIES |= {"g13_spectrum": _stable(["fft_energy_ratio_10", "fft_dom_freq_10", "spectral_entropy_10"]), "g14_wavelet": _stable(["wavelet_energy_10"])}
 ORACLES |= {
     "e20_affine_scan": layered([{"ema9": span("close", 9), "ema50": span("close", 50), "rma14": rma("close", 14)}], ["ema9", "ema50", "rma14"]),
+    "e20_ema_200": layered([{"ema2": span("close", 2), "ema200": span("close", 200), "ema2000": span("close", 2000)}], ["ema2", "ema200", "ema2000"]),
     "e20_halo_chunks": layered([{"mean20": mean("close", 20), "max20": top("high", 20)}], ["mean20", "max20"]),
     "e19_ewm_adjusted": layered([{"q": f"list(close) OVER {RUN}"}, {"ewm20": "list_sum([q[i] * pow(19.0 / 21, len(q) - i) FOR i IN range(1, len(q) + 1)]) / list_sum([pow(19.0 / 21, len(q) - i) FOR i IN range(1, len(q) + 1)])"}], ["ewm20"]),
     "e21_ma_bank": layered([{f"{p}{n}": mean(e, n) for p, e in (("ma", "close"), ("ma_volume", "volume")) for n in range(3, 150)}], [f"{p}{n}" for p in ("ma", "ma_volume") for n in range(3, 150)]),

@@ -83,6 +83,42 @@ def test_scans_do_not_depend_on_chunks(spark, bars, chunk):
     assert np.abs(got["y"] - want).max() < 1e-9
 
 
+def test_scans_of_long_series_in_levels(spark, monkeypatch):
+    monkeypatch.setattr(scan, "FOLD", 4)
+    n = 3_000
+    df = spark.range(n).selectExpr("'x' AS symbol", "timestamp_seconds(id * 60) AS time", "sin(id) + id % 17 AS close", "CASE WHEN id % 100 = 7 THEN 0D WHEN id > 0 THEN 0.9D END AS a")
+    spans = (1, 2, 200, 2_000)
+    got = scan.ema(df, {f"e{k}": ("close", scan.span_alpha(k)) for k in spans}).orderBy("time").toPandas()
+    for k in spans:
+        assert np.allclose(got[f"e{k}"], got.close.ewm(span=k, adjust=False).mean(), rtol=1e-10)
+    got = scan.varying_scan(df, "y", "a", "close", chunk=16).orderBy("time").toPandas()
+    y, want = 0.0, []
+    for a, b in zip(got.a.fillna(0), got.close, strict=True):
+        y = a * y + b
+        want.append(y)
+    assert np.allclose(got.y, want)
+
+
+def test_statistics_hold_no_column_in_one_task(spark):
+    """No window over a single feature's values, and no cross join; the results are those of pandas and numpy."""
+    rng = np.random.default_rng(5)
+    pdf = pd.DataFrame({"x": rng.normal(size=500).round(2), "y": rng.normal(size=500), "t": pd.date_range("2023-01-01", periods=500, freq="D")})
+    df = spark.createDataFrame(pdf)
+    got = {(r.feature, r.p): r.value for r in stats.quantiles(df, ["x", "y"], [0.0, 0.1, 0.5, 1.0]).collect()}
+    for (k, p), v in got.items():
+        assert v == pytest.approx(np.quantile(pdf[k], p))
+    dates = stats.suggest_start_date(df, ["x", "y"], "t", least_rows=10)
+    plan = dates._jdf.queryExecution().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+    for r in dates.collect():
+        old, new = pdf[pdf.t < r.start], pdf[pdf.t >= r.start]
+        gaps = [max(abs((old[k] <= v).mean() - (new[k] <= v).mean()) for v in pdf[k]) for k in ("x", "y")]
+        assert (r.older, r.newer) == (len(old), len(new)) and r.ks == pytest.approx(np.mean(gaps))
+    assert stats.suggest_start_date(df.limit(0), ["x"], "t").count() == 0
+    edges = stats.equal_edges(df, ["x", "y"], 10)
+    assert [r.n for r in stats.histogram(df, edges, ["x"]).filter("feature = 'x'").orderBy("bin").collect()] == np.histogram(pdf.x, 10)[0].tolist()
+
+
 def test_scan_starts_at_the_first_value(spark):
     got = ordered(scan.ema(series(spark, [None, None, 4, 8, 8]), {"y": ("close", 0.5)}), "y")
     assert got == [None, None, 4.0, 6.0, 7.0]
