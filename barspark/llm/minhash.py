@@ -3,7 +3,7 @@
 Two small collections of m short hashes each, made of few minhashes, are combined pairwise into m * m table keys: documents share a
 table just if they agree in some hash of either collection, at the cost of about 2 * m instead of m * m hash computations.
 Documents with equal shingle sets are one node.  In each table, blocks of nodes are compared by their minhashes and a forest of
-likely links is confirmed on full sets; large buckets are cut into chunks for that.  Then one node of each component in a large bucket is
+likely links is confirmed on full sets; large buckets are cut into chunks for that.  Then one node of each component in a very large bucket is
 compared with those of other components, again in chunks and chunks of chunks, so that a large group of near copies becomes one component
 at a cost that grows with its size and not with its square.  Last, all likely pairs between the components so far are confirmed, so that no
 link that could join two components is passed over.  A pair that several tables hold is passed on by the first of them only, and only
@@ -144,8 +144,9 @@ def _first_table(a: np.ndarray, b: np.ndarray, s: Settings) -> np.ndarray:
     return same[:, 0].argmax(1) * s.collection + same[:, 1].argmax(1)
 
 
-def _likely(s: Settings, every: bool):
-    """Likely pairs of each block.  ``every``: all of them between components, each in its first table only; else for each node one earlier partner.
+def _likely(s: Settings, every: bool, earlier: bool = True):
+    """Likely pairs (a, b) of each block.  ``every``: all of them between components, each in its first table only; else for each node b its best
+    partner a, of the nodes before it if ``earlier``.
 
     Where the payload has roots, only nodes of different components are partners.
     """
@@ -169,13 +170,13 @@ def _likely(s: Settings, every: bool):
                 rows, cols = (slice(a, cut), slice(cut, b)) if two else (slice(a, b), slice(a, b))
                 agree = _agreeing(signs[cols], signs[rows])
                 if not two:
-                    agree = np.tril(agree, -1)
+                    agree = np.tril(agree, -1) if every or earlier else np.where(np.eye(b - a, dtype=bool), 0, agree)
                 if root is not None:
                     agree[root[cols][:, None] == root[rows][None, :]] = 0
                 if not every:
                     best = (agree // 4).argmax(1)  # of about equally good partners the first, so that tables agree on it
                     good = np.flatnonzero(agree[np.arange(len(best)), best] >= least)
-                    found.append(np.stack([node[cols][good], node[rows][best[good]]], 1))
+                    found.append(np.stack([node[rows][best[good]], node[cols][good]], 1))
                     continue
                 i, j = np.nonzero(agree >= least)
                 table = int(key.view(np.uint64)[a] & TABLE)
@@ -186,8 +187,7 @@ def _likely(s: Settings, every: bool):
                     near = (sketch[x] == sketch[y]).sum(1) >= least_sketch
                     found.append(np.stack([node[x[near]], node[y[near]]], 1))
             pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
-            pairs = np.unique(np.sort(pairs, 1), axis=0)
-            pairs = pairs[pairs[:, 0] != pairs[:, 1]]
+            pairs = np.unique(np.sort(pairs, 1) if every else pairs, axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
     return run
@@ -251,6 +251,8 @@ def _sets(df: DataFrame, wanted: DataFrame, ids_repeat: bool, s: Settings, id_co
     return by_id.unionByName(nameless.join(same, "of_text").select("node", "text").mapInArrow(run, "node long, shingles binary").dropDuplicates(["node"]))
 
 
+#: Chunks of a bucket of which all pairs are compared at once; a larger bucket starts with single chunks.
+PAIRED = 8
 #: Rounds in which components in large buckets are compared by one node each; each leaves about one in a chunk's size.
 ROUNDS = 4
 
@@ -270,20 +272,20 @@ def link(df: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id",
     nodes = stored(nodes, "nodes")
     shared = stored(buckets.shared_keys(nodes, lambda x: _tables(x, s)), "tables")
     large = stored(buckets.large_keys(shared), "large")
-    crowded = not large.isEmpty()
     large_few = buckets.few(large)
+    crowd = large.filter(F.col("n") > PAIRED)
+    crowded = not crowd.isEmpty()
     half = nodes.select("node", "id", "of_text", _low_halves(F.col("least")).alias("least"))
     pairs = "a long, b long"
-    one_partner = lambda found: found.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    in_order = lambda found: found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    one_partner = lambda found: in_order(found.groupBy("b").agg(F.mode("a", True).alias("a")))
     payload = half.select("node", "least")
-    if not crowded:
-        forest = buckets.in_blocks(buckets.blocks(shared, large_few, False), payload, _likely(s, False), pairs).distinct()
-    else:  # in large buckets a node may meet other partners in every table; one is enough for a start
-        in_large = stored(shared.join(large_few, "key"), "in-large")
-        small = shared.join(large_few.select("key"), "key", "left_anti")
-        forest = buckets.in_blocks(buckets.blocks(small, large_few, False), payload, _likely(s, False), pairs).distinct()
-        crowd = buckets.in_blocks(buckets.blocks(in_large.select("key", "node"), large_few, False), payload, _likely(s, False), pairs)
-        forest = forest.unionByName(one_partner(crowd)).distinct()
+    ordinary = shared.join(crowd.select("key"), "key", "left_anti") if crowded else shared
+    forest = in_order(buckets.in_blocks(buckets.blocks(ordinary, large_few), payload, _likely(s, False), pairs))
+    if crowded:  # there a node may meet other partners in every table; one is enough for a start
+        in_large = stored(shared.join(crowd, "key"), "in-large")
+        start = buckets.in_blocks(buckets.blocks(in_large.select("key", "node"), crowd, False), payload, _likely(s, False, False), pairs)
+        forest = forest.unionByName(one_partner(start)).distinct()
     forest = stored(forest, "forest")
     likely_nodes = forest.select(F.col("a").alias("node")).union(forest.select("b"))
     if crowded:  # they may have partners in other chunks
@@ -295,14 +297,17 @@ def link(df: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id",
     sketched = stored(half.join(_sketches(sets, s), "node").select("node", "least", "sketch"), "sketched") if crowded else half.join(_sketches(sets, s), "node").select("node", "least", "sketch")
     rooted = lambda: sketched.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"), "sketch")
     for turn in range(ROUNDS if crowded else 0):
-        members = in_large.join(roots, "node", "left").groupBy("key", F.coalesce("root", "node").alias("root")).agg(F.min("node").alias("node"))
+        # the node with the most links stands for its component: what many are near to
+        degree = links.select(F.col("a").alias("node")).unionAll(links.select("b")).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
+        known = stored(in_large.select("node").distinct().join(roots, "node", "left").join(degree, "node", "left").select("node", F.coalesce("root", "node").alias("root"), F.coalesce("degree", F.lit(0)).alias("degree")), "known")
+        members = in_large.select("key", "node").join(known, "node").groupBy("key", "root").agg(F.max_by("node", F.struct("degree", "node")).alias("node"))
         members = stored(members, "members")
         several = members.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("key", F.ceil(F.col("m") / buckets.CHUNK).cast("int").alias("n"))
         several = stored(several, "several")
         if several.isEmpty():
             break
         placed = buckets.blocks(members.select("key", "node").join(several.select("key"), "key", "left_semi"), several, False, turn)
-        found = stored(_confirmed(one_partner(buckets.in_blocks(placed, rooted().drop("sketch"), _likely(s, False), pairs)), sets, s), "links")
+        found = stored(_confirmed(one_partner(buckets.in_blocks(placed, rooted().drop("sketch"), _likely(s, False, False), pairs)), sets, s), "links")
         if found.isEmpty():
             break
         links = links.unionByName(found)

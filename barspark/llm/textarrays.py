@@ -65,6 +65,19 @@ def span_hashes(code: np.ndarray, items: np.ndarray, start: np.ndarray, end: np.
     return out
 
 
+def release() -> None:
+    """Gives freed memory back to the system, so that a worker that is used again doesn't keep the most it ever held."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library
+        pass
+
+
 def text_blocks(batches: Iterator[pa.RecordBatch], text: int = 1) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Blocks of whole documents: the rows, their UTF-8 as one uint8 array, and the n + 1 offsets.
 
@@ -83,6 +96,7 @@ def text_blocks(batches: Iterator[pa.RecordBatch], text: int = 1) -> Iterator[tu
             own = offsets[first : last + 1]
             yield batch.slice(first, last - first), data[own[0] : own[-1]], own - own[0]
             first = last
+    release()
 
 
 def words(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -135,6 +135,7 @@ def test_a_large_group_of_near_copies_in_small_chunks(spark, monkeypatch):
 
     monkeypatch.setattr(buckets, "CHUNK", 8)
     monkeypatch.setattr(buckets.large_keys, "__defaults__", (8,))
+    monkeypatch.setattr(minhash, "PAIRED", 2)
     rng = random.Random(12)
     base = [f"v{i}" for i in range(60)]
     rows = []
