@@ -101,6 +101,12 @@ def rolling_median(x: Column, n: int, w: WindowSpec, least: int | None = None) -
     return rolling_quantile(x, 0.5, n, w, least)
 
 
+def rolling_apply(x: Column, n: int, fn: Callable[[Column], Column], w: WindowSpec, least: int | None = None) -> Column:
+    """Any function of the frame's values, an array in the window's order without nulls: higher-order functions, or a pandas UDF over arrays."""
+    own = frame(w, n)
+    return F.when(F.count(x).over(own) >= (n if least is None else least), fn(F.collect_list(x).over(own)))
+
+
 def rolling_up_count(rise: Column, n: int, w: WindowSpec) -> Column:
     """Rises inside the frame: n - 1 steps.  rise: 1 where a row is above the one before, a column of its own."""
     return F.when(F.count(F.lit(1)).over(frame(w, n)) >= n, F.sum(rise).over(w.rowsBetween(2 - n, 0)))

@@ -10,7 +10,7 @@ from barspark.functions import windows as x
 from barspark.operators import decide, frame, models, parity, scan, stats
 from barspark.plans import fixtures as fx
 from barspark.plans.indicator_queries import BARS, W, fr
-from barspark.plans.operator_queries import B30, COUNTS, METRICS, SCORED, SECOND, T, named_bars, on_scored, r
+from barspark.plans.operator_queries import B30, COUNTS, LAB, METRICS, SCORED, SECOND, T, named_bars, on_scored, r
 from barspark.storage import shared_folder
 from barspark.streaming import live
 
@@ -31,7 +31,9 @@ a AS (SELECT k AS j, count(*) FILTER (WHERE p * 50 >= k - 1e-9 AND y = 1) AS tp,
 t AS (SELECT i / 50 AS lo, j / 50 AS hi, tp, fp, tn, fn, (SELECT count(*) FROM scored WHERE y IS NOT NULL) AS n FROM b, a WHERE i < j),
 m AS (SELECT *, (tp + fp + tn + fn) / n AS confident, (tp + fp) / nullif(tp + fp + tn + fn, 0) AS buy, coalesce((tp + tn) / nullif(tp + fp + tn + fn, 0), 0) AS accuracy, (coalesce(tp / nullif(tp + fn, 0), 0) + coalesce(tn / nullif(tn + fp, 0), 0)) / 2 AS bal, coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0) AS f1 FROM t)"""
 add("k02_find_thresholds", on_scored("lo", "hi", "score", "confident", "buy")(lambda s: decide.find_thresholds(s, steps=50)), f"WITH {SCORED}, {GRID} SELECT {r('lo', 'hi', 'score=(f1 + bal) / 2', 'confident', 'buy')} FROM m WHERE round(hi - lo, 9) >= 0.05 AND confident >= 0.5 AND tp + fp > 0 AND tn + fn > 0 AND buy BETWEEN 0.3 AND 0.7 ORDER BY round((f1 + bal) / 2, 12) DESC, m.lo, m.hi LIMIT 1")
-add("k03_find_thresholds_accuracy", on_scored("lo", "hi", "accuracy", "coverage")(lambda s: decide.find_thresholds_accuracy(s, steps=50)), f"WITH {SCORED}, {GRID} SELECT {r('lo', 'hi', 'accuracy', 'coverage=confident')} FROM m WHERE confident >= 0.5 ORDER BY round(m.accuracy, 12) DESC, m.lo, m.hi LIMIT 1")
+_FINE = GRID.replace("51", "601").replace("50", "600")
+add("k02_find_thresholds_600", on_scored("lo", "hi", "score", "confident", "buy")(lambda s: decide.find_thresholds(s, steps=600)), f"WITH {SCORED}, {_FINE} SELECT {r('lo', 'hi', 'score=(f1 + bal) / 2', 'confident', 'buy')} FROM m WHERE round(hi - lo, 9) >= 0.05 AND confident >= 0.5 AND tp + fp > 0 AND tn + fn > 0 AND buy BETWEEN 0.3 AND 0.7 ORDER BY round((f1 + bal) / 2, 12) DESC, m.lo, m.hi LIMIT 1")
+add("k03_find_thresholds_accuracy",on_scored("lo", "hi", "accuracy", "coverage")(lambda s: decide.find_thresholds_accuracy(s, steps=50)), f"WITH {SCORED}, {GRID} SELECT {r('lo', 'hi', 'accuracy', 'coverage=confident')} FROM m WHERE confident >= 0.5 ORDER BY round(m.accuracy, 12) DESC, m.lo, m.hi LIMIT 1")
 add("k04_adjust_thresholds", on_scored("symbol", "time", "regime", "neg_thr", "pos_thr")(lambda s: decide.adjust_thresholds(s.withColumn("atr", c("high") - c("low")), 0.4, 0.6)),
     f"""WITH {SCORED}, k AS (SELECT *, lag(high - low) OVER {W} AS a, lag(volume) OVER {W} AS v FROM scored), m AS (SELECT *, a / nullif(avg(a) OVER {fr(50)}, 0) AS ra, v / nullif(avg(v) OVER {fr(50)}, 0) AS rv FROM k),
 g AS (SELECT *, CASE WHEN ra > 1.5 OR rv < 0.5 THEN 'HIGH' WHEN ra < 0.5 AND rv > 1.5 THEN 'LOW' ELSE 'NORMAL' END AS regime FROM m), h AS (SELECT *, CASE regime WHEN 'HIGH' THEN 0.02 WHEN 'LOW' THEN -0.02 ELSE 0 END AS mv FROM g)
@@ -156,13 +158,19 @@ def _calibrated(spark, d):
 
 def _oversampled(spark, d):
     rows = _framed(spark, d).filter("y = 1 OR minute(time) = 0").withColumn("row_id", F.xxhash64("symbol", "time"))
-    return models.oversample_knn(rows, XS).groupBy("y", "synthetic").agg(F.count(F.lit(1)).alias("n"))
+    return fx.rounded(models.oversample_knn(rows, XS).groupBy("y", "synthetic").agg(F.count(F.lit(1)).alias("n")))
+
+
+#: Counts only: which rows are drawn and which neighbours they meet is random.
+_OVERSAMPLED = f"""WITH {B30}, {LAB}, m AS (SELECT *, count(close) OVER {fr(10)} AS k, max(close) OVER {fr(10)} - min(close) OVER {fr(10)} AS wide FROM lab WHERE y IS NOT NULL),
+n AS (SELECT y, count(*) AS n FROM m WHERE k >= 10 AND wide > 0 AND (y = 1 OR minute(time) = 0) GROUP BY 1), w AS (SELECT min(n) AS few, CAST(floor(0.8::DOUBLE * max(n)) AS BIGINT) AS want FROM n)
+SELECT CAST(y AS BIGINT) AS y, false AS synthetic, n FROM n UNION ALL SELECT CAST(y AS BIGINT), true, want - n FROM n, w WHERE n = few AND want > n"""
 
 
 add("j01_classifiers", _classifier)
 add("j02_regressors", _regressor)
 add("j03_calibrate", _calibrated)
-add("j04_oversample", _oversampled)
+add("j04_oversample", _oversampled, _OVERSAMPLED)
 add("j09_grid", lambda spark, d: fx.rounded(models.grid_evaluate(_framed(spark, d), XS, [{"algo": "logreg"}, {"algo": "logreg", "regParam": 0.1}, {"algo": "rf", "numTrees": 5}])))
 
 # --- L ---
@@ -261,4 +269,4 @@ def _replay(spark, d):
 
 
 add("n01_stream_bars", _stream_bars, f"WITH {B30}, m AS (SELECT max(ts) - INTERVAL 1 HOUR AS w FROM events) SELECT symbol, {T}, {r('open', 'high', 'low', 'close', 'volume')} FROM bars, m WHERE time + INTERVAL 30 MINUTE <= w")
-add("n08_replay_parity", _replay)
+add("n08_replay_parity", _replay, f"WITH {B30}, m AS (SELECT max(ts) - INTERVAL 1 HOUR AS w FROM events), k AS (SELECT count(*) AS tests FROM bars, m WHERE time + INTERVAL 30 MINUTE <= w) SELECT unnest(['ema12', 'ema26']) AS feature, tests, CAST(0 AS BIGINT) AS n_diff FROM k")

@@ -181,7 +181,8 @@ PRIMITIVES = {
         [{"m": mean("close", 20), "v": std("close", 20, None, "var_pop"), "q": f"list(close) OVER {fr(20)}"}, {"skew": "list_avg([pow(z - m, 3) FOR z IN q]) / pow(v, 1.5)", "kurt": "list_avg([pow(z - m, 4) FOR z IN q]) / pow(v, 2) - 3"}],
     ),
     "e09_rolling_median": (lambda w: {"median9": x.rolling_median(c("close"), 9, w), "q20": x.rolling_quantile(c("close"), 0.2, 9, w)}, [{"median9": f"CASE WHEN count(close) OVER {fr(9)} >= 9 THEN quantile_cont(close, 0.5) OVER {fr(9)} END", "q20": f"CASE WHEN count(close) OVER {fr(9)} >= 9 THEN quantile_cont(close, 0.2) OVER {fr(9)} END"}]),
-    "e10_up_count": (lambda w: {"ups": x.rolling_up_count(c("rise"), 10, w).cast("double")}, [{"r": f"CASE WHEN close > {lag('close')} THEN 1 WHEN {lag('close')} IS NOT NULL THEN 0 END"}, {"ups": f"CASE WHEN count(*) OVER {fr(10)} >= 10 THEN CAST(sum(r) OVER {fr(9)} AS BIGINT) END"}]),
+    "e09_rolling_apply": (lambda w: {"spread": x.rolling_apply(c("close"), 9, lambda v: F.array_max(v) - F.array_min(v), w)}, [{"spread": f"CASE WHEN count(close) OVER {fr(9)} >= 9 THEN max(close) OVER {fr(9)} - min(close) OVER {fr(9)} END"}]),
+    "e10_up_count": (lambda w:{"ups": x.rolling_up_count(c("rise"), 10, w).cast("double")}, [{"r": f"CASE WHEN close > {lag('close')} THEN 1 WHEN {lag('close')} IS NOT NULL THEN 0 END"}, {"ups": f"CASE WHEN count(*) OVER {fr(10)} >= 10 THEN CAST(sum(r) OVER {fr(9)} AS BIGINT) END"}]),
     "e11_bars_since": (lambda w: {"since_max": x.bars_since_max(c("close"), c("row"), 10, w).cast("double"), "since_min": x.bars_since_min(c("close"), c("row"), 10, w).cast("double")}, [{"q": f"list(close) OVER {fr(10)}"}, {"since_max": "CASE WHEN len(q) >= 10 THEN 10 - list_position(q, list_max(q)) END", "since_min": "CASE WHEN len(q) >= 10 THEN 10 - list_position(q, list_min(q)) END"}]),
     "e12_slope": (lambda w: {"slope": x.rolling_slope(c("close"), c("row"), 8, w)}, [{"rn": f"CAST(row_number() OVER {W} AS DOUBLE)"}, {"slope": f"CASE WHEN count(close) OVER {fr(8)} >= 2 THEN {div(f'covar_pop(close, rn) OVER {fr(8)}', f'var_pop(rn) OVER {fr(8)}')} END"}]),
     "e13_corr": (lambda w: {"corr": x.rolling_corr(c("close"), c("volume"), 12, w)}, [{"corr": f"CASE WHEN count(close) OVER {fr(12)} >= 2 AND min(close) OVER {fr(12)} <> max(close) OVER {fr(12)} AND min(volume) OVER {fr(12)} <> max(volume) OVER {fr(12)} THEN corr(close, volume) OVER {fr(12)} END"}]),

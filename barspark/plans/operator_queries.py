@@ -112,7 +112,8 @@ add("b12_calendar", rows("symbol", "time", "hour", "day_of_week", "is_weekend")(
     f"WITH {B30}, k AS (SELECT *, lag(time) OVER {W} AS t FROM bars) SELECT symbol, {T}, CAST(hour(t) AS BIGINT) AS hour, CAST(isodow(t) - 1 AS BIGINT) AS day_of_week, CAST(isodow(t) >= 6 AS BIGINT) AS is_weekend FROM k WHERE t IS NOT NULL")
 add("b14_column_profile", lambda spark, d: fx.rounded(clean.column_profile(fx.bars(spark, d).withColumns({"flag": (c("close") > 50).cast("int"), "nothing": F.lit(0.0)}), ["close", "flag", "nothing"])),
     f"WITH {B30}, u AS (SELECT 'close' AS feature, close AS v FROM bars UNION ALL SELECT 'flag', CAST(close > 50 AS INT) FROM bars UNION ALL SELECT 'nothing', 0 FROM bars) SELECT feature, count(DISTINCT v) AS n_distinct, {r('max_abs=max(abs(v))')}, bool_and(v IN (0, 1)) AS is_binary FROM u GROUP BY 1")
-add("b15_zeros_ffill", lambda spark, d: fx.rounded(clean.zeros_to_ffill(fx.dirty_bars(spark, d), ["close"]), "symbol", "time", "close"), f"WITH {DIRTY}, f AS (SELECT symbol, time, last_value(nullif(close, 0) IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY time ROWS UNBOUNDED PRECEDING) AS close FROM dirty) SELECT symbol, {T}, {r('close')} FROM f")
+add("b14_drop_constant", rows()(lambda b: clean.drop_constant(b.withColumns({"flag": (c("close") > 50).cast("int"), "nothing": F.lit(0.0)}), [*OHLCV, "flag", "nothing"])), f"WITH {B30} SELECT symbol, {T}, {r(*OHLCV)}, CAST(close > 50 AS BIGINT) AS flag FROM bars")
+add("b15_zeros_ffill",lambda spark, d: fx.rounded(clean.zeros_to_ffill(fx.dirty_bars(spark, d), ["close"]), "symbol", "time", "close"), f"WITH {DIRTY}, f AS (SELECT symbol, time, last_value(nullif(close, 0) IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY time ROWS UNBOUNDED PRECEDING) AS close FROM dirty) SELECT symbol, {T}, {r('close')} FROM f")
 for k, e in (("median", "quantile_cont(close, 0.5)"), ("mean", "avg(close)")):
     add(f"b16_impute_{k}", lambda spark, d, k=k: fx.rounded(clean.impute(fx.dirty_bars(spark, d), ["close"], k), "symbol", "time", "close"), f"WITH {DIRTY} SELECT symbol, {T}, {r(f'close=coalesce(close, (SELECT {e} FROM dirty))')} FROM dirty")
 add("b17_conform", lambda spark, d: fx.rounded(clean.conform(fx.dirty_bars(spark, d), ["volume", "close", "extra"], {"close": 7.0})), f"WITH {DIRTY} SELECT symbol, {T}, {r('volume', 'close=coalesce(close, 7)', 'extra=0')} FROM dirty")
@@ -135,7 +136,18 @@ add("c05_keep_common", lambda spark, d: fx.rounded(align.keep_common(fx.bars(spa
 add("c06_asof", lambda spark, d: fx.rounded(align.asof_value(fx.bars(spark, d, "15 minutes"), fx.bars(spark, d, "60 minutes"), ["close", "volume"])), f"WITH {named_bars(15, 'b15')}, {named_bars(60, 'b60')} SELECT symbol, {T}, {r('close=b.close', 'volume=b.volume')} FROM b15 a ASOF LEFT JOIN b60 b USING (symbol, time)")
 add("c07_label_at", lambda spark, d: fx.rounded(align.label_at(fx.bars(spark, d, "15 minutes").select("symbol", "time"), fx.bars(spark, d)).withColumn("y", c("y").cast("double"))), f"WITH {named_bars(15, 'b15')}, {B30}, k AS (SELECT symbol, time, CASE WHEN lead(close) OVER {W} IS NOT NULL THEN CAST(lead(close) OVER {W} > close AS INT) END AS y FROM bars) SELECT symbol, {T}, {r('y')} FROM b15 LEFT JOIN k USING (symbol, time)")
 add("c08_latest_common", lambda spark, d: fx.rounded(align.latest_common_time({m: fx.bars(spark, d, f"{m} minutes") for m in ("5", "15", "60")})), f"WITH {named_bars(5, 'b5')}, {named_bars(15, 'b15')}, {named_bars(60, 'b60')} SELECT symbol, strftime(max(time), '%Y-%m-%d %H:%M:%S') AS time FROM b5 JOIN b15 USING (symbol, time) JOIN b60 USING (symbol, time) GROUP BY symbol")
-add("c09_bar_at", lambda spark, d: fx.rounded(align.bar_at(fx.bars(spark, d, "5 minutes").select("symbol", "time"), fx.bars(spark, d).select("symbol", "time", "close"), "30T")), f"WITH {named_bars(5, 'b5')}, {B30} SELECT b5.symbol, strftime(b5.time, '%Y-%m-%d %H:%M:%S') AS time, strftime(bars.time, '%Y-%m-%d %H:%M:%S') AS bar_time, {r('close=bars.close')} FROM b5 JOIN bars ON b5.symbol = bars.symbol AND time_bucket(INTERVAL 30 MINUTE, b5.time) = bars.time")
+
+
+def _trimmed(spark, d):
+    out = None
+    for tf, df in align.trim_to_common({m: fx.bars(spark, d, f"{m} minutes") for m in ("5", "15", "60")}).items():
+        own = df.select("symbol", F.lit(tf).alias("tf"), "time", "close")
+        out = own if out is None else out.unionByName(own)
+    return fx.rounded(out)
+
+
+add("c08_trim_to_common", _trimmed, f"WITH {named_bars(5, 'b5')}, {named_bars(15, 'b15')}, {named_bars(60, 'b60')}, z AS (SELECT symbol, max(time) AS z FROM b5 JOIN b15 USING (symbol, time) JOIN b60 USING (symbol, time) GROUP BY symbol), u AS (SELECT '5' AS tf, * FROM b5 UNION ALL SELECT '15', * FROM b15 UNION ALL SELECT '60', * FROM b60) SELECT symbol, tf, {T}, {r('close')} FROM u JOIN z USING (symbol) WHERE time <= z")
+add("c09_bar_at",lambda spark, d: fx.rounded(align.bar_at(fx.bars(spark, d, "5 minutes").select("symbol", "time"), fx.bars(spark, d).select("symbol", "time", "close"), "30T")), f"WITH {named_bars(5, 'b5')}, {B30} SELECT b5.symbol, strftime(b5.time, '%Y-%m-%d %H:%M:%S') AS time, strftime(bars.time, '%Y-%m-%d %H:%M:%S') AS bar_time, {r('close=bars.close')} FROM b5 JOIN bars ON b5.symbol = bars.symbol AND time_bucket(INTERVAL 30 MINUTE, b5.time) = bars.time")
 add("c10_alignment", lambda spark, d: fx.rounded(align.check_alignment(align.merge_timeframes(fx.bars(spark, d).select("symbol", "time", "close"), {"1H": fx.bars(spark, d, "60 minutes").select("symbol", "time", "close")}), "30T")),
     f"""WITH {B30}, {named_bars(60, 'b60')}, m AS (SELECT symbol, max(time) AS a FROM bars GROUP BY 1), h AS (SELECT symbol, max(time) AS b FROM b60 GROUP BY 1), lim AS (SELECT symbol, max(time) AS z FROM (SELECT symbol, time FROM bars UNION SELECT symbol, time FROM b60) WHERE isodow(time) < 6 GROUP BY 1),
 u AS (SELECT symbol, '30T' AS tf, (SELECT max(time) FROM bars x WHERE x.symbol = lim.symbol AND time <= z) AS l, 0 AS al FROM lim UNION ALL SELECT symbol, '1H', (SELECT max(time) FROM b60 x WHERE x.symbol = lim.symbol AND time <= z), 30 FROM lim),
@@ -194,7 +206,7 @@ SELECT feature, {r('mi=sum(n / t * ln(n * t / (x * w)))')} FROM t GROUP BY 1""")
 add("i04_select_features", lambda spark, d: fx.rounded(stats.select_features(frame.label_next_up(frame.ts_folds(fx.bars(spark, d), 2)), ["open", "high", "low", "close", "volume"], "y", "test_fold", 3)))
 add("i05_rank_by_corr", lambda spark, d: fx.rounded(stats.rank_by_target_corr(frame.label_next_up(fx.bars(spark, d)), OHLCV, "y", 3)),
     f"WITH {B30}, {LAB}, u AS (SELECT unnest(['open', 'high', 'low', 'close', 'volume']) AS feature, unnest([open, high, low, close, volume]) AS v, y FROM lab WHERE y IS NOT NULL), k AS (SELECT feature, abs(corr(v, y)) AS r FROM u GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 3) SELECT feature, {r('r')} FROM k")
-add("i06_select_strong", lambda spark, d: stats.select_strong(frame.label_next_up(fx.bars(spark, d)), OHLCV, "y", 3, 8).select("feature"))
+add("i06_select_strong", lambda spark, d: stats.select_strong(frame.label_next_up(fx.bars(spark, d)), OHLCV, "y", 3).select("feature"))
 add("i07_unstable", lambda spark, d: fx.rounded(stats.unstable_columns(fx.dirty_bars(spark, d), ["close", "high"], 8, 5)),
     f"WITH {DIRTY}, k AS (SELECT *, row_number() OVER {W} AS i, count(*) OVER (PARTITION BY symbol) AS m FROM dirty), s AS (SELECT * FROM k WHERE (i - 1) % CAST(ceil(m / 8) AS BIGINT) % 5 = 4 OR i = m), u AS (SELECT unnest(['close', 'high']) AS feature, unnest([close, high]) AS v FROM s), a AS (SELECT feature, count(*) AS samples, count(*) FILTER (WHERE v IS NULL OR v = 0) AS fails FROM u GROUP BY 1) SELECT feature, samples, fails, {r('ratio=fails / samples')}, fails / samples >= 0.12 OR fails >= 8 AS unstable FROM a")
 add("i08_heavy", rows()(lambda b: stats.heavy_columns(b, OHLCV, 1.5)), f"WITH {B30}, {LONG}, k AS (SELECT feature, quantile_cont(value, 0.99) / nullif(abs(quantile_cont(value, 0.5)), 0) AS ratio FROM u GROUP BY 1) SELECT feature, {r('ratio')} FROM k WHERE ratio > 1.5")

@@ -7,10 +7,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barspark.operators import stats
+from barspark.operators import models, stats
 from barspark.plans import fixtures as fx
 from barspark.plans.indicator_queries import fr, span
 from barspark.plans.operator_queries import B30, EDGES, HALF, HIST, SCORED, T, named_bars, r
+from barspark.sources import bars as src
 from barspark.sources import store
 from barspark.storage import shared_folder
 from barspark.streaming import live
@@ -47,6 +48,43 @@ add("a06_report", report, f"WITH {B30} SELECT symbol, {T}, {r('close')} FROM bar
 _CLOSE = "u AS (SELECT 'close' AS feature, close AS value, time FROM bars)"
 
 
+def candle_file(df: DataFrame, path: str) -> str:
+    """Bars of one series as a CSV file under other column names."""
+    df.select(c("time").alias("Date"), "open", "high", "low", c("close").alias("Close"), "volume").write.option("header", True).csv(path)
+    return path
+
+
+def read_daily(spark, d):
+    days = src.daily_bars(fx.table(spark, d, "orders"), F.lit("ALL"), "o_totalprice", "o_orderdate", "o_orderkey")
+    return fx.rounded(src.read_bars(spark, candle_file(days, f"{folder(spark)}/daily"), "1D", "ALL"))
+
+
+add("a01_read_bars", read_daily, f"SELECT 'ALL' AS symbol, '1D' AS tf, strftime(CAST(o_orderdate AS TIMESTAMP), '%Y-%m-%d %H:%M:%S') AS time, {r('open=first(o_totalprice ORDER BY o_orderkey)', 'high=max(o_totalprice)', 'low=min(o_totalprice)', 'close=last(o_totalprice ORDER BY o_orderkey)', 'volume=count(*)')} FROM orders GROUP BY o_orderdate")
+
+
+def read_several(spark, d):
+    """Bars of all events together at two timeframes; a third has no file."""
+    f = folder(spark)
+    file = lambda every, tf: candle_file(src.bars_from_events(fx.table(spark, d, "events"), every, F.lit("ALL")), f"{f}/{tf}")
+    return fx.rounded(src.read_timeframes(spark, {"30T": [f"{f}/none", file("30 minutes", "30T")], "1H": file("60 minutes", "1H"), "5T": f"{f}/none"}, "30T", "ALL"))
+
+
+_ALL = f"WITH {B30}, {named_bars(60, 'b60')}".replace("event_type", "'ALL'")
+add("a02_read_timeframes", read_several, f"{_ALL}, u AS (SELECT '30T' AS tf, * FROM bars UNION ALL SELECT '1H', * FROM b60) SELECT symbol, tf, {T}, {r('open', 'high', 'low', 'close', 'volume')} FROM u")
+
+
+def kept_model(spark, d):
+    """Predictions of a line that was fitted, saved and loaded again; a line has a closed form."""
+    path, bars = f"{folder(spark)}/model", fx.bars(spark, d)
+    meta = {"window_size": 1, "neg_thr": 0.4, "pos_thr": 0.6, "feats": ["open"], "train_window_cols": ["open"], "schema_version": 1}
+    store.save_model(models.fit_regressor(bars, ["open"], "close"), meta, path)
+    model, meta = store.load_model(spark, path)
+    return fx.rounded(model.transform(bars.select("symbol", "time", *meta["train_window_cols"])), "symbol", "time", "prediction", digits=4)
+
+
+add("a09_model", kept_model, f"WITH {B30}, l AS (SELECT regr_intercept(close, open) AS a, regr_slope(close, open) AS b FROM bars) SELECT symbol, {T}, {r('prediction=a + b * open', digits=4)} FROM bars, l")
+
+
 def distribution(spark, d):
     path, bars = f"{folder(spark)}/distribution", fx.bars(spark, d)
     store.save_distribution(stats.histogram(bars, stats.equal_edges(bars, ["close"], 10), ["close"]), path)
@@ -86,7 +124,7 @@ add("n03_process_once", once, f"WITH {B30} SELECT symbol, {T}, {r('close')} FROM
 
 
 def features(spark, d):
-    stream, f = streamed(fx.bars(spark, d).coalesce(1))
+    stream, f = streamed(fx.bars(spark, d))  # all files are one batch, whose rows the state takes by time
     return live.to_table(live.stream_features(stream), f"{f}/out", f"{f}/c")
 
 

@@ -58,10 +58,11 @@ class _WaitAll(StatefulProcessor):
         waiting = list(self.waiting.get()) if self.waiting.exists() else []
         upto = min(reached) if reached and None not in reached else None
         done = [w for w in waiting if upto is not None and w[0] <= upto]
-        self.waiting.clear()
-        for w in waiting:
-            if w not in done:
-                self.waiting.appendValue(tuple(w))
+        if done:
+            self.waiting.clear()
+            for w in waiting:
+                if w[0] > upto:
+                    self.waiting.appendValue(tuple(w))
         if done:
             yield pd.DataFrame({"symbol": [key[0]] * len(done), "time": [w[0] for w in done], "close": [w[1] for w in done]})
 

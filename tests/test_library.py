@@ -26,7 +26,8 @@ FOLDER = "/root/testdata/sf0.001"
 SOME = (
     "entry_up_rate a05_bars_15m a10_slice_tail b03_common_start b04_repair_outliers b06_ffill c02_safe_resample c03_merge_timeframes c06_asof d05_histogram e09_rolling_median e11_bars_since "
     "e20_affine_scan e20_halo_chunks f16_macd f17_adx f33_kama f48_ichimoku g05_ret_vol_corr g14_wavelet h02_ready h08_folds i09_ks i11_psi i13_correlation_gap k02_find_thresholds k05_adaptive_thresholds "
-    "k14_shift_sweep l01_feature_diff l07_row_distance l10_tail_convergence m04_warmup_report n01_stream_bars"
+    "k14_shift_sweep l01_feature_diff l07_row_distance l10_tail_convergence m04_warmup_report n01_stream_bars "
+    "a01_read_bars a02_read_timeframes a09_model b14_drop_constant c08_trim_to_common e09_rolling_apply j04_oversample k02_find_thresholds_600 n02_wait_all n04_stream_features n08_replay_parity"
 ).split()
 
 
