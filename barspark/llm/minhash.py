@@ -7,7 +7,7 @@ likely links is confirmed on full sets; large buckets are cut into chunks for th
 compared with those of other components, again in chunks and chunks of chunks, so that a large group of near copies becomes one component
 at a cost that grows with its size and not with its square.  Last, all likely pairs between the components so far are confirmed, so that no
 link that could join two components is passed over.  A pair that several tables hold is passed on by the first of them only, and only
-if a longer sketch of both sets does not rule it out.
+if sketches of both sets (the least of their hashes, or all those of a small set) do not rule it out.
 """
 
 from __future__ import annotations
@@ -34,8 +34,8 @@ class Settings:
     collection: int = 10  # hashes in each of the two collections
     width: int = 2  # minhashes in each hash
     least_agreeing: float = 0.4  # of the minhashes, for a pair to be likely; five standard deviations below 0.75
-    sketch: int = 384  # more minhashes, of nodes with a likely partner
-    least_sketch: float = 0.67  # of these, for a pair between components to be confirmed; 3.6 standard deviations below 0.75
+    sketch: int = 1024  # the least of a set's hashes, of nodes with a likely partner; smaller sets are sketched whole
+    deviations: float = 4.0  # of a sketch's estimate below the limit, from which on a pair between components isn't confirmed
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, n: int) -> list[np.ndarray]:
@@ -151,14 +151,14 @@ def _likely(s: Settings, every: bool, earlier: bool = True):
     Where the payload has roots, only nodes of different components are partners.
     """
     n = 2 * s.collection * s.width
-    least, least_sketch = int(np.ceil(s.least_agreeing * n)), int(np.ceil(s.least_sketch * s.sketch))
+    least = int(np.ceil(s.least_agreeing * n))
 
     def run(whole: Iterator[tuple[list[pa.Array], np.ndarray]]) -> Iterator[pa.RecordBatch]:
         for columns, bounds in whole:
             key, side, node = (columns[i].to_numpy() for i in (0, 3, 4))
             signs = buckets.fixed(columns[5].cast(pa.binary()), "<u2")[0].reshape(len(node), n)
             root = columns[6].to_numpy() if len(columns) > 6 else None
-            sketch = buckets.fixed(columns[7].cast(pa.binary()), "<u2")[0].reshape(len(node), s.sketch) if every else None
+            images, at = buckets.fixed(columns[7].cast(pa.binary()), "<u4") if every else (None, None)
             found: list[np.ndarray] = []
             for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
                 if b - a < 2 or (root is not None and (root[a:b] == root[a]).all()):
@@ -184,7 +184,7 @@ def _likely(s: Settings, every: bool, earlier: bool = True):
                     x, y = i[k : k + 20_000] + cols.start, j[k : k + 20_000] + rows.start
                     own = _first_table(signs[x], signs[y], s) == table
                     x, y = x[own], y[own]
-                    near = (sketch[x] == sketch[y]).sum(1) >= least_sketch
+                    near = _near(images, at, x, y, s)
                     found.append(np.stack([node[x[near]], node[y[near]]], 1))
             pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
             pairs = np.unique(np.sort(pairs, 1) if every else pairs, axis=0)
@@ -194,22 +194,45 @@ def _likely(s: Settings, every: bool, earlier: bool = True):
 
 
 def _sketches(sets: DataFrame, s: Settings) -> DataFrame:
-    """node and two bytes each of further minhashes of its set."""
-    mask, factor = (x[-s.sketch :] for x in _multipliers(2 * s.collection * s.width + s.sketch))
+    """node and the ``s.sketch`` least of its set's hashes, cut to four bytes each and sorted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 500):
                 part = batch.slice(i, 500)
                 flat, at = buckets.fixed(part.column(1).cast(pa.binary()), "<u8")
-                least = np.empty((part.num_rows, s.sketch), "<u2")
-                for j in range(s.sketch):
-                    least[:, j] = (np.minimum.reduceat((flat ^ mask[j]) * factor[j], at[:-1]) & np.uint64(0xFFFF)).astype("<u2")
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([r.tobytes() for r in least], pa.binary())], ["node", "sketch"])
+                images = (ta.mix(flat) >> np.uint64(32)).astype("<u4")
+                own = [np.unique(images[a:b])[: s.sketch].tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(own, pa.binary())], ["node", "sketch"])
 
     return sets.select("node", "shingles").mapInArrow(run, "node long, sketch binary")
 
 
+def _near(images: np.ndarray, at: np.ndarray, x: np.ndarray, y: np.ndarray, s: Settings) -> np.ndarray:
+    """Whether the sketches of each pair (x[i], y[i]) leave it likely; sketch i is images[at[i] : at[i + 1]].
+
+    Up to the smaller of the greatest hashes of full sketches both are complete, so the sets are compared there.  Two sketches of whole
+    sets are ruled out by their sizes alone, less two hashes that may be equal once cut.
+    """
+    size = np.diff(at)
+    top = np.where(size == s.sketch, images[at[1:] - 1], np.uint32(0xFFFFFFFF))
+    limit, out = s.percent / 100, np.zeros(len(x), bool)
+    order = np.argsort(x, kind="stable")
+    first = np.flatnonzero(np.append(True, x[order][1:] != x[order][:-1])) if len(x) else []
+    for places in np.split(order, first[1:]) if len(x) else []:
+        one, others = x[places[0]], y[places]
+        own = images[at[one] : at[one + 1]]
+        flat = np.concatenate([images[at[j] : at[j + 1]] for j in others.tolist()])
+        head = np.cumsum(size[others]) - size[others]
+        bound = np.minimum(top[one], top[others])
+        both = np.add.reduceat(own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat, head, dtype=np.int64)
+        union = np.searchsorted(own, bound, "right") + np.add.reduceat(flat <= np.repeat(bound, size[others]), head, dtype=np.int64) - both
+        whole = (size[one] < s.sketch) & (size[others] < s.sketch)
+        spread = s.deviations * np.sqrt(limit * (1 - limit) * union)
+        out[places] = np.where(whole, both + 2 >= limit * (union - 2), both >= limit * union - spread)
+    return out
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
     side = lambda name: sets.select(F.col("node").alias(name), F.col("shingles").alias(f"set_{name}"))
