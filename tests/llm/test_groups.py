@@ -150,6 +150,24 @@ def test_a_large_group_of_near_copies_in_small_chunks(spark, monkeypatch):
     assert collections.Counter(r.component_id for r in got) == {1: 150, 1_000: 60, 2_000: 1}
 
 
+def test_sketches_rule_out_no_pair_above_the_limit():
+    rng = np.random.default_rng(5)
+    s = minhash.Settings(sketch=64)
+    for size in (1, 5, 20, 60, 63, 64, 70, 400):  # whole sets and cut ones
+        base = rng.integers(0, 2**63, 2 * size, dtype=np.uint64)
+        sets = [base[:size]] + [np.concatenate([base[k:size], base[size : size + k]]) for k in range(0, size + 1, max(1, size // 20))]
+        images = [np.unique((minhash.ta.mix(x.copy()) >> np.uint64(32)).astype("<u4"))[: s.sketch] for x in sets]
+        at = np.append(0, np.cumsum([len(x) for x in images]))
+        x, y = np.triu_indices(len(sets), 1)
+        near = minhash._near(np.concatenate(images), at, x, y, s)
+        both = np.array([len(np.intersect1d(sets[i], sets[j])) for i, j in zip(x, y, strict=True)])
+        similar = both / (2 * size - both)
+        assert near[similar >= 0.75].all()
+        if 60 <= size < 64:
+            assert not near[similar < 0.68].any()
+    assert len(minhash._near(images[0], at[:2], x[:0], y[:0], s)) == 0
+
+
 def test_pairs_right_at_the_limit(spark):
     """Three common shingles of four are 75 percent; vectors of cosine 0.9 in doubles are linked."""
     texts = ["a b c d e f g", "a b c d e f g h", "p q r s t u v w", "p q r s t u v x"]  # 3 of 4; 3 of 5
