@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators, each over its whole table with production parameters."""
+"""The registered queries of the operators, each over its whole table with production parameters."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barspark.llm import bpe, hpylm, langid, licenses, minhash, mixing, repetition, secrets, tokencounts, vectors
+from barspark.llm import bpe, hpylm, langid, licenses, merkle, minhash, mixing, repetition, secrets, tokencounts, vectors
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -103,6 +103,26 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencounts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+#: What a leaf of the manifest holds, in this order.
+LEAF = ["doc_id", "source", "lang", "n_chars", "text"]
+
+
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    tampered = F.when(fold("doc_id", 5) == 0, merkle.leaf_digest(*[F.col(c) for c in LEAF[:-1]], lowered))
+    leaves = merkle.manifest(table(spark, sf_dir, "documents"), LEAF, keep={"tampered": tampered})
+    folded = merkle.folded(F.coalesce("tampered", "leaf"), F.col("path"))
+    return leaves.select(
+        "doc_id",
+        "leaf",
+        "subroot",
+        "root",
+        F.sha2(F.array_join(F.transform("path", lambda s: F.concat(s["left"], s["right"])), ""), 256).alias("proof_sha256"),
+        folded.alias("folded_root"),
+        (folded == F.col("root")).alias("verified"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -116,6 +136,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_vector_dedup,
         op9_pitman_yor,
         op10_token_counts,
+        op11_merkle_manifest,
     )
 }
 
@@ -176,5 +197,39 @@ FROM d JOIN o ON d.s = o.s AND d.block = o.block
 WHERE epochs >= epoch + 1 OR before * 2 + o.tokens <= (epochs - epoch) * all_tokens * 2
 """.replace("{block}", _NUMBER.format("'mix|' || coalesce(CAST(doc_id AS VARCHAR), '')")).replace("{order}", _NUMBER.format("'mix|' || s || '|' || epoch || '|' || block"))
 
+_CRC = "xor(list_reduce([4294967295] || flatten([[(ascii(CAST({0} AS VARCHAR)[j]) >> b) & 1 FOR b IN range(8)] FOR j IN range(1, len(CAST({0} AS VARCHAR)) + 1)]), lambda c, b: xor(c >> 1, 3988292384 * (xor(c, b) & 1))), 4294967295)"
+_LEAF = "sha256(" + " || ".join(f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || {c}, '-')" for c in LEAF) + ")"
+_LOWERED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _tree(name: str, leaves: str) -> str:
+    """Nodes of all trees of ``leaves`` (t, i, h), and for each leaf what stands left and right of its ancestors."""
+    return f"""
+{name}(t, level, i, h, n) AS (
+  SELECT t, 0, i, h, count(*) OVER (PARTITION BY t) FROM {leaves}
+  UNION ALL
+  SELECT t, level + 1, i // 16, sha256(string_agg(h, '' ORDER BY i)), (any_value(n) + 15) // 16 FROM {name} WHERE n > 1 GROUP BY t, level, i // 16
+), {name}_steps AS (
+  SELECT l.t, l.i, u.level, coalesce(string_agg(u.h, '' ORDER BY u.i) FILTER (WHERE u.i < l.i >> (4 * u.level)), '') AS a,
+    coalesce(string_agg(u.h, '' ORDER BY u.i) FILTER (WHERE u.i > l.i >> (4 * u.level)), '') AS b
+  FROM {leaves} l JOIN {name} u ON u.t = l.t AND u.n > 1 AND u.i // 16 = l.i >> (4 * u.level + 4) GROUP BY l.t, l.i, u.level
+), {name}_paths AS (SELECT t, i, list({{'a': a, 'b': b}} ORDER BY level) AS path FROM {name}_steps GROUP BY t, i)
+"""
+
+
+_OP11 = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce('=' || source, '') AS t, {_LEAF} AS h, CASE WHEN {_CRC.format("doc_id")} % 5 = 0 THEN {_LEAF.replace("|| text", "|| " + _LOWERED)} END AS tampered FROM documents
+), leaves AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY doc_id NULLS FIRST, h) - 1 AS i FROM d),
+{_tree("own", "leaves")},
+tops AS (SELECT '' AS t, t AS s, h, row_number() OVER (ORDER BY t) - 1 AS i FROM own WHERE n = 1),
+{_tree("top", "tops")},
+found AS (
+  SELECT doc_id, l.h AS leaf, coalesce(tampered, l.h) AS x, s.h AS subroot, (SELECT h FROM top WHERE n = 1) AS root, coalesce(p.path, []) || coalesce(q.path, []) AS path
+  FROM leaves l LEFT JOIN own_paths p ON p.t = l.t AND p.i = l.i JOIN tops s ON s.s = l.t LEFT JOIN top_paths q ON q.i = s.i
+), folded AS (SELECT *, list_reduce([{{'a': x, 'b': ''}}] || path, lambda c, s: {{'a': sha256(s.a || c.a || s.b), 'b': ''}}).a AS folded_root FROM found)
+SELECT doc_id, leaf, subroot, root, sha256(array_to_string([s.a || s.b FOR s IN path], '')) AS proof_sha256, folded_root, folded_root = root AS verified FROM folded
+"""
+
 #: SQL for the queries whose whole result it can express; the others are tested against plain versions.
-ORACLES: dict[str, str] = {"op2_minhash_dedup": _OP2, "op3_source_mixing": _OP3, "op8_vector_dedup": _OP8}
+ORACLES: dict[str, str] = {"op2_minhash_dedup": _OP2, "op3_source_mixing": _OP3, "op8_vector_dedup": _OP8, "op11_merkle_manifest": _OP11}
