@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barspark.llm import bpe, hpylm, langid, licenses, merkle, minhash, mixing, repetition, secrets, tokencounts, vectors
+from barspark.llm import bpe, hpylm, imatch, langid, licenses, merkle, minhash, mixing, repetition, secrets, tokencounts, vectors
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -123,6 +123,12 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = imatch.against_edited(table(spark, sf_dir, "documents"))
+    near = [imatch.likeness("fingerprint", f"{of}_fingerprint").alias(f"near_{of}") for of in ("edited", "next")]
+    return found.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", *near)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -137,6 +143,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_pitman_yor,
         op10_token_counts,
         op11_merkle_manifest,
+        op13_imatch,
     )
 }
 
