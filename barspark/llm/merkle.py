@@ -15,15 +15,12 @@ import hashlib
 import heapq
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barspark.llm.buckets import few
+from barspark.llm.places import numbered, runs
 from barspark.llm.storage import stored
 
 #: Bits of a node's children, levels that one round climbs, and so bits of a block.
@@ -94,14 +91,6 @@ def _height(n: int) -> int:
     return 0 if n == 1 else 1 if n <= 1 << FAN else LEVELS
 
 
-def _runs(columns: list[pa.Array]) -> np.ndarray:
-    """Where a run of equal rows of the columns starts."""
-    new = np.zeros(max(len(columns[0]) - 1, 0), bool)
-    for c in columns:
-        new |= pc.not_equal(c[1:], c[:-1]).to_numpy(zero_copy_only=False)
-    return np.append(0, np.flatnonzero(new) + 1)
-
-
 def _whole_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Block after block of rows that are sorted by (_tree, _block)."""
     held: pa.RecordBatch | None = None
@@ -110,7 +99,7 @@ def _whole_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             continue
         if held is not None:
             batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
-        cuts = _runs([batch.column("_tree"), batch.column("_block")])
+        cuts = runs([batch.column("_tree"), batch.column("_block")])
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             yield batch.slice(a, b - a)
         held = batch.slice(cuts[-1])
@@ -160,7 +149,7 @@ def _lower(nodes: DataFrame, above: DataFrame) -> DataFrame:
             path = pa.array([[{"left": a, "right": b} for a, b in p] for p in paths], _PATH)
             yield pa.RecordBatch.from_arrays([*arrays, path, pa.array([root] * len(paths), pa.string())], names)
 
-    kept = [c for c in nodes.columns if c not in ("_tree", "_i", "_n", "_digest")]
+    kept = [c for c in nodes.columns if c not in ("_tree", "_i", "_n", "_digest", "_row")]
     names = ["_tree", "_i", "_n", "_digest", *kept, "_path", "_root"]
     own = nodes.select("_tree", F.shiftright("_i", BLOCK).alias("_block"), F.lit(1).alias("_kind"), "_i", "_n", "_digest", *kept)
     over = above.select("_tree", F.col("_i").alias("_block"), F.lit(0).alias("_kind"), F.lit(None).cast("long").alias("_i"), "_path", "_root")
@@ -168,41 +157,6 @@ def _lower(nodes: DataFrame, above: DataFrame) -> DataFrame:
     return _dealt(own.unionByName(over, allowMissingColumns=True)).mapInArrow(run, schema)
 
 
-def _numbered(rows: DataFrame, order: list[str], what: str) -> tuple[DataFrame, int]:
-    """Stored rows with their place _i in their _tree by ``order``, the tree's number of rows _n; and the largest _n.
-
-    Rows are dealt by ranges of (tree, order), so no task holds a tree; a range's rows are counted as they stream by, and the counts of the
-    ranges before are added.  They are as many as ranges and trees together.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, last, seen = TaskContext.get().partitionId(), None, 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            tree, place = batch.column("_tree"), np.arange(batch.num_rows)
-            starts = _runs([tree])
-            base = np.full(batch.num_rows, -(2**62))
-            base[starts] = starts
-            if tree[0].as_py() == last:
-                base[0] = -seen
-            at = place - np.maximum.accumulate(base)
-            last, seen = tree[-1].as_py(), int(at[-1]) + 1
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at), pa.array(np.full(batch.num_rows, part))], [*batch.schema.names, "_at", "_part"])
-
-    schema = T.StructType([*rows.schema, T.StructField("_at", T.LongType()), T.StructField("_part", T.LongType())])
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keys = ["_tree", *order, "_row"]
-    own = stored(rows.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).mapInArrow(run, schema), f"{what}-places")
-    tree = Window.partitionBy("_tree")
-    before = F.coalesce(F.sum("own").over(tree.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    counts = own.groupBy("_tree", "_part").agg(F.count(F.lit(1)).alias("own"))
-    counts = stored(counts.select("_tree", "_part", before.alias("_before"), F.sum("own").over(tree).alias("_n")), f"{what}-counts")
-    most = counts.agg(F.max("_n")).first()[0] or 0
-    placed = own.join(few(counts), ["_tree", "_part"])
-    return placed.select(*[c for c in rows.columns if c != "_row"], (F.col("_before") + F.col("_at")).alias("_i"), "_n"), most
-
-
 def _rounds(nodes: DataFrame, most: int, what: str) -> list[DataFrame]:
     """The nodes of each round, up to the one that has a single node a tree."""
     rounds = [nodes]
@@ -238,11 +192,11 @@ def manifest(df: DataFrame, columns: list[str], id_col: str = "doc_id", group_co
         tree.alias("_tree"), F.col(id_col).alias("_id"), leaf_digest(*[F.col(c) for c in columns]).alias("_digest"),
         *[c.alias(k) for k, c in named.items()], F.monotonically_increasing_id().alias("_row"),
     )
-    nodes, most = _numbered(stored(leaves, "merkle-leaves"), ["_id", "_digest"], "merkle")
+    nodes, most = numbered(stored(leaves, "merkle-leaves"), "_tree", ["_id", "_digest", "_row"], "merkle")
     rounds = _rounds(nodes, most, "merkle")
 
-    tops = stored(rounds[-1].select(F.lit("").alias("_tree"), F.col("_tree").alias("_id"), "_digest", F.lit(0).cast("long").alias("_row")), "merkle-subroots")
-    top, groups = _numbered(tops, ["_id"], "merkle-top")
+    tops = stored(rounds[-1].select(F.lit("").alias("_tree"), F.col("_tree").alias("_id"), "_digest"), "merkle-subroots")
+    top, groups = numbered(tops, "_tree", ["_id"], "merkle-top")
     top_rounds = _rounds(top, groups, "merkle-top")
     none = F.array().cast(STEP)
     start = top_rounds[-1].select("_tree", "_i", none.alias("_path"), F.col("_digest").alias("_root"))

@@ -78,7 +78,7 @@ def release() -> None:
         pass
 
 
-def text_blocks(batches: Iterator[pa.RecordBatch], text: int = 1) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def text_blocks(batches: Iterator[pa.RecordBatch], text: int = 1, most: int = BLOCK_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Blocks of whole documents: the rows, their UTF-8 as one uint8 array, and the n + 1 offsets.
 
     A null text is an empty one here; the rows still tell which were null.
@@ -92,7 +92,7 @@ def text_blocks(batches: Iterator[pa.RecordBatch], text: int = 1) -> Iterator[tu
         data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
         first = 0
         while first < n:
-            last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + BLOCK_BYTES, "right")) - 1)
+            last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + most, "right")) - 1)
             own = offsets[first : last + 1]
             yield batch.slice(first, last - first), data[own[0] : own[-1]], own - own[0]
             first = last
