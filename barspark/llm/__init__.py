@@ -1,5 +1,5 @@
 """Operators for large-scale training-data preparation.
 
-Ten DataFrame operators (tokenisation, near-duplicate search, source mixing, scans, quality rules and
-language-model scoring).  Nothing outside this subpackage imports it.
+DataFrame operators: tokenisation, near-duplicate search, source mixing, scans, quality rules, language-model
+scoring, manifests, collocations and fingerprints.  Nothing outside this subpackage imports it.
 """

@@ -36,7 +36,7 @@ class Settings:
 
 
 #: Bytes of text whose pairs are counted together, words of a longer text that are, the side of a tile in bits, pairs that fill a tile.
-BLOCK_BYTES, BLOCK_WORDS, SIDE, FULL = 8 << 20, 1 << 21, 8, 4096
+BLOCK_BYTES, BLOCK_WORDS, SIDE, FULL = 4 << 20, 1 << 20, 8, 4096
 #: Bits of the sieves: 8 MB for words, 16 MB for phrases, whatever the corpus.
 WORD_BITS, PHRASE_BITS = 26, 27
 SEPARATOR = np.zeros(256, bool)
@@ -131,6 +131,7 @@ def _sieve(frequent: DataFrame, keys: list[str], bits: int) -> np.ndarray:
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Words]:
     for rows, data, offsets in ta.text_blocks(batches, 1, BLOCK_BYTES):
         yield Words(rows.column(0), data, offsets)
+        ta.release()
 
 
 def count_words(texts: DataFrame) -> DataFrame:
