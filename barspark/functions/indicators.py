@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
 from barspark.functions import windows as x
-from barspark.functions.registry import USER, Registry
-from barspark.operators.scan import rma_alpha, span_alpha
+from barspark.functions.registry import USER, Feature, Registry
+from barspark.operators.ranges import same
+from barspark.operators.scan import number_rows, rma_alpha, span_alpha
+from barspark.storage import stored
 
 R = Registry()
 c = F.col
@@ -31,7 +33,8 @@ def mean(name: str, n: int, least: int | None = None):
 
 
 # shared inputs
-R.add("row", "", lambda w: F.row_number().over(w))
+R.add("one", "", lambda w: F.lit(1))
+R.running("row", "one", "count")
 R.add("prev_close", "close", lag("close"))
 R.add("prev_high", "high", lag("high"))
 R.add("prev_low", "low", lag("low"))
@@ -52,22 +55,27 @@ R.add("true_range", "prev_close", lambda w: F.greatest(c("high") - c("low"), F.a
 R.add("flow_up", "tp prev_tp", lambda w: F.when(c("tp") > c("prev_tp"), c("tp") * c("volume")).otherwise(0.0))
 R.add("flow_down", "tp prev_tp", lambda w: F.when(c("tp") < c("prev_tp"), c("tp") * c("volume")).otherwise(0.0))
 R.add("mfi", "flow_up flow_down", lambda w: 100 - 100 / (1 + div(x.rolling_sum(c("flow_up"), 14, w), x.rolling_sum(c("flow_down"), 14, w))))
-R.add("adi", "clv_volume", lambda w: x.cumsum(c("clv_volume"), w))
+R.running("adi", "clv_volume", "sum")
 R.add("obv_step", "delta", lambda w: F.when(c("delta") >= 0, c("volume")).when(c("delta") < 0, -c("volume")))
-R.add("obv", "obv_step", lambda w: F.when(c("obv_step").isNotNull(), x.cumsum(c("obv_step"), w)))
+R.running("obv_sum", "obv_step", "sum")
+R.add("obv", "obv_step obv_sum", lambda w: F.when(c("obv_step").isNotNull(), c("obv_sum")))
 R.add("cmf", "clv_volume", lambda w: div(x.rolling_sum(c("clv_volume"), 20, w), x.rolling_sum(c("volume"), 20, w)))
 R.add("force_index", "delta", lambda w: c("delta") * c("volume"))
 R.add("mid_delta", "mid", lambda w: x.diff(c("mid"), w))
 R.add("eom_step", "mid_delta hl", lambda w: div(c("mid_delta") * c("hl"), c("volume")))
 R.add("eom", "eom_step", mean("eom_step", 14))
 R.add("vpt_step", "ret", lambda w: c("volume") * c("ret"))
-R.add("vpt", "vpt_step", lambda w: F.when(c("vpt_step").isNotNull(), x.cumsum(c("vpt_step"), w)))
+R.running("vpt_sum", "vpt_step", "sum")
+R.add("vpt", "vpt_step vpt_sum", lambda w: F.when(c("vpt_step").isNotNull(), c("vpt_sum")))
 R.add("prev_volume", "volume", lag("volume"))
 R.add("nvi", "ret prev_volume", lambda w: F.when(c("volume") < c("prev_volume"), 1000.0 * (1 + c("ret"))).otherwise(1000.0))
 R.add("tp_volume", "tp", lambda w: c("tp") * c("volume"))
-R.add("vwap", "tp_volume", lambda w: div(x.cumsum(c("tp_volume"), w), x.cumsum(c("volume"), w)))
+R.running("tp_volume_sum", "tp_volume", "sum")
+R.running("volume_sum", "volume", "sum")
+R.add("vwap", "tp_volume_sum volume_sum", lambda w: div(c("tp_volume_sum"), c("volume_sum")))
 R.add("close_volume", "", lambda w: c("close") * c("volume"))
-R.add("vwap_close", "close_volume", lambda w: div(x.cumsum(c("close_volume"), w), x.cumsum(c("volume"), w)))
+R.running("close_volume_sum", "close_volume", "sum")
+R.add("vwap_close", "close_volume_sum volume_sum", lambda w: div(c("close_volume_sum"), c("volume_sum")))
 R.add("vroc", "volume", lambda w: (c("volume") - x.shift(c("volume"), w, 20)) / (x.shift(c("volume"), w, 20) + EPS) * 100)
 R.add("volume_ratio", "volume", lambda w: div(c("volume"), x.rolling_mean(c("volume"), 10, w)))
 
@@ -84,7 +92,7 @@ R.add("keltner_high", "ema20 atr", lambda w: c("ema20") + 2 * c("atr"))
 R.add("keltner_low", "ema20 atr", lambda w: c("ema20") - 2 * c("atr"))
 R.add("donchian_high", "high", lambda w: x.rolling_max(c("high"), 20, w))
 R.add("donchian_low", "low", lambda w: x.rolling_min(c("low"), 20, w))
-R.add("peak", "close", lambda w: x.cummax(c("close"), w))
+R.running("peak", "close", "max")
 R.add("drawdown2", "peak", lambda w: F.pow(100 * (c("close") - c("peak")) / c("peak"), 2.0))
 R.add("ulcer", "drawdown2", lambda w: F.sqrt(x.rolling_mean(c("drawdown2"), 14, w)))
 
@@ -100,7 +108,7 @@ R.add("macd", "ema12 ema26", lambda w: c("ema12") - c("ema26"))
 R.mean("macd_signal", "macd", span_alpha(9))
 R.add("macd_hist", "macd macd_signal", lambda w: c("macd") - c("macd_signal"))
 R.add("up_move", "high", lambda w: x.diff(c("high"), w))
-R.add("down_move", "low", lambda w: F.lead("low").over(w) - c("low"))
+R.add("down_move", "low", lambda w: x.shift(c("low"), w, -1) - c("low"))
 R.add("plus_dm", "up_move down_move", lambda w: F.when((c("up_move") > c("down_move")) & (c("up_move") > 0), c("up_move")).otherwise(0.0))
 R.add("minus_dm", "up_move down_move", lambda w: F.when((c("down_move") > c("up_move")) & (c("down_move") > 0), c("down_move")).otherwise(0.0))
 for name in ("plus_dm", "minus_dm", "true_range"):
@@ -186,7 +194,11 @@ R.add("momentum", "close", lambda w: x.diff(c("close"), w, 14))
 R.add("daily_ret", "ret", lambda w: 100 * c("ret"))
 R.add("daily_logret", "log_ret", lambda w: 100 * c("log_ret"))
 R.add("growth", "ret", lambda w: 1 + F.coalesce(c("ret"), F.lit(0.0)))
-R.add("cum_ret", "growth", lambda w: 100 * (x.cumprod(c("growth"), w) - 1))
+R.add("growth_log", "growth", lambda w: F.ln(F.when(c("growth") > 0, c("growth"))))
+R.add("growth_bad", "growth", lambda w: F.when(c("growth") <= 0, 1).otherwise(0))
+R.running("growth_sum", "growth_log", "sum")
+R.running("growth_broken", "growth_bad", "max")
+R.add("cum_ret", "growth_sum growth_broken", lambda w: F.when(c("growth_broken") == 0, 100 * (F.exp("growth_sum") - 1)))
 R.add("daily_range", "hl", lambda w: c("hl"))
 R.add("hv", "log_ret", lambda w: x.rolling_std(c("log_ret"), 20, w) * math.sqrt(24 * 365))
 R.add("gk_step", "", lambda w: 0.5 * F.pow(F.ln(div(c("high"), c("low"))), 2.0) - (2 * math.log(2) - 1) * F.pow(F.ln(div(c("close"), c("open"))), 2.0))
@@ -261,23 +273,28 @@ CUSTOM = (
 ).split()
 
 
-def add_indicators(df: DataFrame, names: list[str], keys: tuple[str, ...] = ("symbol",), order: str = "time", shifted: bool = False) -> DataFrame:
-    """Adds the named indicators, users' own ones included; ``shifted`` moves them one bar back, so that a row only knows closed bars."""
+def add_indicators(df: DataFrame, names: list[str], keys: tuple[str, ...] = ("symbol",), order: str = "time", shifted: bool = False, chunk: int | None = None) -> DataFrame:
+    """Adds the named indicators, users' own ones included; ``shifted`` moves them one bar back, so that a row only knows closed bars.
+
+    Without it ``adx`` looks at the next bar's low, as its formula does.  With ``chunk``, long series are cut into chunks of so many rows that
+    start with the rows that they look back on; the values are the same.
+    """
     own = Registry()
     own.features = {**R.features, **USER.features}
-    out = own.build(df, names, keys, order)
     if not shifted:
-        return out
-    w = x.series(*keys, order=order)
-    return out.withColumns({n: x.shift(c(n), w) for n in names})
+        return own.build(df, names, keys, order, chunk=chunk)
+    later = {f"__later_{n}": Feature(f"__later_{n}", (n,), lag(n)) for n in names}
+    own.features |= later
+    out = own.build(df, list(later), keys, order, chunk=chunk)
+    return out.drop(*[n for n in names if n in df.columns]).withColumnsRenamed({f"__later_{n}": n for n in names})
 
 
-def build_indicators(df: DataFrame, tf: str, keys: tuple[str, ...] = ("symbol",), order: str = "time") -> DataFrame:
+def build_indicators(df: DataFrame, tf: str, keys: tuple[str, ...] = ("symbol",), order: str = "time", chunk: int | None = None) -> DataFrame:
     """The whole set with the timeframe as prefix: builders shifted, the lagged and custom blocks as they are; a name of both is the custom one."""
     builder = [n for n in BUILDER if n not in CUSTOM]
-    out = add_indicators(df, builder, keys, order, shifted=True)
+    out = add_indicators(df, builder, keys, order, shifted=True, chunk=chunk)
     # the other blocks start from the bars again, so that they do not build on shifted columns
-    rest = add_indicators(df, [*LAGGED, *CUSTOM], keys, order).select(*keys, order, *LAGGED, *CUSTOM)
+    rest = add_indicators(df, [*LAGGED, *CUSTOM], keys, order, chunk=chunk).select(*keys, order, *LAGGED, *CUSTOM)
     joined = out.join(rest, [*keys, order])
     return joined.select(*keys, order, *[F.col(n).alias(f"{tf}_{n}") for n in ("open", "high", "low", "close", "volume")], *[F.col(n).alias(f"{tf}_{n}") for n in (*builder, *LAGGED, *CUSTOM)])
 
@@ -303,29 +320,74 @@ def kama(df: DataFrame, name: str = "kama", n: int = 10, fast: int = 2, slow: in
     return out.withColumn(name, F.when(c("__start"), c(name))).drop("__step", "__way", "__sc", "__first", "__a", "__b", "__start")
 
 
-def parabolic_sar(df: DataFrame, step: float = 0.018, most: float = 0.2, keys: tuple[str, ...] = ("symbol",), order: str = "time", name: str = "psar") -> DataFrame:
-    """Stop-and-reverse: a branching state machine, so sequential inside a series; only key, time, high and low reach Python."""
+def _stops(highs, lows, state: tuple, step: float, most: float) -> tuple[list[float], tuple]:
+    """The stops of rows that follow on a state (rising, rate, extreme, stop), and the state after them; a stop of None starts a series."""
+    rising, rate, extreme, stop = state
+    out = []
+    for high, low in zip(highs, lows, strict=True):
+        if stop is None:
+            stop, extreme = low, high
+        else:
+            stop += rate * (extreme - stop)
+            if low < stop if rising else high > stop:
+                rising, stop, rate = not rising, extreme, step
+                extreme = high if rising else low
+            elif (high > extreme) if rising else (low < extreme):
+                extreme, rate = (high if rising else low), min(rate + step, most)
+        out.append(stop)
+    return out, (rising, rate, extreme, stop)
+
+
+def parabolic_sar(df: DataFrame, step: float = 0.018, most: float = 0.2, keys: tuple[str, ...] = ("symbol",), order: str = "time", name: str = "psar", chunk: int = 2048) -> DataFrame:
+    """Stop-and-reverse, a branching state machine, by speculation on chunks of a series.
+
+    Every chunk runs from a guess, as if the series began there, rising.  After a reversal or two the path no longer knows where it began, so
+    the state at a chunk's end is mostly right at once.  Chunks are then linked: a chunk whose state before was another than it had run from
+    runs again, until no state changes; the first chunks of a series are right from the start, so this ends.  Only keys, row number, high
+    and low reach Python, a chunk at a time.
+    """
     import pandas as pd
 
     kinds = dict(df.dtypes)
-    schema = ", ".join(f"`{k}` {kinds[k]}" for k in (*keys, order)) + f", `{name}` double"
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(order)
-        out, rising, rate, extreme, stop = [], True, step, None, None
-        for high, low in zip(part["high"], part["low"], strict=True):
-            if stop is None:
-                stop, extreme = low, high
-            else:
-                stop += rate * (extreme - stop)
-                crossed = low < stop if rising else high > stop
-                if crossed:
-                    rising, stop, rate = not rising, extreme, step
-                    extreme = high if rising else low
-                elif (high > extreme) if rising else (low < extreme):
-                    extreme, rate = (high if rising else low), min(rate + step, most)
-            out.append(stop)
+    by = ", ".join(f"`{k}` {kinds[k]}" for k in keys)
+    state = "rising boolean, rate double, extreme double, stop double"
+    rows = stored(number_rows(df, keys, order, "__row").withColumn("__chunk", F.floor((F.col("__row") - 1) / chunk)), "psar")
+    bars = rows.select(*keys, "__chunk", "__row", "high", "low")
+    names = ["rising", "rate", "extreme", "stop"]
+
+    def run(part: pd.DataFrame) -> tuple[pd.DataFrame, list[float], tuple]:
+        part = part.sort_values("__row")
+        first = part.iloc[0]
+        begin = (True, step, None, None) if pd.isna(first["stop"]) else (bool(first["rising"]), first["rate"], first["extreme"], first["stop"])
+        return part, *_stops(part["high"].tolist(), part["low"].tolist(), begin, step, most)
+
+    def ends(part: pd.DataFrame) -> pd.DataFrame:
+        part, _, end = run(part)
+        return pd.DataFrame([[*part.iloc[0][[*keys, "__chunk"]], *end]], columns=[*keys, "__chunk", *names])
+
+    def stops(part: pd.DataFrame) -> pd.DataFrame:
+        part, out, _ = run(part)
         part[name] = out
-        return part[[*keys, order, name]]
-
-    return df.join(df.select(*keys, order, "high", "low").groupBy(*keys).applyInPandas(run, schema), [*keys, order])
+        return part[[*keys, "__row", name]]
+
+    def following(found: DataFrame) -> DataFrame:
+        """The states before chunks, from those after the chunks before."""
+        return found.select(*keys, (F.col("__chunk") + 1).alias("__chunk"), *names)
+
+    chunks = [*keys, "__chunk"]
+    none = [F.lit(None).cast(t).alias(n) for n, t in zip(names, ("boolean", "double", "double", "double"), strict=True)]
+    found = stored(bars.select("*", *none).groupBy(*chunks).applyInPandas(ends, f"{by}, __chunk long, {state}"), "psar-ends")
+    ran = found.select(*chunks, *none)  # what each chunk has run from
+    while True:
+        before = same(found.select(*chunks), following(found), chunks)
+        now = stored(before, "psar-starts")
+        old = ran.select(*chunks, F.struct(*names).alias("__old"))
+        wrong = same(now, old, chunks).filter(~F.struct(*names).eqNullSafe(F.col("__old"))).drop("__old")
+        again = stored(wrong, "psar-again")
+        if again.isEmpty():
+            break
+        rerun = same(bars, again, chunks, "inner").groupBy(*chunks).applyInPandas(ends, f"{by}, __chunk long, {state}")
+        found = stored(same(found, again.select(*chunks), chunks, "left_anti").unionByName(rerun), "psar-ends")
+        ran = now
+    out = same(bars, now, chunks).groupBy(*chunks).applyInPandas(stops, f"{by}, __row long, `{name}` double")
+    return same(rows, out, [*keys, "__row"]).drop("__row", "__chunk")

@@ -6,9 +6,10 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import WindowSpec
+from pyspark.sql.window import Window, WindowSpec
 
 from barspark.functions import windows as x
+from barspark.operators.scan import with_halo
 
 c = F.col
 #: Frame lengths of each timeframe: fixed values.
@@ -17,10 +18,11 @@ WINDOWS = {"5T": (8, 16, 32), "15T": (6, 12, 24), "30T": (5, 10, 20), "1H": (4,
 DB2_HIGH = (-0.48296291314453416, 0.8365163037378079, -0.2241438680420134, -0.12940952255126037)
 
 
-def add_inputs(df: DataFrame, w: WindowSpec, log_price: bool = True) -> DataFrame:
+def add_inputs(df: DataFrame, w: WindowSpec, log_price: bool = True, row: Column | None = None) -> DataFrame:
+    """The inputs look back on two rows.  row: the row number, if it is known."""
     price = F.ln("close") if log_price else c("close")
     df = df.withColumns({"c_lag": x.shift(c("close"), w), "v_lag": x.shift(c("volume"), w), "__p": price})
-    df = df.withColumns({"p_lag": x.shift(c("__p"), w), "__d": x.diff(c("__p"), w), "row": F.row_number().over(w)})
+    df = df.withColumns({"p_lag": x.shift(c("__p"), w), "__d": x.diff(c("__p"), w), "row": F.row_number().over(w) if row is None else row})
     df = df.withColumns({"ret": x.shift(c("__d"), w), "d_close": x.diff(c("c_lag"), w), "d_volume": x.diff(c("v_lag"), w)})
     return df.withColumns(
         {
@@ -122,14 +124,21 @@ NAMES = (
 PROTOTYPE = ("trend_slope", "realized_vol", "up_ratio", "dir_entropy", "ret_vol_corr")
 
 
-def add_stable_features(df: DataFrame, tf: str | None = None, lengths: tuple[int, ...] | None = None, keys: tuple[str, ...] = ("symbol",), order: str = "time", log_price: bool = True, names: tuple[str, ...] | list[str] = NAMES) -> DataFrame:
-    """Adds ``<name>_<length>`` for each frame length, and the three imbalances; a timeframe gives its usual lengths."""
+def add_stable_features(df: DataFrame, tf: str | None = None, lengths: tuple[int, ...] | None = None, keys: tuple[str, ...] = ("symbol",), order: str = "time", log_price: bool = True, names: tuple[str, ...] | list[str] = NAMES, chunk: int | None = None) -> DataFrame:
+    """Adds ``<name>_<length>`` for each frame length, and the three imbalances; a timeframe gives its usual lengths.
+
+    With ``chunk``, long series are cut into chunks of so many rows, led by the rows that the features look back on.
+    """
     w = x.series(*keys, order=order)
     have = df.columns
     lengths = lengths or WINDOWS[tf]
-    df = add_inputs(df, w, log_price)
+    if chunk:
+        df = with_halo(df, max(lengths) + 1, chunk, keys, order, row="__row").withColumnsRenamed({"chunk": "__chunk", "halo": "__halo"})
+        w = Window.partitionBy(*keys, "__chunk").orderBy(order)
+    df = add_inputs(df, w, log_price, c("__row") if chunk else None)
     for level in zip(*[features(n, w) for n in lengths], strict=True):
         df = df.withColumns({k: v for part in level for k, v in part.items()})
+    df = df.filter("NOT __halo") if chunk else df
     imbalances = ["tick_imbalance", "volume_imbalance", "microprice"] if "vpin" in names else []
     return df.select(*have, *imbalances, *[f"{k}_{n}" for n in lengths for k in names])
 

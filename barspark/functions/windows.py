@@ -6,7 +6,9 @@ Arguments are plain columns: an expression over a window cannot stand inside ano
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,15 +19,43 @@ def series(*keys: str, order: str = "time") -> WindowSpec:
     return Window.partitionBy(*(keys or ("symbol",))).orderBy(order)
 
 
+#: Where the rows that an expression looks at are noted: (before, after) its own row.
+_noted: ContextVar[list[tuple[float, float]] | None] = ContextVar("noted", default=None)
+
+
+def note(back: float = 0, ahead: float = 0) -> None:
+    if (seen := _noted.get()) is not None:
+        seen.append((back, ahead))
+
+
+@contextmanager
+def noting() -> Iterator[list[tuple[float, float]]]:
+    """Collects how far the window primitives that are called meanwhile look back and ahead."""
+    token = _noted.set(seen := [(0, 0)])
+    try:
+        yield seen
+    finally:
+        _noted.reset(token)
+
+
 def frame(w: WindowSpec, n: int) -> WindowSpec:
+    note(n - 1)
     return w.rowsBetween(1 - n, 0)
 
 
 def running(w: WindowSpec) -> WindowSpec:
+    note(float("inf"))
     return w.rowsBetween(Window.unboundedPreceding, 0)
 
 
+def row_number(w: WindowSpec) -> Column:
+    note(float("inf"))
+    return F.row_number().over(w)
+
+
 def shift(x: Column, w: WindowSpec, k: int = 1) -> Column:
+    """The value k rows before; after, if k is below 0."""
+    note(max(k, 0), max(-k, 0))
     return F.lag(x, k).over(w)
 
 
@@ -179,23 +209,23 @@ def ffill(x: Column, w: WindowSpec) -> Column:
 
 
 def bfill(x: Column, w: WindowSpec) -> Column:
+    note(0, float("inf"))
     return F.first(x, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
 
 
-def moving_average_bank(df: DataFrame, columns: dict[str, str], sizes: range, w: WindowSpec) -> DataFrame:
-    """A mean of every size for each column, from differences of one running sum instead of a frame each.
+def moving_average_bank(df: DataFrame, columns: dict[str, str], sizes: range, keys: tuple[str, ...] = ("symbol",), order: str = "time", chunk: int = 4096) -> DataFrame:
+    """A mean of every size for each column, from differences of running sums instead of a frame each.
 
-    The sums before are one array a row, as long as the largest size, so the plan does not grow with the number of sizes.
-    columns: column -> prefix of its means.  Columns must not be null.
+    A running sum begins anew in each chunk of a series, with the rows that its means look back on, so no task holds a series and sums don't
+    grow until digits are lost.  columns: column -> prefix of its means.  Columns must not be null.
     """
-    df = df.withColumns({f"__s_{c}": F.sum(c).over(running(w)) for c in columns} | {"__n": F.row_number().over(w)})
-    df = df.withColumns({f"__b_{c}": F.collect_list(f"__s_{c}").over(frame(w, max(sizes) + 1)) for c in columns})
-
-    def bank(c: str) -> Column:
-        before, last = F.col(f"__b_{c}"), F.size(f"__b_{c}") - 1
-        mean = lambda n: (F.col(f"__s_{c}") - F.coalesce(F.get(before, last - n), F.lit(0.0))) / n
-        return F.transform(F.array(*map(F.lit, sizes)), lambda n: F.when(F.col("__n") >= n, mean(n)))
-
-    df = df.withColumns({f"__m_{c}": bank(c) for c in columns})
-    means = {f"{prefix}{n}": F.get(f"__m_{c}", F.lit(i)) for c, prefix in columns.items() for i, n in enumerate(sizes)}
-    return df.withColumns(means).drop("__n", *[f"__{k}_{c}" for c in columns for k in "sbm"])
+    from barspark.operators.scan import with_halo
+
+    df, have = with_halo(df, max(sizes), chunk, keys, order, row="__row"), df.columns
+    w = Window.partitionBy(*keys, "chunk").orderBy(order)
+    df = df.withColumns({f"__s_{c}": F.sum(c).over(running(w)) for c in columns})
+    means = {}
+    for c, prefix in columns.items():
+        upto = F.col(f"__s_{c}")
+        means |= {f"{prefix}{n}": F.when(F.col("__row") >= n, (upto - F.lag(upto, n, 0.0).over(w)) / n) for n in sizes}
+    return df.withColumns(means).filter("NOT halo").select(*have, *means)

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from barspark.functions import windows as x
 from barspark.operators.clean import dedup_last, drop_weekends
+from barspark.operators.ranges import ffill, prefix_scan
 from barspark.sources.bars import duration, tail_n
 
 BARS = {"open": F.min_by, "close": F.max_by}
@@ -59,10 +60,8 @@ def merge_timeframes(main: DataFrame, others: dict[str, DataFrame], main_tf: str
     out = _prefixed(main, main_tf, keys, order)
     for tf, df in others.items():
         out = out.join(_prefixed(df, tf, keys, order), [*keys, order], "full_outer")
-    w = x.series(*keys, order=order)
     values = [k for k in out.columns if k not in (*keys, order)]
-    filled = out.withColumns({k: x.ffill(F.col(k), w) for k in values})
-    return drop_weekends(filled, order)
+    return drop_weekends(ffill(out, values, keys, order), order)
 
 
 def _prefixed(df: DataFrame, tf: str, keys: tuple[str, ...], order: str) -> DataFrame:
@@ -86,12 +85,14 @@ def keep_common(a: DataFrame, b: DataFrame, n: int | None = None, keys: tuple[st
 
 
 def asof_value(left: DataFrame, right: DataFrame, values: list[str], keys: tuple[str, ...] = ("symbol",), order: str = "time") -> DataFrame:
-    """For each row of left, right's values at its time or else at the last time before: one union and one running window, no range join."""
+    """For each row of left, right's values at its time or else at the last time before: one union and one prefix scan, no range join.
+
+    Both are dealt by ranges of time, so a long series is spread over tasks.
+    """
     a = left.select(*keys, order, *[F.lit(None).cast(right.schema[v].dataType).alias(v) for v in values], F.lit(1).alias("__left"))
     b = right.select(*keys, order, *values, F.lit(0).alias("__left"))
-    w = Window.partitionBy(*keys).orderBy(order, "__left").rowsBetween(Window.unboundedPreceding, 0)
-    packed = F.when(F.col("__left") == 0, F.struct(*values))
-    found = a.unionByName(b).withColumn("__v", F.last(packed, ignorenulls=True).over(w)).filter("__left = 1")
+    both = a.unionByName(b).withColumn("__v", F.when(F.col("__left") == 0, F.struct(*values)))
+    found = prefix_scan(both, {"__v": ("__v", "last")}, keys, (order, "__left")).filter("__left = 1")
     return found.select(*keys, order, *[F.col(f"__v.{v}").alias(v) for v in values])
 
 

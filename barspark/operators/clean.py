@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from barspark.functions import windows as x
+from barspark.operators.ranges import ffill
 from barspark.operators.stats import exact_quantiles, unpivot
 from barspark.operators.scan import varying_scan
 
@@ -82,11 +83,9 @@ def basic_clean(df: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
 
 def finite_ffill(df: DataFrame, columns: list[str], backward: bool = False, keys: tuple[str, ...] = ("symbol",), order: str = "time") -> DataFrame:
     """Infinities become null, nulls the last value before (and then the first after, if ``backward``); rows without any value go."""
-    w = x.series(*keys, order=order)
-    df = df.withColumns({k: finite(F.col(k)) for k in columns})
-    df = df.withColumns({k: x.ffill(F.col(k), w) for k in columns})
+    df = ffill(df.withColumns({k: finite(F.col(k)) for k in columns}), columns, keys, order)
     if backward:
-        df = df.withColumns({k: x.bfill(F.col(k), w) for k in columns})
+        df = ffill(df, columns, keys, order, backward=True)
     return df.dropna("all", subset=columns)
 
 
@@ -138,9 +137,7 @@ def drop_constant(df: DataFrame, columns: list[str], near_zero: float | None = N
 
 
 def zeros_to_ffill(df: DataFrame, columns: list[str], keys: tuple[str, ...] = ("symbol",), order: str = "time") -> DataFrame:
-    w = x.series(*keys, order=order)
-    df = df.withColumns({k: F.nullif(F.col(k), F.lit(0.0)) for k in columns})
-    return df.withColumns({k: x.ffill(F.col(k), w) for k in columns})
+    return ffill(df.withColumns({k: F.nullif(F.col(k), F.lit(0.0)) for k in columns}), columns, keys, order)
 
 
 def impute(df: DataFrame, columns: list[str], strategy: str = "median") -> DataFrame:

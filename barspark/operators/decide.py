@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from barspark.functions import windows as x
+from barspark.operators.ranges import prefix_scan
 
 div = F.try_divide
 
@@ -129,10 +130,9 @@ def running_ledger(df: DataFrame, decision: str = "decision", y: str = "y", keys
     """Adds each row's verdict and the running wins, losses, undecided rows, accuracy and coverage."""
     d, t = F.col(decision), F.col(y)
     verdict = F.when(t.isNull(), "UNKNOWN").when(d == -1, "NONE").when(d == t, "WIN").otherwise("LOSS")
-    w = x.running(x.series(*keys, order=order))
     df = df.withColumn("verdict", verdict)
-    n = lambda k: F.count_if(F.col("verdict") == k).over(w)
-    df = df.withColumns({"wins": n("WIN"), "losses": n("LOSS"), "nones": n("NONE")})
+    df = df.withColumns({k: F.when(F.col("verdict") == v, 1) for k, v in (("wins", "WIN"), ("losses", "LOSS"), ("nones", "NONE"))})
+    df = prefix_scan(df, {k: (k, "count") for k in ("wins", "losses", "nones")}, keys, order)
     done = F.col("wins") + F.col("losses")
     return df.withColumns({"cum_accuracy": 100 * div(F.col("wins"), done), "cum_coverage": 100 * div(done, done + F.col("nones"))})
 

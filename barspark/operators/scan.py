@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from barspark.operators.ranges import same
 from barspark.storage import stored
 
 CHUNK = 128
@@ -30,14 +31,16 @@ def number_rows(df: DataFrame, keys: tuple[str, ...] = ("symbol",), order: str =
     return df.withColumn("__own", own).join(offsets, [*keys, "__span"]).withColumn(name, F.col("__own") + F.col("__before")).drop("__span", "__own", "__before")
 
 
-def with_halo(df: DataFrame, lookback: int, chunk: int = 4096, keys: tuple[str, ...] = ("symbol",), order: str = "time") -> DataFrame:
-    """Chunks of each series, each led by the ``lookback`` rows before it: window by (series, ``chunk``), then keep ``~halo``."""
-    rows = number_rows(df, keys, order)
-    own = F.floor((F.col("row") - 1) / chunk)
-    reach = F.floor((F.col("row") - 1 + lookback) / chunk)
-    last = F.max("__own").over(Window.partitionBy(*keys))
-    spread = rows.withColumn("__own", own).withColumn("__last", last).withColumn("chunk", F.explode(F.sequence("__own", F.least(reach, F.col("__last")))))
-    return spread.withColumn("halo", F.col("chunk") > F.col("__own")).drop("__own", "__last")
+def with_halo(df: DataFrame, lookback: int, chunk: int = 4096, keys: tuple[str, ...] = ("symbol",), order: str = "time", ahead: int = 0, row: str = "row") -> DataFrame:
+    """Chunks of each series, each between the ``lookback`` rows before it and the ``ahead`` rows after it: window by (series, ``chunk``), then keep ``~halo``.
+
+    Row numbers in a column ``row`` are used, else added.  No window and no task goes over a series: a row is copied to the chunks that reach it.
+    """
+    rows = df if row in df.columns else number_rows(df, keys, order, row)
+    last = rows.groupBy(*keys).agg(F.floor((F.max(row) - 1) / chunk).alias("__last"))
+    at = lambda by: F.floor((F.col(row) - 1 + by) / chunk)
+    spread = same(rows, last, list(keys)).withColumn("chunk", F.explode(F.sequence(F.greatest(at(-ahead), F.lit(0).cast("long")), F.least(at(lookback), F.col("__last")))))
+    return spread.withColumn("halo", F.col("chunk") != at(0)).drop("__last")
 
 
 def affine_scan(df: DataFrame, scans: dict[str, tuple[str, float, float]], keys: tuple[str, ...] = ("symbol",), order: str = "time", chunk: int = CHUNK) -> DataFrame:

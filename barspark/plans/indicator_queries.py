@@ -193,7 +193,7 @@ PRIMITIVES = {
 
 
 def _bank(spark, d):
-    df = x.moving_average_bank(fx.bars(spark, d), {"close": "ma", "volume": "ma_volume"}, range(3, 150), x.series())
+    df = x.moving_average_bank(fx.bars(spark, d), {"close": "ma", "volume": "ma_volume"}, range(3, 150))
     return fx.rounded(df, "symbol", "time", *[f"{p}{n}" for p in ("ma", "ma_volume") for n in range(3, 150)])
 
 
