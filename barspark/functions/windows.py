@@ -224,8 +224,8 @@ def moving_average_bank(df: DataFrame, columns: dict[str, str], sizes: range, ke
     df, have = with_halo(df, max(sizes), chunk, keys, order, row="__row"), df.columns
     w = Window.partitionBy(*keys, "chunk").orderBy(order)
     df = df.withColumns({f"__s_{c}": F.sum(c).over(running(w)) for c in columns})
-    means = {}
-    for c, prefix in columns.items():
-        upto = F.col(f"__s_{c}")
-        means |= {f"{prefix}{n}": F.when(F.col("__row") >= n, (upto - F.lag(upto, n, 0.0).over(w)) / n) for n in sizes}
-    return df.withColumns(means).filter("NOT halo").select(*have, *means)
+    df = df.withColumns({f"__b_{c}": F.collect_list(f"__s_{c}").over(frame(w, max(sizes) + 1)) for c in columns})
+    # as SQL: hundreds of expressions are built in one call
+    before = "coalesce(get(`__b_{c}`, size(`__b_{c}`) - 1 - {n}), 0.0D)"
+    means = [f"CASE WHEN __row >= {n} THEN (`__s_{c}` - {before.format(c=c, n=n)}) / {n} END AS `{prefix}{n}`" for c, prefix in columns.items() for n in sizes]
+    return df.filter("NOT halo").selectExpr(*[f"`{k}`" for k in have], *means)
