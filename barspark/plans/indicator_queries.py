@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from barspark.functions import indicators, stable, windows as x
-from barspark.operators import scan
+from barspark.operators import ranges, scan
 from barspark.plans import fixtures as fx
 
 c = F.col
@@ -82,12 +84,14 @@ def digits_for(layers):
     return 4 if "list_reduce" in str(layers) else 6
 
 
-def layered(layers, names, minutes=30, start="bars"):
-    """CTEs that each add the columns of one layer, and the rounded result."""
+def layered(layers, names, minutes=30, start="bars", digits=None):
+    """CTEs that each add the columns of one layer, and the rounded result; with 0 digits, the result as it is."""
     parts, before = [BARS.format(m=minutes)], start
     for i, layer in enumerate(layers):
         parts.append(f"l{i} AS (SELECT *, {', '.join(f'{e} AS {n}' for n, e in layer.items())} FROM {before})")
         before = f"l{i}"
+    if digits == 0:
+        return f"WITH {', '.join(parts)} SELECT symbol, time, {', '.join(names)} FROM {before}"
     return f"WITH {', '.join(parts)} SELECT symbol, strftime(time, '%Y-%m-%d %H:%M:%S') AS time, {written(names, digits_for(layers))} FROM {before}"
 
 
@@ -225,7 +229,28 @@ def _psar(spark, d):
 
 
 def _set(spark, d):
-    return fx.rounded(indicators.build_indicators(fx.bars(spark, d), "30T"))
+    return fx.rounded(indicators.build_indicators(fx.bars(spark, d), "30T", chunk=512), digits=4)
+
+
+def _set_sql():
+    """All indicators from the SQL of their own queries: builders a bar later, the other blocks as they are."""
+    late = [n for n in indicators.BUILDER if n not in indicators.CUSTOM]
+    names = [*late, *indicators.LAGGED, *indicators.CUSTOM]
+    source = {n: k for k, (wanted, _) in reversed(INDICATORS.items()) for n in wanted.split()}
+    parts = {k: [n for n in names if source[n] == k] for k in dict.fromkeys(source[n] for n in names)}
+    tables = [f"{k} AS ({layered(INDICATORS[k][1], own, digits=0)})" for k, own in parts.items()]
+    value = lambda n: f"lag({n}) OVER {W}" if n in late else n
+    columns = [f"{n} AS \"30T_{n}\"" for n in ("open", "high", "low", "close", "volume")] + [f"{value(n)} AS \"30T_{n}\"" for n in names]
+    joined = "bars " + " ".join(f"JOIN {k} USING (symbol, time)" for k in parts)
+    out = [f"\"30T_{n}\"" for n in ("open", "high", "low", "close", "volume", *names)]
+    rounded = ", ".join(f"CAST({n} AS BIGINT) AS {n}" if n in ('"30T_engulfing"', '"30T_doji"') else f"round(CAST({n} AS DOUBLE) * (1 + 1e-12), 4) + 0 AS {n}" for n in out)
+    return f"WITH {BARS.format(m=30)}, {', '.join(tables)}, s AS (SELECT symbol, time, {', '.join(columns)} FROM {joined}) SELECT symbol, strftime(time, '%Y-%m-%d %H:%M:%S') AS time, {rounded} FROM s"
+
+
+def _running(spark, d):
+    bars = fx.bars(spark, d).withColumn("odd", F.when(F.hour("time") % 2 == 1, c("close"))).withColumn("g", 1 + c("close") / 1e5)
+    scans = {"csum": ("close", "sum"), "n_odd": ("odd", "count"), "cmax": ("close", "max"), "cmin": ("odd", "min"), "cprod": ("g", "product"), "clast": ("odd", "last")}
+    return fx.rounded(ranges.prefix_scan(bars, scans, ranges=16), "symbol", "time", *scans)
 
 
 N = 10
@@ -288,7 +313,7 @@ for name, (make, layers) in PRIMITIVES.items():
     QUERIES[name], ORACLES[name] = _primitive(make), layered(layers, list(layers[-1]))
 for name, sql in STABLE.items():
     QUERIES[name], ORACLES[name] = _stable(list(sql)), layered([*STABLE_IN, sql], list(sql))
-QUERIES |= {"e19_ewm_adjusted": _adjusted, "e20_affine_scan": _ema, "e20_ema_200": _long_ema, "e20_halo_chunks": _halo, "e21_ma_bank": _bank, "f33_kama": _kama, "f37_parabolic_sar": _psar, "f57_build_indicators": _set}
+QUERIES |= {"e19_ewm_adjusted": _adjusted, "e20_affine_scan": _ema, "e20_ema_200": _long_ema, "e20_halo_chunks": _halo, "e21_ma_bank": _bank, "f33_kama": _kama, "f37_parabolic_sar": _psar, "f57_build_indicators": _set, "e18_prefix_scan": _running}
 QUERIES |= {"g09_imbalances": _imbalances, "g18_stable_features": _all_stable, "g19_prototype": _prototype}
 QUERIES |= {"g13_spectrum": _stable(["fft_energy_ratio_10", "fft_dom_freq_10", "spectral_entropy_10"]), "g14_wavelet": _stable(["wavelet_energy_10"])}
 ORACLES |= {
@@ -314,4 +339,57 @@ ORACLES |= {
         ["wavelet_energy_10"],
     ),
     "g19_prototype": _prototype_sql(),
+    "f57_build_indicators": _set_sql(),
+    "e18_prefix_scan": layered(
+        [{"odd": "CASE WHEN hour(time) % 2 = 1 THEN close END"}, {"csum": run("sum", "close"), "n_odd": run("count", "odd"), "cmax": run("max", "close"), "cmin": run("min", "odd"), "cprod": f"product(1 + close / 1e5) OVER {RUN}", "clast": f"last_value(odd IGNORE NULLS) OVER {RUN}"}],
+        ["csum", "n_odd", "cmax", "cmin", "cprod", "clast"],
+    ).replace("round(CAST(n_odd AS DOUBLE) * (1 + 1e-12), 6) + 0 AS n_odd", "n_odd"),
+    # bar by bar: stop carried on, then either a reversal or a new extreme
+    "f37_parabolic_sar": f"""WITH RECURSIVE {BARS.format(m=30)}, b AS (SELECT symbol, time, high, low, row_number() OVER {W} AS n FROM bars),
+s AS (
+  SELECT symbol, time, n, true AS rising, CAST(0.018 AS DOUBLE) AS rate, high AS extreme, low AS stop FROM b WHERE n = 1
+  UNION ALL
+  SELECT symbol, time, n, rising <> crossed, CASE WHEN crossed THEN 0.018 WHEN further THEN least(rate + 0.018, 0.2) ELSE rate END,
+    CASE WHEN crossed THEN CASE WHEN rising THEN low ELSE high END WHEN further THEN CASE WHEN rising THEN high ELSE low END ELSE extreme END, CASE WHEN crossed THEN extreme ELSE moved END
+  FROM (
+    SELECT b.symbol, b.time, b.n, b.high, b.low, s.rising, s.rate, s.extreme, s.stop + s.rate * (s.extreme - s.stop) AS moved,
+      CASE WHEN s.rising THEN b.low < s.stop + s.rate * (s.extreme - s.stop) ELSE b.high > s.stop + s.rate * (s.extreme - s.stop) END AS crossed,
+      CASE WHEN s.rising THEN b.high > s.extreme ELSE b.low < s.extreme END AS further
+    FROM s JOIN b ON b.symbol = s.symbol AND b.n = s.n + 1
+  )
+) SELECT symbol, strftime(time, '%Y-%m-%d %H:%M:%S') AS time, {written(['stop']).replace('AS stop', 'AS psar')} FROM s""",
 }
+
+#: Spectrum of the frame's returns by the definition of the transform, then what is read from it.
+_WAVE = "pow(list_sum([(q[i + 1] - list_avg(q)) * {f}(2 * pi() * k * i / len(q)) FOR i IN range(0, len(q))]), 2)"
+SPECTRUM = [
+    {"q": f"list(ret) FILTER (WHERE ret IS NOT NULL) OVER {fr(N)}"},
+    {"pw": f"CASE WHEN len(q) >= 4 THEN [{_WAVE.format(f='cos')} + {_WAVE.format(f='sin')} FOR k IN range(1, len(q) // 2 + 1)] END"},
+    {"whole": "list_sum(pw) + 1e-12"},
+    {
+        "fft_energy_ratio_10": "coalesce(list_sum([pw[k] FOR k IN range(1, len(pw) + 1) IF k > 0.25 * len(q)]), 0) / whole + 0 * len(pw)",
+        "fft_dom_freq_10": "list_position(pw, list_max(pw)) / len(q)",
+        "spectral_entropy_10": "-list_sum([p / whole * ln(p / whole + 1e-12) FOR p IN pw]) / ln(len(pw) + 1e-12)",
+    },
+]
+ORACLES["g13_spectrum"] = layered([*STABLE_IN, *SPECTRUM], list(SPECTRUM[-1]))
+
+
+def _all_stable_sql():
+    """All stable features of the timeframe from the SQL of their own queries, with other frame lengths."""
+    layers, out = [*STABLE_IN], []
+    for n in stable.WINDOWS["30T"]:
+        of = lambda e, n=n: re.sub(r"\b(pw|q|whole)\b", rf"\g<1>{n}", e.replace(fr(N), fr(n)).replace(f">= {N}", f">= {n}").replace("_10", f"_{n}"))
+        first = {of(k): of(e) for sql in STABLE.values() for k, e in sql.items()} | {f"zscore_volume_{n}": of(STABLE["g07_zscores"]["zscore_close_10"].replace("c_lag", "v_lag"))}
+        clipped = f"greatest(least(up_ratio_{n}, 1 - 1e-6), 1e-6)"
+        wavelet = f"CASE WHEN len(q{n}) >= 8 THEN list_sum([pow(-0.48296291314453416 * pd{n}[2 * k + 5] + 0.8365163037378079 * pd{n}[2 * k + 4] - 0.2241438680420134 * pd{n}[2 * k + 3] - 0.12940952255126037 * pd{n}[2 * k + 2], 2) FOR k IN range(0, CAST(floor((len(q{n}) + 3) / 2) AS BIGINT))]) END"
+        spectrum = [{of(k): of(e) for k, e in layer.items()} for layer in SPECTRUM]
+        layers += [first, {f"dir_entropy_{n}": f"-({clipped} * log2({clipped}) + (1 - {clipped}) * log2(1 - {clipped}))"}, *spectrum]
+        layers += [{f"pd{n}": f"list_concat(list_concat(list_reverse(q{n}[1:3]), q{n}), list_reverse(q{n}[-3:]))"}, {f"wavelet_energy_{n}": wavelet}]
+        out += [f"{k}_{n}" for k in stable.NAMES]
+    layers.append({"tick_imbalance": "CAST(sign(dc) AS DOUBLE)", "volume_imbalance": "v_lag * sign(dv)", "microprice": "c_lag + dc / 2"})
+    return layered(layers, ["open", "high", "low", "close", "volume", "tick_imbalance", "volume_imbalance", "microprice", *out])
+
+
+ORACLES["g18_stable_features"] = _all_stable_sql()
+

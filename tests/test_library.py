@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 from datetime import datetime, timedelta
 from pathlib import Path
 
@@ -13,9 +14,9 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from barspark.functions import indicators, stable, windows
+from barspark.functions import indicators, registry, stable, windows
 from barspark.functions.registry import USER, register_indicator
-from barspark.operators import align, clean, frame, models, parity, scan, stats
+from barspark.operators import align, clean, frame, models, parity, ranges, scan, stats
 from barspark.plans import fixtures as fx
 from barspark.plans import queries as library
 from barspark.sources import bars as src
@@ -27,7 +28,7 @@ SOME = (
     "entry_up_rate a05_bars_15m a10_slice_tail b03_common_start b04_repair_outliers b06_ffill c02_safe_resample c03_merge_timeframes c06_asof d05_histogram e09_rolling_median e11_bars_since "
     "e20_affine_scan e20_halo_chunks f16_macd f17_adx f33_kama f48_ichimoku g05_ret_vol_corr g14_wavelet h02_ready h08_folds i09_ks i11_psi i13_correlation_gap k02_find_thresholds k05_adaptive_thresholds "
     "k14_shift_sweep l01_feature_diff l07_row_distance l10_tail_convergence m04_warmup_report n01_stream_bars "
-    "a01_read_bars a02_read_timeframes a09_model b14_drop_constant c08_trim_to_common e09_rolling_apply j04_oversample k02_find_thresholds_600 n02_wait_all n04_stream_features n08_replay_parity"
+    "a01_read_bars a02_read_timeframes a09_model b14_drop_constant c08_trim_to_common e09_rolling_apply j04_oversample k02_find_thresholds_600 n02_wait_all n04_stream_features n08_replay_parity f37_parabolic_sar e18_prefix_scan f57_build_indicators g13_spectrum"
 ).split()
 
 
@@ -277,3 +278,86 @@ def test_streams(spark, bars, tmp_path):
     query.awaitTermination()
     want = rows.filter("decision = y").groupBy("symbol").count().collect()
     assert {r.symbol: r.wins for r in spark.table("metrics").collect()} == {r.symbol: r["count"] for r in want}
+
+
+def plain_stops(highs, lows, step, most):
+    rising, rate, extreme, stop, out = True, step, highs[0], lows[0], [lows[0]]
+    for high, low in zip(highs[1:], lows[1:], strict=True):
+        stop = stop + rate * (extreme - stop)
+        if (rising and low < stop) or (not rising and high > stop):
+            stop, rate, rising = extreme, step, not rising
+            extreme = high if rising else low
+        elif rising and high > extreme:
+            extreme, rate = high, min(rate + step, most)
+        elif not rising and low < extreme:
+            extreme, rate = low, min(rate + step, most)
+        out.append(stop)
+    return out
+
+
+@pytest.mark.parametrize("kind", ["walk", "rising", "flat"])
+def test_stops_of_chunks_are_those_of_a_loop(spark, kind):
+    rng = np.random.default_rng(5)
+    frames = []
+    for name, n in (("a", 1), ("b", 37), ("c", 1200)):
+        mid = {"walk": np.cumsum(rng.normal(0, 1, n)) + 100, "rising": np.arange(n) * 0.5 + 10, "flat": np.full(n, 7.0)}[kind]
+        frames.append(pd.DataFrame({"symbol": name, "time": pd.date_range("2024-01-01", periods=n, freq="15min"), "high": mid + rng.random(n), "low": mid - rng.random(n)}))
+    rows = pd.concat(frames)
+    got = indicators.parabolic_sar(spark.createDataFrame(rows), chunk=64).toPandas().sort_values(["symbol", "time"])
+    want = np.concatenate([plain_stops(f["high"].tolist(), f["low"].tolist(), 0.018, 0.2) for f in frames])
+    assert got["psar"].tolist() == want.tolist()
+
+
+def test_prefix_scans_of_one_long_series(spark):
+    """Every kind of scan over many ranges of one series, nulls and a null key among them, forward and backward."""
+    rng = np.random.default_rng(3)
+    n = 3000
+    v = pd.Series(np.where(rng.random(n) < 0.6, np.nan, rng.normal(1, 0.01, n)))
+    rows = [(None if k % 1000 == 999 else "s", int(k), None if math.isnan(x) else float(x)) for k, x in enumerate(v)]
+    df = spark.createDataFrame(rows, "symbol string, time long, v double")
+    kinds = ("sum", "count", "max", "min", "product", "last")
+    got = ranges.prefix_scan(df, {k: ("v", k) for k in kinds}, ranges=13)
+    assert got.count() == n
+    own = got.filter("symbol = 's'").toPandas().sort_values("time").set_index("time")
+    x = v[own.index]
+    want = {"sum": x.cumsum().ffill(), "count": x.notna().cumsum(), "max": x.cummax().ffill(), "min": x.cummin().ffill(), "product": x.cumprod().ffill(), "last": x.ffill()}
+    for k in kinds:
+        np.testing.assert_allclose(own[k].to_numpy(float), want[k].to_numpy(float), rtol=1e-12)
+    back = ranges.prefix_scan(df, {"n": ("v", "count"), "v": ("v", "last")}, backward=True, ranges=13).filter("symbol = 's'").toPandas().sort_values("time")
+    np.testing.assert_array_equal(back["v"].to_numpy(), x.bfill().to_numpy())
+    assert back["n"].tolist() == x[::-1].notna().cumsum()[::-1].tolist()
+
+
+def windows_in(df) -> list[str]:
+    text = df._jdf.queryExecution().optimizedPlan().toString()
+    return re.findall(r"Window \[.*?\], \[([^\]]*)\], \[", text)
+
+
+def test_chunks_give_the_same_features_and_no_window_over_a_series(spark, bars):
+    names = ["bb_high", "adx", "obv", "macd_hist", "ulcer", "kst_signal", "wma20", "vwap", "cum_ret", "kc_percent", "ichimoku_span_a_26"]
+    key = ["symbol", "time"]
+    for shifted in (False, True):
+        want = indicators.add_indicators(bars, names, shifted=shifted).toPandas().sort_values(key)
+        cut = indicators.add_indicators(bars, names, shifted=shifted, chunk=64)
+        got = cut.toPandas().sort_values(key)
+        assert list(got.columns) == list(want.columns)
+        for n in names:
+            np.testing.assert_allclose(got[n].to_numpy(float), want[n].to_numpy(float), rtol=1e-9, atol=1e-9)
+        found = windows_in(cut)
+        assert found and all("chunk" in w or "range" in w.lower() for w in found)
+    cut = stable.add_stable_features(bars, "5T", chunk=64, names=("trend_slope", "dir_entropy", "vpin", "spectral_entropy"))
+    want = stable.add_stable_features(bars, "5T", names=("trend_slope", "dir_entropy", "vpin", "spectral_entropy")).toPandas().sort_values(key)
+    got = cut.toPandas().sort_values(key)
+    for n in want.columns[7:]:
+        np.testing.assert_allclose(got[n].to_numpy(float), want[n].to_numpy(float), rtol=1e-6, atol=1e-9)
+
+
+def test_features_declare_what_they_look_at(spark):
+    assert indicators.R.features["bb_high"].looks() == (0, 0) and indicators.R.features["std20"].looks() == (19, 0)
+    assert indicators.R.features["down_move"].looks() == (0, 1) and indicators.R.features["vroc"].looks() == (20, 0)
+    for f in indicators.R.features.values():
+        assert f.scanned or max(f.looks()) < 100
+    own = registry.Registry()
+    own.add("whole", "close", lambda w: windows.cumsum(F.col("close"), w))
+    with pytest.raises(ValueError, match="whole series"):
+        own.features["whole"].looks()
