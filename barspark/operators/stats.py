@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from barspark.operators.ranges import prefix_scan
+from barspark.operators.scan import with_halo
 from barspark.storage import stored
 
 div = F.try_divide
@@ -189,12 +195,51 @@ def variance_filter(df: DataFrame, columns: list[str], least: float = 0.01) -> D
     return unpivot(df, [], columns).groupBy("feature").agg(F.var_pop("value").alias("variance")).withColumn("kept", F.col("variance") > least)
 
 
+def _grams(df: DataFrame, left: list[str], right: list[str], upper: bool) -> DataFrame:
+    """i, j, n, sx, sy, sxx, syy, sxy of each pair of a left and a right column over the rows that have both; ``upper``: of pairs with i < j only.
+
+    One pass: every task multiplies its rows as matrices (values, their squares, and which are there) and hands on one row for each pair.
+    Values are taken from the column's least one on, so that a column's level costs no digits.  NaN and infinities count as null.
+    """
+    columns = list(dict.fromkeys([*left, *right]))
+    value = lambda k: F.when(F.abs(F.col(k).cast("double")) < float("inf"), F.col(k).cast("double"))
+    low = df.agg(*[F.min(value(k)).alias(str(i)) for i, k in enumerate(columns)]).first()
+    base = [low[str(i)] or 0.0 for i in range(len(columns))]
+    a, b = ([columns.index(k) for k in side] for side in (left, right))
+    names = ["n", "sx", "sy", "sxx", "syy", "sxy"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((6, len(a), len(b)))
+        for batch in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]) - base if batch.num_rows else np.zeros((0, len(columns)))
+            there = ~np.isnan(x)
+            x, m = np.where(there, x, 0.0), there.astype(float)
+            p, q, mp, mq = x[:, a], x[:, b], m[:, a], m[:, b]
+            sums += [mp.T @ mq, p.T @ mq, mp.T @ q, (p * p).T @ mq, mp.T @ (q * q), p.T @ q]
+        i, j = np.triu_indices(len(a), 1) if upper else np.indices((len(a), len(b))).reshape(2, -1)
+        yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), *(pa.array(s[i, j]) for s in sums)], ["i", "j", *names])
+
+    rows = df.select(*[value(k).alias(f"c{i}") for i, k in enumerate(columns)])
+    parts = rows.mapInArrow(run, "i int, j int, " + ", ".join(f"{n} double" for n in names))
+    return parts.groupBy("i", "j").agg(*[F.sum(n).alias(n) for n in names])
+
+
+def _gram_corr() -> Column:
+    """Pearson's correlation from the sums of a pair; null where one is constant."""
+    n = F.col("n")
+    inner = lambda a, b, ab: F.col(ab) - F.col(a) * F.col(b) / n
+    xx, yy = inner("sx", "sx", "sxx"), inner("sy", "sy", "syy")
+    flat = (xx <= 1e-14 * F.col("sxx")) | (yy <= 1e-14 * F.col("syy"))
+    return F.when((n > 0) & ~flat, F.greatest(F.least(inner("sx", "sy", "sxy") / F.sqrt(xx) / F.sqrt(yy), F.lit(1.0)), F.lit(-1.0)))
+
+
 def correlation_pairs(df: DataFrame, columns: list[str]) -> DataFrame:
-    """a, b, r for every pair of columns, a standing before b: one aggregation over the rows, pairs of columns only."""
-    pairs = [(i, j) for i in range(len(columns)) for j in range(i + 1, len(columns))]
-    row = df.agg(*[safe_corr(F.col(columns[i]), F.col(columns[j])).alias(f"r{k}") for k, (i, j) in enumerate(pairs)])
-    items = [F.struct(F.lit(columns[i]).alias("a"), F.lit(columns[j]).alias("b"), F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"r{k}").alias("r")) for k, (i, j) in enumerate(pairs)]
-    return row.select(F.explode(F.array(*items)).alias("p")).select("p.*")
+    """a, b, i, j, r for every pair of columns, a standing before b, over the rows that have both; r is null where one is constant.
+
+    The plan does not grow with the number of columns: a task's rows become products of matrices.
+    """
+    name = lambda k: F.get(F.array(*map(F.lit, columns)), F.col(k))
+    return _grams(df, columns, columns, True).select(name("i").alias("a"), name("j").alias("b"), "i", "j", _gram_corr().alias("r"))
 
 
 def safe_corr(a: Column, b: Column) -> Column:
@@ -210,44 +255,101 @@ def corr_filter(df: DataFrame, columns: list[str], most: float = 0.9) -> DataFra
     return names.join(beyond, "feature", "left").fillna(False, ["dropped"])
 
 
-def mutual_information(df: DataFrame, columns: list[str], label: str, bins: int = 10) -> DataFrame:
-    """Plug-in mutual information (nats) of each column in quantile bins with the label: a binned stand-in for nearest-neighbour estimates."""
-    edges = quantile_edges(df, columns, bins)
-    long = unpivot(df, [label], columns).filter(F.col("value").isNotNull() & F.col(label).isNotNull())
-    cells = binned(long, edges).groupBy("feature", "bin", label).agg(F.count(F.lit(1)).alias("n"))
-    by = lambda *k: F.sum("n").over(Window.partitionBy("feature", *k))
-    n = F.col("n")
-    return cells.withColumns({"__x": by("bin"), "__y": by(label), "__t": by()}).groupBy("feature").agg(F.sum(n / F.col("__t") * F.ln(n * F.col("__t") / (F.col("__x") * F.col("__y")))).alias("mi"))
+def digamma(x: Column) -> Column:
+    """The logarithmic derivative of the gamma function of numbers from 1 on: the recurrence up to 8 more, then the asymptotic series."""
+    z = x.cast("double") + 8
+    back = sum((1 / (x + k) for k in range(1, 8)), 1 / x.cast("double"))
+    return F.ln(z) - 1 / (2 * z) - F.pow(z, -2.0) / 12 + F.pow(z, -4.0) / 120 - F.pow(z, -6.0) / 252 + F.pow(z, -8.0) / 240 - F.pow(z, -10.0) / 132 - back
+
+
+def mutual_information(df: DataFrame, columns: list[str], label: str, neighbors: int = 3, chunk: int = 4096) -> DataFrame:
+    """feature, mi: mutual information (nats) of each column with a discrete label, by nearest neighbours.
+
+    A row's distance to its k-th neighbour of the same label, k = ``neighbors`` or one less than the label's rows, spans an open interval, and
+    m rows of any label lie in it (in one of width 0: rows of the same value); mi = psi(n) + mean psi(k) - mean psi(rows of the label)
+    - mean psi(m), 0 at least.  Labels of one row are left out, and so are nulls, NaN and infinities.
+
+    Neighbours come from windows over chunks of the sorted values with ``neighbors`` rows on either side, and the counts from one prefix
+    scan over values and interval ends together, so no task holds a column.
+    """
+    long = unpivot(df.withColumn("__y", F.col(label).cast("string")), ["__y"], columns)
+    long = long.filter((F.abs("value") < float("inf")) & F.col("__y").isNotNull()).withColumn("__one", F.lit(1))
+    placed = prefix_scan(long, {"__row": ("__one", "count")}, ("feature", "__y"), "value")
+    placed = placed.withColumn("value", F.col("value") + 0.0)  # -0 is 0
+    counts = stored(placed.groupBy("feature", "__y").agg(F.count(F.lit(1)).alias("__c")).filter("__c > 1"), "labels")
+    rows = with_halo(placed, neighbors, chunk, ("feature", "__y"), "value", neighbors, "__row")
+    w = Window.partitionBy("feature", "__y", "chunk").orderBy("__row")
+    near = F.array(*[F.struct(F.abs(v - F.col("value")).alias("d"), v.alias("v")) for k in range(1, neighbors + 1) for v in (F.lag("value", k).over(w), F.lead("value", k).over(w))])
+    rows = rows.withColumn("__near", near).filter("NOT halo").join(counts, ["feature", "__y"]).withColumn("__k", F.least(F.lit(neighbors).cast("long"), F.col("__c") - 1))
+    found = F.element_at(F.array_sort(F.filter("__near", lambda p: p["d"].isNotNull())), F.col("__k").cast("int"))
+    x, at = F.col("value"), F.col("__at")
+    low = F.when(at["v"] < x, at["v"]).otherwise(x - at["d"])
+    high = F.when(at["v"] > x, at["v"]).otherwise(x + at["d"])
+    zero = at["d"] == 0
+    rows = rows.withColumn("__at", found).select("feature", "__k", "__c", x.alias("v"), low.alias("lo"), high.alias("hi"), zero.alias("zero"))
+    # values up to each end: an end that counts equal values comes after them, one that doesn't before; signs say what to add
+    end = lambda v, after, sign: F.struct(v.alias("at"), F.when(after, 2).otherwise(0).alias("kind"), F.lit(sign).alias("sign"))
+    value = F.struct(F.col("v").alias("at"), F.lit(1).alias("kind"), F.lit(0).alias("sign"))
+    points = rows.withColumn("__id", F.monotonically_increasing_id())
+    points = stored(points, "neighbours")
+    marks = points.select("feature", "__id", F.inline(F.array(value, end(F.col("hi"), F.col("zero"), 1), end(F.col("lo"), ~F.col("zero"), -1))))
+    marks = marks.withColumn("__one", F.when(F.col("kind") == 1, 1))
+    upto = prefix_scan(marks, {"__upto": ("__one", "count")}, ("feature",), ("at", "kind")).filter("sign <> 0")
+    inside = upto.groupBy("feature", "__id").agg(F.sum(F.col("sign") * F.col("__upto")).alias("__m"))
+    each = points.join(inside, ["feature", "__id"])
+    n = F.count(F.lit(1))
+    mi = digamma(n) + F.avg(digamma(F.col("__k"))) - F.avg(digamma(F.col("__c"))) - F.avg(digamma(F.col("__m")))
+    return each.groupBy("feature").agg(F.greatest(mi, F.lit(0.0)).alias("mi"))
+
+
+def filled_median(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Nulls, NaN and infinities of the columns become the column's median; of a column without a value they stay null."""
+    df = df.withColumns({k: F.when(F.abs(F.col(k).cast("double")) < float("inf"), F.col(k).cast("double")) for k in columns})
+    middle = {r["feature"]: r["q0"] for r in exact_quantiles(unpivot(df, [], columns), [0.5]).collect()}  # one row a column
+    return df.fillna({k: v for k, v in middle.items() if v is not None})
 
 
 def select_features(df: DataFrame, columns: list[str], label: str, fold: str, top_k_: int = 20, least_variance: float = 0.01, most_corr: float = 0.9) -> DataFrame:
-    """Features that variance, correlation and mutual information choose in every fold of the fold column; with their number of votes."""
-    folds = sorted(r[0] for r in df.select(fold).distinct().collect() if r[0] is not None)
+    """feature, votes: the ``top_k_`` features that variance, correlation and mutual information choose in the training rows of every fold.
+
+    Fold f (from 1) is trained on the rows of all folds before it, so the prefix of a series grows from fold to fold.  Gaps are filled by the
+    prefix's median first.  Of features with all votes those with the most mutual information, all folds together, come first.
+    """
+    last = df.agg(F.max(fold)).first()[0] or 0
     votes = None
-    for f in folds:
-        part = df.filter(F.col(fold) == f)
-        kept = [r["feature"] for r in variance_filter(part, columns, least_variance).filter("kept").collect()]
+    for f in range(1, last + 1):
+        part = stored(filled_median(df.filter(F.col(fold) < f), columns), "prefix")
+        kept = {r["feature"] for r in variance_filter(part, columns, least_variance).filter("kept").collect()}
         kept = [k for k in columns if k in kept]
         gone = {r["feature"] for r in corr_filter(part, kept, most_corr).filter("dropped").collect()} if len(kept) > 1 else set()
         kept = [k for k in kept if k not in gone]
-        chosen = top_k(mutual_information(part, kept, label), "mi", top_k_, "feature").select("feature")
-        votes = chosen if votes is None else votes.unionByName(chosen)
-    return vote_count(votes, "feature", len(folds))
+        if kept:
+            chosen = top_k(mutual_information(part, kept, label), "mi", top_k_, "feature")
+            votes = chosen if votes is None else votes.unionByName(chosen)
+    if votes is None:
+        return df.sparkSession.createDataFrame([], "feature string, votes long")
+    whole = votes.groupBy("feature").agg(F.count(F.lit(1)).alias("votes"), F.sum("mi").alias("mi")).filter(F.col("votes") >= last)
+    return top_k(whole, "mi", top_k_, "feature").select("feature", "votes")
 
 
 def rank_by_target_corr(df: DataFrame, columns: list[str], label: str, k: int) -> DataFrame:
     """feature, r: the columns most correlated with the label, either way."""
-    row = df.agg(*[F.abs(safe_corr(F.col(c), F.col(label))).alias(c) for c in columns])
-    return top_k(unpivot(row, [], columns, value="r").filter("r IS NOT NULL"), "r", k, "feature")
+    name = F.get(F.array(*map(F.lit, columns)), F.col("i"))
+    found = _grams(df, columns, [label], False).select(name.alias("feature"), F.abs(_gram_corr()).alias("r"))
+    return top_k(found.filter("r IS NOT NULL"), "r", k, "feature")
 
 
 def select_strong(df: DataFrame, columns: list[str], label: str, most: int = 300, trees: int = 256, seed: int = 7) -> DataFrame:
-    """feature, importance of a random forest over the three times ``most`` columns best correlated with the label; those with any importance."""
+    """feature, importance of a random forest over the three times ``most`` columns best correlated with the label; those with any importance.
+
+    Gaps are filled by the column's median, so that no row with a label is lost; a column without any value is left out.
+    """
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
 
     first = [r["feature"] for r in rank_by_target_corr(df, columns, label, 3 * most).collect()] or columns
-    rows = VectorAssembler(inputCols=first, outputCol="__x", handleInvalid="skip").transform(df.filter(F.col(label).isNotNull()))
+    labelled = filled_median(df.filter(F.col(label).isNotNull()), first)
+    rows = VectorAssembler(inputCols=first, outputCol="__x", handleInvalid="skip").transform(labelled)
     weights = rows.groupBy(label).agg((F.lit(1.0) / F.count(F.lit(1))).alias("__w"))
     model = RandomForestClassifier(featuresCol="__x", labelCol=label, weightCol="__w", numTrees=trees, seed=seed).fit(rows.join(F.broadcast(weights), label))
     found = [(f, float(v)) for f, v in zip(first, model.featureImportances.toArray(), strict=True) if v > 0] or [(f, 0.0) for f in first]

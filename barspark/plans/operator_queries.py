@@ -197,13 +197,34 @@ SUB = "u AS (SELECT unnest(['close', 'high', 'volume']) AS feature, unnest([clos
 add("i01_variance", rows()(lambda b: stats.variance_filter(b, COLS, 3.0)), f"WITH {B30}, {SUB} SELECT feature, {r('variance=var_pop(value)')}, var_pop(value) > 3 AS kept FROM u GROUP BY 1")
 add("i02_corr_pairs", rows("a", "b", "r")(lambda b: stats.correlation_pairs(b, COLS)), f"WITH {B30} SELECT 'close' AS a, 'high' AS b, {r('r=corr(close, high)')} FROM bars UNION ALL SELECT 'close', 'volume', {r('r=corr(close, volume)')} FROM bars UNION ALL SELECT 'high', 'volume', {r('r=corr(high, volume)')} FROM bars")
 add("i02_corr_filter", rows()(lambda b: stats.corr_filter(b, COLS, 0.3)), f"WITH {B30}, k AS (SELECT corr(close, high) AS ch, corr(close, volume) AS cv, corr(high, volume) AS hv FROM bars) SELECT 'close' AS feature, false AS dropped UNION ALL SELECT 'high', abs(ch) > 0.3 FROM k UNION ALL SELECT 'volume', abs(cv) > 0.3 OR abs(hv) > 0.3 FROM k")
+_PSI = "(ln({0} + 8.0) - 1 / (2 * ({0} + 8.0)) - pow({0} + 8.0, -2) / 12 + pow({0} + 8.0, -4) / 120 - pow({0} + 8.0, -6) / 252 + pow({0} + 8.0, -8) / 240 - pow({0} + 8.0, -10) / 132 - list_sum([1 / ({0} + step) FOR step IN range(0, 8)]))"
+
+
+def neighbour_information(source):
+    """CTEs up to ``mi`` (f, feature, mi): nearest-neighbour information of (f, feature, value, y), whose rows are counted one by one."""
+    lag = lambda k: f"lead(value, {k}) OVER p" if k > 0 else f"lag(value, {-k}) OVER p"
+    near = ", ".join(f"{{'d': abs({lag(k)} - value), 'v': {lag(k)}}}" for k in (-3, -2, -1, 1, 2, 3))
+    return f"""nn AS (SELECT *, count(*) OVER (PARTITION BY f, feature, y) AS c, list_sort(list_filter([{near}], lambda z: z.d IS NOT NULL)) AS near FROM {source} WINDOW p AS (PARTITION BY f, feature, y ORDER BY value)),
+nk AS (SELECT f, feature, value, c, least(3, c - 1) AS k, near[least(3, c - 1)] AS e FROM nn WHERE c > 1),
+ends AS (SELECT *, CASE WHEN e.v < value THEN e.v ELSE value - e.d END AS lo, CASE WHEN e.v > value THEN e.v ELSE value + e.d END AS hi, row_number() OVER () AS id FROM nk),
+inside AS (SELECT a.id, count(*) AS m FROM ends a JOIN nk b ON b.f = a.f AND b.feature = a.feature AND ((a.e.d > 0 AND b.value > a.lo AND b.value < a.hi) OR (a.e.d = 0 AND b.value = a.value)) GROUP BY 1),
+mi AS (SELECT f, feature, greatest({_PSI.format('count(*)')} + avg({_PSI.format('k')}) - avg({_PSI.format('c')}) - avg({_PSI.format('m')}), 0) AS mi FROM ends JOIN inside USING (id) GROUP BY 1, 2)"""
+
+
 add("i03_mutual_information", lambda spark, d: fx.rounded(stats.mutual_information(frame.label_next_up(fx.bars(spark, d)), ["close", "high"], "y")),
-    f"""WITH {B30}, {LAB}, m AS (SELECT * FROM lab WHERE y IS NOT NULL), u AS (SELECT unnest(['close', 'high']) AS feature, unnest([close, high]) AS value, y FROM m),
-q AS (SELECT feature, list_sort(list_distinct([quantile_cont(value, 0.0), {', '.join(f'quantile_cont(value, {i / 10})' for i in range(1, 10))}, quantile_cont(value, 1.0)])) AS e FROM u GROUP BY 1),
-cell AS (SELECT u.feature, least(len([z FOR z IN e IF z <= value]), len(e) - 1) AS bin, y, count(*) AS n FROM u JOIN q USING (feature) GROUP BY 1, 2, 3),
-t AS (SELECT *, sum(n) OVER (PARTITION BY feature, bin) AS x, sum(n) OVER (PARTITION BY feature, y) AS w, sum(n) OVER (PARTITION BY feature) AS t FROM cell)
-SELECT feature, {r('mi=sum(n / t * ln(n * t / (x * w)))')} FROM t GROUP BY 1""")
-add("i04_select_features", lambda spark, d: fx.rounded(stats.select_features(frame.label_next_up(frame.ts_folds(fx.bars(spark, d), 2)), ["open", "high", "low", "close", "volume"], "y", "test_fold", 3)))
+    f"WITH {B30}, {LAB}, u AS (SELECT 0 AS f, unnest(['close', 'high']) AS feature, unnest([close, high]) AS value, y FROM lab WHERE y IS NOT NULL), {neighbour_information('u')} SELECT feature, {r('mi')} FROM mi")
+_PAIRS = [(a, b) for i, a in enumerate(OHLCV) for b in OHLCV[i + 1 :]]
+add("i04_select_features", lambda spark, d: fx.rounded(stats.select_features(frame.label_next_up(frame.ts_folds(fx.bars(spark, d), 2)), OHLCV, "y", "test_fold", 3)),
+    f"""WITH {B30}, {LAB}, n AS (SELECT *, row_number() OVER {W} AS i, count(*) OVER (PARTITION BY symbol) AS m FROM bars),
+fd AS (SELECT *, CASE WHEN i <= m - 2 * (m // 3) OR m < 3 THEN 0 ELSE ceil((i - (m - 2 * (m // 3))) / (m // 3)) END AS fold FROM n),
+x AS (SELECT g.f, fd.*, lab.y FROM fd JOIN lab USING (symbol, time), (VALUES (1), (2)) g(f) WHERE fold < g.f AND lab.y IS NOT NULL),
+cr AS (SELECT f, {', '.join(f"corr({a}, {b}) AS {a}_{b}" for a, b in _PAIRS)} FROM x GROUP BY f),
+va AS (SELECT f, {', '.join(f"var_pop({k}) > 0.01 AS {k}" for k in OHLCV)} FROM x GROUP BY f),
+gone AS ({' UNION '.join(f"SELECT f, '{b}' AS feature FROM cr JOIN va USING (f) WHERE va.{a} AND va.{b} AND abs({a}_{b}) > 0.9" for a, b in _PAIRS)} UNION {' UNION '.join(f"SELECT f, '{k}' FROM va WHERE NOT {k}" for k in OHLCV)}),
+u AS (SELECT f, unnest([{', '.join(f"'{k}'" for k in OHLCV)}]) AS feature, unnest([{', '.join(OHLCV)}]) AS value, y FROM x),
+v AS (SELECT u.* FROM u ANTI JOIN gone USING (f, feature)), {neighbour_information('v')},
+best AS (SELECT * FROM mi QUALIFY row_number() OVER (PARTITION BY f ORDER BY mi DESC, feature) <= 3)
+SELECT feature, count(*) AS votes FROM best GROUP BY 1 HAVING count(*) >= 2 ORDER BY sum(mi) DESC, 1 LIMIT 3""")
 add("i05_rank_by_corr", lambda spark, d: fx.rounded(stats.rank_by_target_corr(frame.label_next_up(fx.bars(spark, d)), OHLCV, "y", 3)),
     f"WITH {B30}, {LAB}, u AS (SELECT unnest(['open', 'high', 'low', 'close', 'volume']) AS feature, unnest([open, high, low, close, volume]) AS v, y FROM lab WHERE y IS NOT NULL), k AS (SELECT feature, abs(corr(v, y)) AS r FROM u GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 3) SELECT feature, {r('r')} FROM k")
 add("i06_select_strong", lambda spark, d: stats.select_strong(frame.label_next_up(fx.bars(spark, d)), OHLCV, "y", 3).select("feature"))

@@ -361,3 +361,63 @@ def test_features_declare_what_they_look_at(spark):
     own.add("whole", "close", lambda w: windows.cumsum(F.col("close"), w))
     with pytest.raises(ValueError, match="whole series"):
         own.features["whole"].looks()
+
+
+def plain_information(v, y, neighbors=3):
+    """By all distances of each row."""
+    psi = lambda n: -0.5772156649015329 + sum(1 / k for k in range(1, n))
+    keep = [i for i in range(len(v)) if y.count(y[i]) > 1]
+    v, y = [v[i] for i in keep], [y[i] for i in keep]
+    total = []
+    for i, x in enumerate(v):
+        same = sorted((abs(v[j] - x), v[j]) for j in range(len(v)) if j != i and y[j] == y[i])
+        d, at = same[min(neighbors, len(same)) - 1]
+        low, high = at if at < x else x - d, at if at > x else x + d
+        m = sum(z == x for z in v) if d == 0 else sum(low < z < high for z in v)
+        total.append(psi(min(neighbors, len(same))) - psi(len(same) + 1) - psi(m))
+    return max(0.0, psi(len(v)) + sum(total) / len(v))
+
+
+def test_information_is_that_of_all_distances(spark):
+    rng = np.random.default_rng(11)
+    n = 240
+    y = [["a", "b", "b", "c"][k] for k in rng.integers(0, 4, n)] + ["alone", "pair", "pair"]
+    base = np.array([ord(k[0]) for k in y], float)
+    columns = {"near": base + rng.normal(0, 0.5, n + 3), "far": rng.normal(0, 1, n + 3), "ties": rng.integers(0, 4, n + 3).astype(float), "flat": np.ones(n + 3)}
+    rows = pd.DataFrame({**columns, "y": y})
+    df = spark.createDataFrame(rows)
+    df = df.unionByName(df.limit(1).withColumns({k: F.lit(float("nan")) for k in columns})).unionByName(df.limit(1).withColumn("y", F.lit(None)))
+    got = {r.feature: r.mi for r in stats.mutual_information(df, list(columns), "y", chunk=17).collect()}
+    for k, v in columns.items():
+        assert got[k] == pytest.approx(plain_information(v.tolist(), y), abs=1e-9)
+
+
+def test_correlations_of_300_columns_are_one_pass(spark):
+    rng = np.random.default_rng(12)
+    x = rng.normal(0, 1, (400, 300)) + 1e6
+    x[:, 1] = -x[:, 0]
+    x[:, 2] = 5.0
+    x[rng.random((400, 300)) < 0.1] = np.nan
+    x[:200, 3], x[200:, 4] = np.nan, np.nan
+    names = [f"c{i}" for i in range(300)]
+    df = spark.createDataFrame(pd.DataFrame(x, columns=names))
+    got = {(r.i, r.j): r.r for r in stats.correlation_pairs(df, names).collect()}
+    want = pd.DataFrame(x).corr().to_numpy()
+    assert len(got) == 300 * 299 // 2
+    for (i, j), r in got.items():
+        assert (r is None and math.isnan(want[i, j])) or r == pytest.approx(want[i, j], abs=1e-7)
+    assert stats.rank_by_target_corr(df, names[1:], "c0", 1).first().feature == "c1"
+
+
+def test_selection_uses_training_prefixes(spark):
+    """A feature that follows the label in the newest rows only is not chosen: no fold trains on them."""
+    rng = np.random.default_rng(13)
+    n = 400
+    y = rng.integers(0, 2, n)
+    old = np.where(np.arange(n) < 260, y, 0) + rng.normal(0, 0.2, n)
+    new = np.where(np.arange(n) >= 300, y, 0) + rng.normal(0, 0.2, n)
+    gaps = np.where(rng.random(n) < 0.1, np.nan, y + rng.normal(0, 0.3, n))
+    rows = pd.DataFrame({"symbol": "s", "time": pd.date_range("2024-01-01", periods=n), "old": old, "new": new, "gaps": gaps, "copy": old, "flat": 1.0, "y": y})
+    df = frame.ts_folds(spark.createDataFrame(rows), 3)
+    got = stats.select_features(df, ["old", "new", "gaps", "copy", "flat"], "y", "test_fold", 2).collect()
+    assert {r.feature for r in got} == {"old", "gaps"} and {r.votes for r in got} == {3}
