@@ -421,3 +421,20 @@ def test_selection_uses_training_prefixes(spark):
     df = frame.ts_folds(spark.createDataFrame(rows), 3)
     got = stats.select_features(df, ["old", "new", "gaps", "copy", "flat"], "y", "test_fold", 2).collect()
     assert {r.feature for r in got} == {"old", "gaps"} and {r.votes for r in got} == {3}
+
+
+class _Conf(dict):
+    def set(self, key, value):
+        self[key] = value
+
+
+@pytest.mark.parametrize("master", ["yarn", "spark://host:7077", "local-cluster[2,1,1024]", "k8s://host"])
+def test_a_cluster_needs_a_shared_folder(master):
+    from types import SimpleNamespace
+
+    from barspark.storage import shared_folder
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_folder(SimpleNamespace(conf=_Conf({"spark.master": master})))
+    assert shared_folder(SimpleNamespace(conf=_Conf({"spark.master": master, "spark.checkpoint.dir": "hdfs://x/y/"}))) == "hdfs://x/y"
+    assert shared_folder(SimpleNamespace(conf=_Conf({"spark.master": "local[4]"}))).startswith("file:/")
