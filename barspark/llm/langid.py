@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barspark.llm import textarrays as ta
+from barspark.llm.buckets import few
+from barspark.llm.storage import stored
 
 # letters a to z in one case, one sign each for blanks, digits and other ASCII, and the bytes of other characters
 _SIGN = np.full(256, 28, np.int64)
@@ -73,7 +75,11 @@ def solve(codes: list[np.ndarray], labels: list[str], n_landmarks: int, ridge: f
     """Fits the model on a sample in which every language's texts come in the order in which they may be landmarks."""
     languages = sorted(set(labels))
     each = max(1, n_landmarks // len(languages))
-    chosen = [i for x in languages for i in [j for j, y in enumerate(labels) if y == x][:each]]
+    own: dict[str, list[int]] = {}
+    for j, y in enumerate(labels):
+        own.setdefault(y, []).append(j)
+    spread = languages if len(languages) <= n_landmarks else [languages[k * len(languages) // n_landmarks] for k in range(n_landmarks)]
+    chosen = [i for x in spread for i in own[x][:each]]
     known = np.unique(np.concatenate([codes[i] for i in chosen]))
     place = np.full(CODES, -1, np.int32)
     place[known] = np.arange(len(known))
@@ -100,17 +106,24 @@ def fit(df: DataFrame, per_language: int = 400, n_landmarks: int = 160, ridge: f
     """Learns from about ``per_language`` labelled texts of each language, chosen by a hash of the id over the whole table.
 
     Rows without text or label are left out; None if no row is left.  Only the sample's n-gram sets reach the driver: their
-    number is bounded by ``per_language * most_languages``, and each is bounded by the alphabet.
+    number is about ``per_language * most_languages`` at most, and each is bounded by the alphabet.  Of more languages than that, each has a
+    smaller part of the sample, one text at least, and landmarks come from ``n_landmarks`` of them; all are learned.
     """
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).filter("text IS NOT NULL AND lang IS NOT NULL")
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(most_languages + 1).collect()}
-    if not counts:
+    counts = stored(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "languages")
+    languages = counts.count()
+    if not languages:
         return None
-    if len(counts) > most_languages:
-        raise ValueError(f"more than {most_languages} languages")
-    share = F.create_map(*[F.lit(v) for k, n in counts.items() for v in (k, min(1.0, per_language / n))])
+    each = per_language if languages <= most_languages else max(1, per_language * most_languages // languages)
     order = F.xxhash64(F.col("id").cast("string"), F.lit("sample"))
-    sample = rows.withColumn("order", order).filter(F.pmod("order", F.lit(1_000_003)) < share[F.col("lang")] * 1_000_003)
+    if languages <= most_languages:
+        share = F.create_map(*[F.lit(v) for r in counts.collect() for v in (r["lang"], min(1.0, each / r["n"]))])[F.col("lang")]
+        sample = rows.withColumn("order", order).filter(F.pmod("order", F.lit(1_000_003)) < share * 1_000_003)
+    else:  # a rare language's first text by hash is always there
+        keyed = rows.join(few(counts), "lang").withColumn("order", order)
+        firsts = stored(keyed.groupBy("lang").agg(F.min("order").alias("first")), "languages")
+        taken = (F.pmod("order", F.lit(1_000_003)) < F.least(F.lit(1.0), each / F.col("n")) * 1_000_003) | (F.col("order") == F.col("first"))
+        sample = keyed.join(few(firsts), "lang").filter(taken)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Presence()

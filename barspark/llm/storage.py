@@ -2,23 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from barspark.storage import shared_folder, stored
 
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; a folder of this machine only where that is unset, as in tests."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="spark-checkpoints-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def stored(df: DataFrame, what: str) -> DataFrame:
-    """Writes the rows to the shared folder and reads them again: the lineage is cut and a lost executor costs nothing."""
-    path = f"{shared_folder(df.sparkSession)}/barspark/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["shared_folder", "stored"]

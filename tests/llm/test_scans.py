@@ -293,3 +293,17 @@ def test_language_kernel_is_the_plain_one():
     dual = np.linalg.solve(k + 1e-3 * n * np.eye(n), center @ target)
     plain = k @ dual + target.mean(axis=0)
     assert np.allclose(model.decide(codes), plain, atol=1e-4)
+
+
+def test_more_languages_than_the_sample_is_made_for(spark):
+    rng = random.Random(23)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    vocabulary = {f"l{k}": ["".join(rng.choice(letters[k % 20 : k % 20 + 6]) for _ in range(4)) for _ in range(12)] for k in range(12)}
+    rows = [(k, " ".join(rng.choice(vocabulary[f"l{k % 12}"]) for _ in range(30)), f"l{k % 12}") for k in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(df, per_language=40, n_landmarks=24, most_languages=4)
+    assert sorted(model.languages) == sorted(vocabulary)  # all are learned, from a third of the sample each
+    few = langid.fit(df, per_language=40, n_landmarks=6, most_languages=4)
+    assert few.weights.shape == (6, 12)
+    got = langid.predict(df, model).join(df, "doc_id").filter("lang = lang_pred").count()
+    assert got > 0.9 * len(rows)
