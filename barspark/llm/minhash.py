@@ -148,6 +148,7 @@ def _likely(s: Settings, every: bool, earlier: bool = True):
     """Likely pairs (a, b) of each block.  ``every``: all of them between components, each in its first table only; else for each node b its best
     partner a, of the nodes before it if ``earlier``.
 
+    Minhashes are whole with ``every``, as in the tables, so that a pair is found in the first table it shares; else their lower halves.
     Where the payload has roots, only nodes of different components are partners.
     """
     n = 2 * s.collection * s.width
@@ -156,7 +157,7 @@ def _likely(s: Settings, every: bool, earlier: bool = True):
     def run(whole: Iterator[tuple[list[pa.Array], np.ndarray]]) -> Iterator[pa.RecordBatch]:
         for columns, bounds in whole:
             key, side, node = (columns[i].to_numpy() for i in (0, 3, 4))
-            signs = buckets.fixed(columns[5].cast(pa.binary()), "<u2")[0].reshape(len(node), n)
+            signs = buckets.fixed(columns[5].cast(pa.binary()), "<u4" if every else "<u2")[0].reshape(len(node), n)
             root = columns[6].to_numpy() if len(columns) > 6 else None
             images, at = buckets.fixed(columns[7].cast(pa.binary()), "<u4") if every else (None, None)
             found: list[np.ndarray] = []
@@ -317,7 +318,8 @@ def link(df: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id",
     sets = stored(_sets(df, half.join(likely_nodes.distinct(), "node").select("node", "id", "of_text"), ids_repeat, s, id_col, text_col), "sets")
     links = stored(_confirmed(forest, sets, s), "links")
     roots = components(links)
-    sketched = stored(half.join(_sketches(sets, s), "node").select("node", "least", "sketch"), "sketched") if crowded else half.join(_sketches(sets, s), "node").select("node", "least", "sketch")
+    sketched = nodes.select("node", "least").join(_sketches(sets, s), "node")
+    sketched = stored(sketched, "sketched") if crowded else sketched
     rooted = lambda: sketched.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"), "sketch")
     for turn in range(ROUNDS if crowded else 0):
         # the node with the most links stands for its component: what many are near to
@@ -330,7 +332,7 @@ def link(df: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id",
         if several.isEmpty():
             break
         placed = buckets.blocks(members.select("key", "node").join(several.select("key"), "key", "left_semi"), several, False, turn)
-        found = stored(_confirmed(one_partner(buckets.in_blocks(placed, rooted().drop("sketch"), _likely(s, False, False), pairs)), sets, s), "links")
+        found = stored(_confirmed(one_partner(buckets.in_blocks(placed, rooted().drop("sketch").withColumn("least", _low_halves(F.col("least"))), _likely(s, False, False), pairs)), sets, s), "links")
         if found.isEmpty():
             break
         links = links.unionByName(found)
