@@ -158,7 +158,7 @@ f AS (SELECT ha.feature, CASE WHEN ha.n = 0 THEN 1e-9 ELSE ha.n / sum(ha.n) OVER
 def latest(spark, d):
     stream, f = streamed(fx.scored(spark, d).select("symbol", "time", "p", "decision"))
     live.signal_sink(stream, f"{f}/latest", f"{f}/log", f"{f}/c").awaitTermination()
-    return fx.rounded(spark.read.parquet(f"{f}/latest"), "symbol", "time", "p", "decision")
+    return fx.rounded(live.latest_signals(spark, f"{f}/latest"), "symbol", "time", "p", "decision")
 
 
 add("n07_signal_sink", latest, f"WITH {SCORED} SELECT symbol, {T}, {r('p')}, CAST(decision AS BIGINT) AS decision FROM scored QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY time DESC) = 1")

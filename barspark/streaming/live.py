@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
+from datetime import timedelta
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -37,44 +39,71 @@ def process_once(bars: DataFrame, lateness: str = "1 hour") -> DataFrame:
 
 
 class _WaitAll(StatefulProcessor):
-    """Holds main bars until every other timeframe has reached them."""
+    """Holds main bars until every other timeframe has reached them, or, with ``wait`` (microseconds), until event time has passed them by so much."""
 
-    def __init__(self, main: str, others: tuple[str, ...]):
-        self.main, self.others = main, others
+    def __init__(self, main: str, others: tuple[str, ...], wait: int | None):
+        self.main, self.others, self.wait = main, others, wait
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getMapState("last", "tf string", "time timestamp")
-        self.waiting = handle.getListState("waiting", "time timestamp, close double")
+        self.handle = handle
+        self.last = handle.getMapState("last", "tf string", "at long")
+        self.waiting = handle.getMapState("waiting", "at long", "close double")
+
+    def _expiry(self, at: int) -> int:
+        return -(-(at + self.wait) // 1000)
+
+    def _out(self, key, bars: list[tuple[int, float]], complete: bool) -> pd.DataFrame:
+        return pd.DataFrame({"symbol": [key[0]] * len(bars), "at": [at for at, _ in bars], "close": [close for _, close in bars], "complete": [complete] * len(bars)})
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         for part in rows:
-            for tf, at in part.groupby("tf")["time"].max().items():
+            for tf, at in part.groupby("tf")["at"].max().items():
                 before = self.last.getValue((tf,)) if self.last.containsKey((tf,)) else None
                 if before is None or at > before[0]:
-                    self.last.updateValue((tf,), (at,))
-            for row in part[part["tf"] == self.main].sort_values("time").itertuples():
-                self.waiting.appendValue((row.time, row.close))
+                    self.last.updateValue((tf,), (int(at),))
+            own = part[part["tf"] == self.main]
+            for at, close in zip(own["at"].tolist(), own["close"].tolist(), strict=True):
+                self.waiting.updateValue((at,), (close,))
+                if self.wait is not None:
+                    self.handle.registerTimer(self._expiry(at))
         reached = [self.last.getValue((tf,))[0] if self.last.containsKey((tf,)) else None for tf in self.others]
-        waiting = list(self.waiting.get()) if self.waiting.exists() else []
-        upto = min(reached) if reached and None not in reached else None
-        done = [w for w in waiting if upto is not None and w[0] <= upto]
-        if done:
-            self.waiting.clear()
-            for w in waiting:
-                if w[0] > upto:
-                    self.waiting.appendValue(tuple(w))
+        if not reached or None in reached:
+            return
+        done = sorted((k[0], v[0]) for k, v in self.waiting.iterator() if k[0] <= min(reached))
+        for at, _ in done:
+            self.waiting.removeKey((at,))
+            if self.wait is not None:
+                self.handle.deleteTimer(self._expiry(at))
         if done:
-            yield pd.DataFrame({"symbol": [key[0]] * len(done), "time": [w[0] for w in done], "close": [w[1] for w in done]})
+            yield self._out(key, done, True)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        due = expiredTimerInfo.getExpiryTimeInMs()
+        late = sorted((k[0], v[0]) for k, v in self.waiting.iterator() if self._expiry(k[0]) <= due)
+        for at, _ in late:
+            self.waiting.removeKey((at,))
+        if late:
+            yield self._out(key, late, False)
 
     def close(self) -> None:
         pass
 
 
-def wait_all_timeframes(bars: DataFrame, main: str, others: tuple[str, ...]) -> DataFrame:
-    """Of a stream of bars with ``tf``: each main bar, once all the others have a bar at its time or later."""
+def wait_all_timeframes(bars: DataFrame, main: str, others: tuple[str, ...], wait: timedelta | None = None, lateness: str = "0 seconds") -> DataFrame:
+    """Of a stream of bars with ``tf``: each main bar, once all the others have a bar at its time or later.
+
+    With ``wait``, a main bar comes out with ``complete`` false as soon as event time (the newest bar of any series, less ``lateness``) is past
+    its time by so much, so a silent timeframe holds nothing up, and a series waits with no more bars than fit into that span.  Without, it
+    waits for ever.  A bar that comes again while it waits counts once.
+    """
     use_rocksdb(bars.sparkSession)
     rows = bars.select("symbol", "tf", F.col("time").cast("timestamp").alias("time"), "close")
-    return rows.groupBy("symbol").transformWithStateInPandas(_WaitAll(main, others), "symbol string, time timestamp, close double", "Append", "None")
+    rows = rows.withWatermark("time", lateness) if wait is not None else rows
+    rows = rows.withColumn("at", F.unix_micros("time"))
+    span = None if wait is None else wait // timedelta(microseconds=1)
+    schema = "symbol string, at long, close double, complete boolean"
+    out = rows.groupBy("symbol").transformWithStateInPandas(_WaitAll(main, others, span), schema, "Append", "None" if wait is None else "EventTime")
+    return out.select("symbol", F.timestamp_micros("at").alias("time"), "close", *([] if wait is None else ["complete"]))
 
 
 class _Features(StatefulProcessor):
@@ -115,15 +144,62 @@ def stream_decisions(features: DataFrame, score: Callable[[DataFrame], DataFrame
     return scored.withColumn("signal", signal(F.col("decision")))
 
 
-def signal_sink(signals: DataFrame, latest: str, log: str, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """Each batch appends to the log under its own number and replaces the latest signal of each series; a repeated batch writes the same files."""
+def _replace(spark: SparkSession, path: str, text: str) -> None:
+    """A small file that is replaced in one step: readers see the old text or the new one."""
+    jvm = spark.sparkContext._jvm
+    fs = jvm.org.apache.hadoop.fs
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    target, fresh = fs.Path(path), fs.Path(f"{path}.{uuid.uuid4().hex}")
+    out = fresh.getFileSystem(conf).create(fresh, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    overwrite = spark.sparkContext._gateway.new_array(fs.Options.Rename, 1)
+    overwrite[0] = fs.Options.Rename.OVERWRITE
+    fs.FileContext.getFileContext(target.toUri(), conf).rename(fresh, target, overwrite)
+
+
+def _version(spark: SparkSession, latest: str) -> int | None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{latest}/current")
+    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        return None
+    return int(spark.read.text(f"{latest}/current").first()[0])
+
+
+def latest_signals(spark: SparkSession, latest: str) -> DataFrame:
+    """The latest signal of each series, from one whole version of the table, also while the next one is being written."""
+    number = _version(spark, latest)
+    if number is None:
+        raise FileNotFoundError(f"no version in {latest}")
+    return spark.read.parquet(f"{latest}/version={number:012d}").drop("__batch")
+
+
+def _drop_version(spark: SparkSession, latest: str, number: int) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{latest}/version={number:012d}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def signal_sink(signals: DataFrame, latest: str, log: str, checkpoint: str, once: bool = True, keep: int = 2) -> StreamingQuery:
+    """Each batch appends to the log under its own number and makes the next version of the latest signals, from the version before and its own rows.
+
+    A version is written apart and becomes current when a pointer file is replaced, in one step; ``keep`` versions before it stay for those
+    who read them.  A batch that comes again writes the same log files; if its version is current, nothing else happens.  Of signals of
+    one series and time, the one of the later batch counts.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{log}/batch={number}")
         spark = batch.sparkSession
-        everything = spark.read.parquet(log)
-        last = everything.groupBy("symbol").agg(F.max_by(F.struct(*[k for k in everything.columns if k not in ("symbol", "batch")]), F.struct("time", "batch")).alias("p"))
-        last.select("symbol", "p.*").write.mode("overwrite").parquet(latest)
+        batch.write.mode("overwrite").parquet(f"{log}/batch={number}")
+        rows = spark.read.schema(batch.schema).parquet(f"{log}/batch={number}").withColumn("__batch", F.lit(number).cast("long"))
+        before = _version(spark, latest)
+        if before is not None and before >= number:
+            return
+        if before is not None:
+            rows = spark.read.parquet(f"{latest}/version={before:012d}").unionByName(rows)
+        others = [k for k in rows.columns if k != "symbol"]
+        last = rows.groupBy("symbol").agg(F.max_by(F.struct(*others), F.struct("time", "__batch")).alias("p"))
+        last.select("symbol", "p.*").write.mode("overwrite").parquet(f"{latest}/version={number:012d}")
+        _replace(spark, f"{latest}/current", str(number))
+        _drop_version(spark, latest, number - keep - 1)
 
     writer = signals.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+import time
 from datetime import datetime, timedelta
 from pathlib import Path
 
@@ -270,7 +271,7 @@ def test_streams(spark, bars, tmp_path):
     assert once.count() == rows.count()
     decided = live.stream_decisions(stream.drop("decision"), lambda df: df, 0.4, 0.6)
     live.signal_sink(decided, f"{tmp_path}/latest", f"{tmp_path}/log", f"{tmp_path}/sink-c").awaitTermination()
-    assert spark.read.parquet(f"{tmp_path}/latest").count() == 5 and spark.read.parquet(f"{tmp_path}/log").count() == rows.count()
+    assert live.latest_signals(spark, f"{tmp_path}/latest").count() == 5 and spark.read.parquet(f"{tmp_path}/log").count() == rows.count()
     hist = stats.histogram(rows, stats.equal_edges(rows, ["p"], 10), ["p"])
     live.stream_drift(stream, hist, ["p"], f"{tmp_path}/drift", f"{tmp_path}/drift-c").awaitTermination()
     assert spark.read.parquet(f"{tmp_path}/drift").first().psi == pytest.approx(0)
@@ -438,3 +439,46 @@ def test_a_cluster_needs_a_shared_folder(master):
         shared_folder(SimpleNamespace(conf=_Conf({"spark.master": master})))
     assert shared_folder(SimpleNamespace(conf=_Conf({"spark.master": master, "spark.checkpoint.dir": "hdfs://x/y/"}))) == "hdfs://x/y"
     assert shared_folder(SimpleNamespace(conf=_Conf({"spark.master": "local[4]"}))).startswith("file:/")
+
+
+def test_a_silent_timeframe_holds_nothing_up(spark, tmp_path):
+    """The hourly bars stop after the first; main bars come out when event time is two hours past them, and the state stays small."""
+    at = lambda k: datetime(2024, 1, 1) + timedelta(minutes=30 * k)
+    schema = "symbol string, tf string, time timestamp, close double"
+    n, files = 40, f"{tmp_path}/in"
+    for k in range(n):
+        rows = [("s", "30T", at(k), float(k))] + ([("s", "1H", at(0), 0.0)] if k == 0 else [])
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(files)
+        time.sleep(0.02)  # files are read in the order of their times
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(files)
+    out = live.wait_all_timeframes(stream, "30T", ("1H",), wait=timedelta(hours=2))
+    query = out.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+    query.awaitTermination()
+    got = {r.close: r.complete for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert got[0.0] is True and all(got[float(k)] is False for k in range(1, n - 6)) and float(n - 1) not in got
+    sizes = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    assert len(sizes) > 20 and max(sizes[10:]) <= max(sizes[:10]) + 2  # does not grow with the bars
+
+
+def test_readers_see_whole_versions(spark, tmp_path):
+    schema = "symbol string, time timestamp, p double"
+    latest, files = f"{tmp_path}/latest", f"{tmp_path}/in"
+    with pytest.raises(FileNotFoundError):
+        live.latest_signals(spark, latest)
+    row = lambda s, k, p: (s, datetime(2024, 1, 1, k), p)
+    batches = [[row("a", 1, 0.1), row("b", 1, 0.2)], [row("a", 2, 0.3)], [row("a", 1, 0.9), row("c", 1, 0.4)], [row("b", 1, 0.5)]]
+    readers = []
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(files)
+        stream = spark.readStream.schema(schema).parquet(files)
+        live.signal_sink(stream, latest, f"{tmp_path}/log", f"{tmp_path}/c").awaitTermination()
+        readers.append(live.latest_signals(spark, latest))
+        if k:  # who began to read before the batch still reads a whole version
+            readers[k - 1].collect()
+    assert {(r.symbol, r.p) for r in live.latest_signals(spark, latest).collect()} == {("a", 0.3), ("b", 0.5), ("c", 0.4)}
+    assert {(r.symbol, r.p) for r in readers[1].collect()} == {("a", 0.3), ("b", 0.2)}
+    # a version that is written but not yet current is not seen, nor one that is torn
+    (tmp_path / "latest" / "version=000000000009").mkdir()
+    (tmp_path / "latest" / "version=000000000009" / "part-0.parquet").write_bytes(b"torn")
+    assert live.latest_signals(spark, latest).count() == 3
+    assert not (tmp_path / "latest" / "version=000000000000").exists()
