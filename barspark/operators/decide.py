@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from barspark.functions import windows as x
 from barspark.operators.ranges import prefix_scan
+from barspark.operators.rolling import rolling_quantiles
 
 div = F.try_divide
 
@@ -98,14 +99,10 @@ def adjust_thresholds(df: DataFrame, negative: float, positive: float, atr: str
 def adaptive_thresholds(df: DataFrame, p: str = "p", n: int = 1000, low: float = 0.1, high: float = 0.9, least: int = 500, fallback: tuple[float, float] = (0.01, 0.99), keys: tuple[str, ...] = ("symbol",), order: str = "time") -> DataFrame:
     """Adds ``neg_thr`` and ``pos_thr``: quantiles of the n probabilities before the row, or the fallback until there are enough.
 
-    A frame holds n values at most, so its sorted array is bounded.
+    The quantiles come from a tree of counts that moves with the row, so a row costs the logarithm of the frame.
     """
-    w = x.series(*keys, order=order).rowsBetween(-n, -1)
-    df = df.withColumn("__s", F.array_sort(F.collect_list(p).over(w)))
-    ok = F.size("__s") >= least
-    return df.withColumns(
-        {"neg_thr": F.when(ok, x.quantile_of(F.col("__s"), low)).otherwise(fallback[0]), "pos_thr": F.when(ok, x.quantile_of(F.col("__s"), high)).otherwise(fallback[1])}
-    ).drop("__s")
+    df = rolling_quantiles(df, p, {"neg_thr": low, "pos_thr": high}, n, least, True, keys, order)
+    return df.withColumns({"neg_thr": F.coalesce("neg_thr", F.lit(fallback[0])), "pos_thr": F.coalesce("pos_thr", F.lit(fallback[1]))})
 
 
 def resolve_uncertain(df: DataFrame, p: str = "p", decision: str = "decision", most_share: float = 0.5, keys: tuple[str, ...] = ("symbol",), order: str = "time") -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from barspark.functions import indicators, registry, stable, windows
 from barspark.functions.registry import USER, register_indicator
-from barspark.operators import align, clean, frame, models, parity, ranges, scan, stats
+from barspark.operators import align, clean, frame, models, parity, ranges, rolling, scan, stats
 from barspark.plans import fixtures as fx
 from barspark.plans import queries as library
 from barspark.sources import bars as src
@@ -482,3 +482,15 @@ def test_readers_see_whole_versions(spark, tmp_path):
     (tmp_path / "latest" / "version=000000000009" / "part-0.parquet").write_bytes(b"torn")
     assert live.latest_signals(spark, latest).count() == 3
     assert not (tmp_path / "latest" / "version=000000000000").exists()
+
+
+@pytest.mark.parametrize("before", [False, True])
+def test_rolling_quantiles_are_those_of_sorted_frames(spark, before):
+    rng = np.random.default_rng(15)
+    n = 700
+    v = pd.Series(np.where(rng.random(n) < 0.1, np.nan, rng.integers(0, 40, n) / 7))
+    df = spark.createDataFrame([("s", datetime(2024, 1, 1) + timedelta(minutes=k), None if math.isnan(x) else float(x)) for k, x in enumerate(v)], "symbol string, time timestamp, v double")
+    got = rolling.rolling_quantiles(df, "v", {"q10": 0.1, "q50": 0.5, "top": 1.0}, 60, 20, before, chunk=128).toPandas().sort_values("time")
+    frames = (v.shift(1) if before else v).rolling(60, min_periods=20)
+    for name, p in (("q10", 0.1), ("q50", 0.5), ("top", 1.0)):
+        np.testing.assert_allclose(got[name].to_numpy(float), frames.quantile(p).to_numpy(float), rtol=1e-12)
