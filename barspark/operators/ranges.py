@@ -84,6 +84,16 @@ def prefix_scan(df: DataFrame, scans: dict[str, tuple[str, str]], keys: tuple[st
     return out.drop("__range", *[f"__{k}_{n}" for n in scans for k in "uc"])
 
 
+#: Columns up to which gaps are filled by a prefix scan; of more, its plan would cost more than the rows of most tables.
+WIDE = 16
+
+
 def ffill(df: DataFrame, columns: list[str], keys: tuple[str, ...] = ("symbol",), order: str = "time", backward: bool = False) -> DataFrame:
-    """Nulls become the last value before in the series (``backward``: the first after)."""
-    return prefix_scan(df, {k: (k, "last") for k in columns}, keys, order, backward)
+    """Nulls become the last value before in the series (``backward``: the first after).
+
+    Of up to ``WIDE`` columns by a prefix scan over ranges; more columns take one window a series, which streams through its rows.
+    """
+    if len(columns) <= WIDE:
+        return prefix_scan(df, {k: (k, "last") for k in columns}, keys, order, backward)
+    w = Window.partitionBy(*keys).orderBy(F.col(order).desc() if backward else F.col(order)).rowsBetween(Window.unboundedPreceding, 0)
+    return df.withColumns({k: F.last(k, ignorenulls=True).over(w) for k in columns})
