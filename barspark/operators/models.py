@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barspark.operators.decide import classification_metrics
+from barspark.storage import stored
 
 
 def class_weights(df: DataFrame, label: str = "y") -> DataFrame:
@@ -80,22 +81,56 @@ def calibrate(scored: DataFrame, p: str = "p", label: str = "y", method: str = "
     return lambda df: model.transform(df).withColumn("calibrated", vector_to_array("probability")[1]).drop("__s", "rawPrediction", "probability", "prediction")
 
 
+def _folds(df: DataFrame, fold: str) -> list[int]:
+    return sorted(r[0] for r in df.select(fold).distinct().collect() if r[0])
+
+
 def out_of_fold(df: DataFrame, features: list[str], label: str = "y", fold: str = "test_fold", algo: str = "logreg", **params) -> DataFrame:
-    """Probabilities of each fold by a model of the rows before it; fold 0 is trained on only."""
+    """Probabilities of each fold by a model of the rows before it; fold 0 is trained on only.  The rows are stored once for all fits.
+
+    Linear regressions of all folds and penalties come from one pass instead, see :mod:`barspark.operators.linear`.
+    """
+    return _out_of_fold(stored(df, "folds"), features, label, fold, algo, **params)
+
+
+def _out_of_fold(rows: DataFrame, features: list[str], label: str, fold: str, algo: str, **params) -> DataFrame:
     out = None
-    for f in sorted(r[0] for r in df.select(fold).distinct().collect() if r[0]):
-        model = fit_classifier(df.filter(F.col(fold) < f), features, label, algo, **params)
-        own = predict_proba(model, df.filter(F.col(fold) == f))
+    for f in _folds(rows, fold):
+        model = fit_classifier(rows.filter(F.col(fold) < f), features, label, algo, **params)
+        own = predict_proba(model, rows.filter(F.col(fold) == f))
         out = own if out is None else out.unionByName(own)
-    return out
+    return rows.limit(0).withColumn("p", F.lit(None).cast("double")) if out is None else out
+
+
+def calibrated_ensemble(df: DataFrame, features: list[str], label: str = "y", fold: str = "test_fold", algo: str = "logreg", method: str = "sigmoid", **params):
+    """Forward-chained calibration: fold f's model is fitted on the rows before it, and its scores in f fit its calibrator.
+
+    Returns a function that adds ``calibrated``, the mean of what all folds' calibrated models say; like :func:`predict_proba`, it leaves
+    out rows with a null feature.  Needs a fold from 1 on.
+    """
+    rows = stored(df, "folds")
+    pairs = []
+    for f in _folds(rows, fold):
+        model = fit_classifier(rows.filter(F.col(fold) < f), features, label, algo, **params)
+        pairs.append((model, calibrate(predict_proba(model, rows.filter(F.col(fold) == f), "__p"), "__p", label, method)))
+    if not pairs:
+        raise ValueError(f"no fold from 1 on in {fold}")
+
+    def apply(to: DataFrame) -> DataFrame:
+        for i, (model, calibrator) in enumerate(pairs):
+            to = calibrator(predict_proba(model, to, "__p")).drop("__p").withColumnRenamed("calibrated", f"__c{i}")
+        names = [f"__c{i}" for i in range(len(pairs))]
+        return to.withColumn("calibrated", sum((F.col(k) for k in names[1:]), F.col(names[0])) / len(names)).drop(*names)
+
+    return apply
 
 
 def grid_evaluate(df: DataFrame, features: list[str], grid: list[dict], label: str = "y", fold: str = "test_fold", metric: str = "f1") -> DataFrame:
     """Forward-chained scores of each algorithm and parameter set (``{"algo": ..., **params}``), the best first."""
-    reports = None
+    rows, reports = stored(df, "folds"), None
     for i, setting in enumerate(grid):
         algo, params = setting["algo"], {k: v for k, v in setting.items() if k != "algo"}
-        scored = out_of_fold(df, features, label, fold, algo, **params).withColumn("decision", (F.col("p") >= 0.5).cast("int"))
+        scored = _out_of_fold(rows, features, label, fold, algo, **params).withColumn("decision", (F.col("p") >= 0.5).cast("int"))
         own = classification_metrics(scored.withColumn("model", F.lit(f"{i}:{algo}")), y=label, keys=("model",))
         reports = own if reports is None else reports.unionByName(own)
     return reports.orderBy(F.col(metric).desc(), "model")

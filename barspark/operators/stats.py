@@ -141,7 +141,7 @@ def ks_statistic(a: DataFrame, b: DataFrame, columns: list[str]) -> DataFrame:
 def suggest_start_date(df: DataFrame, columns: list[str], order: str = "time", step_days: int = 30, least_days: int = 90, limit: float = 0.35, least_rows: int = 1000) -> DataFrame:
     """Per candidate start: rows on either side, mean KS of the older against the newer ones, and whether it will do; and the newest that will.
 
-    A row counts once, in the span between two starts that it lies in; a start's sums are those of the spans before it.
+    A row lies in the span between two starts.  Distinct values carry counts up to each span, so the plan grows with the number of starts.
     """
     last = df.agg(F.max(order).alias("last"), F.min(order).alias("first"))
     starts = last.select(F.explode(F.expr(f"sequence(last - INTERVAL {least_days} DAYS, least(first, last - INTERVAL {least_days} DAYS), INTERVAL -{step_days} DAYS)")).alias("start"), "first").filter("start >= first").select("start")
@@ -152,14 +152,15 @@ def suggest_start_date(df: DataFrame, columns: list[str], order: str = "time", s
     kind = df.schema[order].dataType
     span = sum((F.when(F.col(order) >= F.lit(k).cast(kind), 1).otherwise(0) for k in known[1:]), F.when(F.col(order) >= F.lit(known[0]).cast(kind), 1).otherwise(0))
     long = unpivot(df.withColumn("__span", span), ["__span"], columns).filter("value IS NOT NULL")
-    names = [f"n{i}" for i in range(len(known) + 1)]
-    steps = cumulative(long.groupBy("feature", "value").agg(*[F.count_if(F.col("__span") == i).alias(k) for i, k in enumerate(names)]), ["feature"], "value", names)
+    # a row in span i is older than the starts from i on, so what is newer is the rest of all rows
+    names = [f"n{i}" for i in range(len(known))]
+    counted = long.groupBy("feature", "value").agg(*[F.count_if(F.col("__span") <= i).alias(k) for i, k in enumerate(names)], F.count(F.lit(1)).alias("n"))
+    steps = cumulative(counted, ["feature"], "value", [*names, "n"])
     one = []
-    for i in range(len(known)):
-        old, new = names[: i + 1], names[i + 1 :]
-        total = lambda kind, of: sum((F.col(f"{kind}_{k}") for k in of[1:]), F.col(f"{kind}_{of[0]}"))
-        gap = F.abs(div(total("upto", old), total("all", old)) - div(total("upto", new), total("all", new)))
-        one.append(F.struct(F.lit(i).alias("i"), gap.alias("gap"), total("all", old).alias("older"), total("all", new).alias("newer")))
+    for i, k in enumerate(names):
+        newer = lambda kind, k=k: F.col(f"{kind}_n") - F.col(f"{kind}_{k}")
+        gap = F.abs(div(F.col(f"upto_{k}"), F.col(f"all_{k}")) - div(newer("upto"), newer("all")))
+        one.append(F.struct(F.lit(i).alias("i"), gap.alias("gap"), F.col(f"all_{k}").alias("older"), newer("all").alias("newer")))
     ks = steps.select("feature", F.inline(F.array(*one))).groupBy("i", "feature").agg(F.max("gap").alias("ks"), F.max("older").alias("older"), F.max("newer").alias("newer"))
     at = F.element_at(F.array(*[F.lit(k).cast(kind) for k in known]), F.col("i") + 1)
     mean = ks.groupBy("i").agg(F.avg("ks").alias("ks"), F.min("older").alias("older"), F.min("newer").alias("newer")).select(at.alias("start"), "ks", "older", "newer")

@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from barspark.functions import windows as x
-from barspark.operators import decide, frame, models, parity, scan, stats
+from barspark.operators import decide, frame, linear, models, parity, scan, stats
 from barspark.plans import fixtures as fx
 from barspark.plans.indicator_queries import BARS, W, fr
 from barspark.plans.operator_queries import B30, COUNTS, LAB, METRICS, SCORED, SECOND, T, named_bars, on_scored, r
@@ -173,6 +173,59 @@ add("j03_calibrate", _calibrated)
 add("j04_oversample", _oversampled, _OVERSAMPLED)
 add("j09_grid", lambda spark, d: fx.rounded(models.grid_evaluate(_framed(spark, d), XS, [{"algo": "logreg"}, {"algo": "logreg", "regParam": 0.1}, {"algo": "rf", "numTrees": 5}])))
 
+RIDGES = (0.0, 1.0, 100.0)
+
+
+def _path(spark, d):
+    """Coefficients and errors of every training prefix and penalty."""
+    fits = linear.ridge_path(_framed(spark, d), XS, "close", ridges=RIDGES)
+    weights = [F.get("coefficients", F.lit(i)).alias(f"w_{k}") for i, k in enumerate(XS)]
+    return fx.rounded(fits.select("fold", "ridge", "n_train", "n_test", "n_skipped", "intercept", *weights, "mse", "r2"))
+
+
+def _path_predictions(spark, d):
+    rows = _framed(spark, d)
+    return fx.rounded(linear.predict_path(rows, linear.ridge_path(rows, XS, "close", ridges=(1.0,)), XS, 1.0), "symbol", "time", "test_fold", "prediction")
+
+
+_SPREADS = [("z", "z", "a11"), ("z", "pos", "a12"), ("z", "dv", "a13"), ("pos", "pos", "a22"), ("pos", "dv", "a23"), ("dv", "dv", "a33"), ("z", "close", "b1"), ("pos", "close", "b2"), ("dv", "close", "b3")]
+#: The three coefficients by Cramer's rule.
+_FRAMED = f"""WITH {B30}, {LAB}, wi AS (SELECT *, count(close) OVER {fr(10)} AS k, avg(close) OVER {fr(10)} AS mid, stddev_pop(close) OVER {fr(10)} AS dev, min(close) OVER {fr(10)} AS lo, max(close) OVER {fr(10)} AS hi, volume - lag(volume) OVER {W} AS dv FROM lab),
+fm AS (SELECT symbol, time, close, y, (close - mid) / (dev + 1e-12) AS z, (close - lo) / (hi - lo + 1e-12) AS pos, dv, row_number() OVER {W} AS i, count(*) OVER (PARTITION BY symbol) AS m FROM wi WHERE y IS NOT NULL AND k >= 10 AND hi > lo),
+fd AS (SELECT *, CAST(CASE WHEN i <= m - 2 * (m // 3) OR m < 3 THEN 0 ELSE ceil((i - (m - 2 * (m // 3))) / (m // 3)) END AS BIGINT) AS fold FROM fm),
+sp AS (SELECT f, ridge, count(*) AS n, avg(z) AS mz, avg(pos) AS mpos, avg(dv) AS mdv, avg(close) AS my, {', '.join(f"covar_pop({a}, {b}) * count(*)" + (" + ridge" if a == b else "") + f" AS {name}" for a, b, name in _SPREADS)}
+FROM fd, (VALUES (1), (2), (3)) g(f), (VALUES {', '.join(f'({v}::DOUBLE)' for v in RIDGES)}) h(ridge) WHERE fold < f GROUP BY f, ridge),
+cf AS (SELECT *, a11 * (a22 * a33 - a23 * a23) - a12 * (a12 * a33 - a23 * a13) + a13 * (a12 * a23 - a22 * a13) AS det FROM sp),
+ws AS (SELECT *, (b1 * (a22 * a33 - a23 * a23) - a12 * (b2 * a33 - a23 * b3) + a13 * (b2 * a23 - a22 * b3)) / det AS w_z, (a11 * (b2 * a33 - a23 * b3) - b1 * (a12 * a33 - a23 * a13) + a13 * (a12 * b3 - b2 * a13)) / det AS w_pos,
+(a11 * (a22 * b3 - b2 * a23) - a12 * (a12 * b3 - b2 * a13) + b1 * (a12 * a23 - a22 * a13)) / det AS w_dv FROM cf),
+ft AS (SELECT *, my - w_z * mz - w_pos * mpos - w_dv * mdv AS intercept FROM ws),
+pd AS (SELECT fd.*, ridge, intercept + w_z * z + w_pos * pos + w_dv * dv AS prediction FROM fd JOIN ft ON fold = f)"""
+_PATH = f"""{_FRAMED}, te AS (SELECT fold AS f, ridge, count(*) AS n_test, avg(pow(close - prediction, 2)) AS mse, var_pop(close) AS total FROM pd GROUP BY 1, 2)
+SELECT CAST(f AS BIGINT) AS fold, n AS n_train, coalesce(n_test, 0) AS n_test, CAST(0 AS BIGINT) AS n_skipped, {r('ridge', 'intercept', 'w_z', 'w_pos', 'w_dv', 'mse', 'r2=1 - mse / total')} FROM ft LEFT JOIN te USING (f, ridge)"""
+add("j09_ridge_path", _path, _PATH)
+add("j02_ridge_predictions", _path_predictions, f"{_FRAMED} SELECT symbol, {T}, fold AS test_fold, {r('prediction')} FROM pd WHERE ridge = 1")
+
+
+def _isotonic(s):
+    steps = s.withColumn("p", F.floor(c("p") * 100) / 100).filter("y IS NOT NULL")
+    return models.calibrate(steps, method="isotonic")(steps).select("symbol", "time", "p", "calibrated")
+
+
+#: What pooling adjacent violators comes to: the greatest, over the starts before a step, of the least mean up to an end after it.
+add("j03_isotonic", on_scored("symbol", "time", "p", "calibrated")(_isotonic),
+    f"""WITH {SCORED}, sx AS (SELECT symbol, time, floor(p * 100) / 100 AS p, y FROM scored WHERE y IS NOT NULL), st AS (SELECT p, sum(y) AS s, count(*) AS n FROM sx GROUP BY 1), us AS (SELECT p, s, n, row_number() OVER (ORDER BY p) AS i, sum(s) OVER (ORDER BY p) AS us, sum(n) OVER (ORDER BY p) AS un FROM st),
+mn AS (SELECT j.i AS j, k.i AS k, (k.us - j.us + j.s) / (k.un - j.un + j.n) AS mean FROM us j JOIN us k ON k.i >= j.i), lo AS (SELECT j, us.i, min(mean) AS least FROM mn JOIN us ON us.i >= j AND us.i <= k GROUP BY 1, 2), iso AS (SELECT i, max(least) AS calibrated FROM lo GROUP BY 1)
+SELECT symbol, {T}, {r('p', 'calibrated')} FROM sx JOIN us USING (p) JOIN iso USING (i)""")
+
+
+def _chained(spark, d):
+    """Mean calibrated probability and share of rises per symbol, by a model and a calibrator for each fold."""
+    rows = _framed(spark, d)
+    return fx.rounded(models.calibrated_ensemble(rows, XS, method="isotonic")(rows).groupBy("symbol").agg(F.avg("calibrated").alias("calibrated"), F.avg(c("y").cast("double")).alias("up"), F.count(F.lit(1)).alias("n")), digits=4)
+
+
+add("j03_time_series_cv", _chained)
+
 # --- L ---
 DIFF = f"""{SECOND}, lg AS (SELECT a.symbol, a.time, unnest(['close', 'p']) AS feature, unnest([a.close, a.p]) AS a, unnest([b.close, b.p]) AS b FROM scored a JOIN feed b USING (symbol, time)),
 dl AS (SELECT *, abs(a - b) AS abs_diff, abs(a - b) / nullif(abs(b), 0) AS rel_diff, CASE WHEN abs(a - b) <= 1e-8 + 1e-5 * abs(b) THEN 0 ELSE 1 END AS is_diff FROM lg)"""

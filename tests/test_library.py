@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from barspark.functions import indicators, registry, stable, windows
 from barspark.functions.registry import USER, register_indicator
-from barspark.operators import align, clean, frame, models, parity, ranges, rolling, scan, stats
+from barspark.operators import align, clean, frame, linear, models, parity, ranges, rolling, scan, stats
 from barspark.plans import fixtures as fx
 from barspark.plans import queries as library
 from barspark.sources import bars as src
@@ -29,7 +29,7 @@ SOME = (
     "entry_up_rate a05_bars_15m a10_slice_tail b03_common_start b04_repair_outliers b06_ffill c02_safe_resample c03_merge_timeframes c06_asof d05_histogram e09_rolling_median e11_bars_since "
     "e20_affine_scan e20_halo_chunks f16_macd f17_adx f33_kama f48_ichimoku g05_ret_vol_corr g14_wavelet h02_ready h08_folds i09_ks i11_psi i13_correlation_gap k02_find_thresholds k05_adaptive_thresholds "
     "k14_shift_sweep l01_feature_diff l07_row_distance l10_tail_convergence m04_warmup_report n01_stream_bars "
-    "a01_read_bars a02_read_timeframes a09_model b14_drop_constant c08_trim_to_common e09_rolling_apply j04_oversample k02_find_thresholds_600 n02_wait_all n04_stream_features n08_replay_parity f37_parabolic_sar e18_prefix_scan f57_build_indicators g13_spectrum"
+    "a01_read_bars a02_read_timeframes a09_model b14_drop_constant c08_trim_to_common e09_rolling_apply j04_oversample k02_find_thresholds_600 n02_wait_all n04_stream_features n08_replay_parity f37_parabolic_sar e18_prefix_scan f57_build_indicators g13_spectrum j09_ridge_path j02_ridge_predictions j03_isotonic i10_start_date"
 ).split()
 
 
@@ -494,3 +494,92 @@ def test_rolling_quantiles_are_those_of_sorted_frames(spark, before):
     frames = (v.shift(1) if before else v).rolling(60, min_periods=20)
     for name, p in (("q10", 0.1), ("q50", 0.5), ("top", 1.0)):
         np.testing.assert_allclose(got[name].to_numpy(float), frames.quantile(p).to_numpy(float), rtol=1e-12)
+
+
+def linear_rows(spark, n=4000, folds=4):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(n, 5)) * [1.0, 1000.0, 0.01, 1.0, 0.0] + [0.0, 1e6, 3.0, -2.0, 7.0]
+    x[:, 3] = 2 * x[:, 0] + 1  # collinear; the last is constant
+    y = 4 * x[:, 0] - 0.003 * x[:, 1] + 50 * x[:, 2] + rng.normal(size=n)
+    data = pd.DataFrame(x, columns=list("abcde")).assign(y=y, test_fold=rng.integers(0, folds, n).astype("int32"))
+    data.loc[::97, "b"] = np.nan
+    data.loc[::89, "y"] = np.inf
+    return data, spark.createDataFrame(data).repartition(7)
+
+
+def test_linear_paths_are_separate_fits(spark):
+    """Every prefix and penalty has the coefficients of a fit of its own, and the errors that its predictions make."""
+    data, rows = linear_rows(spark)
+    names, ridges = list("abcde"), (0.0, 1.0, 500.0)
+    fits = linear.ridge_path(rows, names, "y", ridges=ridges)
+    found = {(r["fold"], r["ridge"]): r for r in fits.collect()}
+    assert sorted(found) == [(f, r) for f in (1, 2, 3, 4) for r in ridges]
+    good = np.isfinite(data[[*names, "y"]]).all(axis=1)
+    for (f, ridge), row in found.items():
+        own, test = data[good & (data.test_fold < f)], data[good & (data.test_fold == f)]
+        mean, level = own[names].mean(), own["y"].mean()
+        z = (own[names] - mean).to_numpy()
+        z[:, 4] = 0.0
+        scale = np.sqrt((z**2).sum(axis=0) + 1e-300)
+        w = np.linalg.pinv((z / scale).T @ (z / scale) + np.diag(ridge / scale**2) * (scale > 1e-9), rcond=1e-10) @ ((z / scale).T @ (own["y"] - level)) / scale
+        guess = level + (test[names] - mean).to_numpy() @ (w * (scale > 1e-9))
+        assert row["n_train"] == len(own) and row["n_test"] == len(test) and row["n_skipped"] == int((~good & (data.test_fold < f)).sum())
+        assert row["coefficients"] == pytest.approx((w * (scale > 1e-9)).tolist(), rel=1e-6, abs=1e-9)
+        if len(test):
+            assert row["mse"] == pytest.approx(float(((test["y"] - guess) ** 2).mean()), rel=1e-7)
+            assert row["r2"] == pytest.approx(1 - row["mse"] / float(test["y"].var(ddof=0)), rel=1e-6)
+        else:
+            assert row["mse"] is None and row["r2"] is None
+    said = linear.predict_path(rows, fits, names, 1.0).filter("prediction IS NOT NULL AND abs(y) < 1e300")
+    errors = {r["test_fold"]: r["mse"] for r in said.groupBy("test_fold").agg(F.avg(F.pow(F.col("y") - F.col("prediction"), 2)).alias("mse")).collect()}
+    assert errors == pytest.approx({f: found[f, 1.0]["mse"] for f in (1, 2, 3)}, rel=1e-7)
+    report = linear.path_report(fits).collect()
+    assert [r["folds"] for r in report] == [3, 3, 3] and report[0]["mse"] == min(r["mse"] for r in report) and report[-1]["ridge"] == 500.0
+
+
+def test_linear_paths_are_those_of_spark(spark):
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import LinearRegression
+
+    data, rows = linear_rows(spark)
+    rows = rows.filter("abs(y) < 1e300 AND NOT isnan(b)")
+    found = {r["fold"]: r for r in linear.ridge_path(rows, ["a", "b", "c"], "y", ridges=(20.0,)).collect()}
+    for f in (1, 3):
+        own = VectorAssembler(inputCols=["a", "b", "c"], outputCol="x").transform(rows.filter(F.col("test_fold") < f))
+        penalty = 20.0 / own.count() * own.agg(F.stddev_pop("y")).first()[0]  # Spark divides the penalty by the label's deviation
+        model = LinearRegression(featuresCol="x", labelCol="y", regParam=penalty, standardization=False, solver="normal").fit(own)
+        assert found[f]["coefficients"] == pytest.approx(model.coefficients.toArray().tolist(), rel=1e-5)
+        assert found[f]["intercept"] == pytest.approx(model.intercept, rel=1e-5)
+
+
+def test_linear_paths_of_odd_rows(spark):
+    """No rows, prefixes without rows, and folds of gaps only."""
+    kind = "a double, y double, test_fold int"
+    assert linear.ridge_path(spark.createDataFrame([], kind), ["a"], "y").count() == 0
+    rows = spark.createDataFrame([(None, 1.0, 0), (1.0, 2.0, 1), (2.0, 4.0, 1), (3.0, None, 2), (9.0, 9.0, None)], kind)
+    found = {r["fold"]: r for r in linear.ridge_path(rows, ["a"], "y", ridges=(0.0,)).collect()}
+    assert found[1]["coefficients"] is None and found[1]["mse"] is None and found[1]["n_train"] == 0 and found[1]["n_skipped"] == 1
+    assert found[2]["coefficients"] == pytest.approx([2.0]) and found[2]["intercept"] == pytest.approx(0.0, abs=1e-12) and found[2]["n_test"] == 0
+    assert found[3]["n_skipped"] == 2 and found[3]["n_train"] == 2
+
+
+@pytest.mark.parametrize("method", ["sigmoid", "isotonic"])
+def test_forward_chained_calibration(spark, method):
+    """Rises with the score, lies in [0, 1], has the label's mean, and no fold's model has seen later rows."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=3000)
+    y = (rng.random(3000) < 1 / (1 + np.exp(-3 * x))).astype("int32")
+    rows = spark.createDataFrame(pd.DataFrame({"x": x, "y": y, "test_fold": (np.arange(3000) // 1000).astype("int32")}))
+    apply = models.calibrated_ensemble(rows, ["x"], method=method)
+    got = apply(rows).select("x", "y", "test_fold", "calibrated").toPandas().sort_values("x")
+    assert len(got) == 3000 and got.calibrated.between(0, 1).all()
+    assert (got.calibrated.diff().dropna() >= -1e-9).all()
+    assert abs(got.calibrated.mean() - got.y.mean()) < 0.03 and abs(got.calibrated - 1 / (1 + np.exp(-3 * got.x))).mean() < 0.05
+    # with other rows in the last fold, the first fold's model and calibrator stay
+    first = rows.filter("test_fold < 2")
+    alone = models.calibrated_ensemble(first, ["x"], method=method)(first).agg(F.sum("calibrated")).first()[0]
+    turned = rows.withColumn("y", F.when(F.col("test_fold") == 2, 1 - F.col("y")).otherwise(F.col("y")))
+    both = models.calibrated_ensemble(turned, ["x"], method=method)(first).agg(F.sum("calibrated")).first()[0]
+    assert abs(both - alone) > 1  # the mean takes in the last fold
+    with pytest.raises(ValueError, match="no fold"):
+        models.calibrated_ensemble(rows.filter("test_fold = 0"), ["x"])
