@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,7 +14,7 @@ from barspark.operators.align import merge_timeframes, safe_resample
 from barspark.operators.clean import add_calendar, finite_ffill, numeric_columns, repair_outliers, signed_log1p, trim_from
 from barspark.operators.stats import unstable_columns
 from barspark.sources.bars import duration
-from barspark.storage import stored
+from barspark.storage import shared_folder, stored
 
 PRICES = ("open", "high", "low", "close", "volume")
 
@@ -40,5 +43,12 @@ def timeframe_features(bars: DataFrame, tf: str, start=None, resample: bool = Tr
 
 
 def feature_frame(bars: dict[str, DataFrame], main: str = "30T", start=None, resample: bool = True, keys: tuple[str, ...] = ("symbol",), order: str = "time") -> DataFrame:
-    frames = {tf: timeframe_features(df, tf, start, resample, keys, order) for tf, df in bars.items()}
+    """The features of every timeframe, named by it, on the main timeframe's rows.
+
+    Timeframes do not depend on one another, so their jobs run side by side: one's plans are made while another's tasks run.
+    """
+    shared_folder(bars[main].sparkSession)  # set before the threads start, so that all of them use one
+    make = inheritable_thread_target(lambda tf: timeframe_features(bars[tf], tf, start, resample, keys, order))
+    with ThreadPoolExecutor(len(bars)) as pool:
+        frames = dict(zip(bars, pool.map(make, bars), strict=True))
     return merge_timeframes(frames.pop(main), frames, main, keys, order)

@@ -188,7 +188,8 @@ add("h02_ready", lambda spark, d: fx.rounded(frame.ready(fx.bars(spark, d), feat
     f"""WITH {B30}, {LAB}, m AS (SELECT * FROM lab WHERE y IS NOT NULL), f AS (SELECT symbol, CAST(time AS DATE) AS day FROM m GROUP BY 1, 2 HAVING count(DISTINCT y) <= 1 AND max(close) - min(close) <= 1e-4 * greatest(1.0, avg(close))),
 k AS (SELECT * FROM m WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.symbol = m.symbol AND f.day = CAST(m.time AS DATE)))
 SELECT symbol, {T}, {r('close')}, CAST(y AS BIGINT) AS y, {r(f'volume_tminus2=lag(volume, 2) OVER {W}', 'high_tminus0=high')} FROM k QUALIFY row_number() OVER {W} >= 3""")
-add("h09_feature_frame", lambda spark, d: fx.rounded(feature_frame({"30T": fx.bars(spark, d), "1H": fx.bars(spark, d, "60 minutes")}, "30T", resample=False)))
+EVERY = {"30T": "30 minutes", "1H": "60 minutes", "15T": "15 minutes", "5T": "5 minutes"}
+add("h09_feature_frame", lambda spark, d: fx.rounded(feature_frame({tf: fx.bars(spark, d, every) for tf, every in EVERY.items()}, "30T")))
 
 # --- I ---
 OLD, NEW = (lambda b: b.filter("time < '2024-01-15'")), (lambda b: b.filter("time >= '2024-01-15'"))
