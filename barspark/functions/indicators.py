@@ -289,14 +289,20 @@ def add_indicators(df: DataFrame, names: list[str], keys: tuple[str, ...] = ("sy
     return out.drop(*[n for n in names if n in df.columns]).withColumnsRenamed({f"__later_{n}": n for n in names})
 
 
-def build_indicators(df: DataFrame, tf: str, keys: tuple[str, ...] = ("symbol",), order: str = "time", chunk: int | None = None) -> DataFrame:
-    """The whole set with the timeframe as prefix: builders shifted, the lagged and custom blocks as they are; a name of both is the custom one."""
-    builder = [n for n in BUILDER if n not in CUSTOM]
+def build_indicators(df: DataFrame, tf: str, keys: tuple[str, ...] = ("symbol",), order: str = "time", chunk: int | None = None, only: tuple[str, ...] | None = None) -> DataFrame:
+    """The whole set with the timeframe as prefix: builders shifted, the lagged and custom blocks as they are; a name of both is the custom one.
+
+    ``only`` names the indicators to build, such as those that a model was trained on; their values are those of the whole set.
+    """
+    wanted = lambda names: [n for n in names if only is None or n in only]
+    builder, others = wanted(n for n in BUILDER if n not in CUSTOM), wanted([*LAGGED, *CUSTOM])
+    if unknown := set(only or ()) - {*builder, *others}:
+        raise KeyError(f"no indicators {sorted(unknown)}")
     out = add_indicators(df, builder, keys, order, shifted=True, chunk=chunk)
-    # the other blocks start from the bars again, so that they do not build on shifted columns
-    rest = add_indicators(df, [*LAGGED, *CUSTOM], keys, order, chunk=chunk).select(*keys, order, *LAGGED, *CUSTOM)
-    joined = out.join(rest, [*keys, order])
-    return joined.select(*keys, order, *[F.col(n).alias(f"{tf}_{n}") for n in ("open", "high", "low", "close", "volume")], *[F.col(n).alias(f"{tf}_{n}") for n in (*builder, *LAGGED, *CUSTOM)])
+    if others:
+        # the other blocks start from the bars again, so that they do not build on shifted columns
+        out = out.join(add_indicators(df, others, keys, order, chunk=chunk).select(*keys, order, *others), [*keys, order])
+    return out.select(*keys, order, *[F.col(n).alias(f"{tf}_{n}") for n in ("open", "high", "low", "close", "volume", *builder, *others)])
 
 
 def kama(df: DataFrame, name: str = "kama", n: int = 10, fast: int = 2, slow: int = 30, keys: tuple[str, ...] = ("symbol",), order: str = "time") -> DataFrame:

@@ -190,6 +190,32 @@ k AS (SELECT * FROM m WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.symbol = m.symbo
 SELECT symbol, {T}, {r('close')}, CAST(y AS BIGINT) AS y, {r(f'volume_tminus2=lag(volume, 2) OVER {W}', 'high_tminus0=high')} FROM k QUALIFY row_number() OVER {W} >= 3""")
 EVERY = {"30T": "30 minutes", "1H": "60 minutes", "15T": "15 minutes", "5T": "5 minutes"}
 add("h09_feature_frame", lambda spark, d: fx.rounded(feature_frame({tf: fx.bars(spark, d, every) for tf, every in EVERY.items()}, "30T")))
+CHOSEN = ("sma10", "momentum", "bb_percent")
+_PART = ["open", "high", "low", "close", "volume", *CHOSEN, "hour", "day_of_week", "is_weekend"]
+
+
+def _frame_parts(m):
+    """CTEs of one timeframe, from bars over repaired closes and indicators to the calendar, up to ``c{m}``."""
+    filled = lambda k: f"last_value({k} IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY time ROWS UNBOUNDED PRECEDING)"
+    full = lambda f, e="close", n=10: f"CASE WHEN count({e}) OVER {fr(n)} >= {n} THEN {f}({e}) OVER {fr(n)} END"
+    return f"""{named_bars(m, f'b{m}')}, s{m} AS (SELECT symbol, avg(close) AS m, stddev_samp(close) AS s FROM b{m} GROUP BY 1),
+k{m} AS (SELECT d.*, close IS NULL OR close = 0 OR coalesce(abs(close - m) > 3 * s, false) AS bad, lead(close) OVER w AS nx, row_number() OVER w = 1 AS fst, row_number() OVER (PARTITION BY symbol ORDER BY time DESC) = 1 AS lst FROM b{m} d JOIN s{m} USING (symbol) WINDOW w AS (PARTITION BY symbol ORDER BY time)),
+e{m} AS (SELECT *, {{'a': CASE WHEN bad AND NOT fst THEN CASE WHEN lst THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END ELSE 0.0::DOUBLE END, 'b': CASE WHEN NOT bad THEN close WHEN fst THEN coalesce(nx, 'nan'::DOUBLE) WHEN lst THEN 0 ELSE coalesce(nx / 2, 'nan'::DOUBLE) END}} AS e FROM k{m}),
+o{m} AS (SELECT symbol, time, open, high, low, volume, list_reduce(list(e) OVER (PARTITION BY symbol ORDER BY time ROWS UNBOUNDED PRECEDING), lambda s, t: {{'a': s.a * t.a, 'b': CASE WHEN t.a = 0 THEN t.b ELSE t.a * s.b + t.b END}}).b AS v FROM e{m}),
+r{m} AS (SELECT symbol, time, open, high, low, CASE WHEN isnan(v) THEN NULL ELSE v END AS close, volume FROM o{m}),
+x{m} AS (SELECT *, {full('avg')} AS sma, close - lag(close, 14) OVER {W} AS mo, {full('avg', n=20)} AS mid, {full('stddev_samp', n=20)} AS dev FROM r{m}),
+i{m} AS (SELECT *, lag(sma) OVER {W} AS sma10, lag(mo) OVER {W} AS momentum, (lag(close) OVER {W} - lag(mid - 2 * dev) OVER {W}) / nullif(lag(mid + 2 * dev) OVER {W} - lag(mid - 2 * dev) OVER {W}, 0) AS bb_percent FROM x{m}),
+f{m} AS (SELECT * REPLACE ({', '.join(f"{filled(f'CASE WHEN isfinite({k}) THEN {k} END')} AS {k}" for k in CHOSEN)}) FROM i{m}),
+g{m} AS (SELECT *, lag(time) OVER {W} AS t FROM f{m} WHERE {' OR '.join(f'{k} IS NOT NULL' for k in CHOSEN)}),
+c{m} AS (SELECT symbol, time, {', '.join(f'{e} AS {k}_{m}' for k, e in {**{k: k for k in _PART}, 'volume': 'ln(1 + volume)', 'hour': 'hour(t)', 'day_of_week': 'isodow(t) - 1', 'is_weekend': 'CAST(isodow(t) >= 6 AS INT)'}.items())} FROM g{m})"""
+
+
+_MINUTES = {"30T": 30, "1H": 60, "15T": 15, "5T": 5}
+_ALL_PARTS = [(tf, k, f"{k}_{m}") for tf, m in _MINUTES.items() for k in _PART]
+add("h09_chosen_features", lambda spark, d: fx.rounded(feature_frame({tf: fx.bars(spark, d, every) for tf, every in EVERY.items()}, "30T", only=CHOSEN, stable=False).drop(*[f"{tf}_time" for tf in EVERY]), digits=4),
+    f"""WITH {', '.join(_frame_parts(m) for m in _MINUTES.values())}, j AS (SELECT * FROM c30 FULL JOIN c60 USING (symbol, time) FULL JOIN c15 USING (symbol, time) FULL JOIN c5 USING (symbol, time)),
+z AS (SELECT symbol, time, {', '.join(f'last_value({n} IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY time ROWS UNBOUNDED PRECEDING) AS {n}' for _, _, n in _ALL_PARTS)} FROM j)
+SELECT symbol, {T}, {r(*[f'"{tf}_{k}"={n}' for tf, k, n in _ALL_PARTS if k not in _PART[-3:]], digits=4)}, {', '.join(f'CAST({n} AS BIGINT) AS "{tf}_{k}"' for tf, k, n in _ALL_PARTS if k in _PART[-3:])} FROM z WHERE isodow(time) < 6""")
 
 # --- I ---
 OLD, NEW = (lambda b: b.filter("time < '2024-01-15'")), (lambda b: b.filter("time >= '2024-01-15'"))

@@ -29,7 +29,7 @@ SOME = (
     "entry_up_rate a05_bars_15m a10_slice_tail b03_common_start b04_repair_outliers b06_ffill c02_safe_resample c03_merge_timeframes c06_asof d05_histogram e09_rolling_median e11_bars_since "
     "e20_affine_scan e20_halo_chunks f16_macd f17_adx f33_kama f48_ichimoku g05_ret_vol_corr g14_wavelet h02_ready h08_folds i09_ks i11_psi i13_correlation_gap k02_find_thresholds k05_adaptive_thresholds "
     "k14_shift_sweep l01_feature_diff l07_row_distance l10_tail_convergence m04_warmup_report n01_stream_bars "
-    "a01_read_bars a02_read_timeframes a09_model b14_drop_constant c08_trim_to_common e09_rolling_apply j04_oversample k02_find_thresholds_600 n02_wait_all n04_stream_features n08_replay_parity f37_parabolic_sar e18_prefix_scan f57_build_indicators g13_spectrum j09_ridge_path j02_ridge_predictions j03_isotonic i10_start_date"
+    "a01_read_bars a02_read_timeframes a09_model b14_drop_constant c08_trim_to_common e09_rolling_apply j04_oversample k02_find_thresholds_600 n02_wait_all n04_stream_features n08_replay_parity f37_parabolic_sar e18_prefix_scan f57_build_indicators g13_spectrum j09_ridge_path j02_ridge_predictions j03_isotonic i10_start_date h09_chosen_features"
 ).split()
 
 
@@ -583,3 +583,15 @@ def test_forward_chained_calibration(spark, method):
     assert abs(both - alone) > 1  # the mean takes in the last fold
     with pytest.raises(ValueError, match="no fold"):
         models.calibrated_ensemble(rows.filter("test_fold = 0"), ["x"])
+
+
+def test_only_some_indicators(bars):
+    """Builders know closed bars only, the other blocks come as they are, and unknown names are refused."""
+    got = indicators.build_indicators(bars, "30T", only=("sma10", "bb_percent"))
+    assert got.columns == ["symbol", "time", *[f"30T_{k}" for k in ("open", "high", "low", "close", "volume", "sma10", "bb_percent")]]
+    w = windows.series()
+    want = indicators.add_indicators(bars, ["sma10", "bb_percent"]).select("symbol", "time", F.lag("sma10").over(w).alias("30T_sma10"), F.col("bb_percent").alias("30T_bb_percent"))
+    assert values(got.select(*want.columns).toPandas()) == values(want.toPandas())
+    assert "30T_bb_percent" not in indicators.build_indicators(bars, "30T", only=("sma10",)).columns
+    with pytest.raises(KeyError, match="nothing_such"):
+        indicators.build_indicators(bars, "30T", only=("sma10", "nothing_such"))
