@@ -595,3 +595,38 @@ def test_only_some_indicators(bars):
     assert "30T_bb_percent" not in indicators.build_indicators(bars, "30T", only=("sma10",)).columns
     with pytest.raises(KeyError, match="nothing_such"):
         indicators.build_indicators(bars, "30T", only=("sma10", "nothing_such"))
+
+
+@pytest.fixture(scope="module")
+def zero_prices(tmp_path_factory):
+    """Events of three series whose bars have zeros as lows, as opens, as closes and as all prices."""
+    rng = np.random.default_rng(2)
+    rows = []
+    for k, symbol in enumerate("abc"):
+        for i in range(150):
+            prices = (rng.random(4) * 90 + 10).round(2)
+            if i >= 40:
+                prices[{0: [2], 15: [0], 35: [3], 55: [0, 1, 2, 3]}.get((i + 5 * k) % 70, [])] = 0.0
+            rows += [(len(rows) + j, datetime(2024, 1, 1) + timedelta(minutes=30 * i + 5 * j), symbol, float(v)) for j, v in enumerate(prices)]
+    folder = tmp_path_factory.mktemp("zeros")
+    pd.DataFrame(rows, columns=["event_id", "ts", "event_type", "value"]).astype({"ts": "datetime64[us]"}).to_parquet(folder / "events.parquet", index=False)
+    return str(folder)
+
+
+def told_apart(rows) -> list:
+    """Values as text, so that null, infinite and not a number are three things."""
+    return sorted(tuple(f"{abs(v):.9g}" if isinstance(v, float) and (v == 0 or math.isnan(v)) else f"{v:.9g}" if isinstance(v, float) else str(v) for v in r) for r in rows)
+
+
+def is_its_sql(spark, folder, name, got=None):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{folder}/events.parquet'")
+    got = library.QUERIES[name](spark, folder) if got is None else got
+    columns = ", ".join(f'"{k}"' for k in got.columns)
+    want = told_apart(con.execute(f"SELECT {columns} FROM ({library.ORACLES[name]})").fetchall())
+    assert told_apart(got.collect()) == want
+    return want
+
+
+def test_garman_klass_of_zero_prices(spark, zero_prices):
+    assert {"inf", "nan", "None"} <= {r[2] for r in is_its_sql(spark, zero_prices, "f41_garman_klass")}
