@@ -630,3 +630,7 @@ def is_its_sql(spark, folder, name, got=None):
 
 def test_garman_klass_of_zero_prices(spark, zero_prices):
     assert {"inf", "nan", "None"} <= {r[2] for r in is_its_sql(spark, zero_prices, "f41_garman_klass")}
+
+
+def test_parkinson_of_zero_prices(spark, zero_prices):
+    assert {"inf", "nan", "None"} <= {r[2] for r in is_its_sql(spark, zero_prices, "f42_parkinson")}
