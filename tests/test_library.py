@@ -634,3 +634,13 @@ def test_garman_klass_of_zero_prices(spark, zero_prices):
 
 def test_parkinson_of_zero_prices(spark, zero_prices):
     assert {"inf", "nan", "None"} <= {r[2] for r in is_its_sql(spark, zero_prices, "f42_parkinson")}
+
+
+def test_indicator_set_of_zero_prices(spark, zero_prices):
+    """In chunks, too: whatever takes quotients or logarithms of prices, and the running product that is zero after a zero close."""
+    only = ("garman_klass", "parkinson", "hv", "daily_logret", "daily_ret", "cum_ret", "kst_main", "range_close_ratio", "return_difference")
+    got = fx.rounded(indicators.build_indicators(fx.bars(spark, zero_prices), "30T", chunk=32, only=only), digits=4)
+    want = is_its_sql(spark, zero_prices, "f57_build_indicators", got)
+    assert {"inf", "-inf", "nan", "None", "-100"} <= {v for r in want for v in r}
+    for name in ("f36_returns", "f40_hv"):
+        is_its_sql(spark, zero_prices, name)
