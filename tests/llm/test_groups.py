@@ -474,3 +474,63 @@ def test_numbers_of_tables_are_drawn_from_their_probabilities():
         drawn = hpylm.seat(np.full(4_000, n), np.full(4_000, weight), 0.8, np.full(4_000, p), np.ones(4_000), 0, rng)
         assert abs(drawn.mean() - mean) < 0.1 * deviation + 0.002 * mean, (n, drawn.mean(), mean, deviation)
         assert abs(drawn.std() - deviation) < 0.1 * deviation, (n, drawn.std(), deviation)
+
+
+def seated(customers, discount, strength, rng):
+    """Tables of one restaurant whose customers came one by one, with a dish of its own for each."""
+    tables = []
+    for n in range(customers):
+        weights = np.append(np.array(tables) - discount, strength + discount * len(tables))
+        i = rng.choice(len(weights), p=weights / (n + strength))
+        tables = [*tables, 1] if i == len(tables) else [*tables[:i], tables[i] + 1, *tables[i + 1 :]]
+    return tables
+
+
+def test_discounts_and_strengths_are_learned(spark, corpus):
+    """Drawn anew after each sweep; the means of both levels differ from what they start with, and held-out texts get likelier."""
+    df, _ = corpus
+    mean = {}
+    for sampled in (False, True):
+        model = hpylm.learn(df, TRAINED, hpylm.Settings(sampled=sampled, least_buckets=8, most_words=50))
+        drawn = [t.hyper for t in model.past]
+        assert len(set(drawn)) == (len(drawn) if sampled else 1)
+        assert all(0 < h.discount < 1 and 0 < h.root_discount < 1 and h.strength > 0 and h.root_strength > 0 for h in drawn)
+        scored = [r for r in hpylm.score_all(model).collect() if not fold(r.doc_id)]
+        mean[sampled] = sum(r.score for r in scored) / sum(r.n_tokens for r in scored)
+    assert mean[True] > mean[False]
+
+
+def test_discounts_and_strengths_come_from_the_seatings():
+    """Restaurants with known ones: their means over draws are near, whatever they start with."""
+    rng = np.random.default_rng(8)
+    for discount, strength in ((0.7, 3.0), (0.3, 12.0)):
+        sizes = [seated(60, discount, strength, rng) for _ in range(150)]
+        tables = np.array([len(x) for x in sizes])
+        one = np.ones(len(sizes))
+        d, b, got = 0.5, 1.0, []
+        for _ in range(30):
+            # all customers of a table share its dish, so each dish has one table
+            shared = hpylm.shared_seats(np.concatenate(sizes), np.ones(sum(map(len, sizes)), np.int64), d, rng)
+            d, b = hpylm.draw_pair(shared, hpylm.Ladder(tables, one), int((tables - 1).sum()), hpylm.Ladder(np.full(len(sizes), 60), one), d, b, rng)
+            got.append((d, b))
+        d, b = np.mean(got[10:], axis=0)
+        assert abs(d - discount) < 0.06 and abs(math.log(b / strength)) < 0.35, (d, b)
+
+
+def test_shared_seats_are_drawn_from_the_ways_to_sit():
+    """Their mean is that of the exponent of ``1 - discount`` in the generalised Stirling numbers, by a difference of their logarithms."""
+
+    def ways(n, d):
+        log = np.array([0.0])
+        for k in range(1, n):
+            stay = np.append(log, -np.inf) + np.log(np.maximum(k - d * np.arange(1, k + 2), 1e-300))
+            log = np.logaddexp(np.append(-np.inf, log), stay)
+        return log
+
+    rng = np.random.default_rng(6)
+    for d in (0.5, 0.8):
+        for n, ms in ((2, (1, 2)), (6, (1, 3, 5)), (200, (3, 30, 150)), (1_500, (1, 5, 300))):
+            slope = (ways(n, d + 1e-5) - ways(n, d - 1e-5)) / 2e-5
+            for m in ms:
+                got = hpylm.shared_seats(np.full(3_000, n), np.full(3_000, m), d, rng) / 3_000
+                assert got == pytest.approx(-(1 - d) * slope[m - 1], rel=0.02, abs=0.04), (d, n, m)
